@@ -25,7 +25,7 @@ def stamps(msgs: DataFrame) -> DataFrame:
         effective_time("source_time_ns", "log_time_ns").alias("t"))
 
 
-def _window_size(window: int) -> int:
+def window_size(window: int) -> int:
     return max(2, window)
 
 
@@ -59,19 +59,19 @@ def last_n(df: DataFrame, n: int, keys: tuple[str, ...] = ("topic",), order: str
     return df.withColumn("_rank", F.row_number().over(newest_first)).where(F.col("_rank") <= n).drop("_rank")
 
 
-def latest_stamps(msgs: DataFrame, window: int = DEFAULT_WINDOW, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The last ``window`` counted timestamps per topic.
+def latest_stamps(stamped: DataFrame, window: int = DEFAULT_WINDOW, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The last ``window`` counted timestamps per topic, out of :func:`stamps`.
 
     A block raises the running maximum exactly when it holds at least one counted timestamp, so the newest
     ``window`` raising blocks are enough. The first pass moves one row per (topic, block); only rows of the
     chosen blocks are shuffled in the second.
     """
-    window = _window_size(window)
-    blocked = with_block(stamps(msgs), "arrival_seq", block_rows)
+    window = window_size(window)
+    blocked = with_block(stamped, "arrival_seq", block_rows)
     raising = (block_carry(blocked, _TOPIC, F.max("t"), F.max)
                .where(F.col("_carry").isNull() | (F.col("_own") > F.col("_carry"))))
     chosen = last_n(raising, window, order=BLOCK)
-    return last_n(_kept(blocked, chosen), window).drop(BLOCK)
+    return last_n(_kept(blocked, chosen), window, order="t").select("topic", "t")
 
 
 def _rates(dt_seconds: Column, over=None) -> dict[str, Column]:
@@ -89,7 +89,7 @@ def _rates(dt_seconds: Column, over=None) -> dict[str, Column]:
 
 def summarize(latest: DataFrame) -> DataFrame:
     """Rate statistics of at most one window of counted timestamps per topic."""
-    newest_first = W.partitionBy("topic").orderBy(F.col("arrival_seq").desc())
+    newest_first = W.partitionBy("topic").orderBy(F.col("t").desc())
     steps = latest.withColumn("dt", F.col("t") - F.lead("t").over(newest_first))
     rates = _rates(F.col("dt") / NANOS)
     return (steps.groupBy("topic")
@@ -99,7 +99,7 @@ def summarize(latest: DataFrame) -> DataFrame:
 
 def hz(msgs: DataFrame, window: int = DEFAULT_WINDOW, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Average, minimum, maximum and spread of the rate over the last ``window`` counted timestamps."""
-    return summarize(latest_stamps(msgs, window, block_rows))
+    return summarize(latest_stamps(stamps(msgs), window, block_rows))
 
 
 def rolling_hz(msgs: DataFrame, window: int = DEFAULT_WINDOW, block_rows: int = BLOCK_ROWS,
@@ -109,7 +109,7 @@ def rolling_hz(msgs: DataFrame, window: int = DEFAULT_WINDOW, block_rows: int =
     Counted rows get a dense position per topic and are cut into tiles of ``tile_rows``; each tile also gets
     the last ``window - 2`` rows of the tile before, so every frame is complete inside one tile.
     """
-    window = _window_size(window)
+    window = window_size(window)
     halo = window - 2
     tile_rows = max(tile_rows, window)
     kept = _intervals(msgs, block_rows)

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 from tidewire.operators.blocks import BLOCK, with_block
 
 SEGMENT_BLOCK_ROWS = 1 << 18
-_LONGS = T.ArrayType(T.LongType(), False)
+_LONGS = T.ArrayType(T.LongType())
 
 
 class _Cuts:
@@ -117,16 +118,16 @@ def greedy_segments(units: DataFrame, keys: list[str], order: str, size: str, *,
     key_fields = [narrow.schema[name] for name in keys]
     block_keys = [*keys, BLOCK]
 
-    def cuts_of(rows: pd.DataFrame) -> _Cuts:
-        return _Cuts(rows["_size"].to_numpy(np.int64), rows["_clock"].to_numpy(np.int64),
-                     target, span if clock else 0, close_before)
+    def cuts_of(rows: pa.Table) -> _Cuts:
+        return _Cuts(rows["_size"].to_numpy(), rows["_clock"].to_numpy(), target, span if clock else 0,
+                     close_before)
 
-    def summarize(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_order")
-        head = {name: rows[name].iloc[0] for name in block_keys}
-        return pd.DataFrame([{**head, **cuts_of(rows).summary()}])
+    def summarize(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_order")
+        summary = {name: [value] for name, value in cuts_of(rows).summary().items()}
+        return pa.table({**{name: rows[name].slice(0, 1) for name in block_keys}, **summary})
 
-    summaries = narrow.groupBy(*block_keys).applyInPandas(summarize, _summary_schema(key_fields))
+    summaries = narrow.groupBy(*block_keys).applyInArrow(summarize, _summary_schema(key_fields))
     if opened is None:
         summaries = summaries.withColumns({name: F.lit(None).cast("long") for name in _STATE[:3]})
     else:
@@ -151,15 +152,14 @@ def greedy_segments(units: DataFrame, keys: list[str], order: str, size: str, *,
               .mapInPandas(walk, T.StructType(
                   key_fields + [T.StructField(BLOCK, T.LongType())] + _STATE_FIELDS)))
 
-    def number(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_order")
-        state = [rows[name].iloc[0] for name in _STATE]
-        segment, offset, begin = cuts_of(rows).number(*[int(x) for x in state[:3]], bool(state[3]))
-        return pd.DataFrame({**{name: rows[name] for name in keys}, order: rows["_order"],
-                             "segment": segment, "offset": offset, "segment_start": begin})
+    def number(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_order")
+        segment, offset, begin = cuts_of(rows).number(*[rows[name][0].as_py() for name in _STATE])
+        return pa.table({**{name: rows[name] for name in keys}, order: rows["_order"],
+                         "segment": segment, "offset": offset, "segment_start": begin})
 
     return (narrow.join(states, block_keys).groupBy(*block_keys)
-            .applyInPandas(number, T.StructType(key_fields + [
+            .applyInArrow(number, T.StructType(key_fields + [
                 T.StructField(name, T.LongType()) for name in (order, "segment", "offset", "segment_start")])))
 
 

@@ -1,4 +1,4 @@
 """The registered queries."""
 
-from tidewire.plans import discovery, messages, rates, recordings  # noqa: F401
+from tidewire.plans import discovery, live, messages, payloads, rates, recordings  # noqa: F401
 from tidewire.plans.registry import QUERIES, SQL  # noqa: F401

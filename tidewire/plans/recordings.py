@@ -17,7 +17,7 @@ _LIMITS = rec.Limits(max_bytes=2000, max_seconds=36 * 3600, poll_ns=60_000_000_0
 _SPAN = _LIMITS.max_ns
 _CHUNK = 1000
 # small enough that a recording spans many blocks
-_ROUND_BLOCK, _CHUNK_BLOCK = 600, 700
+_ROUND_BLOCK, _CHUNK_BLOCK = 5000, 2000
 
 
 def typed_messages(spark, sf):

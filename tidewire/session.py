@@ -34,19 +34,21 @@ def attach(spark: SparkSession) -> SparkSession:
     """Prepare an existing session: UTC times, and this package importable in Python workers."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    sc = spark.sparkContext
-    if not any(path.endswith("tidewire_pkg.zip") for path in sc.listFiles):
-        sc.addPyFile(_package_zip())
+    ship(spark, Path(__file__).resolve().parent)
     return spark
 
 
-def _package_zip() -> str:
-    root = Path(__file__).resolve().parent
-    target = os.path.join(tempfile.mkdtemp(prefix="tidewire-"), "tidewire_pkg.zip")
+def ship(spark: SparkSession, package: Path) -> None:
+    """Send a package folder to the Python workers, once per application."""
+    archive_name = f"{package.name}_pkg.zip"
+    sc = spark.sparkContext
+    if any(path.endswith(archive_name) for path in sc.listFiles):
+        return
+    target = os.path.join(tempfile.mkdtemp(prefix="tidewire-"), archive_name)
     with zipfile.ZipFile(target, "w") as archive:
-        for source in sorted(root.rglob("*.py")):
-            archive.write(source, Path(root.name) / source.relative_to(root))
-    return target
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, Path(package.name) / source.relative_to(package))
+    sc.addPyFile(target)
 
 
 def shared_dir(spark: SparkSession) -> str:
