@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tests.support.recording_encoder import encode_file
+from tidewire.functions.scalars import floor_div
 from tidewire.functions.wire import Text
 from tidewire.functions.wire import struct as wire_struct
 from tidewire.operators import decode
@@ -126,7 +127,7 @@ def _write_files(spark, sf) -> str:
         Path(path).write_bytes(data)
         return pd.DataFrame({"path": [path], "bytes": [len(data)]})
 
-    msgs = typed_messages(spark, sf).withColumn("week", F.floor(F.col("log_time_ns") / _WEEK))
+    msgs = typed_messages(spark, sf).withColumn("week", floor_div("log_time_ns", _WEEK))
     written = msgs.groupBy("recording_id", "week").applyInPandas(write, "path string, bytes long")
     written.agg(F.sum("bytes")).collect()
     return folder
@@ -138,7 +139,7 @@ select concat(recording_id, '_', log_time_ns // {_WEEK}) as file, topic, type_na
 from (select * replace (nullif(type_name, '') as type_name) from typed_messages)
 where log_time_ns >= 1704700000000000000 and log_time_ns < 1705900000000000000 and not starts_with(topic, '/error')""")
 def read_mcap(spark, sf):
-    rows = read_recordings(spark, _write_files(spark, sf), start=1704700000000000000, rangeBytes=20_000)
+    rows = read_recordings(spark, _write_files(spark, sf), start=1704700000000000000, rangeBytes=100_000)
     return (rows.where("log_time_ns < 1705900000000000000 and not startswith(topic, '/error')")
             .select(F.regexp_extract("file", r"([^/]+)\.mcap$", 1).alias("file"), "topic", "schema_name", "sequence",
                     "log_time_ns", "publish_time_ns", F.hex("payload").alias("payload_hex")))

@@ -34,6 +34,12 @@ def _labels(code: Column, labels: dict[int, str]) -> Column:
     return chain.otherwise(UNKNOWN)
 
 
+def floor_div(value: Column | str, by: int) -> Column:
+    """Whole-number division rounding down, exact for all of ``bigint`` (``/`` goes through double)."""
+    value = _column(value)
+    return F.call_function("div", value - F.pmod(value, F.lit(by)), F.lit(by))
+
+
 def effective_time(source: Column | str, received: Column | str) -> Column:
     source, received = _column(source), _column(received)
     return F.when(source > 0, source).otherwise(received)
@@ -43,9 +49,7 @@ def sec_nsec(ns: Column | str) -> Column:
     """Nanoseconds as ``seconds.nnnnnnnnn``; the fraction is never negative."""
     ns = _column(ns)
     fraction = F.pmod(ns, F.lit(NANOS))
-    # a whole number of seconds, off by far less than a half after the division
-    seconds = F.round((ns - fraction) / NANOS).cast("long")
-    return F.concat(seconds.cast("string"), F.lit("."), F.lpad(fraction.cast("string"), 9, "0"))
+    return F.concat(floor_div(ns, NANOS).cast("string"), F.lit("."), F.lpad(fraction.cast("string"), 9, "0"))
 
 
 def guid_text(guid: Column | str) -> Column:

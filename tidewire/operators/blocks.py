@@ -14,12 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidewire.functions.scalars import floor_div
+
 BLOCK_ROWS = 1 << 20
 BLOCK = "_block"
 
 
 def with_block(df: DataFrame, order: str, block_rows: int) -> DataFrame:
-    return df.withColumn(BLOCK, F.floor(F.col(order) / F.lit(block_rows)).cast("long"))
+    return df.withColumn(BLOCK, floor_div(order, block_rows))
 
 
 def block_carry(blocked: DataFrame, keys: Sequence[str], summary: Column, combine) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.functions.filters import valid_only
-from tidewire.functions.scalars import NANOS, effective_time
+from tidewire.functions.scalars import NANOS, effective_time, floor_div
 from tidewire.operators.blocks import BLOCK, BLOCK_ROWS, block_carry, inside_block, with_block
 
 DEFAULT_WINDOW = 100
@@ -116,7 +116,7 @@ def rolling_hz(msgs: DataFrame, window: int = DEFAULT_WINDOW, block_rows: int =
     offsets = block_carry(kept, _TOPIC, F.count("*"), F.sum).select("topic", BLOCK, "_carry")
     place = F.coalesce("_carry", F.lit(0)) + F.row_number().over(inside_block(_TOPIC, "arrival_seq")) - 1
     placed = (kept.join(offsets, ["topic", BLOCK]).withColumn("_k", place)
-              .withColumn("_home", F.floor(F.col("_k") / tile_rows)))
+              .withColumn("_home", floor_div("_k", tile_rows)))
     in_halo = F.col("_k") % tile_rows >= tile_rows - halo
     tiled = placed.withColumn("_tile", F.explode(
         F.when(in_halo, F.array(F.col("_home"), F.col("_home") + 1)).otherwise(F.array("_home"))))
@@ -137,7 +137,7 @@ def hz_reports(msgs: DataFrame, every_ns: int = NANOS, window: int = DEFAULT_WIN
     """
     facts = ["avg_hz", "min_hz", "max_hz", "stddev_hz", "window"]
     rolled = rolling_hz(msgs, window, block_rows).withColumn(
-        "tick", F.floor(F.col("log_time_ns") / every_ns).cast("long"))
+        "tick", floor_div("log_time_ns", every_ns))
     reports = (rolled.groupBy("topic", "tick")
                .agg(F.max_by(F.struct(*facts), "arrival_seq").alias("last"))
                .select("topic", "tick", *[F.col(f"last.{name}").alias(name) for name in facts]))

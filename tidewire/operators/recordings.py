@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidewire.functions.scalars import NANOS
+from tidewire.functions.scalars import NANOS, floor_div
 from tidewire.operators.segments import SEGMENT_BLOCK_ROWS, greedy_segments
 
 # Default chunk size, and the bytes a stored message takes besides its payload
@@ -31,7 +31,7 @@ class Limits:
 
 
 def poll_round(limits: Limits) -> Column:
-    return F.floor(F.col("log_time_ns") / F.lit(limits.poll_ns)).cast("long")
+    return floor_div("log_time_ns", limits.poll_ns)
 
 
 def split_rounds(rounds: DataFrame, limits: Limits, block_rows: int = SEGMENT_BLOCK_ROWS,

@@ -75,7 +75,7 @@ select distinct recording_id, split, concat(recording_id, '_',
 from split_messages""", _SPLITS_RECURSIVE)
 def recording_name(spark, sf):
     splits = _split(views.messages(spark, sf)).select("recording_id", "split", "split_start_ns").distinct()
-    start = F.timestamp_micros(F.floor(F.col("split_start_ns") / 1000).cast("long"))
+    start = F.timestamp_micros(scalars.floor_div("split_start_ns", 1000))
     return splits.select("recording_id", "split", scalars.recording_name("recording_id", start, F.col("split")).alias("name"))
 
 
