@@ -1,0 +1,104 @@
+import random
+
+import pytest
+
+from tidewire.operators import recordings as rec
+from tidewire.operators.segments import greedy_segments
+
+
+def brute(units, target, span, close_before, opened=None):
+    """(segment, offset, start) per unit, one after the other."""
+    out, segment, held, start, fresh = [], 0, 0, None, True
+    if opened:
+        segment, held, start = opened
+        fresh = False
+    for size, clock in units:
+        full = target and (held + size >= target if close_before else held >= target)
+        old = span and not fresh and clock - start >= span
+        if fresh:
+            start, fresh = clock, False
+        elif full or old:
+            segment, held, start = segment + 1, 0, clock
+        out.append((segment, held, start))
+        held += size
+    return out
+
+
+CASES = [(100, 0, False), (100, 0, True), (0, 40, False), (60, 25, False), (1, 0, True), (10**9, 0, False), (0, 1, False),
+         (10**9, 10**9, True)]
+
+
+@pytest.mark.parametrize("block_rows", [1, 5, 23, 1000])
+@pytest.mark.parametrize("target,span,close_before", CASES)
+def test_against_one_by_one(spark, target, span, close_before, block_rows):
+    rng = random.Random(f"{target}{span}{block_rows}")
+    rows, want = [], {}
+    for key in ("a", "b", "c"):
+        clock, units, order = 5, [], rng.randint(-30, 30)
+        for _ in range(rng.randint(1, 150)):
+            clock += rng.choice([0, 1, 1, 2, 30])
+            order += rng.randint(1, 4)
+            units.append((order, rng.choice([1, 5, 20, 99, 150]), clock))
+        for unit, cut in zip(units, brute([u[1:] for u in units], target, span, close_before)):
+            want[key, unit[0]] = cut
+        rows += [(key, *unit) for unit in units]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, o bigint, size bigint, at bigint").repartition(4)
+    cut = greedy_segments(df, ["k"], "o", "size", target=target, clock="at", span=span, close_before=close_before,
+                          block_rows=block_rows)
+    assert {(r.k, r.o): (r.segment, r.offset, r.segment_start) for r in cut.collect()} == want
+
+
+@pytest.mark.parametrize("block_rows", [3, 100])
+def test_going_on_with_an_open_segment(spark, block_rows):
+    rng = random.Random(3)
+    units = [(i, rng.randint(1, 30), i * 3) for i in range(100, 160)]
+    opened = (4, 37, 290)
+    want = brute([u[1:] for u in units], 90, 45, False, opened)
+    df = spark.createDataFrame([("a", *u) for u in units] + [("b", 1, 5, 7)], "k string, o bigint, size bigint, at bigint")
+    held = spark.createDataFrame([("a", *opened)], "k string, segment bigint, open_size bigint, open_clock bigint")
+    cut = greedy_segments(df, ["k"], "o", "size", target=90, clock="at", span=45, block_rows=block_rows, opened=held)
+    rows = cut.orderBy("k", "o").collect()
+    assert [(r.segment, r.offset, r.segment_start) for r in rows] == want + [(0, 0, 7)]
+
+
+def _messages(spark, rows):
+    return spark.createDataFrame(rows, "recording_id string, topic string, arrival_seq bigint, log_time_ns bigint, "
+                                       "payload_bytes int")
+
+
+def test_splits_count_rounds_and_start_again(spark):
+    second = 1_000_000_000
+    rows = [("r", "/t", i, i * second // 2, 10) for i in range(20)]
+    got = rec.assign_splits(_messages(spark, rows), rec.Limits(max_bytes=50, poll_ns=second))
+    # two messages a round, so a split is full after three rounds
+    assert [r.split for r in got.orderBy("arrival_seq").collect()] == [i // 6 for i in range(20)]
+    got = rec.assign_splits(_messages(spark, rows), rec.Limits(max_seconds=2, poll_ns=second))
+    assert [r.split for r in got.orderBy("arrival_seq").collect()] == [i // 4 for i in range(20)]
+
+
+def test_a_limit_reached_while_idle_cuts_before_the_next_message(spark):
+    second = 1_000_000_000
+    rows = [("r", "/t", 0, 0, 10), ("r", "/t", 1, 60 * second, 10), ("r", "/t", 2, 61 * second, 10)]
+    got = rec.assign_splits(_messages(spark, rows), rec.Limits(max_seconds=5, poll_ns=second)).orderBy("arrival_seq").collect()
+    assert [(r.split, r.split_start_ns) for r in got] == [(0, 0), (1, 60 * second), (1, 60 * second)]
+
+
+def test_no_limits_no_splits(spark):
+    rows = [("r", "/t", i, i, 10) for i in range(5)]
+    assert {r.split for r in rec.assign_splits(_messages(spark, rows), rec.Limits()).collect()} == {0}
+    assert rec.stop_at_limit(_messages(spark, rows), rec.Limits()).count() == 5
+
+
+def test_chunk_rules(spark):
+    sizes = [10, 10, 500, 10, 10]  # 41, 41, 531, 41, 41 with overhead
+    rows = [("r", "/t", i, i, s) for i, s in enumerate(sizes)]
+    df = _messages(spark, rows).selectExpr("*", "0L as split")
+    got = rec.chunk_offsets(rec.assign_chunks(df, 100)).orderBy("arrival_seq").collect()
+    assert [(r.chunk, r.offset) for r in got] == [(0, 0), (0, 41), (1, 0), (2, 0), (2, 41)]
+
+
+def test_retain_splits(spark):
+    df = spark.createDataFrame([("a", s) for s in range(5)] + [("b", 0)], "recording_id string, split bigint")
+    assert sorted(tuple(r) for r in rec.retain_splits(df, 2).collect()) == [("a", 3), ("a", 4), ("b", 0)]
+    assert rec.retain_splits(df, 0).count() == 6

@@ -87,10 +87,14 @@ def participant_label() -> Column:
             .when(entity != "", entity).otherwise("(unknown)"))
 
 
+# Fixed value: the leading decimal number of a limit text.
+_NUMBER = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
+
+
 def _number_and_suffix(text: Column) -> tuple[Column, Column]:
-    number = F.regexp_extract(text, r"^\s*([0-9]*\.?[0-9]+|[0-9]+\.)", 1).cast("double")
-    suffix = F.regexp_extract(text, r"^\s*[0-9.]+(.)", 1)
-    return F.coalesce(number, F.lit(0.0)), suffix
+    """The number a text begins with (0 if none) and the character behind it."""
+    number = F.regexp_extract(text, _NUMBER, 1).try_cast("double")
+    return F.coalesce(number, F.lit(0.0)), F.regexp_extract(text, _NUMBER + "(.)", 2)
 
 
 def size_bytes(text: Column | str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.filters import alive_only, not_builtin, not_system, writers
 from tidewire.functions.scalars import participant_guid, qos_labels
+from tidewire.operators.versions import first_version, last_version
 
 _QOS = ["reliability", "durability", "history_kind", "history_depth"]
 
@@ -20,34 +21,27 @@ def discovered(endpoints: DataFrame) -> DataFrame:
 def live_endpoints(endpoints: DataFrame) -> DataFrame:
     """Endpoints whose last event leaves them alive. A removal counts even without valid data."""
     facts = ["topic", "type_name", "is_writer", "alive"]
-    last = (endpoints.where(not_system() & (F.col("valid") | ~F.col("alive")))
-            .groupBy("guid").agg(F.max_by(F.struct(*facts), "seq").alias("last")))
-    return (last.where("last.alive")
-            .select("guid", *[F.col(f"last.{name}").alias(name) for name in facts[:-1]]))
-
-
-def _first_type() -> Column:
-    """First non-empty type name by announcement order; empty when there is none."""
-    named = F.when(F.col("type_name") != "", F.col("seq"))
-    return F.coalesce(F.min_by("type_name", named), F.lit(""))
+    counted = endpoints.where(not_system() & (F.col("valid") | ~F.col("alive")))
+    return last_version(counted, ["guid"], facts).where("alive").drop("alive", "seq")
 
 
 def topic_list(endpoints: DataFrame) -> DataFrame:
-    return discovered(endpoints).groupBy("topic").agg(_first_type().alias("type_name")).orderBy("topic")
+    """Topics in name order with the first non-empty type announced; empty when there is none."""
+    pairs = discovered(endpoints).groupBy("topic", "type_name").agg(F.min("seq").alias("seq"))
+    named = F.when(F.col("type_name") != "", F.col("seq"))
+    return (pairs.groupBy("topic").agg(F.coalesce(F.min_by("type_name", named), F.lit("")).alias("type_name"))
+            .orderBy("topic"))
 
 
 def _latest_per_endpoint(endpoints: DataFrame) -> DataFrame:
-    """One row per (topic, role, GUID) with its newest QoS: repeated announcements collapse map-side."""
-    return (discovered(endpoints).groupBy("topic", "is_writer", "guid")
-            .agg(F.max_by(F.struct(*_QOS), "seq").alias("qos"), F.min("seq").alias("first_seq"))
-            .select("topic", "is_writer", "guid", "first_seq",
-                    *[F.col(f"qos.{name}").alias(name) for name in _QOS]))
+    """One row per (topic, role, GUID) with its newest QoS."""
+    return last_version(discovered(endpoints), ["topic", "is_writer", "guid"], _QOS).drop("seq")
 
 
 def topic_info(endpoints: DataFrame, topic: str) -> DataFrame:
     """Endpoints of one topic with role, QoS and the topic's type, in role and GUID order."""
     own = endpoints.where(F.col("topic") == topic)
-    rows = qos_labels(_latest_per_endpoint(own)).drop("first_seq")
+    rows = qos_labels(_latest_per_endpoint(own))
     type_name = topic_list(own)
     role = F.when(F.col("is_writer"), "publisher").otherwise("subscriber")
     return (rows.join(type_name, "topic").withColumn("role", role).drop("is_writer")
@@ -55,7 +49,8 @@ def topic_info(endpoints: DataFrame, topic: str) -> DataFrame:
 
 
 def endpoint_counts(endpoints: DataFrame) -> DataFrame:
-    return _latest_per_endpoint(endpoints).groupBy("topic").agg(
+    each = discovered(endpoints).select("topic", "is_writer", "guid").distinct()
+    return each.groupBy("topic").agg(
         F.count_if("is_writer").alias("publishers"),
         F.count_if(~F.col("is_writer")).alias("subscribers"))
 
@@ -85,15 +80,14 @@ def _producers(endpoints: DataFrame) -> DataFrame:
 
 def type_catalog(endpoints: DataFrame, complete: str = "described") -> DataFrame:
     """First announcement of each type: who brought it, and whether it came with a description."""
-    first = _producers(endpoints).groupBy("type_name").agg(
-        F.min_by(F.struct("seq", "topic", F.col(complete).alias("complete")), "seq").alias("first"))
-    return first.select("type_name", F.col("first.seq").alias("first_seq"),
-                        F.col("first.topic").alias("first_topic"), F.col("first.complete").alias("complete"))
+    first = first_version(_producers(endpoints), ["type_name"], ["topic", complete])
+    return first.select("type_name", F.col("seq").alias("first_seq"), F.col("topic").alias("first_topic"),
+                        F.col(complete).alias("complete"))
 
 
 def topic_types(endpoints: DataFrame) -> DataFrame:
     """Topic to type; the last registration wins."""
-    return _producers(endpoints).groupBy("topic").agg(F.max_by("type_name", "seq").alias("type_name"))
+    return last_version(_producers(endpoints), ["topic"], ["type_name"]).drop("seq")
 
 
 def assign_ids(df: DataFrame) -> DataFrame:
@@ -101,8 +95,8 @@ def assign_ids(df: DataFrame) -> DataFrame:
 
     Topics without a type get schema id 0. The numbering runs over one row per topic.
     """
-    topics = df.groupBy("recording_id", "topic").agg(
-        F.min("arrival_seq").alias("_seen"), F.min_by("type_name", "arrival_seq").alias("type_name"))
+    topics = (first_version(df, ["recording_id", "topic"], ["type_name"], "arrival_seq")
+              .withColumnRenamed("arrival_seq", "_seen"))
     by_topic = W.partitionBy("recording_id").orderBy("_seen")
     first_of_type = F.min("_seen").over(W.partitionBy("recording_id", "type_name"))
     typed = topics.withColumns({

@@ -6,7 +6,10 @@ counted timestamp is always the running maximum: one running maximum gives both
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from tidewire.functions.scalars import NANOS, effective_time, floor_div
 from tidewire.operators.blocks import BLOCK, BLOCK_ROWS, block_carry, inside_block, with_block
 
 DEFAULT_WINDOW = 100
+TILE_ROWS = 1 << 17
 _TOPIC = ["topic"]
 
 
@@ -74,26 +78,14 @@ def latest_stamps(stamped: DataFrame, window: int = DEFAULT_WINDOW, block_rows:
     return last_n(_kept(blocked, chosen), window, order="t").select("topic", "t")
 
 
-def _rates(dt_seconds: Column, over=None) -> dict[str, Column]:
-    def agg(column: Column) -> Column:
-        return column.over(over) if over is not None else column
-
-    mean = agg(F.avg(dt_seconds))
-    return {
-        "avg_hz": 1 / mean,
-        "min_hz": 1 / agg(F.max(dt_seconds)),
-        "max_hz": 1 / agg(F.min(dt_seconds)),
-        "stddev_hz": agg(F.stddev_pop(dt_seconds)) / (mean * mean),
-    }
-
-
 def summarize(latest: DataFrame) -> DataFrame:
     """Rate statistics of at most one window of counted timestamps per topic."""
     newest_first = W.partitionBy("topic").orderBy(F.col("t").desc())
-    steps = latest.withColumn("dt", F.col("t") - F.lead("t").over(newest_first))
-    rates = _rates(F.col("dt") / NANOS)
-    return (steps.groupBy("topic")
-            .agg(*[column.alias(name) for name, column in rates.items()], F.count("*").alias("window"))
+    step = (F.col("t") - F.lead("t").over(newest_first)) / NANOS
+    mean, dt = F.avg("dt"), F.col("dt")
+    return (latest.withColumn("dt", step).groupBy("topic")
+            .agg((1 / mean).alias("avg_hz"), (1 / F.max(dt)).alias("min_hz"), (1 / F.min(dt)).alias("max_hz"),
+                 (F.stddev_pop(dt) / (mean * mean)).alias("stddev_hz"), F.count("*").alias("window"))
             .where("window >= 2"))
 
 
@@ -102,45 +94,81 @@ def hz(msgs: DataFrame, window: int = DEFAULT_WINDOW, block_rows: int = BLOCK_RO
     return summarize(latest_stamps(stamps(msgs), window, block_rows))
 
 
-def rolling_hz(msgs: DataFrame, window: int = DEFAULT_WINDOW, block_rows: int = BLOCK_ROWS,
-               tile_rows: int = 1 << 17) -> DataFrame:
-    """:func:`hz` as of every counted timestamp.
+def _tiles(msgs: DataFrame, window: int, block_rows: int, tile_rows: int) -> DataFrame:
+    """Counted rows at a dense position ``_k`` per topic, cut into tiles of ``tile_rows``.
 
-    Counted rows get a dense position per topic and are cut into tiles of ``tile_rows``; each tile also gets
-    the last ``window - 2`` rows of the tile before, so every frame is complete inside one tile.
+    Each tile also gets the last ``window - 2`` rows of the tile before, so a frame never leaves its tile.
     """
-    window = window_size(window)
-    halo = window - 2
     tile_rows = max(tile_rows, window)
     kept = _intervals(msgs, block_rows)
-    offsets = block_carry(kept, _TOPIC, F.count("*"), F.sum).select("topic", BLOCK, "_carry")
+    # counting a column the rows carry anyway keeps both uses of ``kept`` alike, so its shuffle is reused
+    offsets = block_carry(kept, _TOPIC, F.count("log_time_ns"), F.sum).select("topic", BLOCK, "_carry")
     place = F.coalesce("_carry", F.lit(0)) + F.row_number().over(inside_block(_TOPIC, "arrival_seq")) - 1
     placed = (kept.join(offsets, ["topic", BLOCK]).withColumn("_k", place)
               .withColumn("_home", floor_div("_k", tile_rows)))
-    in_halo = F.col("_k") % tile_rows >= tile_rows - halo
-    tiled = placed.withColumn("_tile", F.explode(
+    in_halo = F.col("_k") % tile_rows >= tile_rows - (window - 2)
+    return placed.withColumn("_tile", F.explode(
         F.when(in_halo, F.array(F.col("_home"), F.col("_home") + 1)).otherwise(F.array("_home"))))
-    frame = W.partitionBy("topic", "_tile").orderBy("_k").rowsBetween(-halo, 0)
-    rates = _rates(F.col("dt") / NANOS, frame)
-    return (tiled.withColumns(rates)
-            .where((F.col("_tile") == F.col("_home")) & (F.col("_k") >= 1))
-            .select("topic", "arrival_seq", "log_time_ns", *rates,
-                    F.least(F.col("_k") + 1, F.lit(window)).cast("long").alias("window")))
+
+
+_RATES = ["avg_hz", "min_hz", "max_hz", "stddev_hz"]
+_REPORT = [*_RATES, "window"]
+_SLAB = 4096
+
+
+def _roll(tiles: DataFrame, window: int, every_ns: int = 0) -> DataFrame:
+    """Rates over the ``window`` timestamps up to each row of a tile.
+
+    A window function would go through every frame once per aggregate; numpy takes all frames of a slab at once.
+    With ``every_ns`` only the last row of each report interval is worked out.
+    """
+
+    def rates_of(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_k")
+        place = rows["_k"].to_numpy()
+        wanted = (rows["_home"].to_numpy() == rows["_tile"].to_numpy()) & (place >= 1)
+        if every_ns:
+            tick = rows["log_time_ns"].to_numpy() // every_ns
+            wanted &= np.append(tick[1:] != tick[:-1], True)
+        at = np.flatnonzero(wanted)
+        steps = rows["dt"].to_numpy().astype(np.float64) / NANOS  # NaN for a topic's first
+        frames = sliding_window_view(np.append(np.full(window - 2, np.nan), steps), window - 1)
+        out = np.empty((4, len(at)))
+        for begin in range(0, len(at), _SLAB):
+            some = frames[at[begin:begin + _SLAB]]
+            mean = np.nanmean(some, axis=1)
+            out[:, begin:begin + _SLAB] = (1 / mean, 1 / np.nanmax(some, axis=1), 1 / np.nanmin(some, axis=1),
+                                           np.nanstd(some, axis=1) / (mean * mean))
+        own = rows.take(at)
+        return pa.table({
+            "topic": own["topic"], "arrival_seq": own["arrival_seq"], "log_time_ns": own["log_time_ns"],
+            **dict(zip(_RATES, out)), "window": np.minimum(place[at] + 1, window)})
+
+    schema = ("topic string, arrival_seq bigint, log_time_ns bigint, "
+              + ", ".join(f"{name} double" for name in _RATES) + ", window bigint")
+    return tiles.groupBy("topic", "_tile").applyInArrow(rates_of, schema)
+
+
+def rolling_hz(msgs: DataFrame, window: int = DEFAULT_WINDOW, block_rows: int = BLOCK_ROWS,
+               tile_rows: int = TILE_ROWS) -> DataFrame:
+    """:func:`hz` as of every counted timestamp."""
+    window = window_size(window)
+    return _roll(_tiles(msgs, window, block_rows, tile_rows), window)
 
 
 def hz_reports(msgs: DataFrame, every_ns: int = NANOS, window: int = DEFAULT_WINDOW,
-               block_rows: int = BLOCK_ROWS, repeat_idle: bool = False) -> DataFrame:
+               block_rows: int = BLOCK_ROWS, tile_rows: int = TILE_ROWS, repeat_idle: bool = False) -> DataFrame:
     """Statistics as of the end of each report interval in which the topic moved.
 
     ``repeat_idle`` also repeats a topic's last report for intervals without a new timestamp, up to the last
     interval of its own stream.
     """
-    facts = ["avg_hz", "min_hz", "max_hz", "stddev_hz", "window"]
-    rolled = rolling_hz(msgs, window, block_rows).withColumn(
-        "tick", floor_div("log_time_ns", every_ns))
-    reports = (rolled.groupBy("topic", "tick")
-               .agg(F.max_by(F.struct(*facts), "arrival_seq").alias("last"))
-               .select("topic", "tick", *[F.col(f"last.{name}").alias(name) for name in facts]))
+    window = window_size(window)
+    # an interval that runs over several tiles has a candidate in each
+    rolled = _roll(_tiles(msgs, window, block_rows, tile_rows), window, every_ns)
+    reports = (rolled.withColumn("tick", floor_div("log_time_ns", every_ns)).groupBy("topic", "tick")
+               .agg(F.max_by(F.struct(*_REPORT), "arrival_seq").alias("last"))
+               .select("topic", "tick", "last.*"))
     if not repeat_idle:
         return reports
     following = F.lead("tick").over(W.partitionBy("topic").orderBy("tick"))

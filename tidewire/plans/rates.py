@@ -69,4 +69,4 @@ select topic, log_time_ns // {_DAY} as tick, avg_hz, min_hz, max_hz, stddev_hz,
 from ({_ROLLING_SQL}) where "window" >= 2
 qualify row_number() over (partition by topic, tick order by arrival_seq desc) = 1""")
 def hz_reports(spark, sf):
-    return rounded(rates.hz_reports(views.messages(spark, sf), _DAY, _WINDOW, _BLOCK))
+    return rounded(rates.hz_reports(views.messages(spark, sf), _DAY, _WINDOW, _BLOCK, _TILE))

@@ -455,6 +455,7 @@ class _Reader(ds.DataSourceReader):
 
 
 def _batch(rows: list[tuple], names: list[str], schema: pa.Schema) -> pa.RecordBatch:
+    # a schema without payload is one column shorter than the rows
     return pa.RecordBatch.from_arrays(
         [pa.array(column, schema.field(name).type) for name, column in zip(names, zip(*rows))], schema=schema)
 
@@ -465,7 +466,8 @@ class RecordingFiles(ds.DataSource):
         return "mcap"
 
     def schema(self):
-        return TABLES[self.options.get("table", "messages")]
+        columns = TABLES[self.options.get("table", "messages")]
+        return columns.replace(", payload binary", "") if self.options.get("payload") == "false" else columns
 
     def reader(self, schema):
         return _Reader(self.options, schema)
@@ -474,7 +476,8 @@ class RecordingFiles(ds.DataSource):
 def read_recordings(spark: SparkSession, *paths: str, table: str = "messages", **options) -> DataFrame:
     """One of ``TABLES`` over recording files or folders of them.
 
-    ``start`` and ``end`` bound the log time; ``summary`` is one of ``SUMMARY_MODES``.
+    ``start`` and ``end`` bound the log time; ``summary`` is one of ``SUMMARY_MODES``. ``payload="false"`` leaves
+    out the payloads, for statistics that need the headers only.
     """
     if table not in TABLES:
         raise ValueError(f"table must be one of {sorted(TABLES)}")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.functions.filters import alive_only, valid_only
+from tidewire.operators.versions import last_version
 
 
 def messages(spark: SparkSession, *paths: str) -> DataFrame:
@@ -30,5 +31,4 @@ def endpoints_union(publications: DataFrame, subscriptions: DataFrame) -> DataFr
 def participants(df: DataFrame) -> DataFrame:
     """Latest live announcement per participant."""
     facts = ["hostname", "process_name", "pid", "entity_name"]
-    latest = alive_only(df).groupBy("guid").agg(F.max_by(F.struct(*facts), "seq").alias("last"))
-    return latest.select("guid", *[F.col(f"last.{name}").alias(name) for name in facts])
+    return last_version(alive_only(df), ["guid"], facts).drop("seq")
