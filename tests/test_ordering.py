@@ -1,0 +1,27 @@
+from tidewire.operators import ordering
+
+ROWS = [(0, 1, 50), (0, 2, 40), (1, 3, 40), (1, 4, 60), (0, 5, 40)]
+
+
+def test_read_orders(spark):
+    df = spark.createDataFrame(ROWS, "split bigint, arrival_seq bigint, log_time_ns bigint").repartition(3)
+
+    def read(order):
+        return [r.arrival_seq for r in ordering.read_order(df, order).collect()]
+
+    assert read("file") == [1, 2, 5, 3, 4]
+    assert read("time") == [2, 5, 3, 1, 4]
+    assert read("reverse_time") == [4, 1, 3, 5, 2]
+
+
+def test_first_n(spark):
+    df = spark.range(100).select((99 - ordering.F.col("id")).alias("arrival_seq")).repartition(4)
+    assert [r[0] for r in ordering.first_n(df, 3).collect()] == [0, 1, 2]
+    assert [r[0] for r in ordering.first_n(df).collect()] == list(range(100))
+
+
+def test_topics(spark):
+    df = spark.createDataFrame([("/b",), ("/a",), ("/b",), ("/c",)], "topic string")
+    assert [r[0] for r in ordering.topics_sorted(df).collect()] == ["/a", "/b", "/c"]
+    assert {r[0] for r in ordering.include_minus_exclude(df, ["/a", "/b"], "/b").collect()} == {"/a"}
+    assert {r[0] for r in ordering.include_minus_exclude(df, ["/.*"], "/[bc]", regex=True).collect()} == {"/a"}

@@ -6,7 +6,7 @@ from __spark_entry__ import queries
 
 QUERIES = queries()
 # these run jobs (streams, writers, loops) before they return a plan
-EAGER = {"hz_live", "endpoints_live", "record_live", "split_live", "write_recording", "splits_union", "written_dims",
+EAGER = {"compression", "late_data", "pause_resume", "splits_going_on", "bounded_run", "progress", "tick", "for_each_batch", "hz_live", "endpoints_live", "record_live", "split_live", "write_recording", "splits_union", "written_dims",
          "type_dependencies", "read_mcap", "summary_mcap"}
 
 

@@ -62,6 +62,19 @@ def test_going_on_with_an_open_segment(spark, block_rows):
     assert [(r.segment, r.offset, r.segment_start) for r in rows] == want + [(0, 0, 7)]
 
 
+@pytest.mark.parametrize("target,span", [(45_000, 0), (0, 9_000), (200_000, 70_000), (700, 0)])
+def test_segments_longer_than_blocks_and_pages(spark, target, span):
+    rng = random.Random(target)
+    clock, units = 0, []
+    for order in range(12_000):
+        clock += rng.randint(0, 6)
+        units.append((order, rng.randint(1, 20), clock))
+    want = brute([u[1:] for u in units], target, span, False)
+    df = spark.createDataFrame([("a", *u) for u in units], "k string, o bigint, size bigint, at bigint").repartition(4)
+    cut = greedy_segments(df, ["k"], "o", "size", target=target, clock="at", span=span, block_rows=1500)
+    assert [(r.segment, r.offset, r.segment_start) for r in cut.orderBy("o").collect()] == want
+
+
 def _messages(spark, rows):
     return spark.createDataFrame(rows, "recording_id string, topic string, arrival_seq bigint, log_time_ns bigint, "
                                        "payload_bytes int")

@@ -49,13 +49,14 @@ def _rounds(msgs: DataFrame, limits: Limits) -> DataFrame:
             .agg(F.sum("payload_bytes").alias("bytes")))
 
 
-def assign_splits(msgs: DataFrame, limits: Limits, block_rows: int = SEGMENT_BLOCK_ROWS) -> DataFrame:
-    """Messages with their ``split`` and its start.
+def assign_splits(msgs: DataFrame, limits: Limits, block_rows: int = SEGMENT_BLOCK_ROWS,
+                  newest: int = 0) -> DataFrame:
+    """Messages with their ``split`` and its start, of the ``newest`` splits only if asked for (0 = all).
 
     A split ends when its payload bytes or its age reach a limit; both start again with the next round that
     has messages. Only one row per poll round takes part in the cutting; splits come back by equi-join.
     """
-    splits = split_rounds(_rounds(msgs, limits), limits, block_rows)
+    splits = retain_splits(split_rounds(_rounds(msgs, limits), limits, block_rows), newest)
     return (msgs.withColumn("poll", poll_round(limits))
             .join(splits.drop("split_offset"), ["recording_id", "poll"]).drop("poll"))
 

@@ -2,11 +2,12 @@
 afresh. The result depends on every earlier cut, so it is no plain window; three steps keep it parallel:
 
 1. per (key, block): what the block does to a segment that is open when it begins, for every place its first
-   cut can fall. Neighbouring places that end alike are merged, which leaves a short list.
+   cut can fall. Neighbouring places that end alike are merged, which leaves a short list as long as a block
+   holds several segments; a longer list is laid out in pages.
 2. per key: walk the block summaries in order, carrying only the open segment.
 3. per (key, block): number the rows, now that the open segment is known.
 
-Steps 1 and 3 run on all blocks at once; step 2 streams one small row per block and holds a single state.
+Steps 1 and 3 run on all blocks at once; step 2 streams pages of bounded size and holds a single state.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +23,9 @@ from pyspark.sql import types as T
 from tidewire.operators.blocks import BLOCK, with_block
 
 SEGMENT_BLOCK_ROWS = 1 << 18
+PAGE = 512
 _LONGS = T.ArrayType(T.LongType())
+_RUNS = ["seen", "clock", "more", "tail_size", "tail_clock"]
 
 
 class _Cuts:
@@ -49,7 +51,9 @@ class _Cuts:
         """Row of the first cut for a segment already open at the block start; the row count if none."""
         return int(self._reach(np.int64(-open_size), np.int64(open_clock)))
 
-    def summary(self) -> dict[str, list]:
+    def summary(self) -> dict[str, np.ndarray]:
+        """Per run of first cuts: its last place (bytes and clock there), the cuts that follow the first one, and
+        size and start of the segment open at the block end."""
         rows = len(self.seen)
         jump = np.where(self.following < rows, self.following, np.arange(rows))
         more = (self.following < rows).astype(np.int64)
@@ -59,20 +63,13 @@ class _Cuts:
                 break
             more = more + more[jump]
             jump = onward
-        first = np.arange(min(self.following[0] + 1, rows))
+        first = np.arange(min(self.following[0] + 1, rows) if self.target or self.span else 1)
         ends, more = jump[first], more[first]
         same_as_next = (ends[1:] == ends[:-1]) & (more[1:] == more[:-1])
         keep = np.append(~same_as_next, True)
         kept, ends, more = first[keep], ends[keep], more[keep]
-        return {
-            "total": int(self.size_of[-1]),
-            "begin": int(self.clock[0]),
-            "seen": self.seen[kept].tolist(),
-            "clock": self.clock[kept].tolist(),
-            "more": more.tolist(),
-            "tail_size": (self.size_of[-1] - self.size_of[ends]).tolist(),
-            "tail_clock": self.clock[ends].tolist(),
-        }
+        return dict(zip(_RUNS, (self.seen[kept], self.clock[kept], more, self.size_of[-1] - self.size_of[ends],
+                                self.clock[ends])))
 
     def number(self, segment: int, open_size: int, open_clock: int, fresh: bool):
         """Segment number, bytes before the row in its segment and segment start, for every row."""
@@ -91,16 +88,66 @@ class _Cuts:
 
 def _summary_schema(keys: list[T.StructField]) -> T.StructType:
     return T.StructType(keys + [
-        T.StructField(BLOCK, T.LongType()), T.StructField("total", T.LongType()),
-        T.StructField("begin", T.LongType()),
-        *[T.StructField(name, _LONGS) for name in ("seen", "clock", "more", "tail_size", "tail_clock")]])
+        *[T.StructField(name, T.LongType()) for name in (BLOCK, "page", "total", "begin")],
+        *[T.StructField(name, _LONGS) for name in _RUNS]])
 
 
+# key columns are names and numbers
+_ARROW_KEYS = {T.StringType(): pa.string(), T.LongType(): pa.int64(), T.IntegerType(): pa.int32()}
 _STATE = ["segment", "open_size", "open_clock", "fresh"]
 _STATE_FIELDS = [T.StructField(name, T.LongType()) for name in _STATE[:3]] + [
     T.StructField("fresh", T.BooleanType())]
 
 
+def _pages(cuts: _Cuts, head: dict[str, pa.ChunkedArray]) -> pa.Table:
+    runs = cuts.summary()
+    starts = range(0, len(runs["seen"]), PAGE)
+    first = pa.array(np.zeros(len(starts), np.int64))
+    return pa.table({
+        **{name: value.take(first) for name, value in head.items()},
+        "page": pa.array(range(len(starts)), pa.int64()),
+        "total": np.full(len(starts), cuts.size_of[-1]), "begin": np.full(len(starts), cuts.clock[0]),
+        **{name: pa.array([values[at:at + PAGE] for at in starts], pa.list_(pa.int64()))
+           for name, values in runs.items()}})
+
+
+class _Walk:
+    """The segment open while the pages of one key go by."""
+
+    def __init__(self, target: int, span: int):
+        self.target, self.span = target, span
+        self.segment = self.size = self.start = 0
+        self.fresh = True
+        self.pending = None  # bytes of a block whose first cut has not turned up yet
+
+    def begin_block(self, total: int) -> tuple[int, int, int, bool]:
+        self.end_block()
+        self.pending = total
+        return self.segment, self.size, self.start, self.fresh
+
+    def end_block(self) -> None:
+        """No page had a cut: the open segment takes the whole block."""
+        if self.pending is not None:
+            self.size += self.pending
+
+    def page(self, seen, clock, more, tail_size, tail_clock) -> None:
+        if self.pending is None:
+            return
+        run = 0
+        if not self.fresh:
+            run = len(seen)
+            if self.target:
+                run = min(run, int(np.searchsorted(seen, self.target - self.size)))
+            if self.span:
+                run = min(run, int(np.searchsorted(clock, self.start + self.span)))
+            if run == len(seen):
+                return
+            self.segment += 1
+        self.segment += int(more[run])
+        self.size, self.start = int(tail_size[run]), int(tail_clock[run])
+        self.fresh, self.pending = False, None
+
+
 def greedy_segments(units: DataFrame, keys: list[str], order: str, size: str, *, target: int = 0,
                     clock: str | None = None, span: int = 0, close_before: bool = False,
                     block_rows: int = SEGMENT_BLOCK_ROWS, opened: DataFrame | None = None) -> DataFrame:
@@ -116,6 +163,7 @@ def greedy_segments(units: DataFrame, keys: list[str], order: str, size: str, *,
         *keys, F.col(order).cast("long").alias("_order"), F.col(size).cast("long").alias("_size"),
         clock_column.cast("long").alias("_clock")), "_order", block_rows)
     key_fields = [narrow.schema[name] for name in keys]
+    key_types = [_ARROW_KEYS[field.dataType] for field in key_fields]
     block_keys = [*keys, BLOCK]
 
     def cuts_of(rows: pa.Table) -> _Cuts:
@@ -124,8 +172,7 @@ def greedy_segments(units: DataFrame, keys: list[str], order: str, size: str, *,
 
     def summarize(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("_order")
-        summary = {name: [value] for name, value in cuts_of(rows).summary().items()}
-        return pa.table({**{name: rows[name].slice(0, 1) for name in block_keys}, **summary})
+        return _pages(cuts_of(rows), {name: rows[name] for name in block_keys})
 
     summaries = narrow.groupBy(*block_keys).applyInArrow(summarize, _summary_schema(key_fields))
     if opened is None:
@@ -133,24 +180,34 @@ def greedy_segments(units: DataFrame, keys: list[str], order: str, size: str, *,
     else:
         summaries = summaries.join(opened.select(*keys, *_STATE[:3]), keys, "left")
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key = state = None
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = walker = None
         for batch in batches:
             out = []
-            for row in batch.to_dict("records"):
-                row_key = tuple(row[name] for name in keys)
+            heads = batch.select([*block_keys, "page", "total", "begin", *_STATE[:3]]).to_pylist()
+            lists = [batch.column(name) for name in _RUNS]
+            bounds = [runs.offsets.to_numpy() for runs in lists]
+            flat = [runs.values.to_numpy() for runs in lists]
+            for i, row in enumerate(heads):
+                row_key = [row[name] for name in keys]
                 if row_key != key:
-                    key = row_key
-                    resumed = not pd.isna(row["segment"])
-                    state = ((int(row["segment"]), int(row["open_size"]), int(row["open_clock"]), False)
-                             if resumed else (0, 0, int(row["begin"]), True))
-                out.append((*key, row[BLOCK], *state))
-                state = _after_block(row, *state, target, span if clock else 0)
-            yield pd.DataFrame(out, columns=[*block_keys, *_STATE])
-
-    states = (summaries.repartition(*keys).sortWithinPartitions(*keys, BLOCK)
-              .mapInPandas(walk, T.StructType(
-                  key_fields + [T.StructField(BLOCK, T.LongType())] + _STATE_FIELDS)))
+                    key, walker = row_key, _Walk(target, span if clock else 0)
+                    if row["segment"] is None:
+                        walker.start = row["begin"]
+                    else:
+                        walker.segment, walker.size, walker.start = (row[name] for name in _STATE[:3])
+                        walker.fresh = False
+                if row["page"] == 0:
+                    out.append((*key, row[BLOCK], *walker.begin_block(row["total"])))
+                walker.page(*[values[at[i]:at[i + 1]] for values, at in zip(flat, bounds)])
+            columns = list(zip(*out)) or [[]] * len(states_schema)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(column, kind) for column, kind in zip(columns, states_types)], names=states_schema.names)
+
+    states_schema = T.StructType(key_fields + [T.StructField(BLOCK, T.LongType())] + _STATE_FIELDS)
+    states_types = key_types + [pa.int64()] * 4 + [pa.bool_()]
+    states = (summaries.repartition(*keys).sortWithinPartitions(*keys, BLOCK, "page")
+              .mapInArrow(walk, states_schema))
 
     def number(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("_order")
@@ -161,21 +218,3 @@ def greedy_segments(units: DataFrame, keys: list[str], order: str, size: str, *,
     return (narrow.join(states, block_keys).groupBy(*block_keys)
             .applyInArrow(number, T.StructType(key_fields + [
                 T.StructField(name, T.LongType()) for name in (order, "segment", "offset", "segment_start")])))
-
-
-def _after_block(row: dict, segment: int, open_size: int, open_clock: int, fresh: bool, target: int,
-                 span: int) -> tuple[int, int, int, bool]:
-    """State of the open segment behind a block, looked up in its summary."""
-    if fresh:
-        run = 0
-    else:
-        seen, clock = np.asarray(row["seen"]), np.asarray(row["clock"])
-        run = len(seen)
-        if target:
-            run = min(run, int(np.searchsorted(seen, target - open_size)))
-        if span:
-            run = min(run, int(np.searchsorted(clock, open_clock + span)))
-        if run == len(seen):
-            return segment, open_size + int(row["total"]), open_clock, False
-        segment += 1
-    return (segment + int(row["more"][run]), int(row["tail_size"][run]), int(row["tail_clock"][run]), False)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tidewire.functions import filters
 from tidewire.plans.discovery import LIVE_SQL
 from tidewire.plans.rates import _BLOCK, _WINDOW, HZ_SQL, rounded
@@ -54,3 +56,100 @@ def split_live(spark, sf):
     _run(live.record_stream(views.messages_from(_events(spark, sf)), path, limits=_LIMITS,
                             block_rows=_ROUND_BLOCK, trigger=live.ONCE))
     return live.recorded(spark, path).select(*_ROW, "split")
+
+
+# --- the same streams, stopped and started again while the table comes in three parts ---------------------------
+
+
+def _arrivals(spark, sf):
+    """Writes the events in three parts of growing arrival order; yields the folder after each."""
+    events = views.table(spark, sf, "events")
+    last = events.agg(F.max("event_id")).first()[0]
+    folder = scratch_path(spark, "arrivals")
+    for part in range(3):
+        low, high = (last + 1) * part // 3, (last + 1) * (part + 1) // 3
+        events.where((F.col("event_id") >= low) & (F.col("event_id") < high)).write.mode("append").parquet(folder)
+        yield live.read_files(spark, folder, events.schema)
+
+
+@query("late_data", HZ_SQL)
+def late_data(spark, sf):
+    """Late times of each part stay under the mark the parts before left behind."""
+    path = scratch_path(spark, "late")
+    for events in _arrivals(spark, sf):
+        _run(live.hz_stream(views.messages_from(events), path, _WINDOW, _BLOCK, live.ONCE))
+    return rounded(live.latest_report(spark, path))
+
+
+@query("pause_resume", f"select {', '.join(_ROW)} from messages where valid")
+def pause_resume(spark, sf):
+    path = scratch_path(spark, "pause")
+    run = None
+    for events in _arrivals(spark, sf):
+        def start(events=events):
+            return live.record_stream(views.messages_from(events), path, trigger=live.ONCE).start()
+
+        run = live.Run(start)
+        run.query.awaitTermination()
+        run.pause()
+    return live.recorded(spark, path).select(*_ROW)
+
+
+@query("splits_going_on", f"""
+select {', '.join(_ROW)}, split from split_messages where valid""", _VALID_STEPS)
+def splits_going_on(spark, sf):
+    """Open splits are carried over every stop."""
+    path = scratch_path(spark, "going-on")
+    for events in _arrivals(spark, sf):
+        _run(live.record_stream(views.messages_from(events), path, limits=_LIMITS, block_rows=_ROUND_BLOCK,
+                                trigger=live.ONCE))
+    return live.recorded(spark, path).select(*_ROW, "split")
+
+
+@query("bounded_run", f"select {', '.join(_ROW)} from messages where valid and topic like '/purchase/%'")
+def bounded_run(spark, sf):
+    path = scratch_path(spark, "bounded")
+    keep = filters.topic_filter(["/purchase/.*"], regex=True)
+    writer = live.record_stream(views.messages_from(_events(spark, sf)), path, keep, trigger=live.ONCE)
+    live.run_for(writer.start(), seconds=3600)
+    return live.recorded(spark, path).select(*_ROW)
+
+
+@query("progress", """
+select count(*) as received, count(*) filter (topic like '/signup/%') as recorded,
+       (sum(payload_bytes) filter (topic like '/signup/%'))::bigint as bytes
+from messages where valid""")
+def progress(spark, sf):
+    keep = filters.topic_filter(["/signup/.*"], regex=True)
+    counted = live.progress(views.messages_from(_events(spark, sf)), keep)
+    run = live.record_stream(counted, scratch_path(spark, "progress"), keep, trigger=live.ONCE).start()
+    run.awaitTermination()
+    totals = live.Totals()
+    for batch in run.recentProgress:
+        totals.add(batch)
+    return spark.createDataFrame([(totals.received, totals.recorded, totals.bytes)],
+                                 "received bigint, recorded bigint, bytes bigint")
+
+
+@query("tick", HZ_SQL)
+def tick(spark, sf):
+    """Reports at most once a second, until nothing is left to read."""
+    path = scratch_path(spark, "tick")
+    run = live.hz_stream(views.messages_from(_events(spark, sf)), path, _WINDOW, _BLOCK, live.TICK).start()
+    run.processAllAvailable()
+    run.stop()
+    return rounded(live.latest_report(spark, path))
+
+
+@query("for_each_batch", """
+select topic, count(*) as messages, sum(payload_bytes)::bigint as bytes from messages group by topic""")
+def for_each_batch(spark, sf):
+    path = scratch_path(spark, "batches")
+
+    def count(rows, batch_id):
+        (rows.groupBy("topic").agg(F.count("*").alias("messages"), F.sum("payload_bytes").alias("bytes"))
+         .write.mode("overwrite").parquet(f"{path}/counts/batch_id={batch_id}"))
+
+    _run(live.on_batch(views.messages_from(_events(spark, sf)), path, count, live.ONCE))
+    return (spark.read.parquet(f"{path}/counts").groupBy("topic")
+            .agg(F.sum("messages").alias("messages"), F.sum("bytes").alias("bytes")))

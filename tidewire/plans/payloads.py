@@ -14,9 +14,8 @@ from tidewire.sources import views
 select l_orderkey, l_linenumber,
        to_json({'line': {'number': l_linenumber, 'price': l_extendedprice}, 'order': l_orderkey,
                 'part_ids': [l_partkey, l_suppkey], 'returned': l_returnflag = 'R',
-                'status': l_linestatus})::varchar as json,
-       count(*) as copies
-from lineitem group by all""")
+                'status': l_linestatus})::varchar as json
+from lineitem""")
 def render_json(spark, sf):
     rows = views.table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber",
@@ -24,8 +23,7 @@ def render_json(spark, sf):
         F.struct(F.col("l_extendedprice").alias("price"), F.col("l_linenumber").alias("number")).alias("line"),
         F.array("l_partkey", "l_suppkey").alias("part_ids"), (F.col("l_returnflag") == "R").alias("returned"))
     text = render.render_json(rows, ["status", "order", "line", "part_ids", "returned"])
-    return (rows.select("l_orderkey", "l_linenumber", text.alias("json"))
-            .groupBy("l_orderkey", "l_linenumber", "json").agg(F.count("*").alias("copies")))
+    return rows.select("l_orderkey", "l_linenumber", text.alias("json"))
 
 
 @query("union_select", """

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions import filters, scalars
@@ -47,8 +50,8 @@ _SPLIT_COLUMNS = ["recording_id", "topic", "arrival_seq", "log_time_ns", "split"
 _SPLIT_SQL = f"select {', '.join(_SPLIT_COLUMNS)} from split_messages"
 
 
-def _split(msgs):
-    return rec.assign_splits(msgs, _LIMITS, _ROUND_BLOCK)
+def _split(msgs, newest=0):
+    return rec.assign_splits(msgs, _LIMITS, _ROUND_BLOCK, newest)
 
 
 @query("assign_splits", _SPLIT_SQL, _SPLITS_RECURSIVE)
@@ -59,7 +62,7 @@ def assign_splits(spark, sf):
 @query("retain_splits", f"""
 {_SPLIT_SQL} qualify dense_rank() over (partition by recording_id order by split desc) <= 3""", _SPLITS_RECURSIVE)
 def retain_splits(spark, sf):
-    return rec.retain_splits(_split(views.messages(spark, sf)), 3).select(*_SPLIT_COLUMNS)
+    return _split(views.messages(spark, sf), newest=3).select(*_SPLIT_COLUMNS)
 
 
 @query("stop_at_limit", """
@@ -259,7 +262,21 @@ def messages_with_schema(spark, sf):
     channels = ids.where("channel_id % 7 <> 0")
     schemas = (ids.where("schema_id % 3 <> 0")
                .select("recording_id", "schema_id", F.col("type_name").alias("name")).distinct())
-    good, bad = joins.resolve(stored, channels, schemas)
-    columns = ["recording_id", "arrival_seq", "channel_id", "topic", "schema_id", "schema_name"]
-    return (good.withColumn("status", F.lit(joins.OK)).select(*columns, "status")
-            .unionByName(bad.select(*columns, "status")))
+    return joins.resolve_status(stored, channels, schemas).select(
+        "recording_id", "arrival_seq", "channel_id", "topic", "schema_id", "schema_name", "status")
+
+
+@query("compression", """
+select name as compression, codec, recording_id, count(*) as messages, sum(payload_bytes)::bigint as bytes
+from messages, (values ('zstd', 'zstd'), ('lz4', 'lz4_raw'), ('none', 'uncompressed'), ('gzip9', 'uncompressed')) c(name, codec)
+where valid group by all""")
+def compression(spark, sf):
+    """The same recording in every compression; one nobody knows means none."""
+    read = []
+    for name in ("zstd", "lz4", "none", "gzip9"):
+        path = scratch_path(spark, name)
+        store.write_recording(typed_messages(spark, sf).where("valid"), path, compression=name)
+        read.append(store.read_messages(spark, path).groupBy("recording_id").agg(
+            F.lit(name).alias("compression"), F.lit(store.codec(name)).alias("codec"),
+            F.count("*").alias("messages"), F.sum("payload_bytes").alias("bytes")))
+    return reduce(DataFrame.unionByName, read)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewire.operators.discovery import assign_ids, replicate_dims
-from tidewire.operators.recordings import Limits, assign_splits, retain_splits
+from tidewire.operators.recordings import Limits, assign_splits
 
 # Compression names a recording may ask for, as Parquet codecs. Anything else means none.
 CODECS = {"zstd": "zstd", "lz4": "lz4_raw"}
@@ -22,7 +22,7 @@ def codec(compression: str | None) -> str:
 def split_recording(msgs: DataFrame, limits: Limits | None, max_splits: int = 0) -> DataFrame:
     if limits is None:
         return msgs.withColumn("split", F.lit(0).cast("long"))
-    return retain_splits(assign_splits(msgs, limits), max_splits)
+    return assign_splits(msgs, limits, newest=max_splits)
 
 
 def write_recording(msgs: DataFrame, path: str, limits: Limits | None = None, *, max_splits: int = 0,
@@ -40,7 +40,7 @@ def write_recording(msgs: DataFrame, path: str, limits: Limits | None = None, *,
      .sortWithinPartitions("recording_id", "split", "log_time_ns")
      .write.mode(mode).options(**options).partitionBy("recording_id", "split").parquet(f"{path}/messages"))
     written = read_messages(msgs.sparkSession, path)
-    dims = replicate_dims(written, ids)
+    dims = replicate_dims(written, ids).persist()  # a few rows per split, for two tables
     channels = dims.select("recording_id", "split", "channel_id", "topic",
                            F.lit(MESSAGE_ENCODING).alias("message_encoding"), "schema_id")
     schemas = (dims.where("schema_id <> 0")
@@ -48,6 +48,7 @@ def write_recording(msgs: DataFrame, path: str, limits: Limits | None = None, *,
                        F.lit(SCHEMA_ENCODING).alias("encoding")).distinct())
     channels.write.mode(mode).options(**options).parquet(f"{path}/channels")
     schemas.write.mode(mode).options(**options).parquet(f"{path}/schemas")
+    dims.unpersist()
 
 
 def _table(spark: SparkSession, name: str, paths: tuple[str, ...]) -> DataFrame:

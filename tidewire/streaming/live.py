@@ -158,13 +158,15 @@ def _split_step(path: str, limits: Limits, block_rows: int):
                   .unionByName(held.select("recording_id", "poll", "bytes"))
                   .groupBy("recording_id", "poll").agg(F.sum("bytes").alias("bytes")))
         cuts = split_rounds(rounds, limits, block_rows, opened=held.drop("poll", "bytes"))
+        cuts = cuts.join(rounds, ["recording_id", "poll"]).persist()  # one row per round, for rows and state
         splits = placed.join(cuts.select("recording_id", "poll", "split"), ["recording_id", "poll"]).drop("poll")
         _write_batch(splits, path, "messages", batch_id, "recording_id", "split")
-        last = (cuts.join(rounds, ["recording_id", "poll"]).groupBy("recording_id")
+        last = (cuts.groupBy("recording_id")
                 .agg(F.max_by(F.struct("split", "split_offset", "split_start_ns", "poll", "bytes"), "poll").alias("r")))
         state.after(last.select(
             "recording_id", F.col("r.split").alias("segment"), F.col("r.split_offset").alias("open_size"),
             F.col("r.split_start_ns").alias("open_clock"), "r.poll", "r.bytes"), batch_id)
+        cuts.unpersist()
 
     return step
 
@@ -195,7 +197,10 @@ class Totals(StreamingQueryListener):
         pass
 
     def onQueryProgress(self, event):
-        row = event.progress.observedMetrics.get(self.name)
+        self.add(event.progress)
+
+    def add(self, progress) -> None:
+        row = progress.observedMetrics.get(self.name)
         if row:
             self.received += row["received"]
             self.recorded += row["recorded"]
