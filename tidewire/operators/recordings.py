@@ -81,7 +81,8 @@ def assign_chunks(df: DataFrame, target: int = CHUNK_BYTES,
                   block_rows: int = SEGMENT_BLOCK_ROWS) -> DataFrame:
     """Messages with their ``chunk`` and byte ``offset`` in it.
 
-    A chunk closes when the next message would reach the target, or it already has.
+    A chunk closes when the next message would reach the target, or it already has. ``df`` is read three times:
+    pass a stored table.
     """
     sized = df.withColumn("record_bytes", F.col("payload_bytes") + MESSAGE_OVERHEAD)
     keys = ["recording_id", "split"]

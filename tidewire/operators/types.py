@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.session import ensure_checkpoint
+from tidewire.session import stored
 
 MAX_DEPTH = 64
 
@@ -15,16 +15,15 @@ def type_closure(members: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
 
     Ordering by descending ``depth`` lists dependencies first. Each round joins the newest pairs with the direct
     references and keeps distinct pairs only, so a type reached over many paths counts once; the pairs of
-    a round are checkpointed, which cuts the lineage of the loop.
+    a round are stored, which cuts the lineage of the loop.
     """
-    ensure_checkpoint(members.sparkSession)
-    direct = (members.where("ref_type is not null")
-              .select(F.col("type_name").alias("_from"), F.col("ref_type").alias("_to")).distinct().checkpoint())
+    direct = stored(members.where("ref_type is not null").select(
+        F.col("type_name").alias("_from"), F.col("ref_type").alias("_to")).distinct(), "types")
     frontier = direct.select(F.col("_from").alias("type_name"), F.col("_to").alias("needs"))
     rounds = frontier.withColumn("depth", F.lit(1))
     for depth in range(2, max_depth + 1):
-        frontier = (frontier.join(direct, F.col("needs") == F.col("_from"))
-                    .select("type_name", F.col("_to").alias("needs")).distinct().checkpoint())
+        frontier = stored(frontier.join(direct, F.col("needs") == F.col("_from"))
+                          .select("type_name", F.col("_to").alias("needs")).distinct(), "types")
         if frontier.isEmpty():
             break
         rounds = rounds.unionByName(frontier.withColumn("depth", F.lit(depth)))

@@ -11,7 +11,7 @@ from tidewire.functions import filters, scalars
 from tidewire.operators import discovery, joins, ordering
 from tidewire.operators import recordings as rec
 from tidewire.plans.registry import query
-from tidewire.session import scratch_path
+from tidewire.session import scratch_path, stored
 from tidewire.sources import recordings as store
 from tidewire.sources import views
 
@@ -172,8 +172,10 @@ chunked as (
 
 
 def _chunked(spark, sf):
-    msgs = _split(typed_messages(spark, sf)).drop("payload", "writer_guid")
-    return rec.assign_chunks(msgs, _CHUNK, _CHUNK_BLOCK)
+    """Chunks of the split messages' headers, which are stored first: cutting chunks reads them three times."""
+    msgs = _split(typed_messages(spark, sf)).select(
+        "recording_id", "split", "topic", "type_name", "arrival_seq", "log_time_ns", "payload_bytes")
+    return rec.assign_chunks(stored(msgs, "split"), _CHUNK, _CHUNK_BLOCK)
 
 
 _PLACE = ["recording_id", "split", "chunk"]

@@ -8,7 +8,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -71,7 +71,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint(spark: SparkSession) -> None:
-    """Make sure ``DataFrame.checkpoint`` has a folder, without replacing the cluster's."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The same rows read back from a table under the shared folder.
+
+    Cuts lineage like ``checkpoint``, which would run the last stage twice and keep rows instead of columns.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
