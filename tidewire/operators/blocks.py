@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.scalars import floor_div
 
-BLOCK_ROWS = 1 << 20
+BLOCK_ROWS = 1 << 18
 BLOCK = "_block"
 
 

@@ -19,6 +19,8 @@ from tidewire.operators.blocks import BLOCK, BLOCK_ROWS, block_carry, inside_blo
 
 DEFAULT_WINDOW = 100
 TILE_ROWS = 1 << 17
+# smaller blocks leave fewer rows to look at behind the first pass, for more summary rows
+LATEST_BLOCK_ROWS = 1 << 16
 _TOPIC = ["topic"]
 
 
@@ -63,7 +65,8 @@ def last_n(df: DataFrame, n: int, keys: tuple[str, ...] = ("topic",), order: str
     return df.withColumn("_rank", F.row_number().over(newest_first)).where(F.col("_rank") <= n).drop("_rank")
 
 
-def latest_stamps(stamped: DataFrame, window: int = DEFAULT_WINDOW, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def latest_stamps(stamped: DataFrame, window: int = DEFAULT_WINDOW,
+                  block_rows: int = LATEST_BLOCK_ROWS) -> DataFrame:
     """The last ``window`` counted timestamps per topic, out of :func:`stamps`.
 
     A block raises the running maximum exactly when it holds at least one counted timestamp, so the newest
@@ -89,7 +92,7 @@ def summarize(latest: DataFrame) -> DataFrame:
             .where("window >= 2"))
 
 
-def hz(msgs: DataFrame, window: int = DEFAULT_WINDOW, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def hz(msgs: DataFrame, window: int = DEFAULT_WINDOW, block_rows: int = LATEST_BLOCK_ROWS) -> DataFrame:
     """Average, minimum, maximum and spread of the rate over the last ``window`` counted timestamps."""
     return summarize(latest_stamps(stamps(msgs), window, block_rows))
 
@@ -114,6 +117,8 @@ def _tiles(msgs: DataFrame, window: int, block_rows: int, tile_rows: int) -> Dat
 _RATES = ["avg_hz", "min_hz", "max_hz", "stddev_hz"]
 _REPORT = [*_RATES, "window"]
 _SLAB = 4096
+_FULL = (np.mean, np.max, np.min, np.std)
+_SHORT = (np.nanmean, np.nanmax, np.nanmin, np.nanstd)
 
 
 def _roll(tiles: DataFrame, window: int, every_ns: int = 0) -> DataFrame:
@@ -134,11 +139,12 @@ def _roll(tiles: DataFrame, window: int, every_ns: int = 0) -> DataFrame:
         steps = rows["dt"].to_numpy().astype(np.float64) / NANOS  # NaN for a topic's first
         frames = sliding_window_view(np.append(np.full(window - 2, np.nan), steps), window - 1)
         out = np.empty((4, len(at)))
-        for begin in range(0, len(at), _SLAB):
-            some = frames[at[begin:begin + _SLAB]]
-            mean = np.nanmean(some, axis=1)
-            out[:, begin:begin + _SLAB] = (1 / mean, 1 / np.nanmax(some, axis=1), 1 / np.nanmin(some, axis=1),
-                                           np.nanstd(some, axis=1) / (mean * mean))
+        early = int(np.searchsorted(place[at], window - 1))  # frames cut short by the topic's beginning
+        for begin in [*range(0, early, _SLAB), *range(early, len(at), _SLAB)]:
+            end = min(begin + _SLAB, early if begin < early else len(at))
+            some = frames[at[begin:end]]
+            mean, high, low, spread = (fold(some, axis=1) for fold in (_SHORT if begin < early else _FULL))
+            out[:, begin:end] = 1 / mean, 1 / high, 1 / low, spread / (mean * mean)
         own = rows.take(at)
         return pa.table({
             "topic": own["topic"], "arrival_seq": own["arrival_seq"], "log_time_ns": own["log_time_ns"],

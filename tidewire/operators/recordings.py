@@ -36,11 +36,11 @@ def poll_round(limits: Limits) -> Column:
 
 def split_rounds(rounds: DataFrame, limits: Limits, block_rows: int = SEGMENT_BLOCK_ROWS,
                  opened: DataFrame | None = None) -> DataFrame:
-    """Split of every poll round: ``recording_id, poll, split, split_offset, split_start_ns``."""
+    """The split of every poll round, how many bytes it held before the round, and its start."""
     clocked = rounds.withColumn("_begin", F.col("poll") * limits.poll_ns)
     cut = greedy_segments(clocked, ["recording_id"], "poll", "bytes", target=limits.max_bytes,
                           clock="_begin", span=limits.max_ns, block_rows=block_rows, opened=opened)
-    return cut.select("recording_id", "poll", F.col("segment").alias("split"),
+    return cut.select("recording_id", "poll", "bytes", F.col("segment").alias("split"),
                       F.col("offset").alias("split_offset"), F.col("segment_start").alias("split_start_ns"))
 
 
@@ -58,7 +58,7 @@ def assign_splits(msgs: DataFrame, limits: Limits, block_rows: int = SEGMENT_BLO
     """
     splits = retain_splits(split_rounds(_rounds(msgs, limits), limits, block_rows), newest)
     return (msgs.withColumn("poll", poll_round(limits))
-            .join(splits.drop("split_offset"), ["recording_id", "poll"]).drop("poll"))
+            .join(splits.drop("split_offset", "bytes"), ["recording_id", "poll"]).drop("poll"))
 
 
 def stop_at_limit(msgs: DataFrame, limits: Limits, block_rows: int = SEGMENT_BLOCK_ROWS) -> DataFrame:
@@ -79,17 +79,15 @@ def retain_splits(df: DataFrame, newest: int) -> DataFrame:
 
 def assign_chunks(df: DataFrame, target: int = CHUNK_BYTES,
                   block_rows: int = SEGMENT_BLOCK_ROWS) -> DataFrame:
-    """Messages with their ``chunk`` and byte ``offset`` in it.
+    """Messages with their ``chunk`` and ``record_bytes``.
 
-    A chunk closes when the next message would reach the target, or it already has. ``df`` is read three times:
-    pass a stored table.
+    A chunk closes when the next message would reach the target, or it already has. ``df`` is read twice, once
+    for its keys and sizes only: pass a stored table.
     """
     sized = df.withColumn("record_bytes", F.col("payload_bytes") + MESSAGE_OVERHEAD)
-    keys = ["recording_id", "split"]
-    cut = greedy_segments(sized, keys, "arrival_seq", "record_bytes", target=target, close_before=True,
-                          block_rows=block_rows)
-    return sized.join(cut.select(*keys, "arrival_seq", F.col("segment").alias("chunk")),
-                      [*keys, "arrival_seq"])
+    cut = greedy_segments(sized, ["recording_id", "split"], "arrival_seq", "record_bytes", target=target,
+                          close_before=True, block_rows=block_rows)
+    return cut.withColumnRenamed("segment", "chunk").drop("segment_start", "offset")
 
 
 def chunk_offsets(df: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ afresh. The result depends on every earlier cut, so it is no plain window; three
    cut can fall. Neighbouring places that end alike are merged, which leaves a short list as long as a block
    holds several segments; a longer list is laid out in pages.
 2. per key: walk the block summaries in order, carrying only the open segment.
-3. per (key, block): number the rows, now that the open segment is known.
+3. per (key, block): mark where segments begin, now that the open one is known. A window inside the block then
+   hands the markers on to the rows.
 
 Steps 1 and 3 run on all blocks at once; step 2 streams pages of bounded size and holds a single state.
 """
@@ -18,6 +19,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +29,7 @@ SEGMENT_BLOCK_ROWS = 1 << 18
 PAGE = 512
 _LONGS = T.ArrayType(T.LongType())
 _RUNS = ["seen", "clock", "more", "tail_size", "tail_clock"]
+_MARK = ["segment", "_base", "segment_start"]
 
 
 class _Cuts:
@@ -72,19 +75,21 @@ class _Cuts:
         return dict(zip(_RUNS, (self.seen[kept], self.clock[kept], more, self.size_of[-1] - self.size_of[ends],
                                 self.clock[ends])))
 
-    def number(self, segment: int, open_size: int, open_clock: int, fresh: bool):
-        """Segment number, bytes before the row in its segment and segment start, for every row."""
-        rows = len(self.seen)
+    def markers(self, segment: int, open_size: int, open_clock: int, fresh: bool):
+        """Rows where a segment begins, and the first row: the segment, what to add to the bytes before a row in the
+        block to get those before it in the segment, and the segment's start."""
         cut = 0 if fresh else self.first_cut(open_size, open_clock)
-        starts = []
-        while cut < rows:
-            starts.append(cut)
+        at = []
+        while cut < len(self.seen):
+            at.append(cut)
             cut = int(self.following[cut])
-        cuts = np.searchsorted(np.array(starts, dtype=np.int64), np.arange(rows), side="right")
-        base = np.concatenate(([-open_size], self.size_of[starts])) if starts else np.array([-open_size])
-        begin = np.concatenate(([open_clock], self.clock[starts])) if starts else np.array([open_clock])
-        numbers = segment + cuts - (1 if fresh else 0)
-        return numbers, self.size_of[:-1] - base[cuts], begin[cuts]
+        at = np.array(at, np.int64)
+        number = segment + np.arange(len(at)) + (0 if fresh else 1)
+        base, begin = -self.size_of[at], self.clock[at]
+        if not len(at) or at[0] > 0:
+            at, number = np.append(0, at), np.append(segment, number)
+            base, begin = np.append(open_size, base), np.append(open_clock, begin)
+        return at, number, base, begin
 
 
 def _summary_schema(keys: list[T.StructField]) -> T.StructType:
@@ -152,7 +157,7 @@ class _Walk:
 def greedy_segments(units: DataFrame, keys: list[str], order: str, size: str, *, target: int = 0,
                     clock: str | None = None, span: int = 0, close_before: bool = False,
                     block_rows: int = SEGMENT_BLOCK_ROWS, opened: DataFrame | None = None) -> DataFrame:
-    """``keys, order, segment, offset, segment_start`` for every unit.
+    """The units with ``segment``, the bytes before them in it (``offset``) and its ``segment_start``.
 
     ``target`` limits the bytes and ``span`` the time (on ``clock``, which must not fall along ``order``); 0 is
     no limit. A segment is cut before a unit once the bytes already in it reach ``target``, or, with
@@ -212,12 +217,28 @@ def greedy_segments(units: DataFrame, keys: list[str], order: str, size: str, *,
     states = (summaries.repartition(*keys).sortWithinPartitions(*keys, BLOCK, "page")
               .mapInArrow(walk, states_schema))
 
-    def number(rows: pa.Table) -> pa.Table:
+    def mark(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("_order")
-        segment, offset, begin = cuts_of(rows).number(*[rows[name][0].as_py() for name in _STATE])
-        return pa.table({**{name: rows[name] for name in keys}, order: rows["_order"],
-                         "segment": segment, "offset": offset, "segment_start": begin})
-
-    return (narrow.join(states, block_keys).groupBy(*block_keys)
-            .applyInArrow(number, T.StructType(key_fields + [
-                T.StructField(name, T.LongType()) for name in (order, "segment", "offset", "segment_start")])))
+        at, *facts = cuts_of(rows).markers(*[rows[name][0].as_py() for name in _STATE])
+        own = rows.take(at)
+        return pa.table({**{name: own[name] for name in block_keys}, order: own["_order"], **dict(zip(_MARK, facts))})
+
+    marks = (narrow.join(states, block_keys).groupBy(*block_keys)
+             .applyInArrow(mark, T.StructType(key_fields + [
+                 T.StructField(name, T.LongType()) for name in (BLOCK, order, *_MARK)])))
+    return _number(with_block(units, order, block_rows), marks, block_keys, order, size)
+
+
+def _number(rows: DataFrame, marks: DataFrame, block_keys: list[str], order: str, size: str) -> DataFrame:
+    """Each row takes over the last marker at or before it in its block. Markers are few, one per segment and block,
+    and travel in the same shuffle as the rows."""
+    both = (rows.withColumn("_is_row", F.lit(True))
+            .unionByName(marks.withColumn("_is_row", F.lit(False)), allowMissingColumns=True))
+    in_block = W.partitionBy(*block_keys).orderBy(order, "_is_row")
+    so_far = in_block.rowsBetween(W.unboundedPreceding, 0)
+    earlier = in_block.rowsBetween(W.unboundedPreceding, -1)
+    return (both.withColumns({
+        **{name: F.last(name, ignorenulls=True).over(so_far) for name in _MARK},
+        "_before": F.coalesce(F.sum(size).over(earlier), F.lit(0)),
+    }).where("_is_row").withColumn("offset", F.col("_before") + F.col("_base"))
+        .drop("_is_row", "_before", "_base", BLOCK))

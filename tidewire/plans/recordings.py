@@ -172,7 +172,7 @@ chunked as (
 
 
 def _chunked(spark, sf):
-    """Chunks of the split messages' headers, which are stored first: cutting chunks reads them three times."""
+    """Chunks of the split messages' headers, which are stored first, as cutting reads them twice."""
     msgs = _split(typed_messages(spark, sf)).select(
         "recording_id", "split", "topic", "type_name", "arrival_seq", "log_time_ns", "payload_bytes")
     return rec.assign_chunks(stored(msgs, "split"), _CHUNK, _CHUNK_BLOCK)

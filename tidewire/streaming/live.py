@@ -17,7 +17,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQue
 from pyspark.sql.types import StructType
 
 from tidewire.functions.filters import not_system
-from tidewire.operators.rates import BLOCK_ROWS, DEFAULT_WINDOW, last_n, latest_stamps, stamps, summarize, window_size
+from tidewire.operators.rates import DEFAULT_WINDOW, LATEST_BLOCK_ROWS, last_n, latest_stamps, stamps, summarize, window_size
 from tidewire.operators.recordings import Limits, poll_round, retain_splits, split_rounds
 from tidewire.operators.segments import SEGMENT_BLOCK_ROWS
 
@@ -66,7 +66,7 @@ def _write_batch(df: DataFrame, path: str, table: str, batch_id: int, *partition
 # --- publishing rates ------------------------------------------------------------------------------------------
 
 
-def hz_stream(msgs: DataFrame, path: str, window: int = DEFAULT_WINDOW, block_rows: int = BLOCK_ROWS,
+def hz_stream(msgs: DataFrame, path: str, window: int = DEFAULT_WINDOW, block_rows: int = LATEST_BLOCK_ROWS,
               trigger: dict | None = None) -> DataStreamWriter:
     """Rate statistics of every topic after each micro-batch, under ``path/reports``.
 
@@ -158,7 +158,7 @@ def _split_step(path: str, limits: Limits, block_rows: int):
                   .unionByName(held.select("recording_id", "poll", "bytes"))
                   .groupBy("recording_id", "poll").agg(F.sum("bytes").alias("bytes")))
         cuts = split_rounds(rounds, limits, block_rows, opened=held.drop("poll", "bytes"))
-        cuts = cuts.join(rounds, ["recording_id", "poll"]).persist()  # one row per round, for rows and state
+        cuts = cuts.persist()  # one row per round, for rows and state
         splits = placed.join(cuts.select("recording_id", "poll", "split"), ["recording_id", "poll"]).drop("poll")
         _write_batch(splits, path, "messages", batch_id, "recording_id", "split")
         last = (cuts.groupBy("recording_id")
