@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tests.support.recording_encoder import encode_file
 from tidewire.functions.scalars import floor_div
@@ -51,17 +52,18 @@ def _encoder(type_name: str):
                 width = values.dtype.itemsize
                 out[:, at:at + width] = np.ascontiguousarray(values).view(np.uint8).reshape(-1, width)
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(size), len(out), [None, pa.py_buffer(out.tobytes())])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([type_name] * len(out)), raw.cast(pa.binary())], names=["type_name", "payload"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([type_name] * len(out)), raw.cast(pa.binary())],
+                                             names=[*batch.schema.names, "type_name", "payload"])
 
     return run
 
 
-def _encoded(spark, sf, table: str, type_name: str):
+def _encoded(spark, sf, table: str, type_name: str, *others: str):
     ship(spark, Path(__file__).resolve().parents[1])
     members = [name for name, _, _ in _LAYOUTS[type_name] if name]
-    return views.table(spark, sf, table).select(*members).mapInArrow(
-        _encoder(type_name), "type_name string, payload binary")
+    rows = views.table(spark, sf, table).select(*members, *others)
+    fields = [T.StructField("type_name", T.StringType()), T.StructField("payload", T.BinaryType())]
+    return rows.mapInArrow(_encoder(type_name), T.StructType(rows.schema.fields + fields))
 
 
 @query("decode_payloads", """
@@ -91,7 +93,8 @@ union all
 select 'demo::Order', o_orderkey, o_orderstatus, count(*), round(sum(o_totalprice), 2)
 from orders group by o_orderkey, o_orderstatus""")
 def decode_by_topic(spark, sf):
-    mixed = _encoded(spark, sf, "lineitem", "demo::Line").unionByName(_encoded(spark, sf, "orders", "demo::Order"))
+    mixed = (_encoded(spark, sf, "lineitem", "demo::Line").select("type_name", "payload")
+             .unionByName(_encoded(spark, sf, "orders", "demo::Order").select("type_name", "payload")))
     typed = decode.decode_all(mixed, CATALOG)
     lines, orders = typed["demo::Line"][0], typed["demo::Order"][0]
     rows = lines.select("type_name", F.col("l_orderkey").alias("key"), F.col("l_returnflag").alias("letter"),
@@ -102,6 +105,18 @@ def decode_by_topic(spark, sf):
         F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total"))
 
 
+@query("echo", """
+select o_orderkey as arrival_seq, concat(epoch_us(o_orderdate) // 1000000, '.000000000') as stamp,
+       to_json({'o_custkey': o_custkey, 'o_orderkey': o_orderkey, 'o_orderstatus': o_orderstatus,
+                'o_totalprice': o_totalprice})::varchar as json, null::varchar as error
+from orders where o_orderstatus = 'F' order by o_orderkey limit 100""")
+def echo(spark, sf):
+    orders = _encoded(spark, sf, "orders", "demo::Order", "o_orderdate").selectExpr(
+        "concat('/orders/', o_orderstatus) as topic", "o_orderkey as arrival_seq",
+        "unix_micros(cast(o_orderdate as timestamp)) * 1000 as source_time_ns", "true as valid", "payload")
+    return decode.echo(orders, "/orders/F", ORDER, 100)
+
+
 # --- recording files: one per recording and week, messages in arrival order ------------------------------------
 
 _WEEK = 7 * 86_400 * 1_000_000_000

@@ -9,7 +9,7 @@ import pytest
 from tests.support.encode import encode, encode_column
 from tidewire.functions.wire import Array, Enum, Primitive, Sequence, Text, Union, from_tables, struct
 from tidewire.operators.decode import (BAD_HEADER, MALFORMED, TOO_SHORT, UNSUPPORTED, decode, decode_all, decode_batch,
-                                       decode_tagged)
+                                       decode_tagged, echo)
 
 F64, BYTE = Primitive("float64"), Primitive("byte")
 VECTOR = struct(x="float64", y="float64", z="float64")
@@ -144,6 +144,17 @@ def test_decode_by_type(spark):
     assert out["A"][1].count() == out["B"][1].count() == 0
 
 
+def test_echo(spark):
+    kind = struct(b="int32", a=Text())
+    rows = [("/t", 3, 1_500_000_000, True, encode({"b": 3, "a": "x"}, kind)), ("/t", 1, -1, True, b"\0\1\0\0\1"),
+            ("/t", 2, 5, False, encode({"b": 2, "a": "y"}, kind)), ("/u", 0, 5, True, encode({"b": 9, "a": "z"}, kind)),
+            ("/t", 4, 7, True, encode({"b": 4, "a": "w"}, kind))]
+    df = spark.createDataFrame(rows, "topic string, arrival_seq bigint, source_time_ns bigint, valid boolean, payload binary")
+    assert [tuple(r) for r in echo(df, "/t", kind, 2).collect()] == [
+        (1, "-1.999999999", None, MALFORMED), (3, "1.500000000", '{"a":"x","b":3}', None)]
+    assert echo(df, "/t", kind).count() == 3
+
+
 def test_types_out_of_tables(spark):
     members = spark.createDataFrame([
         ("Top", 0, "id", "int32", None, None, None), ("Top", 1, "pose", "array", "float64", [2, 3], None),

@@ -15,7 +15,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewire.functions.filters import topic_filter
+from tidewire.functions.render import render_json
+from tidewire.functions.scalars import sec_nsec
 from tidewire.functions.wire import PRIMITIVES, Array, Enum, Primitive, Sequence, Struct, Text, Union, WireType
+from tidewire.operators.ordering import first_n
 
 # Second header byte -> (big endian, widest alignment, structs carry their size).
 LAYOUTS = {
@@ -252,6 +256,18 @@ def decode(df: DataFrame, kind: Struct, payload: str = "payload") -> tuple[DataF
     return good, tagged.where(F.col("error").isNotNull()).drop("decoded")
 
 
+def echo(msgs: DataFrame, topic: str, kind: Struct, n: int = 0) -> DataFrame:
+    """The first ``n`` valid messages of a topic (0 = all) with their source time and their value as JSON; a message
+    that cannot be decoded keeps its row, with the reason."""
+    own = msgs.where(topic_filter([topic]) & F.col("valid")).select("arrival_seq", "source_time_ns", "payload")
+    tagged = decode_tagged(first_n(own, n), kind)
+    value = tagged.select("decoded.*")
+    members = {name: F.col(f"decoded.{name}") for name in value.columns}
+    lifted = tagged.withColumns(members)
+    text = F.when(F.col("error").isNull(), render_json(lifted, value.columns))
+    return lifted.select("arrival_seq", sec_nsec("source_time_ns").alias("stamp"), text.alias("json"), "error")
+
+
 def decode_all(df: DataFrame, catalog: dict[str, Struct], type_column: str = "type_name",
                payload: str = "payload") -> dict[str, tuple[DataFrame, DataFrame]]:
     """Decodes a table of mixed types: one pair of outputs per type of the catalog."""
