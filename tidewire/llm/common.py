@@ -35,3 +35,10 @@ def widened(df: DataFrame, **columns: Column) -> DataFrame:
     taken = {name.lower() for name in columns}
     return df.select(*[df[name] for name in df.columns if name.lower() not in taken],
                      *[column.alias(name) for name, column in columns.items()])
+
+
+def tokenizer_path(name: str) -> str:
+    """Place of an installed public tokenizer file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import quality, simhash, topk, warc
-from tidewire.llm.common import table
+from tidewire.llm import bpe, quality, simhash, topk, warc
+from tidewire.llm.common import table, tokenizer_path
 from tidewire.session import Scratch, attach, scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,10 @@ from (select *, row_number() over (partition by query_id order by score desc, ve
 @query("op9_exact_top_k", TOP_K_SQL)
 def exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op2_bpe")
+def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), decoded=True)
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
