@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, quality, simhash, topk, warc
+from tidewire.llm import bpe, quality, secrets, simhash, topk, warc
 from tidewire.llm.common import table, tokenizer_path
 from tidewire.session import Scratch, attach, scratch_path
 
@@ -119,3 +119,64 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), decoded=True)
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def _sql_kind(number: int, kind: secrets.Kind) -> str:
+    pattern = kind.pattern.replace("'", "''")
+    return f"""
+  select r, {number} as kind, unnest(range(1, len(m) + 1)) as n, unnest(m) as match, unnest(v) as value, unnest(g[:len(m)]) as gap
+  from (select r, regexp_extract_all(body, '{pattern}', 0) as m, regexp_extract_all(body, '{pattern}', {kind.value}) as v,
+               regexp_split_to_array(body, '{pattern}') as g from texts where regexp_matches(body, '{pattern}'))"""
+
+
+SECRETS_SQL = f"""
+with texts as (
+  select row_number() over () as r, doc_id, source, coalesce(text, '') as body from documents),
+found as ({' union all '.join(_sql_kind(number, kind) for number, kind in enumerate(secrets.KINDS))}),
+placed as (
+  select *, sum(length(gap) + length(match)) over (partition by r, kind order by n)::bigint as "end" from found),
+held as (
+  select r, doc_id, source, kind, "end" - length(match) as start, "end", sha256(value) as hash,
+         len(list_distinct(regexp_extract_all(value, '.', 0))) >= 6
+           and not regexp_matches(value, '(?i)example|changeme|placeholder|dummy|sample|your|xxxx|\\*\\*\\*\\*') as looks_live
+  from placed join texts using (r)
+  where length(value) >= case kind when 0 then 6 else 1 end
+    and (kind <> 4 or regexp_matches(value, '[0-9]') and regexp_matches(value, '[a-z]') and regexp_matches(value, '[A-Z]'))),
+judged as (
+  select *, case when owners > {secrets.MAX_OWNERS} then 'copied' when looks_live then 'live' else 'weak' end as status
+  from held join (select hash, count(distinct source) as owners from held group by hash) using (hash)),
+kept as (
+  select *, concat(['assign', 'access', 'hex', 'vendor', 'opaque'][kind + 1], ':', start, ':', "end") as span
+  from judged where kind < 3 or status = 'live'),
+each as (
+  select r, count(*) filter (kind = 0) as n_assign, count(*) filter (kind = 1) as n_access, count(*) filter (kind = 2) as n_hex,
+         string_agg(span, ',' order by start, kind) filter (kind < 3) as base, string_agg(span, ',' order by start, kind) as spans,
+         count(*) filter (status = 'live') as n_live, count(*) filter (status = 'copied') as n_copied
+  from kept group by r)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex,
+       sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
+       coalesce(n_live, 0) as n_live, coalesce(n_copied, 0) as n_copied
+from texts left join each using (r)"""
+
+
+@query("op4_secret_scans", SECRETS_SQL)
+def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.spans(table(spark, sf_dir, "documents"))
+    names = F.array(*[F.lit(kind.name) for kind in secrets.KINDS])
+    base = [number for number, kind in enumerate(secrets.KINDS) if kind.base]
+    spans = F.col("spans")
+
+    def joined(rows: Column) -> Column:
+        return F.array_join(F.transform(rows, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
+
+    def count(test: Callable[[Column], Column]) -> Column:
+        return F.size(F.filter(spans, test)).cast("long")
+
+    def of_kind(number: int) -> Callable[[Column], Column]:
+        return lambda s: s["kind"] == number
+
+    return found.select(
+        "doc_id", *[count(of_kind(number)).alias(f"n_{secrets.KINDS[number].name}") for number in base],
+        F.sha2(joined(F.filter(spans, lambda s: s["kind"].isin(*base))).cast("binary"), 256).alias("base_sha256"),
+        joined(spans).alias("spans"), count(lambda s: s["status"] == "live").alias("n_live"),
+        count(lambda s: s["status"] == "copied").alias("n_copied"))
