@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, quality, secrets, simhash, topk, warc
+from tidewire.llm import bpe, mixing, quality, secrets, simhash, topk, warc
 from tidewire.llm.common import table, tokenizer_path
 from tidewire.session import Scratch, attach, scratch_path
 
@@ -180,3 +180,8 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(F.filter(spans, lambda s: s["kind"].isin(*base))).cast("binary"), 256).alias("base_sha256"),
         joined(spans).alias("spans"), count(lambda s: s["status"] == "live").alias("n_live"),
         count(lambda s: s["status"] == "copied").alias("n_copied"))
+
+
+@query("op7_source_mixing")
+def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.weighed(table(spark, sf_dir, "documents"))
