@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, mixing, quality, secrets, simhash, topk, warc
+from tidewire.llm import bpe, hmm, mixing, quality, secrets, simhash, topk, warc
 from tidewire.llm.common import table, tokenizer_path
 from tidewire.session import Scratch, attach, scratch_path
 
@@ -185,3 +185,8 @@ def secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_source_mixing")
 def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.weighed(table(spark, sf_dir, "documents"))
+
+
+@query("op5_lm_scoring")
+def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.scored(table(spark, sf_dir, "documents"))
