@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, hmm, mixing, quality, secrets, simhash, topk, warc
+from tidewire.llm import bpe, hmm, langid, mixing, quality, secrets, simhash, topk, warc
 from tidewire.llm.common import table, tokenizer_path
 from tidewire.session import Scratch, attach, scratch_path
 
@@ -190,3 +190,9 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_lm_scoring")
 def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.scored(table(spark, sf_dir, "documents"))
+
+
+@query("op6_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predicted(docs, langid.trained(docs))
