@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, hmm, langid, mixing, quality, secrets, simhash, topk, warc
+from tidewire.llm import bpe, hmm, langid, mixing, pii, quality, secrets, simhash, topk, warc
 from tidewire.llm.common import table, tokenizer_path
 from tidewire.session import Scratch, attach, scratch_path
 
@@ -196,3 +196,22 @@ def lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.predicted(docs, langid.trained(docs))
+
+
+@query("op3_pii")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detected(table(spark, sf_dir, "documents"))
+    names = F.array(*[F.lit(name) for name in pii.KINDS])
+    spans = F.col("spans")
+
+    def joined(rows: Column) -> Column:
+        return F.array_join(F.transform(rows, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
+
+    def of_kind(number: int) -> Callable[[Column], Column]:
+        return lambda s: s["base"] & (s["kind"] == number)
+
+    base = F.filter(spans, lambda s: s["base"])
+    return found.select(
+        "doc_id", *[F.size(F.filter(spans, of_kind(number))).cast("long").alias(f"n_{pii.KINDS[number]}") for number in range(pii.BASE_KINDS)],
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(spans).alias("spans"),
+        F.size(F.filter(spans, lambda s: ~s["base"])).cast("long").alias("n_added"))
