@@ -77,13 +77,9 @@ def _repeat_words(ws: Column) -> Column:
     return F.when(F.size(ws) >= WINDOW, let(hashes, lambda hw: let(windows(hw), repeated))).otherwise(F.lit(0).cast("long"))
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the struct ``quality`` of counts and ratios of each whole text.
-
-    Null and empty texts have no words and ratios of 0. Rows are measured one by one, so repeated rows get the same values and
-    an empty table stays empty. An own column called ``quality`` gives way.
-    """
-    body = F.coalesce(docs[text], F.lit(""))
+def measures(text: Column) -> Column:
+    """A struct of the counts of a whole text; null and empty texts have no words."""
+    body = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
 
     def counts(ws: Column, ls: Column) -> Column:
@@ -99,7 +95,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
             F.size(F.filter(ws, lambda w: w.rlike(r"\p{L}"))).cast("long").alias("n_letter_words"),
         )
 
-    return widened(docs, quality=let(words(body), lambda ws: let(lines, lambda ls: counts(ws, ls))))
+    return let(words(body), lambda ws: let(lines, lambda ls: counts(ws, ls)))
 
 
 def _metrics(q: Column) -> dict[str, Column]:
@@ -136,11 +132,18 @@ def base_failed(q: Column) -> Column:
     return (q["n_words"] < 10) | (100 * q["n_repeat_words"] > 20 * q["n_words"])
 
 
+def passes(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """Whether a whole text keeps all rules, as one expression that measures it once; for filters."""
+    return let(measures(text), lambda q: ~base_failed(q) & (F.size(verdict(q, rules)) == 0))
+
+
 def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``quality``, ``broken`` (rules broken), ``base_failed`` and ``kept``.
+    """``docs`` with ``quality`` (counts), ``broken`` (names of rules broken), ``base_failed`` and ``kept``.
 
-    No shuffle, no group and no function outside the JVM: each row is judged alone.
+    No shuffle, no group and no function outside the JVM: each row is judged alone, so repeated rows get the same values and an
+    empty table stays empty. Null and empty texts have no words and fail. Own columns with the new names give way. To filter,
+    use ``passes``: a filter on ``kept`` would be pushed below and measure each text many times.
     """
     q = F.col("quality")
-    judged_rows = widened(measured(docs, text), base_failed=base_failed(q), broken=verdict(q, rules))
+    judged_rows = widened(widened(docs, quality=measures(docs[text])), base_failed=base_failed(q), broken=verdict(q, rules))
     return widened(judged_rows, kept=~F.col("base_failed") & (F.size("broken") == 0))
