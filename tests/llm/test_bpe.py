@@ -1,0 +1,82 @@
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+from tidewire.llm import bpe
+from tidewire.llm.common import tokenizer_path
+
+PATH = tokenizer_path("word_bpe_49k.json")
+
+
+@pytest.fixture(scope="module")
+def own():
+    return bpe.Bpe(open(PATH, encoding="utf-8").read())
+
+
+@pytest.fixture(scope="module")
+def library():
+    found = Tokenizer.from_file(PATH)
+    found.no_padding()
+    found.no_truncation()
+    return found
+
+
+def same(own, library, text):
+    ids = own.encode(text)
+    want = library.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(ids, "<u4").tolist() == want
+    assert own.decode(ids) == library.decode(want, skip_special_tokens=False)
+
+
+TEXTS = ["", "Hello  World's end", "don't WE'LL 'sit 1234", "<|endoftext|>a<|startoftext|> <|endoftext|", "ΑΣ ὈΔΥΣΣΕΎΣ Σ", "İstanbul ẞ ﬁ",
+         "é ẛ̣ 가가", "a\x1cb\x85c d　e", "Ᲊ Ɤ́ \U00016ea0", "👩‍👩‍👧 🇩🇪 ½ ² Ⅷ ٣", "\x00﻿\U0010ffff", "a" * 3000, "abé" * 900]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_texts(own, library, text):
+    same(own, library, text)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(max_size=40))
+def test_any_text(own, library, text):
+    same(own, library, text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abcdeé'sSt .,!1\n<|>", max_size=80))
+def test_near_text(own, library, text):
+    same(own, library, text)
+
+
+def test_cuts_are_certain(own):
+    """No token of the vocabulary holds a pair at which words are cut."""
+    for token in list(own.vocab)[::7]:
+        symbols = own._symbols(token[:-4], True) if token.endswith(bpe.END) and token != bpe.END else own._symbols(token, False)
+        assert len(list(own.cut(symbols))) == 1
+    assert len(list(own.cut(list("xqzq") + ["!" + bpe.END]))) > 1
+
+
+def test_pieces_and_full_caches(own, library, monkeypatch):
+    text = "the quick brown fox's 12 jumps\nover " * 200
+    monkeypatch.setattr(bpe, "PIECE", 50)
+    monkeypatch.setattr(bpe, "CACHE", 3)
+    monkeypatch.setattr(bpe, "SHORT", 2)
+    fresh = bpe.Bpe(own.spec)
+    same(fresh, library, text)
+
+
+def test_odd_rows(own, odd, none):
+    rows = bpe.encoded(odd, PATH, decoded=True).collect()
+    texts = sorted(((r.doc_id or -1, r.text or "") for r in odd.collect()))
+    assert sorted((r.doc_id or -1, own.decode(own.encode(t))) for (_, t), r in zip(texts, sorted(rows, key=lambda r: (r.doc_id or -1, r.decoded)))) == sorted((r.doc_id or -1, r.decoded) for r in rows)
+    assert all(r.n_tokens * 4 == len(r.ids) for r in rows)
+    assert bpe.encoded(none, PATH).count() == 0
+
+
+def test_decoding_alone(spark, own):
+    ids = own.encode("Some words, 42.")
+    rows = spark.createDataFrame([(1, bytearray(ids)), (2, None)], "doc_id long, ids binary")
+    assert [r.decoded for r in bpe.decoded(rows, PATH).orderBy("doc_id").collect()] == [own.decode(ids), ""]

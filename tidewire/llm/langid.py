@@ -20,7 +20,7 @@ from tidewire.llm.common import id_bucket
 
 BITS, SIZES, DIMENSIONS = 13, (1, 2, 3, 4), 16
 BUCKETS = 1 << BITS
-SAMPLE, EPOCHS, RATE, BATCH, SEED = 2000, 10, 40.0, 32, 5
+SAMPLE, EPOCHS, STEPS, RATE, BATCH, SEED = 2000, 10, 400, 40.0, 32, 5
 REJECT = 0.02
 UNKNOWN = "und"
 _PIECE = 1 << 20
@@ -45,8 +45,8 @@ def subword_counts(text: bytes) -> np.ndarray:
                 break
             value = value[:n] * np.uint32(0x01000193) ^ piece[size - 1:]
             if size in SIZES:
-                # A blank may only be the first or the last byte of a run.
-                keep = ~(blank[:n] & blank[size - 1:]) if size > 1 else ~blank
+                # A blank may only be the first or the last byte of a run, and not all of it.
+                keep = ~blank[:n] if size == 1 else ~(blank[:n] & blank[1:n + 1]) if size == 2 else np.ones(n, bool)
                 for k in range(1, size - 1):
                     keep &= ~blank[k:k + n]
                 hashed = (value + np.uint32(size)) * np.uint32(0x9E3779B1) >> np.uint32(32 - BITS)
@@ -87,7 +87,9 @@ def fit(counts: np.ndarray, labels: list[str], epochs: int = EPOCHS, rate: float
     embed = rng.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     weights = rng.normal(0, 0.1, (DIMENSIONS, len(languages))).astype(np.float32)
     bias = np.zeros(len(languages), np.float32)
-    steps, step = epochs * -(-len(used) // BATCH), 0
+    by_epoch = -(-len(used) // BATCH)
+    epochs = max(epochs, -(-STEPS // by_epoch))  # a small sample is passed over more often
+    steps, step = epochs * by_epoch, 0
     for _ in range(epochs):
         rng.shuffle(used)
         for at in range(0, len(used), BATCH):

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import widened, words
+from tidewire.llm.common import words
 from tidewire.session import Scratch
 
 MARGINS = ("source", "lang", "topic")
@@ -48,11 +48,6 @@ def _tokens(text: Column) -> Column:
     return F.greatest(F.size(words(text)), F.lit(1)).cast("long")
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``topic_`` and ``tokens_`` (words, one at least) of each whole text."""
-    return widened(docs, topic_=topic_of(docs[text]), tokens_=_tokens(docs[text]))
-
-
 def _marked(value: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), value.cast("string")), F.lit("null"))
 
@@ -125,7 +120,7 @@ def weighed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
     scratch = Scratch(docs.sparkSession, "mixing")
     rows = docs.select(docs[key].alias("doc_id"), docs[source].alias("source"), docs[lang].alias("lang"), topic_of(docs[text]).alias("topic"),
                        _tokens(docs[text]).alias("tokens_"), draw(docs[key], docs[text], seed).alias("draw"))
-    found = chances(scratch.keep(rows), scratch, dict(zip(MARGINS, ("source", "lang", "topic"))), targets, share)
+    found = chances(scratch.keep(rows), scratch, {margin: margin for margin in MARGINS}, targets, share)
     return found.select("doc_id", "source", "lang", "topic", F.col("tokens_").alias("n_tokens"), F.col("p_").alias("p"),
                         (F.col("draw") < F.col("p_")).alias("kept"))
 
@@ -133,6 +128,7 @@ def weighed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
 def sampled(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang",
             targets: dict[str, Target] = TARGETS, share: float = SHARE, seed: int = SEED) -> DataFrame:
     """The rows of ``docs`` that are drawn, with their columns."""
-    rows = measured(docs, text)
-    found = chances(rows, Scratch(docs.sparkSession, "mixing"), dict(zip(MARGINS, (source, lang, "topic_"))), targets, share)
-    return found.where(draw(F.col(key), F.col(text), seed) < F.col("p_")).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), docs[source].alias("source"), docs[lang].alias("lang"), topic_of(docs[text]).alias("topic"),
+                       _tokens(docs[text]).alias("tokens_"), draw(docs[key], docs[text], seed).alias("draw"))
+    found = chances(rows, Scratch(docs.sparkSession, "mixing"), {margin: margin for margin in MARGINS}, targets, share)
+    return found.where(F.col("draw") < F.col("p_")).select("row.*")

@@ -142,11 +142,11 @@ def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: Col
     # Overlapping spans are one: only the first of them ends the text kept before.
     pieces = F.array_sort(F.collect_list(F.when(F.col("start") >= F.col("reached"), F.struct("start", "reached"))))
     cuts = scratch.keep(live.groupBy(*_ROW).agg(pieces.alias("pieces"), F.max("end").alias("last")))
-    names = docs.columns
-    rows = docs.withColumns({"digest_": F.xxhash64(F.coalesce(docs[text], F.lit(""))), "owner_": owner.cast("string")})
-    joined = rows.join(cuts, rows[key].eqNullSafe(cuts["doc_id"]) & (rows["digest_"] == cuts["digest"])
-                       & rows["owner_"].eqNullSafe(cuts["owner"]), "left")
-    body = rows[text]
+    rows = docs.select(F.struct(*docs.columns).alias("row"), docs[key].alias("key"), docs[text].alias("text"),
+                       F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("row_digest"), owner.cast("string").alias("row_owner"))
+    joined = rows.join(cuts, rows["key"].eqNullSafe(cuts["doc_id"]) & (rows["row_digest"] == cuts["digest"])
+                       & rows["row_owner"].eqNullSafe(cuts["owner"]), "left")
+    body = rows["text"]
     kept = F.array_join(F.transform("pieces", lambda p: F.concat(F.substr(body, p["reached"] + 1, p["start"] - p["reached"]), F.lit(mark))), "")
     clean = F.when(F.col("pieces").isNull(), body).otherwise(F.concat(kept, F.substr(body, F.col("last") + 1)))
-    return joined.select(*[clean.alias(name) if name == text else rows[name] for name in names])
+    return joined.select(*[clean.alias(name) if name == text else F.col("row")[name].alias(name) for name in docs.columns])
