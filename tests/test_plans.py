@@ -2,9 +2,9 @@
 
 import pytest
 
-from __spark_entry__ import queries
+import tests.support.derived  # noqa: F401  (queries over encoded inputs)
+from tidewire.plans import QUERIES
 
-QUERIES = queries()
 # these run jobs (streams, writers, loops) before they return a plan
 EAGER = {"compression", "late_data", "pause_resume", "splits_going_on", "bounded_run", "progress", "tick", "for_each_batch", "hz_live", "endpoints_live", "record_live", "split_live", "write_recording", "splits_union", "written_dims",
          "type_dependencies", "read_mcap", "summary_mcap"}

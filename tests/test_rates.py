@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from tidewire.operators import rates
+from tidewire.operators import blocks, rates
 
 SCHEMA = ("recording_id string, topic string, arrival_seq bigint, log_time_ns bigint, source_time_ns bigint, "
           "valid boolean, payload binary, payload_bytes int")
@@ -40,7 +40,7 @@ def stats(times):
 def test_vectors(spark, times, window, want):
     # a source time of 0 counts as missing, so start later
     row = rates.hz(stream(spark, [t + 10 for t in times]), window).first()
-    assert row[1:] == pytest.approx(want, abs=1e-6)
+    assert row[2:] == pytest.approx(want, abs=1e-6)
 
 
 def test_one_stamp_gives_no_row(spark):
@@ -89,7 +89,7 @@ def test_monotone_and_intervals(mixed, block_rows):
 @pytest.mark.parametrize("block_rows,window", [(1, 5), (16, 50), (100, 2), (1 << 20, 100), (33, 5000)])
 def test_hz(mixed, block_rows, window):
     rows, df = mixed
-    got = {r.topic: tuple(r)[1:] for r in rates.hz(df, window, block_rows).collect()}
+    got = {r.topic: tuple(r)[2:] for r in rates.hz(df, window, block_rows).collect()}
     for topic, kept in expected(rows).items():
         assert got[topic] == pytest.approx(stats([t for _, _, t in kept[-window:]]), rel=1e-9, abs=1e-9)
 
@@ -97,7 +97,7 @@ def test_hz(mixed, block_rows, window):
 @pytest.mark.parametrize("block_rows,tile_rows,window", [(64, 10, 10), (500, 37, 20), (1 << 20, 1 << 17, 100), (9, 5, 2)])
 def test_rolling(mixed, block_rows, tile_rows, window):
     rows, df = mixed
-    got = {(r.topic, r.arrival_seq): tuple(r)[3:] for r in rates.rolling_hz(df, window, block_rows, tile_rows).collect()}
+    got = {(r.topic, r.arrival_seq): tuple(r)[4:] for r in rates.rolling_hz(df, window, block_rows, tile_rows).collect()}
     want = {}
     for topic, kept in expected(rows).items():
         for i in range(1, len(kept)):
@@ -110,7 +110,7 @@ def test_rolling(mixed, block_rows, tile_rows, window):
 def test_reports(mixed):
     rows, df = mixed
     every = 30 * NS
-    got = {(r.topic, r.tick): tuple(r)[2:] for r in rates.hz_reports(df, every, 10, 64, 16).collect()}
+    got = {(r.topic, r.tick): tuple(r)[3:] for r in rates.hz_reports(df, every, 10, 64, 16).collect()}
     want = {}
     for topic, kept in expected(rows).items():
         for i in range(1, len(kept)):
@@ -131,3 +131,33 @@ def test_last_n(mixed):
     rows, df = mixed
     got = rates.last_n(df, 5).groupBy("topic").count().collect()
     assert {r.topic: r["count"] for r in got} == {"/hot": 5, "/cold": 5}
+
+
+def numbered(name, step, rate, rows, first=0):
+    return [(name, "/t", first + step * i, round((1 + i / rate) * NS), round((1 + i / rate) * NS), True, b"x", 5) for i in range(rows)]
+
+
+def test_recordings_numbered_from_zero_stay_apart(spark):
+    df = spark.createDataFrame(numbered("a", 1, 1.0, 50) + numbered("b", 1, 0.1, 50) + numbered(None, 1, 5.0, 9), SCHEMA)
+    got = {r.recording_id: (round(r.avg_hz, 6), r["window"]) for r in rates.hz(df, 20, 8).collect()}
+    assert got == {"a": (1.0, 20), "b": (0.1, 20), None: (5.0, 9)}
+    assert rates.rolling_hz(df, 20, 8, 16).groupBy("recording_id").count().collect().__len__() == 3
+    one = rates.hz(df, 20, 8, keys=("topic",))
+    assert one.columns[0] == "topic" and one.count() == 1
+
+
+@pytest.mark.parametrize("step", [1, 1000, 7_000_000_001])
+def test_blocks_hold_rows_whatever_the_sequence_counts(spark, step):
+    rows = numbered("a", step, 1.0, 400, first=10**12) + numbered("b", step * 3, 1.0, 40) + [("c", "/once", 5, NS, NS, True, b"x", 5)]
+    df = rates.stamps(spark.createDataFrame(rows, SCHEMA))
+    width = blocks.block_width(df, rates.STREAM, "arrival_seq", 16)
+    sizes = blocks.with_block(df, "arrival_seq", width).groupBy(*rates.STREAM, blocks.BLOCK).count().collect()
+    assert max(r["count"] for r in sizes) <= 17 and len([r for r in sizes if r.recording_id == "a"]) <= 27
+    assert len([r for r in sizes if r.recording_id == "b"]) <= 14
+    whole = spark.createDataFrame(rows, SCHEMA)
+    assert {r.recording_id: round(r.avg_hz, 6) for r in rates.hz(whole, 30, 16).collect()} == {"a": 1.0, "b": 1.0}
+
+
+def test_no_rows(spark):
+    assert rates.hz(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert rates.rolling_hz(spark.createDataFrame([], SCHEMA)).count() == 0

@@ -57,14 +57,19 @@ def test_time_and_split_filters_reach_the_scan(spark, tmp_path):
     assert "payload" not in plan.split("ReadSchema")[1]
 
 
-def test_recording_stats_counts_writers_and_topics_apart(spark):
+def test_recording_stats_see_what_a_recorder_sees(spark):
+    """System topics, topics the filter drops, readers and topics nobody announced do not count."""
     from pyspark.sql import functions as F
-    ends = spark.createDataFrame([("g1", "/a", True, True, True), ("g2", "/a", True, True, True), ("g1", "/a", True, True, True),
-                                  ("g3", "/b", False, True, True), ("g4", "/c", True, True, False)],
+    ends = spark.createDataFrame([("g1", "/t0", True, True, True), ("g2", "/t0", True, True, True), ("g1", "/t0", True, True, True),
+                                  ("g3", "/t2", False, True, True), ("g4", "/t1", True, True, True), ("g5", "DCPSTopic", True, True, True),
+                                  ("g6", "rt/t0", True, True, True), ("g7", "/t0", True, True, False), ("g8", "", True, True, True)],
                                  "guid string, topic string, is_writer boolean, valid boolean, alive boolean")
-    row = rec.recording_stats(messages(spark).withColumn("valid", F.col("arrival_seq") != 5), ends, F.col("topic") == "/t0").first()
-    assert row.asDict() == {"writers_discovered": 2, "topics_discovered": 1, "messages_received": 199,
+    msgs = messages(spark).withColumn("valid", F.col("arrival_seq") != 5)
+    row = rec.recording_stats(msgs, ends, F.col("topic") != "/t1").first()
+    assert row.asDict() == {"writers_discovered": 2, "topics_discovered": 1, "messages_received": 67,
                             "messages_recorded": 67, "bytes_recorded": 67 * 14, "duration_seconds": 198.0}
+    nothing = rec.recording_stats(msgs, ends, F.lit(False)).first()
+    assert (nothing.writers_discovered, nothing.messages_received, nothing.bytes_recorded) == (0, 0, None)
 
 
 def test_resolve(spark):

@@ -16,7 +16,14 @@ def test_closure_takes_the_longest_chain(spark):
 
 def test_a_circle_is_an_error(spark):
     with pytest.raises(ValueError, match="circle"):
-        types.type_closure(members(spark, [("A", "B"), ("B", "A")]), max_depth=5)
+        types.type_closure(members(spark, [("A", "B"), ("B", "C"), ("C", "A"), ("X", "A")]))
+    with pytest.raises(ValueError, match="circle"):
+        types.type_closure(members(spark, [("A", "A")]))
+
+
+def test_depth_has_no_limit(spark):
+    got = {(r.type_name, r.needs): r.depth for r in types.type_closure(members(spark, [(f"T{i}", f"T{i + 1}") for i in range(100)])).collect()}
+    assert got["T0", "T100"] == 100 and got["T40", "T77"] == 37 and len(got) == 5050
 
 
 def test_no_references(spark):

@@ -68,11 +68,12 @@ def alive_only(df: DataFrame) -> DataFrame:
     return df.where("valid and alive" if "valid" in df.columns else "alive")
 
 
-def time_range(df: DataFrame, start: int = 0, end: int = 2**63 - 1, column: str = "log_time_ns") -> DataFrame:
-    """Half-open range ``start <= time < end``."""
-    if start > end:
+def time_range(df: DataFrame, start: int = 0, end: int | None = None, column: str = "log_time_ns") -> DataFrame:
+    """Half-open range ``start <= time < end``; without ``end`` up to the last representable time."""
+    if end is not None and start > end:
         raise ValueError("start time must be before end time")
-    return df.where((F.col(column) >= start) & (F.col(column) < end))
+    late = F.col(column) >= start
+    return df.where(late if end is None else late & (F.col(column) < end))
 
 
 def writers(df: DataFrame) -> DataFrame:

@@ -2,13 +2,17 @@
 
 A window partitioned by topic (or recording) alone would send a hot topic to a single task. Here rows are
 grouped by (key, block of the arrival order): a small per-block summary is scanned in order, joined back, and
-the row-level window runs inside the block only. A block holds at most ``block_rows`` rows because the arrival
-sequence is unique.
+the row-level window runs inside the block only.
+
+Blocks are as wide as the arrival order is thin (:func:`block_width`): whether the sequence counts rows, time or bytes, and
+whether it starts again in every recording, a block of a large key holds about ``block_rows`` rows, so its summaries stay few and
+its windows small.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -20,8 +24,19 @@ BLOCK_ROWS = 1 << 18
 BLOCK = "_block"
 
 
-def with_block(df: DataFrame, order: str, block_rows: int) -> DataFrame:
-    return df.withColumn(BLOCK, floor_div(order, block_rows))
+def block_width(df: DataFrame, keys: Sequence[str], order: str, block_rows: int) -> int:
+    """Width of a block in steps of ``order``: ``block_rows`` times the mean gap of the densest key that fills a block.
+
+    One job over the keys and the order alone, counted in every task first. Keys of fewer rows fit into any block.
+    """
+    per_key = df.groupBy(*keys).agg(F.count(order).alias("rows"), (F.max(order) - F.min(order) + 1).alias("extent"))
+    gap = F.min(F.when(F.col("rows") >= block_rows, F.col("extent") / F.col("rows")))
+    row = per_key.agg(gap.alias("gap"), F.max("extent").alias("extent")).first()
+    return max(1, int(row["gap"] * block_rows) if row["gap"] is not None else int(row["extent"] or 1))
+
+
+def with_block(df: DataFrame, order: str, width: int) -> DataFrame:
+    return df.withColumn(BLOCK, floor_div(order, width))
 
 
 def block_carry(blocked: DataFrame, keys: Sequence[str], summary: Column, combine) -> DataFrame:
@@ -33,3 +48,10 @@ def block_carry(blocked: DataFrame, keys: Sequence[str], summary: Column, combin
 
 def inside_block(keys: Sequence[str], order: str):
     return W.partitionBy(*keys, BLOCK).orderBy(order)
+
+
+def with_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of the blocks in ``carry``, each with its ``_carry``; null keys are a key like any other."""
+    right = carry.select(*[F.col(name).alias(f"_of_{name}") for name in (*keys, BLOCK)], "_carry")
+    same = reduce(lambda a, b: a & b, [rows[k].eqNullSafe(right[f"_of_{k}"]) for k in keys], rows[BLOCK] == right[f"_of_{BLOCK}"])
+    return rows.join(right, same).select(*[rows[name] for name in rows.columns], "_carry")

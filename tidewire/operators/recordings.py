@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.functions.scalars import NANOS, floor_div
+from tidewire.operators.discovery import discovered
 from tidewire.operators.segments import SEGMENT_BLOCK_ROWS, greedy_segments
 
 # Default chunk size, and the bytes a stored message takes besides its payload
@@ -140,22 +141,24 @@ def channel_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("recording_id", "split", "topic").agg(F.count("*").alias("messages"))
 
 
-def recording_stats(msgs: DataFrame, endpoints: DataFrame, recorded: Column) -> DataFrame:
-    """One row of recorder counters. ``recorded`` tells which valid messages the recording kept.
+def subscribed(endpoints: DataFrame, wanted: Column) -> DataFrame:
+    """Announcements a recorder acts on: live, valid writers of user topics that the topic filter lets through."""
+    return discovered(endpoints).where("is_writer").where(wanted)
 
-    Writers and topics discovered are separate counts.
+
+def recording_stats(msgs: DataFrame, endpoints: DataFrame, wanted: Column) -> DataFrame:
+    """One row of recorder counters. ``wanted`` is the topic filter, on column ``topic``.
+
+    A recorder learns of writers on user topics that pass its filter and reads those topics alone, so nothing else is
+    discovered, received or recorded. Writers and topics discovered are separate counts.
     """
-    kept = F.col("valid") & recorded
-    traffic = msgs.agg(
-        F.count_if("valid").alias("messages_received"),
-        F.count_if(kept).alias("messages_recorded"),
-        F.sum(F.when(kept, F.col("payload_bytes"))).alias("bytes_recorded"),
-        ((F.max(F.when(kept, F.col("log_time_ns"))) - F.min(F.when(kept, F.col("log_time_ns")))) / NANOS)
-        .alias("duration_seconds"))
-    found = (endpoints.where("valid and alive and is_writer").select("guid", "topic").distinct()
-             .agg(F.countDistinct("guid").alias("writers_discovered"),
-                  F.countDistinct("topic").alias("topics_discovered")))
+    found = subscribed(endpoints, wanted).select("guid", "topic").distinct()
+    known = found.agg(F.countDistinct("guid").alias("writers_discovered"), F.countDistinct("topic").alias("topics_discovered"))
+    read = msgs.where("valid").join(found.select("topic").distinct(), "topic", "left_semi")
+    traffic = read.agg(
+        F.count("*").alias("messages_received"), F.count("*").alias("messages_recorded"), F.sum("payload_bytes").alias("bytes_recorded"),
+        ((F.max("log_time_ns") - F.min("log_time_ns")) / NANOS).alias("duration_seconds"))
     # two single rows put side by side
-    names = found.columns + traffic.columns
-    both = found.unionByName(traffic, allowMissingColumns=True)
+    names = known.columns + traffic.columns
+    both = known.unionByName(traffic, allowMissingColumns=True)
     return both.agg(*[F.max(name).alias(name) for name in names])

@@ -5,31 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.session import stored
+from tidewire.session import Scratch
 
-MAX_DEPTH = 64
 
-
-def type_closure(members: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def type_closure(members: DataFrame) -> DataFrame:
     """Every type with every type it needs, at the length of the longest chain between them.
 
-    Ordering by descending ``depth`` lists dependencies first. Each round joins the newest pairs with the direct
-    references and keeps distinct pairs only, so a type reached over many paths counts once; the pairs of
-    a round are stored, which cuts the lineage of the loop.
+    Ordering by descending ``depth`` lists dependencies first. Each round joins the pairs known so far with themselves and keeps
+    the greatest depth of each, so chains of n types take about log n rounds however deep they nest. One table is
+    stored per round and the one before is deleted. A type that needs itself, over whatever way, is an error.
     """
-    direct = stored(members.where("ref_type is not null").select(
-        F.col("type_name").alias("_from"), F.col("ref_type").alias("_to")).distinct(), "types")
-    frontier = direct.select(F.col("_from").alias("type_name"), F.col("_to").alias("needs"))
-    rounds = frontier.withColumn("depth", F.lit(1))
-    for depth in range(2, max_depth + 1):
-        frontier = stored(frontier.join(direct, F.col("needs") == F.col("_from"))
-                          .select("type_name", F.col("_to").alias("needs")).distinct(), "types")
-        if frontier.isEmpty():
-            break
-        rounds = rounds.unionByName(frontier.withColumn("depth", F.lit(depth)))
-    else:
-        raise ValueError(f"types nest deeper than {max_depth}, or in a circle")
-    return rounds.groupBy("type_name", "needs").agg(F.max("depth").alias("depth"))
+    scratch = Scratch(members.sparkSession, "types")
+    known = scratch.keep(members.where("type_name is not null and ref_type is not null").select(
+        "type_name", F.col("ref_type").alias("needs"), F.lit(1).alias("depth")).distinct())
+    size = None
+    while True:
+        pairs, depths, circles = known.agg(F.count("*"), F.sum("depth"), F.count_if(F.col("type_name") == F.col("needs"))).first()
+        if circles:
+            raise ValueError("types nest in a circle")
+        if size == (pairs, depths):
+            return known
+        size = pairs, depths
+        further = known.select(F.col("type_name").alias("needs"), F.col("needs").alias("_last"), F.col("depth").alias("_more"))
+        longer = known.join(further, "needs").select("type_name", F.col("_last").alias("needs"), (F.col("depth") + F.col("_more")).alias("depth"))
+        grown = scratch.keep(known.unionByName(longer).groupBy("type_name", "needs").agg(F.max("depth").alias("depth")))
+        scratch.drop(known)
+        known = grown
 
 
 def schema_catalog(members: DataFrame, used: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewire.functions import filters
+from tidewire.operators.recordings import subscribed
 from tidewire.plans.discovery import LIVE_SQL
 from tidewire.plans.rates import _BLOCK, _WINDOW, HZ_SQL, rounded
 from tidewire.plans.recordings import _LIMITS, _ROUND_BLOCK, _VALID_STEPS
@@ -116,19 +117,20 @@ def bounded_run(spark, sf):
 
 
 @query("progress", """
-select count(*) as received, count(*) filter (topic like '/signup/%') as recorded,
-       (sum(payload_bytes) filter (topic like '/signup/%'))::bigint as bytes
-from messages where valid""")
+with writers as (
+  select topic from endpoint_events
+  where valid and alive and is_writer and topic <> '' and not starts_with(topic, 'DCPS') and not starts_with(topic, 'rt/'))
+select count(*) as received, count(*) filter (topic like '/view/%') as recorded,
+       (sum(payload_bytes) filter (topic like '/view/%'))::bigint as bytes
+from messages where valid and topic in (select topic from writers)""")
 def progress(spark, sf):
-    keep = filters.topic_filter(["/signup/.*"], regex=True)
-    counted = live.progress(views.messages_from(_events(spark, sf)), keep)
-    run = live.record_stream(counted, scratch_path(spark, "progress"), keep, trigger=live.ONCE).start()
-    run.awaitTermination()
-    totals = live.Totals()
-    for batch in run.recentProgress:
-        totals.add(batch)
-    return spark.createDataFrame([(totals.received, totals.recorded, totals.bytes)],
-                                 "received bigint, recorded bigint, bytes bigint")
+    """Counted over three runs of one recording, each going on where the last one stopped."""
+    path = scratch_path(spark, "progress")
+    known = subscribed(views.endpoint_events(spark, sf), F.lit(True))
+    keep = filters.topic_filter(["/view/.*"], regex=True)
+    for events in _arrivals(spark, sf):
+        _run(live.progress_stream(views.messages_from(events), path, known, keep, live.ONCE))
+    return live.totals(spark, path)
 
 
 @query("tick", HZ_SQL)

@@ -18,7 +18,7 @@ VIEWS = {
     "messages": f"""
 select concat('rec_', event_id % 3) as recording_id,
        concat('/', event_type, '/', user_id % 4) as topic,
-       event_id as arrival_seq,
+       event_id // 3 as arrival_seq,
        epoch_us(ts) * 1000 as log_time_ns,
        case when event_id % 11 = 0 then 0
             when event_id % 7 = 0 then epoch_us(ts) * 1000 - 7200000000000
@@ -62,12 +62,12 @@ from part""",
 # Steps shared by several queries; each may use the ones above it.
 STEPS = {
     "stamps": """
-select topic, arrival_seq, log_time_ns,
+select recording_id, topic, arrival_seq, log_time_ns,
        case when source_time_ns > 0 then source_time_ns else log_time_ns end as t
 from messages where valid""",
     "kept": """
 select * from (
-  select *, t - max(t) over (partition by topic order by arrival_seq
+  select *, t - max(t) over (partition by recording_id, topic order by arrival_seq
                              rows between unbounded preceding and 1 preceding) as dt from stamps)
 where dt is null or dt > 0""",
     "discovered": """

@@ -22,7 +22,7 @@ def messages_from(events: DataFrame) -> DataFrame:
     return events.selectExpr(
         "concat('rec_', event_id % 3) as recording_id",
         "concat('/', event_type, '/', user_id % 4) as topic",
-        "event_id as arrival_seq",
+        "event_id div 3 as arrival_seq",
         f"{received} as log_time_ns",
         f"""case when event_id % 11 = 0 then 0
                  when event_id % 7 = 0 then {received} - 7200000000000

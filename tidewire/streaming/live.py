@@ -13,11 +13,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
 from tidewire.functions.filters import not_system
-from tidewire.operators.rates import DEFAULT_WINDOW, LATEST_BLOCK_ROWS, last_n, latest_stamps, stamps, summarize, window_size
+from tidewire.operators.rates import DEFAULT_WINDOW, LATEST_BLOCK_ROWS, STREAM, last_n, latest_stamps, stamps, summarize, window_size
 from tidewire.operators.recordings import Limits, poll_round, retain_splits, split_rounds
 from tidewire.operators.segments import SEGMENT_BLOCK_ROWS
 
@@ -68,19 +68,21 @@ def _write_batch(df: DataFrame, path: str, table: str, batch_id: int, *partition
 
 def hz_stream(msgs: DataFrame, path: str, window: int = DEFAULT_WINDOW, block_rows: int = LATEST_BLOCK_ROWS,
               trigger: dict | None = None) -> DataStreamWriter:
-    """Rate statistics of every topic after each micro-batch, under ``path/reports``.
+    """Rate statistics of every topic of every recording after each micro-batch, under ``path/reports``.
 
-    State is the last ``window`` counted timestamps per topic. Their maximum is the mark late and duplicate times
+    State is the last ``window`` counted timestamps per stream. Their maximum is the mark late and duplicate times
     stay under, whatever micro-batch they come in.
     """
-    state = _State(path, "topic string, t bigint")
+    state = _State(path, "recording_id string, topic string, t bigint")
     window = window_size(window)
 
     def step(batch: DataFrame, batch_id: int) -> None:
         held = state.before(batch.sparkSession, batch_id)
-        marks = held.groupBy("topic").agg(F.max("t").alias("_mark"))
-        fresh = (stamps(batch).join(marks, "topic", "left")
-                 .where(F.col("_mark").isNull() | (F.col("t") > F.col("_mark"))).drop("_mark"))
+        marks = held.groupBy(*STREAM).agg(F.max("t").alias("_mark"))
+        fresh = stamps(batch)
+        known = fresh["recording_id"].eqNullSafe(marks["recording_id"]) & fresh["topic"].eqNullSafe(marks["topic"])
+        fresh = (fresh.join(marks, known, "left").where(F.col("_mark").isNull() | (F.col("t") > F.col("_mark")))
+                 .select(*[fresh[name] for name in fresh.columns]))
         latest = last_n(held.unionByName(latest_stamps(fresh, window, block_rows)), window, order="t")
         _write_batch(summarize(state.after(latest, batch_id)), path, "reports", batch_id)
 
@@ -180,37 +182,30 @@ def recorded(spark: SparkSession, path: str, max_splits: int = 0) -> DataFrame:
 # --- running ---------------------------------------------------------------------------------------------------
 
 
-def progress(msgs: DataFrame, keep: Column | None = None, name: str = "progress") -> DataFrame:
-    """Counts messages on their way through: received, recorded and bytes, per micro-batch."""
-    kept = F.col("valid") & (F.lit(True) if keep is None else keep)
-    return msgs.observe(name, F.count_if("valid").alias("received"), F.count_if(kept).alias("recorded"),
-                        F.coalesce(F.sum(F.when(kept, F.col("payload_bytes"))), F.lit(0)).alias("bytes"))
+def progress_stream(msgs: DataFrame, path: str, subscribed: DataFrame, keep: Column | None = None,
+                    trigger: dict | None = None) -> DataStreamWriter:
+    """Records like :func:`record_stream` and counts what goes through: one row per micro-batch under ``path/progress``.
 
+    Received are valid messages on ``subscribed`` topics (a table with column ``topic``), recorded those of them that ``keep``
+    lets through. A row belongs to its micro-batch and replaces the one of a failed attempt, so the sums hold over restarts and
+    over any number of micro-batches.
+    """
+    topics = subscribed.select("topic").distinct()
+    kept = F.lit(True) if keep is None else keep
 
-class Totals(StreamingQueryListener):
-    """Running totals of :func:`progress`; add it with ``spark.streams.addListener``."""
-
-    def __init__(self, name: str = "progress"):
-        self.name, self.received, self.recorded, self.bytes = name, 0, 0, 0
-
-    def onQueryStarted(self, event):
-        pass
-
-    def onQueryProgress(self, event):
-        self.add(event.progress)
+    def step(batch: DataFrame, batch_id: int) -> None:
+        read = batch.where("valid").join(topics, "topic", "left_semi")
+        _write_batch(read.where(kept), path, "messages", batch_id, "recording_id")
+        counts = read.agg(F.count("*").alias("received"), F.count_if(kept).alias("recorded"),
+                          F.coalesce(F.sum(F.when(kept, F.col("payload_bytes"))), F.lit(0)).alias("bytes"))
+        _write_batch(counts, path, "progress", batch_id)
 
-    def add(self, progress) -> None:
-        row = progress.observedMetrics.get(self.name)
-        if row:
-            self.received += row["received"]
-            self.recorded += row["recorded"]
-            self.bytes += row["bytes"]
+    return on_batch(msgs, path, step, trigger)
 
-    def onQueryIdle(self, event):
-        pass
 
-    def onQueryTerminated(self, event):
-        pass
+def totals(spark: SparkSession, path: str) -> DataFrame:
+    """One row: everything :func:`progress_stream` has counted so far."""
+    return spark.read.parquet(f"{path}/progress").agg(*[F.sum(name).alias(name) for name in ("received", "recorded", "bytes")])
 
 
 def run_for(query: StreamingQuery, seconds: float, stop_when: Callable[[], bool] = lambda: False,
