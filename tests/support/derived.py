@@ -17,12 +17,13 @@ from tests.support.recording_encoder import encode_file
 from tidewire.functions.scalars import floor_div
 from tidewire.functions.wire import Text
 from tidewire.functions.wire import struct as wire_struct
-from tidewire.operators import decode
+from tidewire.operators import decode, rates
+from tidewire.plans.rates import rounded
 from tidewire.plans.recordings import typed_messages
 from tidewire.plans.registry import query
 from tidewire.session import scratch_path, ship
 from tidewire.sources import views
-from tidewire.sources.recording_files import read_recordings
+from tidewire.sources.recording_files import file_channels, file_messages, file_schemas, read_recordings
 
 LINE = wire_struct(l_orderkey="int64", l_linenumber="int32", l_quantity="float64", l_returnflag=Text(),
                    l_extendedprice="float64")
@@ -176,3 +177,41 @@ def summary_mcap(spark, sf):
             .join(chunks, "file"))
 
 
+def _file_name(column: str = "recording_id"):
+    return F.regexp_extract(column, r"([^/]+)\.mcap$", 1)
+
+
+@query("hz_from_files", """
+select file as recording_id, topic, round(1 / avg(dt), 9) as avg_hz, round(1 / max(dt), 9) as min_hz, round(1 / min(dt), 9) as max_hz,
+       round(stddev_pop(dt) / (avg(dt) * avg(dt)), 9) as stddev_hz, count(*) as window
+from (select file, topic, (t - lag(t) over (partition by file, topic order by arrival_seq)) / 1e9 as dt from newest)
+group by file, topic having count(*) >= 2""", f"""
+own as (select concat(recording_id, '_', log_time_ns // {_WEEK}) as file, topic, arrival_seq, log_time_ns as t from messages),
+counted as (
+  select * from (select *, t - max(t) over (partition by file, topic order by arrival_seq
+                                            rows between unbounded preceding and 1 preceding) as step from own)
+  where step is null or step > 0),
+newest as (select * from counted qualify row_number() over (partition by file, topic order by arrival_seq desc) <= 20)""")
+def hz_from_files(spark, sf):
+    """Rates measured on recording files, every file a recording of its own."""
+    msgs = file_messages(spark, _write_files(spark, sf), payload="false")
+    return rounded(rates.hz(msgs, 20, 50)).withColumn("recording_id", _file_name())
+
+
+@query("messages_from_files", f"""
+select concat(recording_id, '_', log_time_ns // {_WEEK}) as recording_id, topic, type_name, log_time_ns, octet_length(payload) as payload_bytes,
+       row_number() over (partition by recording_id, log_time_ns // {_WEEK} order by arrival_seq) - 1 as arrival_seq
+from typed_messages""")
+def messages_from_files(spark, sf):
+    """Files in the form of the message table, numbered by their own order."""
+    return file_messages(spark, _write_files(spark, sf)).select(
+        _file_name().alias("recording_id"), "topic", "type_name", "log_time_ns", "payload_bytes", "arrival_seq")
+
+
+@query("dims_from_files", f"""
+select distinct concat(recording_id, '_', log_time_ns // {_WEEK}) as recording_id, topic, nullif(type_name, '') as name
+from typed_messages""")
+def dims_from_files(spark, sf):
+    folder = _write_files(spark, sf)
+    channels, schemas = file_channels(spark, folder), file_schemas(spark, folder).select("recording_id", "schema_id", "name")
+    return channels.join(schemas, ["recording_id", "schema_id"], "left").select(_file_name().alias("recording_id"), "topic", "name")

@@ -7,7 +7,7 @@ from tidewire.plans import QUERIES
 
 # these run jobs (streams, writers, loops) before they return a plan
 EAGER = {"compression", "late_data", "pause_resume", "splits_going_on", "bounded_run", "progress", "tick", "for_each_batch", "hz_live", "endpoints_live", "record_live", "split_live", "write_recording", "splits_union", "written_dims",
-         "type_dependencies", "read_mcap", "summary_mcap"}
+         "type_dependencies", "read_mcap", "summary_mcap", "hz_from_files", "messages_from_files", "dims_from_files"}
 
 
 def plan_of(spark, sf_dir, name):

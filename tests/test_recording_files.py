@@ -1,7 +1,7 @@
 import pytest
 
 from tests.support.recording_encoder import encode_file
-from tidewire.sources.recording_files import read_recordings
+from tidewire.sources.recording_files import file_channels, file_messages, file_schemas, read_recordings
 
 CHANNELS = {1: ("/a", "cdr", 1, {"k": "v"}), 2: ("/b", "cdr", 0, {}), 3: ("/c", "cdr", 9, {})}
 SCHEMAS = {1: ("demo::T", "omgidl", b"struct T {};")}
@@ -135,3 +135,36 @@ def test_a_cut_off_file_gives_its_whole_records(spark, folder, tmp_path):
     (tmp_path / "junk.mcap").write_bytes(b"junk" * 50)
     with pytest.raises(Exception, match="not a recording file"):
         read_recordings(spark, str(tmp_path / "junk.mcap")).count()
+
+
+def test_times_up_to_the_last_one(spark, tmp_path):
+    last = 2**63 - 1
+    rows = [(1, 0, 5, b"a"), (1, 1, last, b"b"), (1, 2, last + 9, b"c")]
+    for name, options in (("chunked", {}), ("plain", {"chunked": False})):
+        (tmp_path / f"{name}.mcap").write_bytes(encode_file(rows, CHANNELS, SCHEMAS, **options))
+        path = str(tmp_path / f"{name}.mcap")
+        assert {r.log_time_ns for r in read_recordings(spark, path).collect()} == {5, last}
+        assert [r.log_time_ns for r in read_recordings(spark, path, end=last).collect()] == [5]
+        told = read_recordings(spark, path, table="dangling").collect()
+        assert [(r.log_time_ns, r.problem) for r in told] == [(None, f"time {last + 9} does not fit a bigint")]
+
+
+def test_torn_files_are_reported(spark, tmp_path):
+    whole = encode_file(MESSAGES, CHANNELS, SCHEMAS, chunked=False, summary=False)
+    for name, data in {"whole": whole, "torn": whole[:len(whole) // 2], "short": whole[:3], "other": b"text" * 9, "tail": whole[:-4]}.items():
+        (tmp_path / f"{name}.mcap").write_bytes(data)
+    told = {r.file.rpartition("/")[2]: r for r in read_recordings(spark, str(tmp_path), table="problems").collect()}
+    assert set(told) == {"torn.mcap", "short.mcap", "other.mcap", "tail.mcap"}
+    assert "cut off" in told["torn.mcap"].problem and 0 < told["torn.mcap"].offset < len(whole) // 2
+    assert told["short.mcap"].problem == told["other.mcap"].problem == "not a recording file" and told["tail.mcap"].problem == "no closing mark"
+
+
+@pytest.mark.parametrize("name", VARIANTS)
+def test_files_as_canonical_tables(spark, folder, name):
+    path = f"{folder}/{name}.mcap"
+    got = file_messages(spark, path, rangeBytes=1500).orderBy("arrival_seq").collect()
+    want = [(CHANNELS[c][0], t, len(p)) for c, s, t, p in MESSAGES if c in (1, 2)]
+    assert [(r.topic, r.log_time_ns, r.payload_bytes) for r in got] == want and [r.arrival_seq for r in got] == list(range(len(want)))
+    assert {r.topic for r in file_channels(spark, path, summary="scan").collect()} == {"/a", "/b", "/c"}
+    assert [r.name for r in file_schemas(spark, path, summary="scan").collect()] == ["demo::T"]
+    assert "payload" not in file_messages(spark, path, payload="false").columns

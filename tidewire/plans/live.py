@@ -117,12 +117,12 @@ def bounded_run(spark, sf):
 
 
 @query("progress", """
-with writers as (
-  select topic from endpoint_events
-  where valid and alive and is_writer and topic <> '' and not starts_with(topic, 'DCPS') and not starts_with(topic, 'rt/'))
 select count(*) as received, count(*) filter (topic like '/view/%') as recorded,
        (sum(payload_bytes) filter (topic like '/view/%'))::bigint as bytes
-from messages where valid and topic in (select topic from writers)""")
+from messages where valid and topic in (select topic from writers)""", """
+writers as (
+  select topic from endpoint_events
+  where valid and alive and is_writer and topic <> '' and not starts_with(topic, 'DCPS') and not starts_with(topic, 'rt/'))""")
 def progress(spark, sf):
     """Counted over three runs of one recording, each going on where the last one stopped."""
     path = scratch_path(spark, "progress")

@@ -227,14 +227,14 @@ def channel_counts(spark, sf):
 
 
 @query("recording_stats", """
-with writers as (
-  select guid, topic from endpoint_events
-  where valid and alive and is_writer and topic <> '' and not starts_with(topic, 'DCPS') and not starts_with(topic, 'rt/')
-    and regexp_full_match(topic, '/(click|view|signup)/[0-2]'))
 select (select count(distinct guid) from writers) as writers_discovered, (select count(distinct topic) from writers) as topics_discovered,
        count(*) as messages_received, count(*) as messages_recorded, sum(payload_bytes)::bigint as bytes_recorded,
        (max(log_time_ns) - min(log_time_ns)) / 1e9 as duration_seconds
-from messages where valid and topic in (select topic from writers)""")
+from messages where valid and topic in (select topic from writers)""", """
+writers as (
+  select guid, topic from endpoint_events
+  where valid and alive and is_writer and topic <> '' and not starts_with(topic, 'DCPS') and not starts_with(topic, 'rt/')
+    and regexp_full_match(topic, '/(click|view|signup)/[0-2]'))""")
 def recording_stats(spark, sf):
     return rec.recording_stats(views.messages(spark, sf), views.endpoint_events(spark, sf),
                                filters.topic_filter(["/(click|view|signup)/[0-2]"], regex=True))

@@ -16,9 +16,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import datasource as ds
+from pyspark.sql import functions as F
+
+from tidewire.sources.files import listed, located
 
 # The file format's magic bytes, record tags and compression names.
 MAGIC = b"\x89MCAP0\r\n"
@@ -32,13 +35,14 @@ FOOTER_BYTES = TAG_BYTES + 20 + len(MAGIC)
 RANGE_BYTES = 128 << 20
 # Read-ahead grows while reads follow each other and starts small again after a jump over a chunk.
 _LOOK_AHEAD, _MAX_LOOK_AHEAD = 4 << 10, 1 << 20
-FOREVER = 2**63 - 1
+LATEST = 2**63 - 1  # the last time that a bigint holds; files have unsigned times
 
 TABLES = {
     "messages": """file string, chunk_offset bigint, offset bigint, channel_id int, topic string,
         message_encoding string, schema_id int, schema_name string, sequence bigint, log_time_ns bigint,
         publish_time_ns bigint, payload binary""",
     "dangling": "file string, chunk_offset bigint, offset bigint, channel_id int, log_time_ns bigint, problem string",
+    "problems": "file string, offset bigint, problem string",
     "schemas": "file string, schema_id int, name string, encoding string, data binary",
     "channels": """file string, channel_id int, topic string, message_encoding string, schema_id int,
         metadata map<string,string>""",
@@ -95,7 +99,7 @@ class _File:
     """Ranged reads with a window, so walking over small records does not cost a request each."""
 
     def __init__(self, path: str):
-        system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        system, inner = located(path)
         self.path = path
         self.handle = system.open_input_file(inner)
         self.size = self.handle.size()
@@ -124,6 +128,25 @@ class _File:
         return self.bytes_at(offset + TAG_BYTES, size)
 
 
+def _problems(file: _File) -> Iterator[tuple[str, int, str]]:
+    """What a reader would pass over without a word: a foreign or cut-off file, torn records, a missing end."""
+    if file.size < len(MAGIC) or file.bytes_at(0, len(MAGIC)) != MAGIC:
+        yield file.path, 0, "not a recording file"
+        return
+    at, ended = len(MAGIC), False
+    while at + TAG_BYTES <= file.size and not ended:
+        tag, size = struct.unpack("<BQ", file.bytes_at(at, TAG_BYTES))
+        if at + TAG_BYTES + size > file.size:
+            yield file.path, at, f"record {tag} of {size} bytes is cut off"
+            return
+        ended = tag == FOOTER
+        at += TAG_BYTES + size
+    if not ended:
+        yield file.path, at, "no footer" if at == file.size else f"{file.size - at} bytes are no record"
+    elif file.size - at < len(MAGIC) or file.bytes_at(at, len(MAGIC)) != MAGIC:
+        yield file.path, at, "no closing mark"
+
+
 def _inner_records(data) -> Iterator[tuple[int, int, memoryview]]:
     view, at = memoryview(data), 0
     while at + TAG_BYTES <= len(view):
@@ -230,14 +253,14 @@ def _from_scan(file: _File) -> _Summary:
     """The same facts from the data section."""
     out = _Summary(from_summary=False)
     counts: dict[int, int] = {}
-    first, last = FOREVER, 0
+    first, last = None, 0
 
     def see(tag: int, body) -> None:
         nonlocal first, last
         if tag == MESSAGE:
             channel_id, _, log_time = struct.unpack_from("<HIQ", body)
             counts[channel_id] = counts.get(channel_id, 0) + 1
-            first, last = min(first, log_time), max(last, log_time)
+            first, last = log_time if first is None else min(first, log_time), max(last, log_time)
         else:
             out.declare(tag, body)
 
@@ -256,7 +279,7 @@ def _from_scan(file: _File) -> _Summary:
         elif tag == METADATA:
             out.metadata.append((at, TAG_BYTES + size, _Fields(file.body(at, size)).text()))
     out.statistics = (sum(counts.values()), len(out.schemas), len(out.channels), len(out.attachments),
-                      len(out.metadata), len(out.chunks), first if counts else 0, last, counts)
+                      len(out.metadata), len(out.chunks), first or 0, last, counts)
     return out
 
 
@@ -272,14 +295,18 @@ class _Wanted:
     """Time range and topics, as far as filters told."""
 
     start: int = 0
-    end: int = FOREVER
+    end: int | None = None
     topics: set[str] | None = None
 
+    def time(self, first: int, last: int) -> bool:
+        """Whether some time from ``first`` to ``last`` is asked for."""
+        return last >= self.start and (self.end is None or first < self.end)
+
     def narrow_topics(self, topics) -> None:
         self.topics = set(topics) if self.topics is None else self.topics & set(topics)
 
     def chunk(self, chunk: _Chunk, channels: dict[int, tuple]) -> bool:
-        if chunk.start >= self.end or chunk.end < self.start:
+        if not self.time(chunk.start, chunk.end):
             return False
         if self.topics is None or chunk.channels is None:
             return True
@@ -338,7 +365,7 @@ class _RangeReader:
 
     def _message(self, body, offset: int, chunk_offset: int | None) -> Iterator[tuple]:
         channel_id, sequence, log_time, publish_time = struct.unpack_from("<HIQQ", body)
-        if not self.wanted.start <= log_time < self.wanted.end:
+        if not self.wanted.time(log_time, log_time):
             return
         place = (self.file.path, chunk_offset, offset, channel_id)
         before = offset if chunk_offset is None else chunk_offset
@@ -348,9 +375,11 @@ class _RangeReader:
             problem = f"missing channel {channel_id}"
         elif channel[2] and (schema := self._declared(self.summary.schemas, channel[2], before)) is None:
             problem = f"missing schema {channel[2]}"
+        if max(log_time, publish_time) > LATEST:
+            problem = f"time {max(log_time, publish_time)} does not fit a bigint"
         if self.dangling:
             if problem:
-                yield (*place, log_time, problem)
+                yield (*place, log_time if log_time <= LATEST else None, problem)
         elif not problem and (self.wanted.topics is None or channel[0] in self.wanted.topics):
             yield (*place, channel[0], channel[1], channel[2], schema[0] if schema else None, sequence, log_time,
                    publish_time, bytes(body[22:]))
@@ -379,21 +408,6 @@ class _Range(ds.InputPartition):
     high: int
 
 
-def _files(path: str) -> Iterator[tuple[str, int]]:
-    """The file itself, or every recording file under a folder, with sizes."""
-    system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    scheme = path.split("://", 1)[0] + "://" if "://" in path else ""
-    info = system.get_file_info(inner)
-    if info.type == fs.FileType.NotFound:
-        raise FileNotFoundError(path)
-    if info.type == fs.FileType.File:
-        yield path, info.size
-        return
-    for entry in system.get_file_info(fs.FileSelector(inner, recursive=True)):
-        if entry.type == fs.FileType.File and entry.path.endswith(".mcap"):
-            yield scheme + entry.path, entry.size
-
-
 class _Reader(ds.DataSourceReader):
     def __init__(self, options, schema):
         self.options, self.schema = options, schema
@@ -401,8 +415,8 @@ class _Reader(ds.DataSourceReader):
         self.mode = options.get("summary", "auto")
         if self.mode not in SUMMARY_MODES:
             raise ValueError(f"summary must be one of {SUMMARY_MODES}")
-        self.wanted = _Wanted(int(options.get("start", 0)), int(options.get("end", FOREVER)))
-        if self.wanted.start > self.wanted.end:
+        self.wanted = _Wanted(int(options.get("start", 0)), int(options["end"]) if "end" in options else None)
+        if self.wanted.end is not None and self.wanted.start > self.wanted.end:
             raise ValueError("start time must be before end time")
 
     def pushFilters(self, filters):
@@ -425,12 +439,12 @@ class _Reader(ds.DataSourceReader):
                 self.wanted.start = max(self.wanted.start, least)
             if isinstance(f, (ds.EqualTo, ds.LessThan, ds.LessThanOrEqual)):
                 beyond = f.value if isinstance(f, ds.LessThan) else f.value + 1
-                self.wanted.end = min(self.wanted.end, beyond)
+                self.wanted.end = beyond if self.wanted.end is None else min(self.wanted.end, beyond)
 
     def partitions(self):
         step = int(self.options.get("rangeBytes", RANGE_BYTES))
         paths = json.loads(self.options["paths"]) if "paths" in self.options else [self.options["path"]]
-        found = sorted({entry for path in paths for entry in _files(path)})
+        found = sorted({entry for path in paths for entry in listed(path, ".mcap")})
         if self.table in ("messages", "dangling"):
             return [_Range(path, low, low + step) for path, size in found for low in range(0, size, step)]
         return [_Range(path, 0, size) for path, size in found]
@@ -438,6 +452,9 @@ class _Reader(ds.DataSourceReader):
     def read(self, part):
         file = _File(part.path)
         names = self.schema.fieldNames()
+        if self.table == "problems":
+            yield from _problems(file)
+            return
         if self.table not in ("messages", "dangling"):
             yield from _summary_rows(file, summarize(file, self.mode), self.table)
             return
@@ -484,3 +501,35 @@ def read_recordings(spark: SparkSession, *paths: str, table: str = "messages", *
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RecordingFiles)
     return (spark.read.format("mcap").options(table=table, paths=json.dumps(list(paths)), **options).load())
+
+
+# --- canonical tables out of files ------------------------------------------------------------------------------
+
+
+def file_messages(spark: SparkSession, *paths: str, **options) -> DataFrame:
+    """Messages of recording files as the operators want them; every file is a recording.
+
+    ``arrival_seq`` counts a file's messages in the order of their records, from 0. Chunks (of unchunked files: ranges of
+    ``RANGE_BYTES``) are counted first, so a row is only numbered among those of its chunk. Options as in :func:`read_recordings`.
+    """
+    rows = read_recordings(spark, *paths, **options).withColumn(
+        "_part", F.coalesce("chunk_offset", F.floor(F.col("offset") / RANGE_BYTES) * RANGE_BYTES))
+    counts = rows.groupBy("file", "_part").agg(F.count("*").alias("_rows"))
+    before = W.partitionBy("file").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = counts.select(F.col("file").alias("_file"), F.col("_part").alias("_at"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("file", "_part").orderBy("offset")) - 1
+    body = [F.col("payload"), F.length("payload").alias("payload_bytes")] if "payload" in rows.columns else []
+    return (rows.withColumn("_inside", inside).join(starts, (F.col("file") == F.col("_file")) & (F.col("_part") == F.col("_at")))
+            .select(F.col("file").alias("recording_id"), "topic", (F.col("_before") + F.col("_inside")).alias("arrival_seq"), "log_time_ns",
+                    F.col("publish_time_ns").alias("source_time_ns"), F.lit(True).alias("valid"), "channel_id", "schema_id",
+                    F.coalesce("schema_name", F.lit("")).alias("type_name"), *body))
+
+
+def file_channels(spark: SparkSession, *paths: str, **options) -> DataFrame:
+    """Channels of recording files by recording and id."""
+    return read_recordings(spark, *paths, table="channels", **options).withColumnRenamed("file", "recording_id")
+
+
+def file_schemas(spark: SparkSession, *paths: str, **options) -> DataFrame:
+    """Schemas of recording files by recording and id."""
+    return read_recordings(spark, *paths, table="schemas", **options).withColumnRenamed("file", "recording_id")
