@@ -23,6 +23,7 @@ from tidewire.plans.recordings import typed_messages
 from tidewire.plans.registry import query
 from tidewire.session import scratch_path, ship
 from tidewire.sources import views
+from tidewire.sources.files import located
 from tidewire.sources.recording_files import file_channels, file_messages, file_schemas, read_recordings
 
 LINE = wire_struct(l_orderkey="int64", l_linenumber="int32", l_quantity="float64", l_returnflag=Text(),
@@ -138,9 +139,12 @@ def _write_files(spark, sf) -> str:
             {ids[t]: (t, "cdr", names.index(types[t]) + 1 if types[t] else 0, {}) for t in topics},
             {place + 1: (name, "omgidl", b"") for place, name in enumerate(names)},
             chunk_rows=200, compression="zstd" if rows["week"].iloc[0] % 2 else "lz4")
-        Path(folder).mkdir(parents=True, exist_ok=True)
-        path = f"{folder}/{rows['recording_id'].iloc[0]}_{rows['week'].iloc[0]}.mcap"
-        Path(path).write_bytes(data)
+        system, inner = located(folder)
+        system.create_dir(inner, recursive=True)
+        name = f"{rows['recording_id'].iloc[0]}_{rows['week'].iloc[0]}.mcap"
+        with system.open_output_stream(f"{inner}/{name}") as out:
+            out.write(data)
+        path = f"{folder}/{name}"
         return pd.DataFrame({"path": [path], "bytes": [len(data)]})
 
     msgs = typed_messages(spark, sf).withColumn("week", floor_div("log_time_ns", _WEEK))

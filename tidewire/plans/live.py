@@ -62,15 +62,15 @@ def split_live(spark, sf):
 # --- the same streams, stopped and started again while the table comes in three parts ---------------------------
 
 
-def _arrivals(spark, sf):
-    """Writes the events in three parts of growing arrival order; yields the folder after each."""
+def _arrivals(spark, sf, files_per_batch=None):
+    """Writes the events in three parts of growing arrival order; yields the stream of them after each."""
     events = views.table(spark, sf, "events")
     last = events.agg(F.max("event_id")).first()[0]
     folder = scratch_path(spark, "arrivals")
     for part in range(3):
         low, high = (last + 1) * part // 3, (last + 1) * (part + 1) // 3
         events.where((F.col("event_id") >= low) & (F.col("event_id") < high)).write.mode("append").parquet(folder)
-        yield live.read_files(spark, folder, events.schema)
+        yield live.read_files(spark, folder, events.schema, files_per_batch)
 
 
 @query("late_data", HZ_SQL)
@@ -84,14 +84,14 @@ def late_data(spark, sf):
 
 @query("pause_resume", f"select {', '.join(_ROW)} from messages where valid")
 def pause_resume(spark, sf):
-    path = scratch_path(spark, "pause")
-    run = None
+    """Paused while it runs and resumed when more has arrived, three times over."""
+    path, run = scratch_path(spark, "pause"), None
     for events in _arrivals(spark, sf):
-        def start(events=events):
-            return live.record_stream(views.messages_from(events), path, trigger=live.ONCE).start()
-
-        run = live.Run(start)
-        run.query.awaitTermination()
+        if run is None:
+            run = live.Run(lambda events=events: live.record_stream(views.messages_from(events), path, trigger=live.TICK).start())
+        else:
+            run.resume()
+        run.query.processAllAvailable()
         run.pause()
     return live.recorded(spark, path).select(*_ROW)
 
@@ -135,11 +135,14 @@ def progress(spark, sf):
 
 @query("tick", HZ_SQL)
 def tick(spark, sf):
-    """Reports at most once a second, until nothing is left to read."""
+    """Reports at most once a second, a file each time, until nothing is left to read."""
     path = scratch_path(spark, "tick")
-    run = live.hz_stream(views.messages_from(_events(spark, sf)), path, _WINDOW, _BLOCK, live.TICK).start()
+    *_, events = _arrivals(spark, sf, files_per_batch=1)
+    run = live.hz_stream(views.messages_from(events), path, _WINDOW, _BLOCK, live.TICK).start()
     run.processAllAvailable()
     run.stop()
+    if live.reports(spark, path).select("batch_id").distinct().count() < 3:
+        raise RuntimeError("fewer reports than files")
     return rounded(live.latest_report(spark, path))
 
 

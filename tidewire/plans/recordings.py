@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from tidewire.plans.registry import query
 from tidewire.session import scratch_path, stored
 from tidewire.sources import recordings as store
 from tidewire.sources import views
+from tidewire.sources.files import located
 
 # The test events are minutes apart: poll rounds of a minute, splits of 2,000 bytes or a day and a half.
 _LIMITS = rec.Limits(max_bytes=2000, max_seconds=36 * 3600, poll_ns=60_000_000_000)
@@ -137,7 +139,11 @@ def write_recording(spark, sf):
 select recording_id, count(distinct split) as splits, count(*) as messages, sum(payload_bytes)::bigint as bytes
 from split_messages where valid group by recording_id""", _VALID_STEPS)
 def splits_union(spark, sf):
-    paths = [_written(spark, sf, compression=name) for name in ("lz4",)]
+    """Two recordings in one place and the third in another, read together."""
+    paths = []
+    for here in (F.col("recording_id") == "rec_0", F.col("recording_id") != "rec_0"):
+        paths.append(scratch_path(spark, "recording"))
+        store.write_recording(typed_messages(spark, sf).where("valid").where(here), paths[-1], _LIMITS, compression="lz4")
     per_split = (store.read_messages(spark, *paths).groupBy("recording_id", "split")
                  .agg(F.count("*").alias("n"), F.sum("payload_bytes").alias("b")))
     return per_split.groupBy("recording_id").agg(
@@ -268,9 +274,17 @@ def messages_with_schema(spark, sf):
         "recording_id", "arrival_seq", "channel_id", "topic", "schema_id", "schema_name", "status")
 
 
+def _codec_of(spark, path: str) -> str:
+    """What the footer of a written file says."""
+    first = store.read_messages(spark, path).inputFiles()[0]
+    system, inner = located(first)
+    with system.open_input_file(inner) as file:
+        return pq.ParquetFile(file).metadata.row_group(0).column(0).compression.lower()
+
+
 @query("compression", """
 select name as compression, codec, recording_id, count(*) as messages, sum(payload_bytes)::bigint as bytes
-from messages, (values ('zstd', 'zstd'), ('lz4', 'lz4_raw'), ('none', 'uncompressed'), ('gzip9', 'uncompressed')) c(name, codec)
+from messages, (values ('zstd', 'zstd'), ('lz4', 'lz4'), ('none', 'uncompressed'), ('gzip9', 'uncompressed')) c(name, codec)
 where valid group by all""")
 def compression(spark, sf):
     """The same recording in every compression; one nobody knows means none."""
@@ -279,6 +293,6 @@ def compression(spark, sf):
         path = scratch_path(spark, name)
         store.write_recording(typed_messages(spark, sf).where("valid"), path, compression=name)
         read.append(store.read_messages(spark, path).groupBy("recording_id").agg(
-            F.lit(name).alias("compression"), F.lit(store.codec(name)).alias("codec"),
+            F.lit(name).alias("compression"), F.lit(_codec_of(spark, path)).alias("codec"),
             F.count("*").alias("messages"), F.sum("payload_bytes").alias("bytes")))
     return reduce(DataFrame.unionByName, read)

@@ -50,7 +50,7 @@ select c_custkey as seq,
        cast(c_custkey as varchar) as pid,
        case when c_custkey % 5 = 0 then '' else c_mktsegment end as entity_name,
        c_acctbal >= 0 as alive
-from customer where c_custkey % 6 <> 0""",
+from customer""",
     "limit_strings": """
 select p_partkey,
        concat(p_size, case p_partkey % 5 when 0 then 'G' when 1 then 'M' when 2 then 'k'

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,7 +54,8 @@ def write_recording(msgs: DataFrame, path: str, limits: Limits | None = None, *,
 
 
 def _table(spark: SparkSession, name: str, paths: tuple[str, ...]) -> DataFrame:
-    return spark.read.parquet(*[f"{path}/{name}" for path in paths])
+    """Each path holds folders of its own partitions, so each is read by itself."""
+    return reduce(DataFrame.unionByName, [spark.read.parquet(f"{path}/{name}") for path in paths])
 
 
 def read_messages(spark: SparkSession, *paths: str) -> DataFrame:

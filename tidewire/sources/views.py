@@ -55,7 +55,7 @@ def endpoint_events_from(events: DataFrame) -> DataFrame:
 
 
 def participant_events_from(customer: DataFrame) -> DataFrame:
-    return customer.where("c_custkey % 6 <> 0").selectExpr(
+    return customer.selectExpr(
         "c_custkey as seq",
         "concat(lower(lpad(hex(c_custkey), 24, '0')), '000001c1') as guid",
         "case when c_custkey % 4 = 0 then '' else concat('host-', c_nationkey) end as hostname",
