@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from tidewire.functions.render import render_json
 from tidewire.functions.scalars import sec_nsec
 from tidewire.functions.wire import PRIMITIVES, Array, Enum, Primitive, Sequence, Struct, Text, Union, WireType
 from tidewire.operators.ordering import first_n
+from tidewire.session import scratch_path
 
 # Second header byte -> (big endian, widest alignment, structs carry their size).
 LAYOUTS = {
@@ -270,5 +272,44 @@ def echo(msgs: DataFrame, topic: str, kind: Struct, n: int = 0) -> DataFrame:
 
 def decode_all(df: DataFrame, catalog: dict[str, Struct], type_column: str = "type_name",
                payload: str = "payload") -> dict[str, tuple[DataFrame, DataFrame]]:
-    """Decodes a table of mixed types: one pair of outputs per type of the catalog."""
-    return {name: decode(df.where(F.col(type_column) == name), kind, payload) for name, kind in catalog.items()}
+    """Decodes a table of mixed types: one pair of outputs per type of the catalog, as of :func:`decode`.
+
+    The table is read and decoded once, whatever the number of types. The result is stored in a folder per type, each row with
+    the struct of its own type alone, and every output reads its folder.
+    """
+    names, values = df.columns, {name: f"_value_{place}" for place, name in enumerate(catalog)}
+    at_type, at_payload = names.index(type_column), names.index(payload)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, body = batch.column(at_type), batch.column(at_payload)
+            error, columns = pa.nulls(batch.num_rows, pa.string()), []
+            for name, kind in catalog.items():
+                own = np.flatnonzero(pc.equal(kinds, name).to_numpy(zero_copy_only=False))
+                if not len(own):
+                    columns.append(pa.nulls(batch.num_rows, kind.arrow()))
+                    continue
+                place = np.full(batch.num_rows, -1)
+                place[own] = np.arange(len(own))
+                back = pa.array(place, mask=place < 0)
+                decoded, failed = decode_batch(body.take(pa.array(own)), kind)
+                columns.append(decoded.take(back))
+                error = pc.coalesce(error, failed.take(back))
+            kept = [column for name, column in zip(names, batch.columns) if name != payload]
+            # a payload is only needed again where it could not be read
+            unread = pc.if_else(pc.is_valid(error), body, pa.scalar(None, body.type))
+            yield pa.RecordBatch.from_arrays([*kept, unread, *columns, error], names=tagged.fieldNames())
+
+    fields = [field for field in df.schema.fields if field.name != payload] + [df.schema[payload]]
+    tagged = T.StructType(fields + [T.StructField(values[name], kind.spark()) for name, kind in catalog.items()]
+                          + [T.StructField("error", T.StringType())])
+    path = scratch_path(df.sparkSession, "decoded")
+    (df.where(F.col(type_column).isin(*catalog)).mapInArrow(run, tagged)
+     .write.partitionBy(type_column).parquet(path))
+    every = df.sparkSession.read.schema(tagged).parquet(path)
+    out = {}
+    for name, value in values.items():
+        own = every.where(F.col(type_column) == name)
+        good = own.where(F.col("error").isNull()).select(*[n for n in names if n != payload], f"{value}.*")
+        out[name] = good, own.where(F.col("error").isNotNull()).select(*names, "error")
+    return out

@@ -59,6 +59,28 @@ def split_live(spark, sf):
     return live.recorded(spark, path).select(*_ROW, "split")
 
 
+@query("stop_live", f"""
+select {', '.join(_ROW)} from split_messages where valid and split = 0""", _VALID_STEPS)
+def stop_live(spark, sf):
+    """Without splitting a recording ends at its first limit."""
+    path = scratch_path(spark, "stop")
+    _run(live.record_stream(views.messages_from(_events(spark, sf)), path, limits=_LIMITS, split=False,
+                            block_rows=_ROUND_BLOCK, trigger=live.ONCE))
+    return live.recorded(spark, path).select(*_ROW)
+
+
+@query("retain_live", f"""
+select {', '.join(_ROW)}, split from split_messages where valid
+qualify dense_rank() over (partition by recording_id order by split desc) <= 3""", _VALID_STEPS)
+def retain_live(spark, sf):
+    """The files of older splits are gone, so all that is left is read."""
+    path = scratch_path(spark, "retain")
+    for events in _arrivals(spark, sf):
+        _run(live.record_stream(views.messages_from(events), path, limits=_LIMITS, max_splits=3, block_rows=_ROUND_BLOCK,
+                                trigger=live.ONCE))
+    return live.recorded(spark, path).select(*_ROW, "split")
+
+
 # --- the same streams, stopped and started again while the table comes in three parts ---------------------------
 
 

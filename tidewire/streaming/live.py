@@ -129,23 +129,41 @@ def live_endpoints(spark: SparkSession, path: str) -> DataFrame:
 # --- recording -------------------------------------------------------------------------------------------------
 
 
-def record_stream(msgs: DataFrame, path: str, keep: Column | None = None, limits: Limits | None = None, *,
-                  block_rows: int = SEGMENT_BLOCK_ROWS, trigger: dict | None = None) -> DataStreamWriter:
+def record_stream(msgs: DataFrame, path: str, keep: Column | None = None, limits: Limits | None = None, *, split: bool = True,
+                  max_splits: int = 0, block_rows: int = SEGMENT_BLOCK_ROWS, trigger: dict | None = None) -> DataStreamWriter:
     """Appends wanted, valid messages under ``path/messages``; topics may appear at any time.
 
-    With limits the recording is split as it grows, by the same rounds and cuts as a finished one.
+    With limits the recording is split as it grows, by the same rounds and cuts as a finished one, and of every recording the
+    files of all but the newest ``max_splits`` splits are deleted (0 = none). Without ``split`` it ends at its first limit.
     """
     wanted = msgs.where("valid")
     if keep is not None:
         wanted = wanted.where(keep)
     if limits is not None:
-        return on_batch(wanted, path, _split_step(path, limits, block_rows), trigger)
+        return on_batch(wanted, path, _split_step(path, limits, block_rows, split, max_splits), trigger)
     return (wanted.writeStream.format("parquet").partitionBy("recording_id")
             .option("path", f"{path}/messages").option("checkpointLocation", f"{path}/_checkpoint")
             .trigger(**(trigger or TICK)))
 
 
-def _split_step(path: str, limits: Limits, block_rows: int):
+def prune_splits(spark: SparkSession, path: str, max_splits: int) -> None:
+    """Deletes the files of all but the newest splits of every recording. Only folder names are looked at."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(f"{path}/messages")
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = system.globStatus(hadoop.Path(root, "batch_id=*/recording_id=*/split=*")) or []
+    splits: dict[str, dict[int, list]] = {}
+    for status in found:
+        folder = status.getPath()
+        number = int(folder.getName().partition("=")[2])
+        splits.setdefault(folder.getParent().getName(), {}).setdefault(number, []).append(folder)
+    for folders in splits.values():
+        for number in sorted(folders)[:-max_splits]:
+            for folder in folders[number]:
+                system.delete(folder, True)
+
+
+def _split_step(path: str, limits: Limits, block_rows: int, split: bool, max_splits: int):
     """State per recording: its open split up to the last poll round, and that round, which may go on."""
     state = _State(path, "recording_id string, segment bigint, open_size bigint, open_clock bigint, "
                          "poll bigint, bytes bigint")
@@ -162,7 +180,11 @@ def _split_step(path: str, limits: Limits, block_rows: int):
         cuts = split_rounds(rounds, limits, block_rows, opened=held.drop("poll", "bytes"))
         cuts = cuts.persist()  # one row per round, for rows and state
         splits = placed.join(cuts.select("recording_id", "poll", "split"), ["recording_id", "poll"]).drop("poll")
-        _write_batch(splits, path, "messages", batch_id, "recording_id", "split")
+        # the rebalance hint lets adaptive execution size the files, one or a few for each split
+        _write_batch((splits if split else splits.where("split = 0")).hint("rebalance", "recording_id", "split"),
+                     path, "messages", batch_id, "recording_id", "split")
+        if max_splits:
+            prune_splits(batch.sparkSession, path, max_splits)
         last = (cuts.groupBy("recording_id")
                 .agg(F.max_by(F.struct("split", "split_offset", "split_start_ns", "poll", "bytes"), "poll").alias("r")))
         state.after(last.select(
