@@ -16,6 +16,8 @@ from tidewire.session import Scratch
 
 MARGINS = ("source", "lang", "topic")
 SHARE, SWEEPS, TOLERANCE = 0.5, 12, 1e-3
+#: Values of a margin that a step may be broadcast for, and cells to a task.
+BROADCAST_VALUES, TASK_CELLS = 10_000, 200_000
 SEED = 7
 
 # Subjects told apart by what a text holds; the first that matches names it.
@@ -76,17 +78,20 @@ def raked(cells: DataFrame, scratch: Scratch, targets: dict[str, Target], share:
 
     Every cell has a factor f and gives ``tokens * min(f, 1)``. One margin after the other has the factors of its values scaled by
     goal over tokens given, until no factor moves by more than ``tolerance`` or after ``sweeps``. A value whose cells all give
-    everything cannot meet a larger goal and stays as it is.
+    everything cannot meet a larger goal and stays as it is. The steps of a margin are a row for each of its values: they are
+    broadcast up to ``BROADCAST_VALUES`` of them, counted before, and joined by shuffle beyond.
     """
     goals = {margin: scratch.keep(_goals(cells, margin, target, share)) for margin, target in targets.items()}
-    state = scratch.keep(cells.select(*targets, "tokens", F.lit(float(share)).alias("f"), F.lit(0.0).alias("moved")))
+    small = {margin: goal.count() <= BROADCAST_VALUES for margin, goal in goals.items()}
+    start = cells.select(*targets, "tokens", F.lit(float(share)).alias("f"), F.lit(0.0).alias("moved"))
+    state = scratch.keep(start.coalesce(cells.count() // TASK_CELLS + 1))
     for _ in range(sweeps):
         fitted = state.withColumn("moved", F.lit(0.0))
         for margin, goal in goals.items():
             given = fitted.groupBy(margin).agg(F.sum(F.col("tokens") * F.least("f", F.lit(1.0))).alias("given"), F.max(F.col("f") < 1).alias("open"))
             ratio = F.col("goal") / F.col("given")
             steps = given.join(goal, margin).select(margin, F.when(F.col("open") | (ratio < 1), ratio).otherwise(1.0).alias("step"))
-            fitted = fitted.join(steps, margin).select(
+            fitted = fitted.join(F.broadcast(steps) if small[margin] else steps, margin).select(
                 *targets, "tokens", (F.col("f") * F.col("step")).alias("f"), F.greatest("moved", F.abs(F.col("step") - 1)).alias("moved"))
         after = scratch.keep(fitted)
         scratch.drop(state)
