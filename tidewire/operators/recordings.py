@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.functions.scalars import NANOS, floor_div
+from tidewire.operators.blocks import block_carry, inside_block, with_block, with_carry
 from tidewire.operators.discovery import discovered
 from tidewire.operators.segments import SEGMENT_BLOCK_ROWS, greedy_segments
 
@@ -63,11 +64,25 @@ def assign_splits(msgs: DataFrame, limits: Limits, block_rows: int = SEGMENT_BLO
 
 
 def stop_at_limit(msgs: DataFrame, limits: Limits, block_rows: int = SEGMENT_BLOCK_ROWS) -> DataFrame:
-    """What a recording without splitting keeps: everything up to its first limit hit."""
-    last = (split_rounds(_rounds(msgs, limits), limits, block_rows).where("split = 0")
-            .groupBy("recording_id").agg(F.max("poll").alias("_last")))
-    return (msgs.withColumn("_poll", poll_round(limits)).join(last, "recording_id")
-            .where("_poll <= _last").drop("_poll", "_last"))
+    """What a recording without splitting keeps: everything up to its first limit hit.
+
+    Up to there nothing is cut, so a round stays if the bytes before it and its age are under the limits: a prefix sum over blocks
+    of rounds, no walk.
+    """
+    key = ["recording_id"]
+    blocked = with_block(_rounds(msgs, limits), "poll", block_rows)
+    placed = with_carry(blocked, block_carry(blocked, key, F.sum("bytes"), F.sum), key)
+    inside = F.sum("bytes").over(inside_block(key, "poll").rowsBetween(W.unboundedPreceding, -1))
+    before = F.coalesce("_carry", F.lit(0)) + F.coalesce(inside, F.lit(0))
+    first = blocked.groupBy(F.col("recording_id").alias("_recording")).agg(F.min("poll").alias("_first"))
+    kept = placed.withColumn("_before", before).join(first, F.col("recording_id").eqNullSafe(F.col("_recording")))
+    if limits.max_bytes:
+        kept = kept.where(F.col("_before") < limits.max_bytes)
+    if limits.max_ns:
+        kept = kept.where((F.col("poll") - F.col("_first")) * limits.poll_ns < limits.max_ns)
+    last = kept.groupBy("_recording").agg(F.max("poll").alias("_last"))
+    return (msgs.withColumn("_poll", poll_round(limits)).join(last, F.col("recording_id").eqNullSafe(F.col("_recording")))
+            .where("_poll <= _last").drop("_poll", "_last", "_recording"))
 
 
 def retain_splits(df: DataFrame, newest: int) -> DataFrame:
