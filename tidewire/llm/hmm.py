@@ -164,6 +164,18 @@ def _sequences(training: DataFrame) -> DataFrame:
     return training.select("text").mapInArrow(run, "classes binary")
 
 
+def _most_frequent(counts: DataFrame, head: int) -> DataFrame:
+    """At most ``head`` words, all with a count over some bound: how many words have which count, in steps of a sixteenth of a
+    doubling, tells the bound, so only the words themselves leave the tasks."""
+    step = F.floor(F.log2("c") * 16)
+    left, bound = head, None
+    for row in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        if row["count"] > left:
+            break
+        left, bound = left - row["count"], row["step"]
+    return counts.where(step >= bound) if bound is not None else counts.limit(0)
+
+
 def train(sequences: DataFrame, class_tokens: np.ndarray, states: int, rounds: int, seed: int) -> Model:
     """Baum-Welch over all sequences: each task adds up its own counts, Spark sums them by place, and only those sums of fixed
     number (states * classes and a few) come to the driver."""
@@ -192,8 +204,8 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
     Documents whose crc32 of the id, modulo ``folds``, is 0 are held out; all others train. ``base_score`` is that of single words
     with 0.1 added to every count, ``score`` the model's log10 probability of the whole text, its end included.
 
-    Words are looked up in two ways that agree: the ``head`` most frequent ones travel to the tasks, all others are joined with
-    their counts by word, which none of them holds more of than a head word. Null and empty texts are their end alone. A null id
+    Words are looked up in two ways that agree: the most frequent ones, ``head`` at most, travel to the tasks, all others are joined
+    with their counts by word, of which none is as frequent. Null and empty texts are their end alone. A null id
     counts as an empty one and is held out. Repeated rows train and are scored each. Nothing to train on makes all words unknown;
     an empty table gives no rows. Other columns of ``docs`` do not matter.
     """
@@ -214,7 +226,7 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
     model = train(sequences, class_tokens, states, rounds, seed)
     scratch.drop(sequences)
     within = np.log10(class_tokens + SMOOTH * (class_words + 1))
-    frequent = {bytes(row["word"]): float(np.log10(row["c"] + SMOOTH)) for row in counts.orderBy(F.desc("c"), "word").limit(head).collect()}
+    frequent = {bytes(row["word"]): float(np.log10(row["c"] + SMOOTH)) for row in _most_frequent(counts, head).collect()}
     end_part = float(np.log10(ends + SMOOTH))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
