@@ -6,7 +6,7 @@ import tests.support.derived  # noqa: F401  (queries over encoded inputs)
 from tidewire.plans import QUERIES
 
 # these run jobs (streams, writers, loops) before they return a plan
-EAGER = {"stop_live", "retain_live", "compression", "late_data", "pause_resume", "splits_going_on", "bounded_run", "progress", "tick", "for_each_batch", "hz_live", "endpoints_live", "record_live", "split_live", "write_recording", "splits_union", "written_dims",
+EAGER = {"record_live_dims", "stop_live", "retain_live", "compression", "late_data", "pause_resume", "splits_going_on", "bounded_run", "progress", "tick", "for_each_batch", "hz_live", "endpoints_live", "record_live", "split_live", "write_recording", "splits_union", "written_dims",
          "type_dependencies", "decode_by_topic", "read_mcap", "summary_mcap", "hz_from_files", "messages_from_files", "dims_from_files"}
 
 

@@ -108,6 +108,28 @@ def assign_ids(df: DataFrame) -> DataFrame:
     return typed.select("recording_id", "topic", "type_name", "channel_id", schema_id.alias("schema_id"))
 
 
+_IDS = ["recording_id", "topic", "type_name", "channel_id", "schema_id"]
+
+
+def more_ids(df: DataFrame, known: DataFrame) -> DataFrame:
+    """``known`` ids (as of :func:`assign_ids`) and those of topics and types that first appear in ``df``, numbered on."""
+    seen = first_version(df, ["recording_id", "topic"], ["type_name"], "arrival_seq").withColumnRenamed("arrival_seq", "_seen")
+    fresh = seen.join(known, ["recording_id", "topic"], "left_anti")
+    tops = known.groupBy("recording_id").agg(F.max("channel_id").alias("_channels"), F.max("schema_id").alias("_schemas"))
+    types = known.where("type_name <> ''").select("recording_id", "type_name", F.col("schema_id").alias("_known")).distinct()
+    rows = fresh.join(tops, "recording_id", "left").join(types, ["recording_id", "type_name"], "left")
+    is_new = (F.col("type_name") != "") & F.col("_known").isNull()
+    first_of_type = F.min("_seen").over(W.partitionBy("recording_id", "type_name"))
+    rows = rows.withColumn("_type_seen", F.when(is_new, first_of_type))
+    channel = F.row_number().over(W.partitionBy("recording_id").orderBy("_seen"))
+    schema = F.dense_rank().over(W.partitionBy("recording_id").orderBy(F.col("_type_seen").asc_nulls_last()))
+    numbered = rows.withColumns({
+        "channel_id": F.coalesce("_channels", F.lit(0)) + channel,
+        "schema_id": F.when(F.col("type_name") == "", 0).when(is_new, F.coalesce("_schemas", F.lit(0)) + schema).otherwise(F.col("_known")),
+    })
+    return known.select(*_IDS).unionByName(numbered.select(*_IDS))
+
+
 def replicate_dims(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Each split's own list of the channels and schemas it uses."""
     used = df.select("recording_id", "split", "topic").distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewire.functions import filters
+from tidewire.operators import discovery
 from tidewire.operators.recordings import subscribed
 from tidewire.plans.discovery import LIVE_SQL
 from tidewire.plans.rates import _BLOCK, _WINDOW, HZ_SQL, rounded
@@ -81,6 +82,19 @@ def retain_live(spark, sf):
     return live.recorded(spark, path).select(*_ROW, "split")
 
 
+@query("record_live_dims", """
+select distinct recording_id, split, channel_id, topic, schema_id, v.type_name
+from split_messages join valid_ids v using (recording_id, topic) where valid""", _VALID_STEPS)
+def record_live_dims(spark, sf):
+    """Channels and schemas of every split, numbered on over three runs."""
+    path = scratch_path(spark, "dims")
+    types = discovery.topic_types(views.endpoint_events(spark, sf))
+    for events in _arrivals(spark, sf):
+        typed = views.messages_from(events).join(types, "topic", "left").withColumn("type_name", F.coalesce("type_name", F.lit("")))
+        _run(live.record_stream(typed, path, limits=_LIMITS, block_rows=_ROUND_BLOCK, trigger=live.ONCE))
+    return live.recorded_dims(spark, path).select("recording_id", "split", "channel_id", "topic", "schema_id", "type_name")
+
+
 # --- the same streams, stopped and started again while the table comes in three parts ---------------------------
 
 

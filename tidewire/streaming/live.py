@@ -17,6 +17,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
 from tidewire.functions.filters import not_system
+from tidewire.operators.discovery import more_ids, replicate_dims
 from tidewire.operators.rates import DEFAULT_WINDOW, LATEST_BLOCK_ROWS, STREAM, last_n, latest_stamps, stamps, summarize, window_size
 from tidewire.operators.recordings import Limits, poll_round, retain_splits, split_rounds
 from tidewire.operators.segments import SEGMENT_BLOCK_ROWS
@@ -43,11 +44,11 @@ def on_batch(sdf: DataFrame, path: str, fn: Callable[[DataFrame, int], None],
 class _State:
     """A small table carried from one micro-batch to the next."""
 
-    def __init__(self, path: str, schema: str):
-        self.path, self.schema = path, schema
+    def __init__(self, path: str, schema: str, name: str = "_state"):
+        self.path, self.schema, self.name = path, schema, name
 
     def _slot(self, batch_id: int) -> str:
-        return f"{self.path}/_state/{batch_id % 2}"
+        return f"{self.path}/{self.name}/{batch_id % 2}"
 
     def before(self, spark: SparkSession, batch_id: int) -> DataFrame:
         if batch_id == 0:
@@ -135,6 +136,8 @@ def record_stream(msgs: DataFrame, path: str, keep: Column | None = None, limits
 
     With limits the recording is split as it grows, by the same rounds and cuts as a finished one, and of every recording the
     files of all but the newest ``max_splits`` splits are deleted (0 = none). Without ``split`` it ends at its first limit.
+
+    Messages with a ``type_name`` also give every split its channels and schemas (:func:`recorded_dims`), numbered as they appear.
     """
     wanted = msgs.where("valid")
     if keep is not None:
@@ -167,6 +170,7 @@ def _split_step(path: str, limits: Limits, block_rows: int, split: bool, max_spl
     """State per recording: its open split up to the last poll round, and that round, which may go on."""
     state = _State(path, "recording_id string, segment bigint, open_size bigint, open_clock bigint, "
                          "poll bigint, bytes bigint")
+    ids = _State(path, "recording_id string, topic string, type_name string, channel_id int, schema_id int", "_ids")
 
     def step(batch: DataFrame, batch_id: int) -> None:
         held = state.before(batch.sparkSession, batch_id)
@@ -180,6 +184,9 @@ def _split_step(path: str, limits: Limits, block_rows: int, split: bool, max_spl
         cuts = split_rounds(rounds, limits, block_rows, opened=held.drop("poll", "bytes"))
         cuts = cuts.persist()  # one row per round, for rows and state
         splits = placed.join(cuts.select("recording_id", "poll", "split"), ["recording_id", "poll"]).drop("poll")
+        if "type_name" in batch.columns:
+            known = ids.after(more_ids(batch, ids.before(batch.sparkSession, batch_id)), batch_id)
+            _write_batch(replicate_dims(splits if split else splits.where("split = 0"), known), path, "dims", batch_id)
         # the rebalance hint lets adaptive execution size the files, one or a few for each split
         _write_batch((splits if split else splits.where("split = 0")).hint("rebalance", "recording_id", "split"),
                      path, "messages", batch_id, "recording_id", "split")
@@ -201,6 +208,11 @@ def recorded(spark: SparkSession, path: str, max_splits: int = 0) -> DataFrame:
     return retain_splits(rows.drop("batch_id"), max_splits) if "split" in rows.columns else rows
 
 
+def recorded_dims(spark: SparkSession, path: str) -> DataFrame:
+    """Channels of each split of a live recording with their schema: recording_id, split, topic, channel_id, schema_id, type_name."""
+    return spark.read.parquet(f"{path}/dims").drop("batch_id").distinct()
+
+
 # --- running ---------------------------------------------------------------------------------------------------
 
 
