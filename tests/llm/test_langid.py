@@ -23,6 +23,10 @@ def test_runs_stay_inside_words():
     assert langid.subword_counts(b"").sum() == 0
 
 
+def test_letters():
+    assert [langid.has_letter(t) for t in (None, "", "12 ² Ⅷ ½ _%", "ª", "中", "e\u0301")] == [False, False, False, True, True, True]
+
+
 def test_learns_and_rejects(spark):
     words = {"en": ENGLISH.split(), "de": GERMAN.split()}
     rng = np.random.default_rng(3)

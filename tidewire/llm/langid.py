@@ -6,7 +6,6 @@ fold into one row of language scores per hash bucket, and a text's score is the
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +24,6 @@ REJECT = 0.02
 UNKNOWN = "und"
 _PIECE = 1 << 20
 
-_LETTER = re.compile(r"[^\W\d_]")
 # Bytes that end a word: everything of ASCII but letters. Letters are lowered; bytes of longer characters stay.
 _FOLD = bytes(ord(chr(b).lower()) if chr(b).isalpha() else 32 for b in range(128)) + bytes(range(128, 256))
 
@@ -56,7 +54,7 @@ def subword_counts(text: bytes) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return any(map(str.isalpha, text or ""))
 
 
 @dataclass
