@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+# Rows of an Arrow batch: Spark's own default is for narrow rows; texts and payloads are kilobytes each.
+BATCH_KEY, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
 
 
 def build_session(app_name: str = "tidewire", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,7 +33,9 @@ def build_session(app_name: str = "tidewire", master: str | None = None, **conf:
 
 
 def attach(spark: SparkSession) -> SparkSession:
-    """Prepare an existing session: UTC times, and this package importable in Python workers."""
+    """Prepare an existing session: UTC times, smaller Arrow batches unless set, and this package importable in Python workers."""
+    if spark.conf.get(BATCH_KEY, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     ship(spark, Path(__file__).resolve().parent)
