@@ -62,7 +62,7 @@ def test_cuts_are_certain(own):
 def test_pieces_and_full_caches(own, library, monkeypatch):
     text = "the quick brown fox's 12 jumps\nover " * 200
     monkeypatch.setattr(bpe, "PIECE", 50)
-    monkeypatch.setattr(bpe, "CACHE", 3)
+    monkeypatch.setattr(bpe, "CACHE", 4)
     monkeypatch.setattr(bpe, "SHORT", 2)
     fresh = bpe.Bpe(own.spec)
     same(fresh, library, text)

@@ -20,14 +20,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-CACHE = 300_000
+CACHE = 400_000
 SHORT, NEVER = 24, 1 << 60
 PIECE = 1 << 20
 BATCH_BYTES = 8 << 20
 
 # Fixed values of the word vocabulary: white space, contractions and word-end mark. Words are contractions, runs of letters,
 # single digits, and runs of other characters than these and white space.
-SPACES = "\t\n\v\f\r \x85\xa0  -     　"
+SPACES = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
 END = "</w>"
 
@@ -44,6 +44,26 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in visible else next(hidden)) for b in range(256)]
 
 
+class _Recent(dict):
+    """Values worked out once per key while it keeps coming up: two generations of ``CACHE / 2`` keys, the older one forgotten
+    when the younger is full. Very long keys are not kept."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.older = make, {}
+
+    def __missing__(self, key):
+        found = self.older.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= CACHE // 2:
+                self.older = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 class Bpe:
     """Encoder and decoder of one tokenizer file (its JSON text)."""
 
@@ -62,8 +82,7 @@ class Bpe:
         self.inside = {pair for token in self.vocab for pair in self._pairs(token)}
         self.library = None
         self.spec = spec
-        self.words: dict[str, bytes] = {}
-        self.fragments: dict[tuple[str, ...], tuple[int, ...]] = {}
+        self.words = _Recent(self.word)
 
     @staticmethod
     def _pairs(token: str) -> Iterator[tuple[str, str]]:
@@ -127,25 +146,11 @@ class Bpe:
 
     def word(self, word: str) -> bytes:
         """Ids of one word as little-endian 32-bit numbers."""
-        found = self.words.get(word)
-        if found is None:
-            table = byte_symbols()
-            ids: list[int] = []
-            for fragment in self.cut(self._symbols("".join([table[b] for b in word.encode()]), True)):
-                part = self.fragments.get(fragment)
-                if part is None:
-                    part = self.merged(fragment)
-                    if len(self.fragments) >= CACHE:
-                        self.fragments.clear()
-                    if len(fragment) <= 32:
-                        self.fragments[fragment] = part
-                ids += part
-            found = struct.pack(f"<{len(ids)}I", *ids)
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            if len(word) <= 64:
-                self.words[word] = found
-        return found
+        table = byte_symbols()
+        ids: list[int] = []
+        for fragment in self.cut(self._symbols("".join([table[b] for b in word.encode()]), True)):
+            ids += self.merged(fragment)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def split(self, text: str) -> Iterator[list[str]]:
         """The words of a text without special tokens, normalised, in lists of bounded size."""
@@ -188,10 +193,7 @@ class Bpe:
                 out.append(np.array([self.special[part]], "<u4").tobytes())
                 continue
             for found in self.split(part):
-                try:
-                    out.append(b"".join([self.words[w] for w in found]))
-                except KeyError:
-                    out.append(b"".join([self.word(w) for w in found]))
+                out.append(b"".join([self.words[w] for w in found]))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
