@@ -1,4 +1,7 @@
+from collections import Counter
+
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import make
 from tidewire.llm import langid
@@ -46,6 +49,22 @@ def test_sample_is_bounded(spark):
     assert langid.trained(docs, sample=20) is not None
 
 
+def test_quotas():
+    assert langid.quotas({"en": 1000, "de": 1000, "it": 10}, 210) == {"it": 10, "de": 100, "en": 100}
+    assert langid.quotas({"en": 3, "de": 2}, 2000) == {"de": 2, "en": 3}
+    assert sum(langid.quotas({f"l{i}": 7 + i for i in range(9)}, 90).values()) == 90
+
+
+def test_small_languages_get_their_part_of_the_sample(spark, monkeypatch):
+    """Four big languages and one of 0.2 % of the rows, which has more than its quota."""
+    sizes = {"de": 20_000, "en": 60_000, "es": 20_000, "fr": 20_000, "it": 240}
+    lang = F.element_at(F.array(*[F.lit(name) for name in sizes for _ in range(sizes[name] // 240)]), (F.col("id") % 500 + 1).cast("int"))
+    monkeypatch.setattr(langid, "fit", lambda counts, labels: labels)
+    docs = spark.range(500 * 240).select(F.col("id").alias("doc_id"), F.concat(F.lit("a word "), "id").alias("text"), lang.alias("lang"))
+    drawn = Counter(langid.trained(docs, sample=500))
+    assert drawn == dict.fromkeys(sizes, 100)
+
+
 def test_nothing_to_learn_from(odd, none):
     assert langid.trained(none) is None
     assert {r.lang_pred for r in langid.predicted(odd, None).collect()} == {"und"} and langid.predicted(none, None).count() == 0

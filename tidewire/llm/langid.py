@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -139,8 +139,18 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.select("lang", "text").mapInArrow(run, "lang string, places array<int>, amounts array<bigint>")
 
 
+def quotas(sizes: dict[str, int], sample: int) -> dict[str, int]:
+    """How many rows each language gives to a sample: equal parts, and what small languages leave is dealt among the others."""
+    given, left = {}, sample
+    for at, (name, n) in enumerate(sorted(sizes.items(), key=lambda item: (item[1], item[0]))):
+        given[name] = min(n, left // (len(sizes) - at))
+        left -= given[name]
+    return given
+
+
 def trained(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", folds: int = 5, sample: int = SAMPLE) -> Classifier | None:
-    """A classifier of at most ``sample`` labelled texts, drawn by a hash of their ids, evenly over the languages where there are enough.
+    """A classifier of at most ``sample`` labelled texts, drawn by a hash of their ids: the same number of each language, and of
+    the larger ones what the small ones have too few rows for.
 
     Rows with a null language or text and those of fold 0 are never used. None if no row is left.
     """
@@ -149,12 +159,14 @@ def trained(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     sizes = {row["lang"]: row["count"] for row in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(sample).collect()}
     if not sizes:
         return None
-    quota = max(1, sample // len(sizes))
+    quota = quotas(sizes, sample)
     draw = F.pmod(F.xxhash64(F.lit(SEED), F.col("id").cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    # A little more than the quota by rate, then exactly the smallest draws.
-    rate = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, 1.5 * quota / n + 20 / n))])
+    # A little more than each language's quota by rate, then exactly its smallest draws.
+    rate = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, 1.5 * quota[name] / n + 20 / n))])
+    most = F.create_map(*[F.lit(x) for name, n in quota.items() for x in (name, n)])
     drawn = usable.where(rate[F.col("lang")] > draw).withColumn("draw", draw)
-    rows = _counted(drawn.orderBy("draw").limit(sample)).collect()
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id", "text"))
+    rows = _counted(drawn.withColumn("place", place).where(F.col("place") <= most[F.col("lang")])).collect()
     counts = np.zeros((len(rows), BUCKETS), np.float32)
     for i, row in enumerate(rows):
         counts[i, row["places"]] = row["amounts"]
