@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import make
@@ -55,6 +56,17 @@ def test_redaction(spark):
     assert got == [(1, want), (2, want), (4, "clean"), (5, None), (None, want)]
 
 
+@pytest.mark.parametrize("copies", [3, 10, 1000])
+def test_a_key_in_copies_of_a_document_is_no_example(spark, copies):
+    """Identical and near copies over twenty sources, one of them null; a key in unlike texts of most sources is an example."""
+    near = [(i, f"copy {i % 7} of a long page, {OWN} and some more words of the page {i % 5}", "en", f"s{i % 20}" if i % 20 else None) for i in range(copies)]
+    same = [(2000 + i, f"one page with {KEY} in it", "en", f"s{i % 20}") for i in range(copies)]
+    unlike = [(4000 + i, " ".join(f"{w}{i}" for w in "abcdefghijkl") + f" {HEX}{HEX} " + " ".join(f"{w}{i}" for w in "mnopqrstuvw"), "en", f"s{i}") for i in range(20)]
+    rows = {r.doc_id: r.text for r in secrets.redacted(make(spark, near + same + unlike)).collect()}
+    assert not any(OWN in rows[i] or KEY in rows[2000 + i] for i in range(copies))
+    assert all(HEX in rows[4000 + i] for i in range(20))
+
+
 def test_odd_rows(spark, odd, none):
     rows = secrets.spans(odd).collect()
     assert len(rows) == odd.count() and not any(r.spans for r in rows)

@@ -11,6 +11,8 @@ from tidewire.llm.common import let
 from tidewire.session import Scratch
 
 MAX_OWNERS = 2
+# Fixed values of redaction: a value counts as an example from half of all owners on, or from this many; characters of context.
+MANY_OWNERS, CONTEXT = 50, 24
 MARK = "[SECRET]"
 
 
@@ -40,12 +42,12 @@ KINDS = (
     Kind("opaque", r"[A-Za-z0-9+/_-]{32,}", base=False, mixed=True),
 )
 PLACEHOLDER = r"(?i)example|changeme|placeholder|dummy|sample|your|xxxx|\*\*\*\*"
-_FOUND = "array<struct<kind:int,n:int,gap:int,match:string,value:string>>"
+_FOUND = "array<struct<kind:int,n:int,gap:int,match:string,value:string,near:bigint>>"
 _ROW = ("doc_id", "digest", "owner")
 
 
 def _found(text: Column, number: int, kind: Kind) -> Column:
-    """Matches of one kind in order, each with the length of the text before it since the last one."""
+    """Matches of one kind in order, each with the length of the text before it since the last one and a hash of what is around it."""
     pattern = F.lit(kind.pattern)
 
     def placed(gaps: Column) -> Column:
@@ -53,7 +55,8 @@ def _found(text: Column, number: int, kind: Kind) -> Column:
         return let(values, lambda vs: F.transform(
             F.regexp_extract_all(text, pattern, F.lit(0)),
             lambda m, i: F.struct(F.lit(number).alias("kind"), i.alias("n"), F.length(F.get(gaps, i)).alias("gap"), m.alias("match"),
-                                  F.get(vs, i).alias("value"))))
+                                  F.get(vs, i).alias("value"),
+                                  F.xxhash64(F.right(F.get(gaps, i), F.lit(CONTEXT)), F.left(F.get(gaps, i + 1), F.lit(CONTEXT))).alias("near"))))
 
     return F.when(text.rlike(kind.pattern), let(F.split(text, kind.pattern), placed)).otherwise(F.array().cast(_FOUND)).cast(_FOUND)
 
@@ -87,7 +90,7 @@ def _candidates(scanned: DataFrame, kinds: tuple[Kind, ...]) -> DataFrame:
     value = F.col("value")
     holds = (F.length(value) >= F.get(least, F.col("kind"))) & (
         ~F.get(mixed, F.col("kind")) | value.rlike("[0-9]") & value.rlike("[a-z]") & value.rlike("[A-Z]"))
-    return rows.where(holds).select(*_ROW, "repo", "kind", "start", "end", F.sha2(value, 256).alias("hash"), looks_live(value).alias("looks_live"))
+    return rows.where(holds).select(*_ROW, "repo", "kind", "start", "end", F.sha2(value, 256).alias("hash"), looks_live(value).alias("looks_live"), "near")
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -98,20 +101,35 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count("owner").alias("owners"), F.sum("repos").alias("repos"))
 
 
+def uses(candidates: DataFrame) -> DataFrame:
+    """(hash, owners, repos) like :func:`ownership`, of uses that do not stem from each other: copies of a text count once, and so
+    do texts with the same characters around the value, as near copies have. A use has one owner; null is one."""
+    texts = candidates.groupBy("hash", "digest").agg(F.min("near").alias("near"), F.min("owner").alias("owner"))
+    each = texts.groupBy("hash", "near").agg(F.min("owner").alias("owner"))
+    by_owner = each.groupBy("hash", "owner").agg(F.count("*").alias("repos"))
+    return by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+
+
 def judged(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", repo: Column | None = None,
-           owner: Column | None = None, max_owners: int = MAX_OWNERS, kinds: tuple[Kind, ...] = KINDS) -> tuple[DataFrame, DataFrame]:
+           owner: Column | None = None, max_owners: int = MAX_OWNERS, kinds: tuple[Kind, ...] = KINDS,
+           by_use: bool = False) -> tuple[DataFrame, DataFrame]:
     """The scanned documents and their judged candidates, both written tables.
 
     A candidate is ``copied`` if more than ``max_owners`` owners hold its value, ``live`` if not and it looks like a real
     credential, else ``weak``. Owners that are null are not counted.
+
+    ``by_use`` counts owners of :func:`uses`, and asks for more than half of all owners or ``MANY_OWNERS`` of them.
     """
     repo = docs[key] if repo is None else repo
     owner = docs["source"] if owner is None else owner
     scanned = scratch.keep(_scanned(docs, key, text, repo, owner, kinds))
     candidates = scratch.keep(_candidates(scanned, kinds))
-    counts = scratch.keep(ownership(candidates))
+    if by_use:
+        every = scanned.groupBy("owner").agg(F.lit(1)).count()
+        max_owners = max(max_owners, min(every // 2, MANY_OWNERS))
+    counts = scratch.keep(uses(candidates) if by_use else ownership(candidates))
     status = F.when(F.col("owners") > max_owners, "copied").when(F.col("looks_live"), "live").otherwise("weak")
-    return scanned, scratch.keep(candidates.join(counts, "hash").withColumn("status", status).drop("looks_live", "repo"))
+    return scanned, scratch.keep(candidates.join(counts, "hash").withColumn("status", status).drop("looks_live", "repo", "near"))
 
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: Column | None = None, owner: Column | None = None,
@@ -133,10 +151,13 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: Column
 
 def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: Column | None = None, owner: Column | None = None,
              max_owners: int = MAX_OWNERS, mark: str = MARK, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """``docs`` with every live secret in its text replaced by ``mark``; copied examples and other text stay."""
+    """``docs`` with every live secret in its text replaced by ``mark``; copied examples and other text stay.
+
+    A value is an example if unlike texts of many owners hold it, so copies of a document keep none of its keys.
+    """
     scratch = Scratch(docs.sparkSession, "secrets")
     owner = docs["source"] if owner is None else owner
-    _, found = judged(docs, scratch, key, text, repo, owner, max_owners, kinds)
+    _, found = judged(docs, scratch, key, text, repo, owner, max_owners, kinds, by_use=True)
     before = Window.partitionBy(*_ROW).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     live = found.where("status = 'live'").withColumn("reached", F.coalesce(F.max("end").over(before), F.lit(0)))
     # Overlapping spans are one: only the first of them ends the text kept before.
