@@ -1,8 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tidewire.operators import joins
 from tidewire.operators import recordings as rec
 from tidewire.sources import recordings as store
+from tidewire.streaming import live
 
 SCHEMA = ("recording_id string, topic string, type_name string, arrival_seq bigint, log_time_ns bigint, "
           "payload binary, payload_bytes int")
@@ -47,6 +49,34 @@ def test_newest_splits_only(spark, tmp_path):
     assert {r.split for r in store.read_channels(spark, str(tmp_path / "r")).collect()} == {3, 4}
 
 
+def test_null_keys_are_keys(spark, tmp_path):
+    """No message is lost for want of a recording or a topic, in a finished or a live recording."""
+    rows = messages(spark)
+    rows = rows.withColumns({"recording_id": F.when(F.col("arrival_seq") % 2 == 1, F.col("recording_id")),
+                             "topic": F.when(F.col("arrival_seq") % 3 > 0, F.col("topic")), "valid": F.lit(True)})
+    limits = rec.Limits(max_bytes=280, poll_ns=SECOND)
+    split = rec.assign_splits(rows, limits, block_rows=30)
+    sizes = {(r.recording_id, r.split): r["count"] for r in split.groupBy("recording_id", "split").count().collect()}
+    assert sizes == {(g, n): 20 for g in (None, "r1") for n in range(5)}
+    newest = rec.retain_splits(split, 2).groupBy("recording_id").count().collect()
+    assert {r.recording_id: r["count"] for r in newest} == {None: 40, "r1": 40}
+    path = str(tmp_path / "r")
+    store.write_recording(rows, path, limits)
+    got = store.read_messages(spark, path)
+    assert got.count() == rows.count() and got.where("topic is null").count() == rows.where("topic is null").count()
+    assert got.where("recording_id is null").count() == 100 and store.read_channels(spark, path).count() == 2 * 5 * 3
+    feed, out = str(tmp_path / "feed"), str(tmp_path / "live")
+    for half in ("arrival_seq < 90", "arrival_seq >= 90"):
+        rows.where(half).coalesce(1).write.mode("append").parquet(feed)
+    live.record_stream(live.read_files(spark, feed, rows.schema, 1), out, limits=limits, max_splits=0, trigger=live.ONCE).start().awaitTermination()
+    kept = live.recorded(spark, out).select("recording_id", "arrival_seq", "split")
+    want = split.select("recording_id", "arrival_seq", "split")
+    assert kept.exceptAll(want).count() == want.exceptAll(kept).count() == 0
+    assert live.recorded(spark, out, 2).count() == 80
+    dims = live.recorded_dims(spark, out)
+    assert dims.count() == 2 * 5 * 3 and dims.select("recording_id", "channel_id").distinct().count() == 2 * 3
+
+
 def test_time_and_split_filters_reach_the_scan(spark, tmp_path):
     store.write_recording(messages(spark), str(tmp_path / "r"), rec.Limits(max_bytes=280, poll_ns=SECOND))
     df = store.read_messages(spark, str(tmp_path / "r")).where(

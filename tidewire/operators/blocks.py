@@ -50,6 +50,13 @@ def inside_block(keys: Sequence[str], order: str):
     return W.partitionBy(*keys, BLOCK).orderBy(order)
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on columns of the same names that come once; null keys are a key like any other."""
+    other = right.select(*[F.col(name).alias(f"_of_{name}") if name in keys else F.col(name) for name in right.columns])
+    same = reduce(lambda a, b: a & b, [left[name].eqNullSafe(other[f"_of_{name}"]) for name in keys])
+    return left.join(other, same, how).drop(*[f"_of_{name}" for name in keys])
+
+
 def with_carry(rows: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of the blocks in ``carry``, each with its ``_carry``; null keys are a key like any other."""
     right = carry.select(*[F.col(name).alias(f"_of_{name}") for name in (*keys, BLOCK)], "_carry")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.filters import alive_only, not_builtin, not_system, writers
 from tidewire.functions.scalars import participant_guid, qos_labels
+from tidewire.operators.blocks import join_keys
 from tidewire.operators.versions import first_version, last_version
 
 _QOS = ["reliability", "durability", "history_kind", "history_depth"]
@@ -114,10 +115,10 @@ _IDS = ["recording_id", "topic", "type_name", "channel_id", "schema_id"]
 def more_ids(df: DataFrame, known: DataFrame) -> DataFrame:
     """``known`` ids (as of :func:`assign_ids`) and those of topics and types that first appear in ``df``, numbered on."""
     seen = first_version(df, ["recording_id", "topic"], ["type_name"], "arrival_seq").withColumnRenamed("arrival_seq", "_seen")
-    fresh = seen.join(known, ["recording_id", "topic"], "left_anti")
+    fresh = join_keys(seen, known, ["recording_id", "topic"], "left_anti")
     tops = known.groupBy("recording_id").agg(F.max("channel_id").alias("_channels"), F.max("schema_id").alias("_schemas"))
     types = known.where("type_name <> ''").select("recording_id", "type_name", F.col("schema_id").alias("_known")).distinct()
-    rows = fresh.join(tops, "recording_id", "left").join(types, ["recording_id", "type_name"], "left")
+    rows = join_keys(join_keys(fresh, tops, ["recording_id"], "left"), types, ["recording_id", "type_name"], "left")
     is_new = (F.col("type_name") != "") & F.col("_known").isNull()
     first_of_type = F.min("_seen").over(W.partitionBy("recording_id", "type_name"))
     rows = rows.withColumn("_type_seen", F.when(is_new, first_of_type))
@@ -133,4 +134,4 @@ def more_ids(df: DataFrame, known: DataFrame) -> DataFrame:
 def replicate_dims(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Each split's own list of the channels and schemas it uses."""
     used = df.select("recording_id", "split", "topic").distinct()
-    return used.join(ids, ["recording_id", "topic"])
+    return join_keys(used, ids, ["recording_id", "topic"])

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.functions.scalars import NANOS, floor_div
-from tidewire.operators.blocks import block_carry, inside_block, with_block, with_carry
+from tidewire.operators.blocks import block_carry, inside_block, join_keys, with_block, with_carry
 from tidewire.operators.discovery import discovered
 from tidewire.operators.segments import SEGMENT_BLOCK_ROWS, greedy_segments
 
@@ -42,7 +42,7 @@ def split_rounds(rounds: DataFrame, limits: Limits, block_rows: int = SEGMENT_BL
     clocked = rounds.withColumn("_begin", F.col("poll") * limits.poll_ns)
     cut = greedy_segments(clocked, ["recording_id"], "poll", "bytes", target=limits.max_bytes,
                           clock="_begin", span=limits.max_ns, block_rows=block_rows, opened=opened)
-    return cut.select("recording_id", "poll", "bytes", F.col("segment").alias("split"),
+    return cut.where("poll is not null").select("recording_id", "poll", "bytes", F.col("segment").alias("split"),
                       F.col("offset").alias("split_offset"), F.col("segment_start").alias("split_start_ns"))
 
 
@@ -56,11 +56,12 @@ def assign_splits(msgs: DataFrame, limits: Limits, block_rows: int = SEGMENT_BLO
     """Messages with their ``split`` and its start, of the ``newest`` splits only if asked for (0 = all).
 
     A split ends when its payload bytes or its age reach a limit; both start again with the next round that
-    has messages. Only one row per poll round takes part in the cutting; splits come back by equi-join.
+    has messages. Only one row per poll round takes part in the cutting; splits come back by equi-join. Messages without a
+    recording are one of their own.
     """
     splits = retain_splits(split_rounds(_rounds(msgs, limits), limits, block_rows), newest)
-    return (msgs.withColumn("poll", poll_round(limits))
-            .join(splits.drop("split_offset", "bytes"), ["recording_id", "poll"]).drop("poll"))
+    placed = msgs.withColumn("poll", poll_round(limits))
+    return join_keys(placed, splits.drop("split_offset", "bytes"), ["recording_id", "poll"]).drop("poll")
 
 
 def stop_at_limit(msgs: DataFrame, limits: Limits, block_rows: int = SEGMENT_BLOCK_ROWS) -> DataFrame:
@@ -90,7 +91,7 @@ def retain_splits(df: DataFrame, newest: int) -> DataFrame:
     if not newest:
         return df
     last = df.groupBy("recording_id").agg(F.max("split").alias("_last"))
-    return df.join(last, "recording_id").where(F.col("split") > F.col("_last") - newest).drop("_last")
+    return join_keys(df, last, ["recording_id"]).where(F.col("split") > F.col("_last") - newest).drop("_last")
 
 
 def assign_chunks(df: DataFrame, target: int = CHUNK_BYTES,

@@ -14,7 +14,6 @@ Steps 1 and 3 run on all blocks at once; step 2 streams pages of bounded size an
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewire.operators.blocks import BLOCK, with_block
+from tidewire.operators.blocks import BLOCK, join_keys, with_block
 
 SEGMENT_BLOCK_ROWS = 1 << 18
 PAGE = 512
@@ -162,7 +161,7 @@ def greedy_segments(units: DataFrame, keys: list[str], order: str, size: str, *,
     ``target`` limits the bytes and ``span`` the time (on ``clock``, which must not fall along ``order``); 0 is
     no limit. A segment is cut before a unit once the bytes already in it reach ``target``, or, with
     ``close_before``, once they would reach it with the unit. ``opened`` may hold one row per key with
-    ``segment, open_size, open_clock`` to go on with a segment left open by earlier units.
+    ``segment, open_size, open_clock`` to go on with a segment left open by earlier units. Null keys are a key like any other.
     """
     clock_column = F.col(clock) if clock else F.lit(0)
     narrow = with_block(units.select(
@@ -171,8 +170,7 @@ def greedy_segments(units: DataFrame, keys: list[str], order: str, size: str, *,
     key_fields = [narrow.schema[name] for name in keys]
     key_types = [_ARROW_KEYS[field.dataType] for field in key_fields]
     block_keys = [*keys, BLOCK]
-    # the join below asks for the same; saying it here lets both uses of ``narrow`` share one shuffle
-    narrow = narrow.where(reduce(lambda a, b: a & b, [F.col(name).isNotNull() for name in block_keys]))
+    narrow = narrow.where(F.col(BLOCK).isNotNull())
 
     def cuts_of(rows: pa.Table) -> _Cuts:
         return _Cuts(rows["_size"].to_numpy(), rows["_clock"].to_numpy(), target, span if clock else 0,
@@ -186,7 +184,7 @@ def greedy_segments(units: DataFrame, keys: list[str], order: str, size: str, *,
     if opened is None:
         summaries = summaries.withColumns({name: F.lit(None).cast("long") for name in _STATE[:3]})
     else:
-        summaries = summaries.join(opened.select(*keys, *_STATE[:3]), keys, "left")
+        summaries = join_keys(summaries, opened.select(*keys, *_STATE[:3]), keys, "left")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = walker = None
@@ -223,7 +221,7 @@ def greedy_segments(units: DataFrame, keys: list[str], order: str, size: str, *,
         own = rows.take(at)
         return pa.table({**{name: own[name] for name in block_keys}, order: own["_order"], **dict(zip(_MARK, facts))})
 
-    marks = (narrow.join(states, block_keys).groupBy(*block_keys)
+    marks = (join_keys(narrow, states, block_keys).groupBy(*block_keys)
              .applyInArrow(mark, T.StructType(key_fields + [
                  T.StructField(name, T.LongType()) for name in (BLOCK, order, *_MARK)])))
     return _number(with_block(units, order, block_rows), marks, block_keys, order, size)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.operators.blocks import join_keys
 from tidewire.operators.discovery import assign_ids, replicate_dims
 from tidewire.operators.recordings import Limits, assign_splits
 
@@ -36,7 +37,7 @@ def write_recording(msgs: DataFrame, path: str, limits: Limits | None = None, *,
     """
     split = split_recording(msgs, limits, max_splits)
     ids = assign_ids(msgs)
-    stored = split.join(ids.select("recording_id", "topic", "channel_id"), ["recording_id", "topic"])
+    stored = join_keys(split, ids.select("recording_id", "topic", "channel_id"), ["recording_id", "topic"])
     options = {"compression": codec(compression)}
     (stored.hint("rebalance", "recording_id", "split")
      .sortWithinPartitions("recording_id", "split", "log_time_ns")

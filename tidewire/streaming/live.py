@@ -17,6 +17,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
 from tidewire.functions.filters import not_system
+from tidewire.operators.blocks import join_keys
 from tidewire.operators.discovery import more_ids, replicate_dims
 from tidewire.operators.rates import DEFAULT_WINDOW, LATEST_BLOCK_ROWS, STREAM, last_n, latest_stamps, stamps, summarize, window_size
 from tidewire.operators.recordings import Limits, poll_round, retain_splits, split_rounds
@@ -176,14 +177,14 @@ def _split_step(path: str, limits: Limits, block_rows: int, split: bool, max_spl
         held = state.before(batch.sparkSession, batch_id)
         at = held.select("recording_id", F.col("poll").alias("_last"))
         # a late message belongs to the round being recorded when it comes
-        placed = (batch.join(at, "recording_id", "left")
+        placed = (join_keys(batch, at, ["recording_id"], "left")
                   .withColumn("poll", F.greatest(poll_round(limits), F.col("_last"))).drop("_last"))
         rounds = (placed.groupBy("recording_id", "poll").agg(F.sum("payload_bytes").alias("bytes"))
                   .unionByName(held.select("recording_id", "poll", "bytes"))
                   .groupBy("recording_id", "poll").agg(F.sum("bytes").alias("bytes")))
         cuts = split_rounds(rounds, limits, block_rows, opened=held.drop("poll", "bytes"))
         cuts = cuts.persist()  # one row per round, for rows and state
-        splits = placed.join(cuts.select("recording_id", "poll", "split"), ["recording_id", "poll"]).drop("poll")
+        splits = join_keys(placed, cuts.select("recording_id", "poll", "split"), ["recording_id", "poll"]).drop("poll")
         if "type_name" in batch.columns:
             known = ids.after(more_ids(batch, ids.before(batch.sparkSession, batch_id)), batch_id)
             _write_batch(replicate_dims(splits if split else splits.where("split = 0"), known), path, "dims", batch_id)
