@@ -14,7 +14,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that break a quality rule go."""
-    return docs.select(*COLUMNS).where(quality.passes(F.col("text")))
+    return docs.select(*COLUMNS).where(quality.passes(F.col("text"), quality.CORPUS_RULES, F.col("lang")))
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

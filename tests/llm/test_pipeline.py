@@ -1,10 +1,11 @@
 import pytest
 
 import corpus_pipeline
+from tests.llm.conftest import make
 from tests.llm.test_quality import plain as counts
 from tests.llm.test_simhash import plain as fingerprint
 from tests.llm.test_simhash import roots
-from tidewire.llm import queries
+from tidewire.llm import quality, queries
 from tidewire.llm.common import table
 from tests.support.compare import difference, duck, duck_rows, spark_rows
 
@@ -36,6 +37,28 @@ def test_quality(stages):
     assert len(kept) > 0.7 * before.count()
 
 
+def test_quality_keeps_clean_documents(spark, sf_dir):
+    """Function words count beside marks and in any case, not in short texts, and not in languages that have none of them."""
+    rare = "Üau heit ie enie, den, chö enkeitstau enchentz schungen des."
+    marked = " ".join(f"wort{i} und, (Die stein{i}." for i in range(20))
+    russian = " ".join(f"слово{i} дом{i} река{i}" for i in range(20))
+    plain = " ".join(f"lorem{i} ipsum{i}" for i in range(40))
+    rows = make(spark, [(1, rare, "de", "s"), (2, marked, "de", "s"), (3, russian, "ru", "s"), (4, plain, "en-US", "s"), (5, plain, None, "s"),
+                        (6, plain, "fi", "s"), (7, plain, "est", "s")])
+    assert sorted(r.doc_id for r in corpus_pipeline.quality_rules(spark, rows, sf_dir).collect()) == [1, 2, 3, 5, 6, 7]
+
+
+def test_quality_agrees_with_labels(spark, sf_dir):
+    """No document labelled good goes by the rule of function words, and no junk comes back for it."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    kept = corpus_pipeline.quality_rules(spark, docs, sf_dir).select("doc_id")
+    others = tuple(rule for rule in quality.RULES if rule.metric != "stop_word_ratio")
+    clean = docs.where(quality.passes(docs["text"], others)).join(labels.where("quality = 1"), "doc_id", "left_semi")
+    assert clean.join(kept, "doc_id", "left_anti").count() == 0
+    junk = docs.where(~quality.passes(docs["text"])).join(labels.where("quality = 0"), "doc_id", "left_semi")
+    assert junk.join(kept, "doc_id", "left_semi").count() == 0
+
+
 def test_dedup(stages):
     before, after = stages[1]
     rows = sorted((r.doc_id, fingerprint(r.text)) for r in before.collect())

@@ -22,16 +22,25 @@ STOP_WORDS = (
     "al", "como", "con", "del", "el", "es", "los", "las", "lo", "no", "por", "se", "su", "una", "y",
 )
 
+# Their languages, and what may stand before and after a word.
+STOP_LANGUAGES = ("en", "de", "fr", "es")
+MARKS = ".,;:!?¿¡()[]{}<>\"'`´«»‹›„“”‚‘’…*_-–—/"
+
 STOP_FORMS = sorted({form for word in STOP_WORDS for form in (word, word.capitalize())})
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Keep a document if ``low <= metric <= high``; an open side is None."""
+    """Keep a document if ``low <= metric <= high``; an open side is None.
+
+    The rule is for documents of ``least`` words and, if ``languages`` are named and the documents' are known, for those alone.
+    """
 
     metric: str
     low: float | None = None
     high: float | None = None
+    least: int = 0
+    languages: tuple[str, ...] = ()
 
 
 # Measured on words of at least the length base rule, so that no ratio divides by zero.
@@ -46,6 +55,11 @@ RULES = (
 )
 
 
+# For a corpus: function words count whatever their case and the marks beside them, and none is a sign only of longer texts.
+CORPUS_RULES = tuple(Rule("function_word_ratio", low=0.02, least=50, languages=STOP_LANGUAGES) if rule.metric == "stop_word_ratio" else rule
+                     for rule in RULES)
+
+
 def _repeat_words(ws: Column) -> Column:
     """Words that lie in a 5-word window found twice or more, the first included.
 
@@ -77,8 +91,8 @@ def _repeat_words(ws: Column) -> Column:
     return F.when(F.size(ws) >= WINDOW, let(hashes, lambda hw: let(windows(hw), repeated))).otherwise(F.lit(0).cast("long"))
 
 
-def measures(text: Column) -> Column:
-    """A struct of the counts of a whole text; null and empty texts have no words."""
+def measures(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """A struct of the counts of a whole text that the rules need; null and empty texts have no words."""
     body = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
 
@@ -93,6 +107,8 @@ def measures(text: Column) -> Column:
             F.size(ls).cast("long").alias("n_lines"),
             F.size(F.filter(ws, lambda w: w.isin(*STOP_FORMS))).cast("long").alias("n_stop_words"),
             F.size(F.filter(ws, lambda w: w.rlike(r"\p{L}"))).cast("long").alias("n_letter_words"),
+            *([F.size(F.filter(ws, lambda w: F.btrim(F.lower(w), F.lit(MARKS)).isin(*STOP_WORDS))).cast("long").alias("n_function_words")]
+              if any(rule.metric == "function_word_ratio" for rule in rules) else []),
         )
 
     return let(words(body), lambda ws: let(lines, lambda ls: counts(ws, ls)))
@@ -108,13 +124,15 @@ def _metrics(q: Column) -> dict[str, Column]:
         "symbol_ratio": ratio("n_symbols", "n_words"),
         "letter_word_ratio": ratio("n_letter_words", "n_words"),
         "stop_word_ratio": ratio("n_stop_words", "n_words"),
+        "function_word_ratio": ratio("n_function_words", "n_words"),
         "dup_line_ratio": ratio("n_dup_lines", "n_lines"),
         "repeat_word_ratio": ratio("n_repeat_words", "n_words"),
     }
 
 
-def verdict(q: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """The names of the rules a measured document breaks, as one expression."""
+def verdict(q: Column, rules: tuple[Rule, ...] = RULES, lang: Column | None = None) -> Column:
+    """The names of the rules a measured document breaks, as one expression. With ``lang``, rules for some languages pass the others
+    and null ones."""
     metrics = _metrics(q)
     broken = []
     for rule in rules:
@@ -123,6 +141,11 @@ def verdict(q: Column, rules: tuple[Rule, ...] = RULES) -> Column:
             passes = passes & (metric >= rule.low)
         if rule.high is not None:
             passes = passes & (metric <= rule.high)
+        if rule.least:
+            passes = passes | (q["n_words"] < rule.least)
+        if rule.languages and lang is not None:
+            spoken = F.lower(F.regexp_extract(lang, "^[A-Za-z]+", 0)).isin(*rule.languages)
+            passes = passes | ~F.coalesce(spoken, F.lit(False))
         broken.append(F.when(~passes, F.lit(rule.metric)))
     return F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")
 
@@ -132,9 +155,9 @@ def base_failed(q: Column) -> Column:
     return (q["n_words"] < 10) | (100 * q["n_repeat_words"] > 20 * q["n_words"])
 
 
-def passes(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+def passes(text: Column, rules: tuple[Rule, ...] = RULES, lang: Column | None = None) -> Column:
     """Whether a whole text keeps all rules, as one expression that measures it once; for filters."""
-    return let(measures(text), lambda q: ~base_failed(q) & (F.size(verdict(q, rules)) == 0))
+    return let(measures(text, rules), lambda q: ~base_failed(q) & (F.size(verdict(q, rules, lang)) == 0))
 
 
 def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -145,5 +168,5 @@ def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     use ``passes``: a filter on ``kept`` would be pushed below and measure each text many times.
     """
     q = F.col("quality")
-    judged_rows = widened(widened(docs, quality=measures(docs[text])), base_failed=base_failed(q), broken=verdict(q, rules))
+    judged_rows = widened(widened(docs, quality=measures(docs[text], rules)), base_failed=base_failed(q), broken=verdict(q, rules))
     return widened(judged_rows, kept=~F.col("base_failed") & (F.size("broken") == 0))
