@@ -92,6 +92,17 @@ def test_odd_rows(spark, odd, none):
     assert simhash.near_duplicates(alone).first().component_id is None
 
 
+def test_one_of_each_with_unlike_texts_under_one_id(spark):
+    """Id 5 leads one component with one text and has another text in the component that id 1 leads."""
+    first, second = PLAIN, " ".join(f"another{i} thing{i}" for i in range(30))
+    texts = [(1, second), (5, first), (5, second), (5, first), (9, first)]
+    for rows in (texts, texts[::-1]):
+        kept = simhash.one_of_each(make(spark, [(i, t, "en", "s") for i, t in rows]).repartition(4))
+        assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(1, second), (5, first)]
+    kept = simhash.one_of_each(make(spark, [(i, t, "en", "s") for i, t in texts[1:]]))
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == [(5, first), (5, second)]
+
+
 def test_one_of_each(odd, none):
     kept = simhash.one_of_each(odd)
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, -1, 1, 3, 6, 7] and kept.columns == odd.columns

@@ -150,6 +150,19 @@ def links(fps: DataFrame, max_bits: int, scratch: Scratch) -> DataFrame:
     return pairs.unionByName(stars.where("u <> v"))
 
 
+def _placed(docs: DataFrame, shingle: int, max_bits: int, key: str, text: str) -> DataFrame:
+    """(doc_id, fp, root, component_id): ``root`` is one fingerprint for all of a component."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    fps = scratch.keep(fingerprinted(docs, shingle, key, text))
+    classes = scratch.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    roots = components(links(classes, max_bits, scratch), scratch).withColumnRenamed("node", "fp")
+    lowest = scratch.keep(roots.join(classes, "fp").groupBy("root").agg(F.min("low").alias("component_id")))
+    resolved = roots.join(lowest, "root").select("fp", "root", "component_id")
+    named = scratch.keep(classes.join(resolved, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "low").alias("component_id")))
+    return fps.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id) of every row: the smallest id reachable over links, the row's own included.
 
@@ -157,29 +170,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2, key: s
     are one shingle. Repeated rows stay, each with its component. Rows without an id take part and keep a null id; a component
     without any id has a null component_id. An empty table gives no rows. Other columns of ``docs`` do not matter.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
-    fps = scratch.keep(fingerprinted(docs, shingle, key, text))
-    classes = scratch.keep(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(links(classes, max_bits, scratch), scratch).withColumnRenamed("node", "fp")
-    lowest = scratch.keep(roots.join(classes, "fp").groupBy("root").agg(F.min("low").alias("component_id")))
-    resolved = roots.join(lowest, "root").select("fp", "component_id")
-    named = scratch.keep(classes.join(resolved, "fp", "left").select("fp", F.coalesce("component_id", "low").alias("component_id")))
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return _placed(docs, shingle, max_bits, key, text).select("doc_id", "fp", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 3, max_bits: int = 2, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay when each component keeps the document of its smallest id.
 
-    Rows with the same id are one document, of which one row stays. Rows without an id cannot be told apart, and stay.
+    Of rows with the same id in the same component one stays, by a hash of the text; texts of one id that belong to different
+    components are judged each for itself. Rows without an id cannot be told apart, and stay.
     """
-    found = near_duplicates(docs, shingle, max_bits, key, text).where("doc_id is not null")
+    found = _placed(docs, shingle, max_bits, key, text).where("doc_id is not null")
     ids = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("rows"))
     scratch = Scratch(docs.sparkSession, "simhash")
     gone = scratch.keep(ids.where("not stays").select(F.col("doc_id").alias("gone_id")))
     kept = docs.join(gone, docs[key] == gone["gone_id"], "left_anti")
-    if ids.where("rows > 1").limit(1).count():
-        kept = kept.where(kept[key].isNotNull()).dropDuplicates([key]).unionByName(kept.where(kept[key].isNull()))
-    return kept
+    repeated = scratch.keep(ids.where("stays and rows > 1").select(F.col("doc_id").alias("again_id")))
+    if not repeated.limit(1).count():
+        return kept
+    digest = F.xxhash64(F.coalesce(docs[text], F.lit("")))
+    again = docs.join(repeated, docs[key] == repeated["again_id"], "left_semi").select(
+        F.struct(docs[key].alias("id"), digest.alias("digest")).alias("place"), docs[text].alias("text"), F.struct(*docs.columns).alias("row"))
+    prints = fingerprinted(again, shingle, "place", "text").select(F.col("doc_id").alias("of"), "fp").distinct()
+    leads = found.where("doc_id = component_id").select(F.col("doc_id").alias("lead"), F.col("fp").alias("lead_fp"), "root").distinct()
+    placed = again.join(prints, again["place"] == prints["of"]).join(leads, (F.col("place.id") == F.col("lead")) & (F.col("fp") == F.col("lead_fp")))
+    order = F.struct("place.digest", F.xxhash64(F.to_json("row")))
+    one = placed.groupBy("lead", "root").agg(F.min_by("row", order).alias("row")).select("row.*")
+    return kept.join(repeated, kept[key] == repeated["again_id"], "left_anti").unionByName(one)
 
 
 def hex_fingerprint(fp: Column) -> Column:
