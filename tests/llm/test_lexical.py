@@ -1,0 +1,100 @@
+import math
+import random
+import re
+
+import numpy as np
+import pytest
+
+from tests.llm.conftest import make
+from tidewire.llm import lexical
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+ASCII = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+
+def terms(text):
+    return TERM.findall((text or "").translate(ASCII))
+
+
+def plain(items, docs, k):
+    """Every document scored for every item."""
+    held = [(doc_id, terms(text)) for doc_id, text in docs]
+    held = [(doc_id, ts) for doc_id, ts in held if ts]
+    count, total = len(held), sum(len(ts) for _, ts in held)
+    asked = {}
+    for item, text in items:
+        if item is not None:
+            asked.setdefault(item, set()).update(terms(text))
+    out = []
+    for item in sorted(asked):
+        scores = []
+        for doc_id, ts in held:
+            m = 10 + (90 * len(ts) * count) // total
+            score = 0
+            for term in asked[item]:
+                df = sum(term in other for _, other in held)
+                weight = math.floor(1000 * math.log((2 * count + 2) / (2 * df + 1)))
+                score += weight * ((1_000_000_000 * ts.count(term)) // (1000 * ts.count(term) + 8 * m))
+            if score > 0:
+                scores.append((-score, doc_id is None, doc_id))
+        out += [(item, rank, doc_id, -score) for rank, (score, _, doc_id) in enumerate(sorted(scores, key=lambda s: (s[0], s[1], s[2] or 0))[:k], 1)]
+    return out
+
+
+def found(spark, items, docs, **options):
+    asked = spark.createDataFrame([(i, t, 5, 1, 2) for i, t in items], "item_id long, text string, rank int, doc_id long, score long")
+    rows = lexical.ranked(asked, make(spark, [(i, t, "en", "a") for i, t in docs]).repartition(3), **options).collect()
+    return sorted((r.item_id, r["rank"], r.doc_id, r.score) for r in rows)
+
+
+def unnamed(rows):
+    """Equal scores of several rows without an id have no order among themselves."""
+    return sorted((i, r, -1 if d is None else d, s) for i, r, d, s in rows)
+
+
+def corpus(seed, count):
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(30)] + ["Été", "İx", "straße", "a\x00b", "日本", "x_y", "1e9"]
+    weights = [1 / (i + 1) for i in range(len(words))]
+    docs = [(i, " ".join(rng.choices(words, weights, k=rng.randint(1, 40)))) for i in range(count)]
+    docs += [(i, docs[3][1]) for i in range(500, 515)] + [(7, docs[7][1]), (None, docs[5][1]), (900, None), (901, ""), (902, " .,"), (903, "W1 " * 5000)]
+    items = [(i, " ".join(rng.choices(words, weights, k=rng.randint(1, 12)))) for i in range(12)]
+    items += [(50, None), (51, ""), (52, "nowhere"), (None, "w1"), (3, "w29 w28"), (60, " ".join(words)), (-4, docs[3][1])]
+    return items, docs
+
+
+@pytest.mark.parametrize("sizes", [{}, {"BLOCK_BYTES": 200, "CELLS": 64, "FAN_IN": 2}])
+def test_agrees_with_scoring_every_document(spark, monkeypatch, sizes):
+    for name, size in sizes.items():
+        monkeypatch.setattr(lexical, name, size)
+    items, docs = corpus(5, 120)
+    assert unnamed(found(spark, items, docs)) == unnamed(plain(items, docs, 10))
+
+
+def test_more_than_64_terms(spark):
+    words = [f"t{i}" for i in range(150)]
+    rng = random.Random(2)
+    docs = [(i, " ".join(rng.sample(words, 20))) for i in range(60)]
+    items = [(1, " ".join(words)), (2, " ".join(words[:65]))]
+    assert found(spark, items, docs, k=4) == plain(items, docs, 4)
+
+
+def test_empty_tables(spark):
+    assert found(spark, [], [(1, "a")]) == [] and found(spark, [(1, "a")], []) == []
+    assert found(spark, [(1, "a")], [(1, None)]) == []
+
+
+def test_masks_that_cannot_win_are_not_evaluated():
+    """One document with the rare term beats all others, which share a common one."""
+    tf = np.ones((1000, 2), np.int64)
+    tf[:, 1] = 0
+    tf[17] = 1
+    best = lexical.Best([0, 1], [10, 5000], 1)
+    block = lexical.Block(np.arange(1000), np.zeros(1000, bool), np.full(1000, 100), tf)
+    assert best.search(block) == 1 and best.ids.tolist() == [17]
+    assert best.search(block._replace(ids=np.arange(1000, 2000))) == 1 and best.ids.tolist() == [17]
+
+
+def test_long_documents_do_not_overflow():
+    n = np.array([10**9, 1])
+    assert lexical.length_factor(n, 10**12, 10**15).tolist() == [10 + 90 * 10**21 // 10**15, 10]

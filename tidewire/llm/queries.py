@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.llm import bpe, hmm, langid, mixing, pii, quality, secrets, simhash, topk, warc
+from tidewire.llm import alignment, bpe, extraction, hmm, langid, lexical, mixing, pii, quality, secrets, simhash, topk, warc
 from tidewire.llm.common import table, tokenizer_path
 from tidewire.session import Scratch, attach, scratch_path
 
@@ -215,3 +215,47 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[F.size(F.filter(spans, of_kind(number))).cast("long").alias(f"n_{pii.KINDS[number]}") for number in range(pii.BASE_KINDS)],
         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(spans).alias("spans"),
         F.size(F.filter(spans, lambda s: ~s["base"])).cast("long").alias("n_added"))
+
+
+LEXICAL_SQL = r"""
+with texts as (
+  select row_number() over () as r, doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts
+  from documents),
+asked as (
+  select distinct item_id, unnest(regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from benchmark where item_id is not null),
+corpus as (
+  select count(*) filter (len(ts) > 0)::bigint as n_docs, sum(len(ts))::bigint as n_terms from texts),
+held as (
+  select r, term, count(*)::bigint as tf from (select r, unnest(ts) as term from texts) group by r, term),
+weighted as (
+  select term, floor(1000 * ln((2 * n_docs + 2) / (2 * coalesce(df, 0) + 1)))::bigint as w
+  from (select distinct term from asked) left join (select term, count(*)::bigint as df from held group by term) using (term), corpus),
+sized as (
+  select r, doc_id, 100 - 90 + ((90 * len(ts)::bigint * n_docs) // n_terms) as m from texts, corpus where len(ts) > 0),
+scored as (
+  select item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+  from asked join weighted using (term) join held using (term) join sized using (r) group by item_id, r, doc_id),
+placed as (
+  select *, row_number() over (partition by item_id order by score desc, doc_id nulls last)::int as rank from scored where score > 0)
+select item_id, rank, doc_id, score from placed where rank <= 10"""
+
+
+@query("op11_lexical_search", LEXICAL_SQL)
+def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), k=10)
+
+
+@query("op12_html_extraction")
+def html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extracted(table(spark, sf_dir, "pages"))
+
+
+@query("op13_token_alignment")
+def token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = alignment.aligned(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
