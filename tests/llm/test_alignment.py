@@ -1,6 +1,7 @@
 import random
 from collections import Counter
 from hashlib import sha256
+from itertools import accumulate
 
 import numpy as np
 import pytest
@@ -27,7 +28,7 @@ def plain(texts):
         return bytes([int(piece[3:5], 16)]) if piece.startswith("<0x") and len(piece) == 6 else piece.replace("▁", " ").encode()
 
     def ends(sizes):
-        return [sum(sizes[:n + 1]) for n in range(len(sizes))]
+        return list(accumulate(sizes))
 
     rows, pairs = [], Counter()
     for text in texts:
@@ -40,11 +41,13 @@ def plain(texts):
             continue
         ends_a, ends_b = ends([len(p) for p in parts_a]), ends([len(p) for p in parts_b])
         cuts = sorted(set(ends_a) & set(ends_b))
-        links = [(ids_a[ends_a.index(c)], ids_b[ends_b.index(c)]) for c in cuts]
-        groups, low = [], 0
+        last_a, last_b = ({e: n for n, e in enumerate(es)} for es in (ends_a, ends_b))
+        links = [(ids_a[last_a[c]], ids_b[last_b[c]]) for c in cuts]
+        groups, low_a, low_b = [], 0, 0
         for cut in cuts:
-            groups.append("|".join(",".join(str(i) for i, e in zip(ids, es) if low < e <= cut) for ids, es in ((ids_a, ends_a), (ids_b, ends_b))))
-            low = cut
+            high_a, high_b = last_a[cut] + 1, last_b[cut] + 1
+            groups.append(",".join(map(str, ids_a[low_a:high_a])) + "|" + ",".join(map(str, ids_b[low_b:high_b])))
+            low_a, low_b = high_a, high_b
         pairs.update(links)
         rows.append((len(ids_a), len(ids_b), groups, links))
     most = Counter()

@@ -63,7 +63,7 @@ def corpus(seed, count):
     return items, docs
 
 
-@pytest.mark.parametrize("sizes", [{}, {"BLOCK_BYTES": 200, "CELLS": 64, "FAN_IN": 2}])
+@pytest.mark.parametrize("sizes", [{}, {"BLOCK_BYTES": 1600, "CELLS": 64, "FAN_IN": 2}])
 def test_agrees_with_scoring_every_document(spark, monkeypatch, sizes):
     for name, size in sizes.items():
         monkeypatch.setattr(lexical, name, size)
