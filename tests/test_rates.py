@@ -2,8 +2,10 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewire.operators import blocks, rates
+from tidewire.session import Scratch
 
 SCHEMA = ("recording_id string, topic string, arrival_seq bigint, log_time_ns bigint, source_time_ns bigint, "
           "valid boolean, payload binary, payload_bytes int")
@@ -150,14 +152,31 @@ def test_recordings_numbered_from_zero_stay_apart(spark):
 def test_blocks_hold_rows_whatever_the_sequence_counts(spark, step):
     rows = numbered("a", step, 1.0, 400, first=10**12) + numbered("b", step * 3, 1.0, 40) + [("c", "/once", 5, NS, NS, True, b"x", 5)]
     df = rates.stamps(spark.createDataFrame(rows, SCHEMA))
-    width = blocks.block_width(df, rates.STREAM, "arrival_seq", 16)
-    sizes = blocks.with_block(df, "arrival_seq", width).groupBy(*rates.STREAM, blocks.BLOCK).count().collect()
+    blocked, _ = blocks.equal_blocks(df, rates.STREAM, "arrival_seq", 16, {}, Scratch(spark, "test"))
+    sizes = blocked.groupBy(*rates.STREAM, blocks.BLOCK).count().collect()
     assert max(r["count"] for r in sizes) <= 17 and len([r for r in sizes if r.recording_id == "a"]) <= 27
     assert len([r for r in sizes if r.recording_id == "b"]) <= 14
     whole = spark.createDataFrame(rows, SCHEMA)
     assert {r.recording_id: round(r.avg_hz, 6) for r in rates.hz(whole, 30, 16).collect()} == {"a": 1.0, "b": 1.0}
 
 
+@pytest.mark.parametrize("far", [[10**12], [10**12, -10**15, 3 * 10**17]])
+def test_no_block_is_full_beside_a_far_outlier(spark, far):
+    """A burst numbered row by row, others far from it, and many rows of one value, which no cut can part."""
+    rows = spark.range(5000).selectExpr("'hot' as k", "id as o").union(spark.createDataFrame([("hot", o) for o in far] + [("few", 7)] * 50 + [(None, 9), ("hot", None)], "k string, o bigint"))
+    facts = {"_own": (F.col("o"), F.max)}
+    blocked, table = blocks.equal_blocks(rows.repartition(3), ["k"], "o", 20, facts, Scratch(spark, "test"))
+    sizes = {(r.k, r[blocks.BLOCK]): r for r in blocked.groupBy("k", blocks.BLOCK).agg(
+        F.count("*").alias("rows"), F.min("o").alias("low"), F.max("o").alias("high")).collect()}
+    assert sum(r.rows for r in sizes.values()) == rows.count()
+    assert all(r.rows <= 40 or r.low == r.high for r in sizes.values()) and len(sizes) < 5000
+    told = table.collect()
+    assert {(r.k, r[blocks.BLOCK]): (r["_rows"], r["_low"], r["_high"], r["_own"]) for r in told} == {
+        key: (r.rows, r.low, r.high, r.high) for key, r in sizes.items()} and len(told) == len(sizes)
+    spans = sorted((r["_low"], r["_high"]) for r in told if r.k == "hot" and r["_low"] is not None)
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+
+
 def test_no_rows(spark):
     assert rates.hz(spark.createDataFrame([], SCHEMA)).count() == 0
     assert rates.rolling_hz(spark.createDataFrame([], SCHEMA)).count() == 0

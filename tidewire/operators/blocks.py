@@ -4,46 +4,107 @@ A window partitioned by topic (or recording) alone would send a hot topic to a s
 grouped by (key, block of the arrival order): a small per-block summary is scanned in order, joined back, and
 the row-level window runs inside the block only.
 
-Blocks are as wide as the arrival order is thin (:func:`block_width`): whether the sequence counts rows, time or bytes, and
-whether it starts again in every recording, a block of a large key holds about ``block_rows`` rows, so its summaries stay few and
-its windows small.
+Blocks are intervals of the arrival order of about equal depth (:func:`equal_blocks`), whether the sequence counts rows, time or
+bytes, and however unevenly: a block of more than twice ``block_rows`` rows is cut again until none is left. Only rows of one
+key that share one value of the sequence stay together.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.functions.scalars import floor_div
+from tidewire.session import Scratch
 
 BLOCK_ROWS = 1 << 18
 BLOCK = "_block"
+_SAMPLE = 1024
+_FINER = 64
+# Per fact of a block: what it is of a row, and how those of rows, and of neighbouring blocks, come together.
+Facts = dict[str, tuple[Column, Callable[[str], Column]]]
 
 
-def block_width(df: DataFrame, keys: Sequence[str], order: str, block_rows: int) -> int:
-    """Width of a block in steps of ``order``: ``block_rows`` times the mean gap of the densest key that fills a block.
+def _first_width(rows: DataFrame, order: str, block_rows: int) -> int:
+    """``block_rows`` times the usual step between values of the sequence that lie together in the input; no more than a first guess."""
+    some = rows.select(F.col(order).cast("long").alias("v")).where("v is not null").limit(_SAMPLE).toArrow().column(0).to_numpy()
+    steps = np.diff(np.unique(some))
+    return max(1, min(int(np.median(steps)) if len(steps) else 1, (1 << 62) // block_rows) * block_rows)
+
+
+def _summed(blocked: DataFrame, keys: Sequence[str], facts: Facts, order: str) -> DataFrame:
+    at = F.col(order).cast("long")
+    given = blocked.select(*keys, BLOCK, "_width", at.alias("_low"), at.alias("_high"), F.lit(1).cast("long").alias("_rows"),
+                           *[of_row.alias(name) for name, (of_row, _) in facts.items()])
+    return _folded(given, keys, facts)
 
-    One job over the keys and the order alone, counted in every task first. Keys of fewer rows fit into any block.
-    """
-    per_key = df.groupBy(*keys).agg(F.count(order).alias("rows"), (F.max(order) - F.min(order) + 1).alias("extent"))
-    gap = F.min(F.when(F.col("rows") >= block_rows, F.col("extent") / F.col("rows")))
-    row = per_key.agg(gap.alias("gap"), F.max("extent").alias("extent")).first()
-    return max(1, int(row["gap"] * block_rows) if row["gap"] is not None else int(row["extent"] or 1))
 
+def _folded(given: DataFrame, keys: Sequence[str], facts: Facts) -> DataFrame:
+    return given.groupBy(*keys, BLOCK, "_width").agg(
+        F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.sum("_rows").alias("_rows"),
+        *[fold(name).alias(name) for name, (_, fold) in facts.items()])
 
-def with_block(df: DataFrame, order: str, width: int) -> DataFrame:
-    return df.withColumn(BLOCK, floor_div(order, width))
 
+def _is(left: DataFrame, right: DataFrame, names: Sequence[str], of: str = "_of_") -> Column:
+    return reduce(lambda a, b: a & b, [left[name].eqNullSafe(right[f"{of}{name}"]) for name in names])
 
-def block_carry(blocked: DataFrame, keys: Sequence[str], summary: Column, combine) -> DataFrame:
-    """Per (key, block): its summary ``_own`` and the combination ``_carry`` of all earlier blocks."""
-    own = blocked.groupBy(*keys, BLOCK).agg(summary.alias("_own"))
+
+def equal_blocks(rows: DataFrame, keys: Sequence[str], order: str, block_rows: int, facts: Facts, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the column ``BLOCK``, and the table of blocks: key, ``BLOCK``, ``_low`` and ``_high`` of the sequence, ``_rows``, facts.
+
+    ``BLOCK`` is where the block's interval begins, so blocks of a key are in order. The rows are read once for the table; if blocks are
+    nearly empty, neighbours are put together in the table alone; if one is too full, its rows alone are read again and cut finer.
+    Rows without a place in the sequence have the block null.
+    """
+    width = _first_width(rows, order, block_rows)
+
+    def cut(width: int) -> DataFrame:
+        return rows.withColumn(BLOCK, floor_div(order, width) * width)
+
+    blocked = cut(width)
+    table = scratch.keep(_summed(blocked.withColumn("_width", F.lit(width)), keys, facts, order))
+    found = table.agg(F.count("*").alias("blocks"), F.sum("_rows").alias("rows"), F.max("_rows").alias("fullest")).first()
+    if found["blocks"] > 64 and found["rows"] * _FINER < found["blocks"] * block_rows:
+        per_key = table.groupBy(*keys).agg(F.sum("_rows").alias("rows"), (F.max("_high") - F.min("_low") + 1).alias("extent"))
+        gap = F.min(F.when(F.col("rows") >= block_rows, F.col("extent") / F.col("rows")))
+        best = per_key.agg(gap.alias("gap"), F.max("extent").alias("extent")).first()
+        wanted = int(best["gap"] * block_rows) if best["gap"] is not None else int(best["extent"] or 1)
+        if wanted >= 2 * width:
+            width *= min(wanted, 1 << 61) // width
+            blocked, fine = cut(width), table
+            wide = fine.withColumns({BLOCK: floor_div(BLOCK, width) * width, "_width": F.lit(width)})
+            table = scratch.keep(_folded(wide, keys, facts))
+            scratch.drop(fine)
+            found = table.agg(F.max("_rows").alias("fullest")).first()
+    while found["fullest"] is not None and found["fullest"] > 2 * block_rows:
+        full = F.coalesce((F.col("_rows") > 2 * block_rows) & (F.col("_low") < F.col("_high")), F.lit(False))
+        even = F.floor((F.col("_high") - F.col("_low") + 1) / F.col("_rows") * block_rows)
+        finer = F.greatest(F.lit(1), F.least(even, F.floor(F.col("_width") / _FINER))).cast("long")
+        heavy = scratch.keep(table.where(full).select(*[F.col(name).alias(f"_of_{name}") for name in (*keys, BLOCK)], finer.alias("_finer")))
+        if not heavy.limit(1).count():
+            break
+        inner = F.col(BLOCK) + F.call_function("div", F.col(order).cast("long") - F.col(BLOCK), F.col("_finer")) * F.col("_finer")
+        same = _is(blocked, heavy, (*keys, BLOCK))
+        again = blocked.join(heavy, same).withColumns({BLOCK: inner, "_width": F.col("_finer")})
+        left = table.where(~full)
+        parts = left.unionByName(_summed(again, keys, facts, order).select(*table.columns))
+        blocked = blocked.join(heavy, same, "left").withColumn(BLOCK, F.coalesce(inner, BLOCK)).select(*rows.columns, BLOCK)
+        whole = table
+        table = scratch.keep(parts)
+        scratch.drop(whole)
+        found = table.where("_low < _high").agg(F.max("_rows").alias("fullest")).first()
+    return blocked, table.drop("_width")
+
+
+def block_carry(table: DataFrame, keys: Sequence[str], combine, fact: str = "_own") -> DataFrame:
+    """The table of blocks with the combination ``_carry`` of a fact of all earlier blocks of the key."""
     earlier = W.partitionBy(*keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
-    return own.withColumn("_carry", combine("_own").over(earlier))
+    return table.withColumn("_carry", combine(fact).over(earlier))
 
 
 def inside_block(keys: Sequence[str], order: str):

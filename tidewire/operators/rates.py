@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.filters import valid_only
 from tidewire.functions.scalars import NANOS, effective_time, floor_div
-from tidewire.operators.blocks import BLOCK, BLOCK_ROWS, block_carry, block_width, inside_block, with_block, with_carry
+from tidewire.operators.blocks import BLOCK, BLOCK_ROWS, block_carry, equal_blocks, inside_block, with_carry
+from tidewire.session import Scratch
 
 DEFAULT_WINDOW = 100
 TILE_ROWS = 1 << 17
@@ -46,10 +47,15 @@ def _kept(blocked: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFram
             .drop("_carry"))
 
 
+def _raises(stamped: DataFrame, block_rows: int, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows in blocks, and per block the greatest timestamp of its own and of all blocks before."""
+    blocked, table = equal_blocks(stamped, keys, "arrival_seq", block_rows, {"_own": (F.col("t"), F.max)}, Scratch(stamped.sparkSession, "rates"))
+    return blocked, block_carry(table, keys, F.max)
+
+
 def _intervals(msgs: DataFrame, block_rows: int, keys: Sequence[str]) -> DataFrame:
-    stamped = stamps(msgs, keys)
-    blocked = with_block(stamped, "arrival_seq", block_width(stamped, keys, "arrival_seq", block_rows))
-    return _kept(blocked, block_carry(blocked, keys, F.max("t"), F.max), keys)
+    blocked, raises = _raises(stamps(msgs, keys), block_rows, keys)
+    return _kept(blocked, raises, keys)
 
 
 def intervals(msgs: DataFrame, block_rows: int = BLOCK_ROWS, keys: Sequence[str] = STREAM) -> DataFrame:
@@ -77,9 +83,8 @@ def latest_stamps(stamped: DataFrame, window: int = DEFAULT_WINDOW, block_rows:
     chosen blocks are shuffled in the second.
     """
     window = window_size(window)
-    blocked = with_block(stamped, "arrival_seq", block_width(stamped, keys, "arrival_seq", block_rows))
-    raising = (block_carry(blocked, keys, F.max("t"), F.max)
-               .where(F.col("_carry").isNull() | (F.col("_own") > F.col("_carry"))))
+    blocked, raises = _raises(stamped, block_rows, keys)
+    raising = raises.where(F.col("_carry").isNull() | (F.col("_own") > F.col("_carry")))
     chosen = last_n(raising, window, keys, order=BLOCK)
     return last_n(_kept(blocked, chosen, keys), window, keys, order="t").select(*keys, "t")
 
@@ -109,7 +114,7 @@ def _tiles(msgs: DataFrame, window: int, block_rows: int, tile_rows: int, keys:
     tile_rows = max(tile_rows, window)
     kept = _intervals(msgs, block_rows, keys)
     # counting a column the rows carry anyway keeps both uses of ``kept`` alike, so its shuffle is reused
-    offsets = block_carry(kept, keys, F.count("log_time_ns"), F.sum)
+    offsets = block_carry(kept.groupBy(*keys, BLOCK).agg(F.count("log_time_ns").alias("_own")), keys, F.sum)
     place = F.coalesce("_carry", F.lit(0)) + F.row_number().over(inside_block(keys, "arrival_seq")) - 1
     placed = (with_carry(kept, offsets, keys)
               .withColumn("_k", place).withColumn("_home", floor_div("_k", tile_rows)))

@@ -9,9 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.functions.scalars import NANOS, floor_div
-from tidewire.operators.blocks import block_carry, inside_block, join_keys, with_block, with_carry
+from tidewire.operators.blocks import block_carry, equal_blocks, inside_block, join_keys, with_carry
 from tidewire.operators.discovery import discovered
 from tidewire.operators.segments import SEGMENT_BLOCK_ROWS, greedy_segments
+from tidewire.session import Scratch
 
 # Default chunk size, and the bytes a stored message takes besides its payload
 # (record tag 1, record length 8, channel 2, sequence 4, log time 8, publish time 8).
@@ -71,11 +72,12 @@ def stop_at_limit(msgs: DataFrame, limits: Limits, block_rows: int = SEGMENT_BLO
     of rounds, no walk.
     """
     key = ["recording_id"]
-    blocked = with_block(_rounds(msgs, limits), "poll", block_rows)
-    placed = with_carry(blocked, block_carry(blocked, key, F.sum("bytes"), F.sum), key)
+    rounds = _rounds(msgs, limits)
+    blocked, table = equal_blocks(rounds, key, "poll", block_rows, {"_own": (F.col("bytes"), F.sum)}, Scratch(msgs.sparkSession, "limit"))
+    placed = with_carry(blocked, block_carry(table, key, F.sum), key)
     inside = F.sum("bytes").over(inside_block(key, "poll").rowsBetween(W.unboundedPreceding, -1))
     before = F.coalesce("_carry", F.lit(0)) + F.coalesce(inside, F.lit(0))
-    first = blocked.groupBy(F.col("recording_id").alias("_recording")).agg(F.min("poll").alias("_first"))
+    first = table.groupBy(F.col("recording_id").alias("_recording")).agg(F.min("_low").alias("_first"))
     kept = placed.withColumn("_before", before).join(first, F.col("recording_id").eqNullSafe(F.col("_recording")))
     if limits.max_bytes:
         kept = kept.where(F.col("_before") < limits.max_bytes)
