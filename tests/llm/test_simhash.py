@@ -83,6 +83,31 @@ def test_long_chain_ends_in_one_component(spark):
     assert {r.root for r in components(links, Scratch(spark, "test")).collect()} == {0}
 
 
+class Counted(Scratch):
+    tables = 0
+
+    def keep(self, df):
+        self.tables += 1
+        return super().keep(df)
+
+
+@pytest.mark.parametrize("order", ["random", "zigzag", "falling"])
+def test_chains_in_any_order_end_after_few_rounds(spark, order):
+    """A chain whose labels do not rise along it, besides a star and a pair; 4 tables and a few jumps a round."""
+    nodes = list(range(1, 401))
+    if order == "random":
+        random.Random(1).shuffle(nodes)
+    elif order == "zigzag":
+        nodes = [n for pair in zip(nodes[:200], nodes[:199:-1]) for n in pair]
+    else:
+        nodes = nodes[::-1]
+    pairs = list(zip(nodes, nodes[1:])) + [(1000, 1000 + i) for i in range(50)] + [(2001, 2000)]
+    scratch = Counted(spark, "test")
+    found = {r.node: r.root for r in components(spark.createDataFrame(pairs, "u long, v long"), scratch).collect()}
+    assert found == {**{n: 1 for n in nodes}, **{1000 + i: 1000 for i in range(50)}, 2000: 2000, 2001: 2000}
+    assert scratch.tables <= 60
+
+
 def test_odd_rows(spark, odd, none):
     rows = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(odd).collect()}
     assert simhash.near_duplicates(odd).count() == odd.count()
