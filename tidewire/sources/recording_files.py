@@ -5,17 +5,21 @@
 
 A file is cut into byte ranges by its size alone, so the driver opens no file. A task reads the summary at the
 end of its file and then only those chunks that begin in its range and can hold a wanted time and topic. Without
-a usable summary it walks over the record headers instead.
+a chunk index it walks over the record headers from the file's beginning instead, unless :func:`index_recordings` has stored
+where the records of each range begin. Records are parsed by columns: borders first, then every header field and payload at once.
 """
 
 from __future__ import annotations
 
+import base64
 import json
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import datasource as ds
@@ -35,6 +39,9 @@ FOOTER_BYTES = TAG_BYTES + 20 + len(MAGIC)
 RANGE_BYTES = 128 << 20
 # Read-ahead grows while reads follow each other and starts small again after a jump over a chunk.
 _LOOK_AHEAD, _MAX_LOOK_AHEAD = 4 << 10, 1 << 20
+# Bytes of unchunked records parsed at once, and rows and payload bytes of a batch.
+_WINDOW, _BATCH_ROWS, _BATCH_BYTES = 4 << 20, 4096, 16 << 20
+_MESSAGE_HEADER = 22
 LATEST = 2**63 - 1  # the last time that a bigint holds; files have unsigned times
 
 TABLES = {
@@ -54,7 +61,11 @@ TABLES = {
     "attachments": """file string, offset bigint, bytes bigint, log_time_ns bigint, create_time_ns bigint,
         data_bytes bigint, name string, media_type string""",
     "metadata": "file string, offset bigint, bytes bigint, name string",
+    "borders": "file string, range_bytes bigint, low bigint, offset bigint, tag int, body binary",
+    "declared": "file string, range_bytes bigint, low bigint, offset bigint, tag int, body binary",
 }
+# Tables whose files are read range by range.
+BY_RANGE = ("messages", "dangling", "problems", "declared")
 # How the summary tables come about: the summary or a scan, the summary only, or a scan only.
 SUMMARY_MODES = ("auto", "strict", "scan")
 
@@ -127,6 +138,86 @@ class _File:
     def body(self, offset: int, size: int) -> memoryview:
         return self.bytes_at(offset + TAG_BYTES, size)
 
+    def read(self, offset: int, count: int) -> np.ndarray:
+        """Bytes of a run of records, past the window."""
+        self.handle.seek(offset)
+        return np.frombuffer(self.handle.read(count), np.uint8)
+
+
+_RECORD = struct.Struct("<xQ")
+
+
+@dataclass
+class _Records:
+    """The whole records of a buffer: where each begins, its tag and the length of its body."""
+
+    data: np.ndarray
+    starts: np.ndarray
+    tags: np.ndarray
+    sizes: np.ndarray
+
+    def some(self, low: int, high: int) -> _Records:
+        return _Records(self.data, self.starts[low:high], self.tags[low:high], self.sizes[low:high])
+
+    def field(self, at: int, kind: str, rows: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """The number ``at`` bytes into the body of each record, gathered out of the buffer."""
+        kind = np.dtype(kind)
+        places = self.starts[rows, None] + (TAG_BYTES + at + np.arange(kind.itemsize))
+        return np.ascontiguousarray(self.data[places]).view(kind)[:, 0]
+
+    def body(self, at: int) -> memoryview:
+        start = int(self.starts[at]) + TAG_BYTES
+        return self.data[start:start + int(self.sizes[at])].data
+
+    @property
+    def end(self) -> int:
+        return int(self.starts[-1] + TAG_BYTES + self.sizes[-1]) if len(self.starts) else 0
+
+    def bodies_from(self, at: int, rows: np.ndarray) -> pa.Array:
+        """The bytes of bodies from ``at`` on as a column: the buffer cut at their borders, gaps between them left out."""
+        first = self.starts[rows] + TAG_BYTES + at
+        borders = np.stack([first, self.starts[rows] + TAG_BYTES + self.sizes[rows]], axis=1).ravel()
+        base = int(borders[0]) if len(rows) else 0
+        wide = len(rows) and int(borders[-1]) - base > 2**31 - 1
+        offsets = pa.py_buffer((borders - base).astype(np.int64 if wide else np.int32).tobytes())
+        kind = pa.large_binary() if wide else pa.binary()
+        pieces = pa.Array.from_buffers(kind, max(0, len(borders) - 1), [None, offsets, pa.py_buffer(self.data[base:])])
+        return pieces.take(pa.array(np.arange(0, max(0, len(borders) - 1), 2)))
+
+
+def _records_in(data) -> _Records:
+    """One pass over the lengths of a buffer's records. Runs of records of one length, which a fixed-size type makes, are compared
+    as a matrix, twice as many each time."""
+    data = np.frombuffer(data, np.uint8)
+    size_at, total = _RECORD.unpack_from, len(data)
+    starts: list[np.ndarray | list[int]] = []
+    single: list[int] = []
+    at, before, step = 0, -1, 8
+    while at + TAG_BYTES <= total:
+        (size,) = size_at(data, at)
+        width = TAG_BYTES + size
+        if at + width > total:
+            break
+        single.append(at)
+        at += width
+        if size != before:
+            before, step = size, 8
+            continue
+        while (count := min(step, (total - at) // width)) > 1:
+            rows = data[at:at + count * width].reshape(count, width)[:, 1:TAG_BYTES]
+            other = np.flatnonzero((rows != data[at - width + 1:at - width + TAG_BYTES]).any(axis=1))
+            same = int(other[0]) if len(other) else count
+            starts += [single, at + width * np.arange(same)]
+            single, at, step = [], at + same * width, step * 2
+            if same < count:
+                before = -1
+                break
+    starts.append(single)
+    places = np.concatenate([np.asarray(part, np.int64) for part in starts])
+    records = _Records(data, places, data[places], np.zeros(0, np.int64))
+    records.sizes = np.diff(np.append(places, at)) - TAG_BYTES
+    return records
+
 
 def _problems(file: _File) -> Iterator[tuple[str, int, str]]:
     """What a reader would pass over without a word: a foreign or cut-off file, torn records, a missing end."""
@@ -147,12 +238,19 @@ def _problems(file: _File) -> Iterator[tuple[str, int, str]]:
         yield file.path, at, "no closing mark"
 
 
-def _inner_records(data) -> Iterator[tuple[int, int, memoryview]]:
-    view, at = memoryview(data), 0
-    while at + TAG_BYTES <= len(view):
-        tag, size = struct.unpack_from("<BQ", view, at)
-        yield tag, at, view[at + TAG_BYTES:at + TAG_BYTES + size]
-        at += TAG_BYTES + size
+def _chunk_problem(file: _File, offset: int, size: int) -> str | None:
+    """What is wrong with the contents of a chunk."""
+    try:
+        data = _read_chunk(file, offset, size)
+    except Exception as wrong:  # whatever the codec makes of damaged bytes
+        return f"chunk is damaged: {wrong}"
+    if len(data) != _chunk_header(file, offset, size).uncompressed:
+        return f"chunk holds {len(data)} bytes, not as many as it says"
+    records = _records_in(data)
+    if records.end != len(data):
+        return f"chunk ends in {len(data) - records.end} bytes that are no record"
+    short = (records.tags == MESSAGE) & (records.sizes < _MESSAGE_HEADER)
+    return f"chunk has {int(short.sum())} messages without a whole header" if short.any() else None
 
 
 @dataclass
@@ -234,13 +332,34 @@ def _from_summary(file: _File) -> _Summary | None:
     return out if out.statistics else None
 
 
-def _data_records(file: _File) -> Iterator[tuple[int, int, int]]:
-    if file.bytes_at(0, len(MAGIC)) != MAGIC:
+@dataclass
+class _Run:
+    """Neighbouring messages, schemas and channels outside chunks; ``at`` is where their buffer begins in the file."""
+
+    at: int
+    records: _Records
+
+
+def _walked(file: _File, at: int, end: int) -> Iterator[_Run | tuple[int, int, int]]:
+    """The records of the data section that begin between two record borders: runs parsed at once, all others as (tag, offset, length)."""
+    if at <= len(MAGIC) and file.bytes_at(0, len(MAGIC)) != MAGIC:
         raise ValueError(f"{file.path} is not a recording file")
-    for tag, at, size in file.records(len(MAGIC), file.size):
-        if tag in (DATA_END, FOOTER):
+    while at < end and at + TAG_BYTES <= file.size:
+        tag, size = struct.unpack("<BQ", file.bytes_at(at, TAG_BYTES))
+        if tag in (DATA_END, FOOTER) or at + TAG_BYTES + size > file.size:
             return
-        yield tag, at, size
+        if tag not in _RUN_TAGS:
+            yield tag, at, size
+            at += TAG_BYTES + size
+            continue
+        records = _records_in(file.read(at, max(TAG_BYTES + size, _WINDOW)))
+        other = np.flatnonzero(~np.isin(records.tags, _RUN_TAGS) | (at + records.starts >= end))
+        records = records.some(0, int(other[0]) if len(other) else len(records.starts))
+        yield _Run(at, records)
+        at += records.end
+
+
+_RUN_TAGS = (SCHEMA, CHANNEL, MESSAGE)
 
 
 def _chunk_header(file: _File, offset: int, size: int) -> _Chunk:
@@ -255,22 +374,25 @@ def _from_scan(file: _File) -> _Summary:
     counts: dict[int, int] = {}
     first, last = None, 0
 
-    def see(tag: int, body) -> None:
+    def count(records: _Records) -> None:
         nonlocal first, last
-        if tag == MESSAGE:
-            channel_id, _, log_time = struct.unpack_from("<HIQ", body)
-            counts[channel_id] = counts.get(channel_id, 0) + 1
-            first, last = log_time if first is None else min(first, log_time), max(last, log_time)
-        else:
-            out.declare(tag, body)
-
-    for tag, at, size in _data_records(file):
-        if tag in (MESSAGE, SCHEMA, CHANNEL):
-            see(tag, file.body(at, size))
-        elif tag == CHUNK:
+        message = np.flatnonzero(records.tags == MESSAGE)
+        if len(message):
+            times = records.field(6, "<u8", message)
+            first, last = min(first if first is not None else LATEST * 2, int(times.min())), max(last, int(times.max()))
+            for channel_id, rows in zip(*np.unique(records.field(0, "<u2", message), return_counts=True)):
+                counts[int(channel_id)] = counts.get(int(channel_id), 0) + int(rows)
+        for at in np.flatnonzero(np.isin(records.tags, (SCHEMA, CHANNEL))):
+            out.declare(int(records.tags[at]), records.body(at))
+
+    for part in _walked(file, len(MAGIC), file.size):
+        if isinstance(part, _Run):
+            count(part.records)
+            continue
+        tag, at, size = part
+        if tag == CHUNK:
             out.chunks[at] = _chunk_header(file, at, size)
-            for inner, _, body in _inner_records(_read_chunk(file, at, size)):
-                see(inner, body)
+            count(_records_in(_read_chunk(file, at, size)))
         elif tag == ATTACHMENT:
             f = _Fields(file.body(at, size))
             log_time, created = f.take("QQ")
@@ -314,75 +436,157 @@ class _Wanted:
 
 
 class _RangeReader:
-    """Messages of one file whose chunk (or record) begins in a byte range."""
+    """Messages of one file whose chunk (or record) begins in a byte range.
 
-    def __init__(self, file: _File, low: int, high: int, wanted: _Wanted, dangling: bool):
+    ``known`` is what an index says about the file: where the range's first record begins, and what is declared where.
+    """
+
+    def __init__(self, file: _File, low: int, high: int, wanted: _Wanted, dangling: bool, known: dict | None = None):
         self.file, self.low, self.high, self.wanted, self.dangling = file, low, high, wanted, dangling
         self.summary = _from_summary(file) or _Summary(from_summary=False)
         self.unread: list[tuple[int, int]] = []  # earlier chunks that may declare channels
+        self.known = known
+        # (place, tag, body) of an index, latest place first, so that the next one in order is at the end
+        self.told = sorted(((place, tag, base64.b64decode(body)) for place, tag, body in known["declared"]), reverse=True) if known else []
+
+    def _start(self) -> int:
+        return len(MAGIC) if self.known is None else self.known["starts"].get(str(self.low), self.file.size)
 
-    def batches(self) -> Iterator[list[tuple]]:
+    def chunks(self) -> Iterator[tuple[int, int, _Chunk]]:
+        """Offset, length and header of the range's chunks, as the index lists them or as a walk meets them."""
+        if self.summary.chunks:
+            yield from ((c.offset, c.size - TAG_BYTES, c) for c in self.summary.chunks.values() if self.low <= c.offset < self.high)
+            return
+        for part in _walked(self.file, self._start(), self.high):
+            if not isinstance(part, _Run) and part[0] == CHUNK and part[1] >= self.low:
+                yield part[1], part[2], _chunk_header(self.file, *part[1:])
+
+    def batches(self) -> Iterator[dict[str, pa.Array]]:
         if self.summary.chunks:
             for chunk in sorted(self.summary.chunks.values(), key=lambda c: c.offset):
                 size = chunk.size - TAG_BYTES
                 if self.low <= chunk.offset < self.high and self.wanted.chunk(chunk, self.summary.channels):
-                    yield self._rows(_read_chunk(self.file, chunk.offset, size), chunk.offset)
+                    yield from self._columns(_records_in(_read_chunk(self.file, chunk.offset, size)), chunk.offset, 0)
                 else:
                     self.unread.append((chunk.offset, size))
             return
-        for tag, at, size in _data_records(self.file):
-            if at >= self.high:
-                return
-            if tag in (SCHEMA, CHANNEL):
-                self.summary.declare(tag, self.file.body(at, size))
-            elif tag == CHUNK:
+        for part in _walked(self.file, self._start(), self.high):
+            if isinstance(part, _Run):
+                yield from self._columns(part.records, None, part.at)
+            elif part[0] == CHUNK:
+                _, at, size = part
                 if at >= self.low and self.wanted.chunk(_chunk_header(self.file, at, size), {}):
-                    yield self._rows(_read_chunk(self.file, at, size), at)
-                else:
+                    yield from self._columns(_records_in(_read_chunk(self.file, at, size)), at, 0)
+                elif self.known is None:
                     self.unread.append((at, size))
-            elif tag == MESSAGE and at >= self.low:
-                yield list(self._message(self.file.body(at, size), at, None))
-
-    def _rows(self, records, chunk_offset: int) -> list[tuple]:
-        rows: list[tuple] = []
-        for tag, at, body in _inner_records(records):
-            if tag == MESSAGE:
-                rows.extend(self._message(body, at, chunk_offset))
-            elif tag in (SCHEMA, CHANNEL):
-                self.summary.declare(tag, body)
-        return rows
+
+    def _columns(self, records: _Records, chunk_offset: int | None, base: int) -> Iterator[dict[str, pa.Array]]:
+        """The wanted messages of a buffer, in runs between the declarations it holds."""
+        said = np.flatnonzero((records.tags == SCHEMA) | (records.tags == CHANNEL))
+        message = np.flatnonzero(records.tags == MESSAGE)
+        if chunk_offset is None:
+            message = message[base + records.starts[message] >= self.low]
+        borders = [0, *np.searchsorted(message, said).tolist(), len(message)]
+        for part, (low, high) in enumerate(zip(borders, borders[1:])):
+            if part:
+                self.summary.declare(int(records.tags[said[part - 1]]), records.body(said[part - 1]))
+            if high > low:
+                before = base + int(records.starts[message[low]]) if chunk_offset is None else chunk_offset
+                yield from self._messages(records, message[low:high], chunk_offset, base, before)
 
     def _declared(self, table: dict, key: int, before: int):
         """A channel or schema by id, looked for in earlier chunks when the summary did not repeat it."""
+        while key not in table and self.told and self.told[-1][0] <= before:
+            _, tag, body = self.told.pop()
+            self.summary.declare(tag, body)
         if key not in table:
             earlier = [c for c in self.unread if c[0] < before]
             self.unread = [c for c in self.unread if c[0] >= before]
             for offset, size in earlier:
-                for tag, _, body in _inner_records(_read_chunk(self.file, offset, size)):
-                    if tag in (SCHEMA, CHANNEL):
-                        self.summary.declare(tag, body)
+                records = _records_in(_read_chunk(self.file, offset, size))
+                for at in np.flatnonzero((records.tags == SCHEMA) | (records.tags == CHANNEL)):
+                    self.summary.declare(int(records.tags[at]), records.body(at))
         return table.get(key)
 
-    def _message(self, body, offset: int, chunk_offset: int | None) -> Iterator[tuple]:
-        channel_id, sequence, log_time, publish_time = struct.unpack_from("<HIQQ", body)
-        if not self.wanted.time(log_time, log_time):
-            return
-        place = (self.file.path, chunk_offset, offset, channel_id)
-        before = offset if chunk_offset is None else chunk_offset
+    def _channel(self, channel_id: int, before: int) -> tuple[tuple | None, tuple | None, str | None]:
+        """Channel, schema and what is missing."""
         channel = self._declared(self.summary.channels, channel_id, before)
-        problem = schema = None
         if channel is None:
-            problem = f"missing channel {channel_id}"
-        elif channel[2] and (schema := self._declared(self.summary.schemas, channel[2], before)) is None:
-            problem = f"missing schema {channel[2]}"
-        if max(log_time, publish_time) > LATEST:
-            problem = f"time {max(log_time, publish_time)} does not fit a bigint"
+            return None, None, f"missing channel {channel_id}"
+        schema = self._declared(self.summary.schemas, channel[2], before) if channel[2] else None
+        return channel, schema, f"missing schema {channel[2]}" if channel[2] and schema is None else None
+
+    def _messages(self, records: _Records, rows: np.ndarray, chunk_offset: int | None, base: int, before: int) -> Iterator[dict[str, pa.Array]]:
+        if (records.sizes[rows] < _MESSAGE_HEADER).any():
+            raise ValueError(f"{self.file.path}: a message at or after {before} has no whole header")
+        log_time = records.field(6, "<u8", rows)
+        asked = log_time >= np.uint64(max(0, self.wanted.start))
+        if self.wanted.end is not None:
+            asked &= log_time < np.uint64(max(0, min(self.wanted.end, 2**64 - 1)))
+        rows, log_time = rows[asked], log_time[asked]
+        if not len(rows):
+            return
+        channel_id, publish_time = records.field(0, "<u2", rows), records.field(14, "<u8", rows)
+        ids, of = np.unique(channel_id, return_inverse=True)
+        facts = [self._channel(int(i), before) for i in ids]
+        late = np.maximum(log_time, publish_time) > np.uint64(LATEST)
+        bad = late | np.array([problem is not None for _, _, problem in facts])[of]
         if self.dangling:
-            if problem:
-                yield (*place, log_time if log_time <= LATEST else None, problem)
-        elif not problem and (self.wanted.topics is None or channel[0] in self.wanted.topics):
-            yield (*place, channel[0], channel[1], channel[2], schema[0] if schema else None, sequence, log_time,
-                   publish_time, bytes(body[22:]))
+            take = np.flatnonzero(bad)
+        else:
+            topics = self.wanted.topics
+            take = np.flatnonzero(~bad & np.array([channel is not None and (topics is None or channel[0] in topics) for channel, _, _ in facts])[of])
+        for at in self._slices(records.sizes[rows[take]]):
+            some = take[at]
+            mine, which = rows[some], pa.array(of[some])
+            columns = {
+                "file": pa.array([self.file.path]).take(pa.array(np.zeros(len(some), np.int64))),
+                "chunk_offset": pa.array(np.full(len(some), chunk_offset or 0), mask=np.full(len(some), chunk_offset is None)),
+                "offset": pa.array(base + records.starts[mine]), "channel_id": pa.array(channel_id[some].astype(np.int32)),
+                "log_time_ns": pa.array(log_time[some].astype(np.int64), mask=log_time[some] > np.uint64(LATEST))}
+            if self.dangling:
+                texts = pa.array([problem or "" for _, _, problem in facts], pa.string()).take(which)
+                latest = pa.array([f"time {t} does not fit a bigint" for t in np.maximum(log_time, publish_time)[some][late[some]].tolist()], pa.string())
+                yield columns | {"problem": pc.replace_with_mask(texts, pa.array(late[some]), latest)}
+                continue
+            for name, values, kind in (("topic", [c and c[0] for c, _, _ in facts], pa.string()),
+                                       ("message_encoding", [c and c[1] for c, _, _ in facts], pa.string()),
+                                       ("schema_id", [c and c[2] for c, _, _ in facts], pa.int32()),
+                                       ("schema_name", [s and s[0] for _, s, _ in facts], pa.string())):
+                columns[name] = pa.array(values, kind).take(which)
+            columns["sequence"] = pa.array(records.field(2, "<u4", mine).astype(np.int64))
+            columns["publish_time_ns"] = pa.array(publish_time[some].astype(np.int64))
+            columns["payload"] = lambda mine=mine: records.bodies_from(_MESSAGE_HEADER, mine)
+            yield columns
+
+    @staticmethod
+    def _slices(sizes: np.ndarray) -> Iterator[slice]:
+        """Runs of rows of bounded number and payload."""
+        ends = np.cumsum(sizes)
+        low = 0
+        while low < len(sizes):
+            before = int(ends[low - 1]) if low else 0
+            high = min(low + _BATCH_ROWS, max(low + 1, int(np.searchsorted(ends, before + _BATCH_BYTES, side="right"))))
+            yield slice(low, high)
+            low = high
+
+
+def _borders(file: _File, step: int) -> Iterator[tuple]:
+    """For a file without a chunk index: the first record of each range, and what is declared outside chunks."""
+    summary = _from_summary(file)
+    if (summary and summary.chunks) or file.size < len(MAGIC) or file.bytes_at(0, len(MAGIC)) != MAGIC:
+        return
+    low = 0
+    for part in _walked(file, len(MAGIC), file.size):
+        records = part.records if isinstance(part, _Run) else None
+        starts = part.at + records.starts if records else np.array([part[1]])
+        for at in range(low, int(starts[-1]) + 1, step):
+            place = int(starts[np.searchsorted(starts, at)])
+            if place < at + step:
+                yield file.path, step, at, place, None, None
+            low = at + step
+        for at in np.flatnonzero((records.tags == SCHEMA) | (records.tags == CHANNEL)) if records else ():
+            yield file.path, step, None, int(starts[at]), int(records.tags[at]), bytes(records.body(at))
 
 
 def _summary_rows(file: _File, found: _Summary, table: str) -> Iterator[tuple]:
@@ -406,6 +610,7 @@ class _Range(ds.InputPartition):
     path: str
     low: int
     high: int
+    known: dict | None = None
 
 
 class _Reader(ds.DataSourceReader):
@@ -445,36 +650,44 @@ class _Reader(ds.DataSourceReader):
         step = int(self.options.get("rangeBytes", RANGE_BYTES))
         paths = json.loads(self.options["paths"]) if "paths" in self.options else [self.options["path"]]
         found = sorted({entry for path in paths for entry in listed(path, ".mcap")})
-        if self.table in ("messages", "dangling"):
-            return [_Range(path, low, low + step) for path, size in found for low in range(0, size, step)]
-        return [_Range(path, 0, size) for path, size in found]
+        if self.table not in BY_RANGE:
+            return [_Range(path, 0, size) for path, size in found]
+        index = json.loads(self.options.get("index", "{}"))
+        for known in index.values():
+            if known["step"] != step:
+                raise ValueError(f"the index was made for ranges of {known['step']} bytes")
+        return [_Range(path, low, low + step, index.get(path)) for path, size in found for low in range(0, max(size, 1), step)]
 
     def read(self, part):
         file = _File(part.path)
-        names = self.schema.fieldNames()
         if self.table == "problems":
-            yield from _problems(file)
+            if part.low == 0:
+                yield from _problems(file)
+            if file.size >= len(MAGIC) and file.bytes_at(0, len(MAGIC)) == MAGIC:
+                for offset, size, _ in _RangeReader(file, part.low, part.high, self.wanted, False, part.known).chunks():
+                    problem = _chunk_problem(file, offset, size)
+                    if problem:
+                        yield file.path, offset, problem
+            return
+        if self.table == "borders":
+            yield from _borders(file, int(self.options.get("rangeBytes", RANGE_BYTES)))
+            return
+        reader = _RangeReader(file, part.low, part.high, self.wanted, self.table == "dangling", getattr(part, "known", None))
+        if self.table == "declared":
+            # a chunk index without message indexes or repeated channels still leaves the chunks to look into
+            for offset, size, _ in reader.chunks():
+                records = _records_in(_read_chunk(file, offset, size))
+                for at in np.flatnonzero((records.tags == SCHEMA) | (records.tags == CHANNEL)):
+                    yield file.path, part.high - part.low, None, offset, int(records.tags[at]), bytes(records.body(at))
             return
         if self.table not in ("messages", "dangling"):
             yield from _summary_rows(file, summarize(file, self.mode), self.table)
             return
         from pyspark.sql.pandas.types import to_arrow_schema
         schema = to_arrow_schema(self.schema)
-        reader = _RangeReader(file, part.low, part.high, self.wanted, self.table == "dangling")
-        rows: list[tuple] = []
-        for more in reader.batches():
-            rows.extend(more)
-            if len(rows) >= 4096:
-                yield _batch(rows, names, schema)
-                rows = []
-        if rows:
-            yield _batch(rows, names, schema)
-
-
-def _batch(rows: list[tuple], names: list[str], schema: pa.Schema) -> pa.RecordBatch:
-    # a schema without payload is one column shorter than the rows
-    return pa.RecordBatch.from_arrays(
-        [pa.array(column, schema.field(name).type) for name, column in zip(names, zip(*rows))], schema=schema)
+        for columns in reader.batches():
+            values = [columns[name]() if name == "payload" else columns[name] for name in schema.names]
+            yield pa.RecordBatch.from_arrays([v.cast(schema.field(n).type) for n, v in zip(schema.names, values)], schema=schema)
 
 
 class RecordingFiles(ds.DataSource):
@@ -490,19 +703,49 @@ class RecordingFiles(ds.DataSource):
         return _Reader(self.options, schema)
 
 
-def read_recordings(spark: SparkSession, *paths: str, table: str = "messages", **options) -> DataFrame:
+def read_recordings(spark: SparkSession, *paths: str, table: str = "messages", index: str | None = None, **options) -> DataFrame:
     """One of ``TABLES`` over recording files or folders of them.
 
     ``start`` and ``end`` bound the log time; ``summary`` is one of ``SUMMARY_MODES``. ``payload="false"`` leaves
-    out the payloads, for statistics that need the headers only.
+    out the payloads, for statistics that need the headers only. ``index`` is a table that :func:`index_recordings` wrote:
+    ranges of files without a chunk index then begin at their own first record, and look up what is declared before them.
     """
     if table not in TABLES:
         raise ValueError(f"table must be one of {sorted(TABLES)}")
+    if index is not None:
+        options["index"] = json.dumps(_known(spark.read.parquet(index)))
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(RecordingFiles)
     return (spark.read.format("mcap").options(table=table, paths=json.dumps(list(paths)), **options).load())
 
 
+def _known(index: DataFrame) -> dict[str, dict]:
+    """Per file the first record of each range and the declarations; as many as a plan has ranges, and files have channels."""
+    out: dict[str, dict] = {}
+    for row in index.collect():
+        known = out.setdefault(row.file, {"step": row.range_bytes, "starts": {}, "declared": []})
+        if row.tag is None:
+            known["starts"][str(row.low)] = row.offset
+        else:
+            known["declared"].append((row.offset, row.tag, base64.b64encode(row.body).decode()))
+    return out
+
+
+def index_recordings(spark: SparkSession, *paths: str, path: str, **options) -> None:
+    """Store under ``path``, for files without a chunk index, where the first record of each range begins and what is declared.
+
+    Records have no marks to start at, so one task a file walks over its record lengths, once; with the result all later
+    reads are split by range and read each byte once. What chunks declare inside is then collected by range. Damaged files are
+    indexed as far as their records go. Files with a chunk index need no rows here. The option ``rangeBytes`` must be the reader's.
+    """
+    read_recordings(spark, *paths, table="borders", **options).write.parquet(path)
+    listed_files = spark.read.parquet(path)
+    first = W.partitionBy("file", "tag", F.substring("body", 1, 2)).orderBy("offset")
+    inside = read_recordings(spark, *paths, table="declared", index=path, **options).join(
+        listed_files.select("file").distinct(), "file", "left_semi")
+    (inside.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").write.mode("append").parquet(path))
+
+
 # --- canonical tables out of files ------------------------------------------------------------------------------
 
 
