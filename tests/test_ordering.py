@@ -1,3 +1,7 @@
+import random
+
+from pyspark.sql import functions as F
+
 from tidewire.operators import ordering
 
 ROWS = [(0, 1, 50), (0, 2, 40), (1, 3, 40), (1, 4, 60), (0, 5, 40)]
@@ -25,3 +29,18 @@ def test_topics(spark):
     assert [r[0] for r in ordering.topics_sorted(df).collect()] == ["/a", "/b", "/c"]
     assert {r[0] for r in ordering.include_minus_exclude(df, ["/a", "/b"], "/b").collect()} == {"/a"}
     assert {r[0] for r in ordering.include_minus_exclude(df, ["/.*"], "/[bc]", regex=True).collect()} == {"/a"}
+
+
+def test_positions_over_many_ranges(spark):
+    """Positions agree with a plain sort, ties of all order columns included."""
+    rng = random.Random(4)
+    rows = [(f"r{rng.randint(0, 2)}", rng.randint(0, 3), i, rng.randint(0, 40)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "recording_id string, split bigint, arrival_seq bigint, log_time_ns bigint").repartition(7)
+    by = {"file": lambda r: (r[1], r[2], r[0]), "time": lambda r: (r[3], r[1], r[2], r[0])}
+    for order in ("file", "time", "reverse_time"):
+        want = sorted(rows, key=by["file" if order == "file" else "time"], reverse=order == "reverse_time")
+        got = ordering.read_positions(df, order).orderBy("position").collect()
+        assert [r.position for r in got] == list(range(1500)) and [tuple(r)[:4] for r in got] == want
+    ties = spark.createDataFrame([(1,)] * 50, "a int").repartition(3)
+    assert sorted(r.position for r in ordering.numbered(ties, [F.col("a")]).collect()) == list(range(50))
+    assert ordering.numbered(ties.limit(0), [F.col("a")]).count() == 0

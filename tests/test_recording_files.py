@@ -1,6 +1,9 @@
+import random
+
 import pytest
 
 from tests.support.recording_encoder import encode_file
+from tidewire.sources import recording_files as rf
 from tidewire.sources.recording_files import file_channels, file_messages, file_schemas, read_recordings
 
 CHANNELS = {1: ("/a", "cdr", 1, {"k": "v"}), 2: ("/b", "cdr", 0, {}), 3: ("/c", "cdr", 9, {})}
@@ -168,3 +171,97 @@ def test_files_as_canonical_tables(spark, folder, name):
     assert {r.topic for r in file_channels(spark, path, summary="scan").collect()} == {"/a", "/b", "/c"}
     assert [r.name for r in file_schemas(spark, path, summary="scan").collect()] == ["demo::T"]
     assert "payload" not in file_messages(spark, path, payload="false").columns
+
+
+def parsed(data):
+    """Record by record."""
+    out, at = [], 0
+    while at + 9 <= len(data):
+        size = int.from_bytes(data[at + 1:at + 9], "little")
+        if at + 9 + size > len(data):
+            break
+        out.append((at, data[at], size))
+        at += 9 + size
+    return out
+
+
+def test_borders_of_records_of_equal_and_mixed_lengths():
+    rng = random.Random(1)
+    for sizes in ([40] * 1000, [0] * 50, [rng.randint(0, 60) for _ in range(500)], [30] * 100 + [31] + [30] * 100 + [7, 7, 7, 9] * 30, [], [5]):
+        data = b"".join(rf._RECORD.pack(s).replace(b"\0", bytes([1 + s % 15]), 1) + bytes(rng.randbytes(s)) for s in sizes)
+        for cut in (data, data[:-1], data + b"\5\0\0"):
+            records = rf._records_in(cut)
+            assert list(zip(records.starts.tolist(), records.tags.tolist(), records.sizes.tolist())) == parsed(cut)
+
+
+class Counting:
+    """A file that counts the bytes read from it."""
+
+    def __init__(self, handle):
+        self.handle, self.bytes = handle, 0
+
+    def __getattr__(self, name):
+        return getattr(self.handle, name)
+
+    def read(self, count):
+        data = self.handle.read(count)
+        self.bytes += len(data)
+        return data
+
+
+@pytest.mark.parametrize("name", ["no_summary", "no_summary_zstd", "unchunked", "unchunked_no_summary", "plain", "dims_in_chunks_only"])
+def test_an_index_gives_the_same_rows(spark, folder, tmp_path, name):
+    path, index = f"{folder}/{name}.mcap", str(tmp_path / "index")
+    rf.index_recordings(spark, path, path=index, rangeBytes=1500)
+    df = read_recordings(spark, path, index=index, rangeBytes=1500)
+    assert df.count() == len(GOOD) and rows(df) == GOOD
+    assert df.where("topic = '/a' and log_time_ns < 1300").count() == len([g for g in GOOD if g[0] == "/a" and g[2] < 1300])
+    told = read_recordings(spark, path, index=index, rangeBytes=1500, table="dangling").collect()
+    assert {r.problem for r in told} == {"missing channel 7", "missing schema 9"} and len(told) == len(MESSAGES) - len(GOOD)
+    assert read_recordings(spark, path, index=index, rangeBytes=1500, table="problems").count() == 0
+    if name not in ("plain", "dims_in_chunks_only"):  # a chunk index needs no rows here
+        with pytest.raises(Exception, match="1500 bytes"):
+            read_recordings(spark, path, index=index).count()
+
+
+def test_ranges_with_an_index_read_each_byte_about_once(spark, tmp_path):
+    """All ranges of an unchunked file together read less than twice its size; without an index they read it once a range."""
+    many = [(1, i, 1000 + i, bytes(i % 700)) for i in range(30000)]
+    path = tmp_path / "long.mcap"
+    path.write_bytes(encode_file(many, CHANNELS, SCHEMAS, chunked=False, summary=False))
+    size, step, index = path.stat().st_size, 1 << 20, str(tmp_path / "index")
+    rf.index_recordings(spark, str(path), path=index, rangeBytes=step)
+    known = rf._known(spark.read.parquet(index))[str(path)]
+    read = {}
+    for use in (known, None):
+        total = found = 0
+        for low in range(0, size, step):
+            file = rf._File(str(path))
+            file.handle = counting = Counting(file.handle)
+            batches = list(rf._RangeReader(file, low, low + step, rf._Wanted(), False, use).batches())
+            found += sum(len(b["offset"]) for b in batches)
+            total += counting.bytes
+        assert found == len(many)
+        read[use is None] = total
+    assert read[False] < 2 * size < read[True]
+
+
+def test_damage_inside_chunks_is_reported(spark, tmp_path):
+    for name, options in (("index", {}), ("walk", {"summary": False})):
+        path = tmp_path / f"{name}.mcap"
+        data = bytearray(encode_file(MESSAGES, CHANNELS, SCHEMAS, compression="zstd", **options))
+        path.write_bytes(data)
+        places = [r.chunk_offset for r in read_recordings(spark, str(path), table="chunks").orderBy("chunk_offset").collect()]
+        data[places[4] + 60:places[4] + 90] = bytes(30)
+        path.write_bytes(data)
+        told = read_recordings(spark, str(path), table="problems", rangeBytes=1500).collect()
+        assert [r.offset for r in told] == [places[4]] and "chunk" in told[0].problem
+
+
+def test_no_call_a_message(monkeypatch):
+    """Fields of all messages of a chunk are gathered at once, whatever their number."""
+    data = b"".join(rf._RECORD.pack(22 + 8).replace(b"\0", b"\5", 1) + bytes(30) for _ in range(5000))
+    calls = []
+    monkeypatch.setattr(rf, "_Fields", lambda body: calls.append(body))
+    records = rf._records_in(data)
+    assert len(records.field(6, "<u8")) == 5000 and records.bodies_from(22, rf.np.arange(5000)).to_pylist() == [bytes(8)] * 5000 and not calls

@@ -111,3 +111,18 @@ def test_resolve(spark):
     good, bad = joins.resolve(msgs, channels, schemas)
     assert {(r.note, r.topic, r.schema_name) for r in good.collect()} == {("a", "/a", "T"), ("b", "/b", None)}
     assert {(r.note, r.status) for r in bad.collect()} == {("c", joins.NO_SCHEMA), ("d", joins.NO_CHANNEL), ("e", joins.NO_CHANNEL)}
+
+
+def test_bisection(spark):
+    for size in range(8):
+        rows = spark.range(-1, 9).selectExpr("id as v").withColumn("a", F.array(*[F.lit(2 * i).cast("long") for i in range(size)]).cast("array<bigint>"))
+        for r in rows.withColumn("at", rec.last_at_or_before(F.col("a"), F.col("v"))).collect():
+            below = [i for i in range(size) if 2 * i <= r.v]
+            assert r["at"] == (below[-1] if below else None)
+
+
+def test_messages_without_a_log_time_stay(spark):
+    rows = spark.createDataFrame([("r", 1, 5 * SECOND, 10), ("r", 2, None, 10), ("s", 3, None, 10), ("r", 4, 9 * SECOND, 10)],
+                                 "recording_id string, arrival_seq bigint, log_time_ns bigint, payload_bytes int")
+    got = rec.assign_splits(rows, rec.Limits(max_bytes=10, poll_ns=SECOND)).collect()
+    assert sorted((r.arrival_seq, r.split, r.split_start_ns) for r in got) == [(1, 0, 5 * SECOND), (2, 0, 5 * SECOND), (3, 0, None), (4, 1, 9 * SECOND)]

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.functions.filters import topic_filter
+from tidewire.session import Scratch
 
 READ_ORDERS = {
     "file": ["split", "arrival_seq"],
     "time": ["log_time_ns", "split", "arrival_seq"],
 }
+_ROW_BITS = 33  # monotonically_increasing_id() is the partition above so many bits, and the row's place in it
 
 
 def topics_distinct(df: DataFrame) -> DataFrame:
@@ -26,11 +31,38 @@ def endpoints_by_guid(df: DataFrame) -> DataFrame:
     return df.orderBy("guid")
 
 
+def _order_by(order: str) -> list[Column]:
+    if order == "reverse_time":
+        return [F.col(name).desc() for name in READ_ORDERS["time"]]
+    return [F.col(name).asc() for name in READ_ORDERS[order]]
+
+
 def read_order(df: DataFrame, order: str = "file") -> DataFrame:
     """``file``, ``time`` or ``reverse_time``; equal times keep (or reverse) their file position."""
-    if order == "reverse_time":
-        return df.orderBy(*[F.col(name).desc() for name in READ_ORDERS["time"]])
-    return df.orderBy(*READ_ORDERS[order])
+    return df.orderBy(*_order_by(order))
+
+
+def read_positions(df: DataFrame, order: str = "file") -> DataFrame:
+    """:func:`read_order` as a column: ``position`` counts all rows from 0, those of several recordings that tie by recording."""
+    return numbered(df, [*_order_by(order), F.col("recording_id").asc()])
+
+
+def numbered(df: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
+    """Rows with their place in a total order, from 0.
+
+    Rows are dealt to tasks by ranges of the order and sorted there, once, into a written table; rows before a range are the sum of the
+    counts of the ranges before it. No task sees more than its range, and no row is shuffled again. Rows that tie in ``order`` are
+    numbered one after the other, in an order that the written table fixes.
+    """
+    scratch = Scratch(df.sparkSession, "numbered")
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = scratch.keep(ranged.withColumn("_place", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_place", _ROW_BITS), F.col("_place").bitwiseAND((1 << _ROW_BITS) - 1)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a task
+    starts = counts.select("_part", before.alias("_before"))
+    return (placed.withColumn("_part", part).join(starts, "_part").withColumn(name, F.col("_before") + place)
+            .drop("_part", "_place", "_before"))
 
 
 def first_n(df: DataFrame, n: int = 0) -> DataFrame:

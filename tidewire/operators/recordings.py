@@ -52,17 +52,43 @@ def _rounds(msgs: DataFrame, limits: Limits) -> DataFrame:
             .agg(F.sum("payload_bytes").alias("bytes")))
 
 
+def split_starts(cuts: DataFrame) -> DataFrame:
+    """Per recording the first poll round and the start of every split, in order; the n-th split has number n."""
+    first = cuts.groupBy("recording_id", "split").agg(F.min("poll").alias("poll"), F.min("split_start_ns").alias("start"))
+    splits = F.sort_array(F.collect_list(F.struct("split", "poll", "start")))
+    return first.groupBy("recording_id").agg(splits.alias("_splits")).select(
+        "recording_id", F.col("_splits.poll").alias("_polls"), F.col("_splits.start").alias("_starts"))
+
+
+def last_at_or_before(sorted_values: Column, value: Column) -> Column:
+    """Place of the last element of an ascending array that is not above ``value``, by bisection; null if there is none."""
+    steps = F.when(F.size(sorted_values) > 1, F.ceil(F.log2(F.size(sorted_values).cast("double"))).cast("int")).otherwise(0)
+
+    def halve(low: Column, power: Column) -> Column:
+        middle = low + F.call_function("shiftleft", F.lit(1), power)
+        return F.when(F.get(sorted_values, middle) <= value, middle).otherwise(low)
+
+    place = F.aggregate(F.sequence(steps, F.lit(0), F.lit(-1)), F.lit(0), halve)
+    return F.when(F.get(sorted_values, F.lit(0)) <= value, place)
+
+
 def assign_splits(msgs: DataFrame, limits: Limits, block_rows: int = SEGMENT_BLOCK_ROWS,
                   newest: int = 0) -> DataFrame:
     """Messages with their ``split`` and its start, of the ``newest`` splits only if asked for (0 = all).
 
     A split ends when its payload bytes or its age reach a limit; both start again with the next round that
-    has messages. Only one row per poll round takes part in the cutting; splits come back by equi-join. Messages without a
-    recording are one of their own.
+    has messages. Only one row per poll round takes part in the cutting. Messages find their split by bisection in the starts of
+    their recording's splits, one row a recording, so payloads are not shuffled while that table is small enough to be
+    broadcast. Messages without a recording are one of their own; those without a log time count for no limit and are in split 0.
     """
-    splits = retain_splits(split_rounds(_rounds(msgs, limits), limits, block_rows), newest)
-    placed = msgs.withColumn("poll", poll_round(limits))
-    return join_keys(placed, splits.drop("split_offset", "bytes"), ["recording_id", "poll"]).drop("poll")
+    scratch = Scratch(msgs.sparkSession, "splits")
+    starts = scratch.keep(split_starts(split_rounds(_rounds(msgs.where("log_time_ns is not null"), limits), limits, block_rows)))
+    placed = join_keys(msgs, starts, ["recording_id"], "left")
+    placed = placed.withColumn("_at", last_at_or_before(F.col("_polls"), poll_round(limits)))
+    split = placed.withColumns({"split": F.coalesce("_at", F.lit(0)).cast("long"), "split_start_ns": F.get("_starts", F.coalesce("_at", F.lit(0)))})
+    if newest:
+        split = split.where(F.col("split") >= F.greatest(F.coalesce(F.size("_polls"), F.lit(1)), F.lit(1)) - newest)
+    return split.drop("_at", "_polls", "_starts")
 
 
 def stop_at_limit(msgs: DataFrame, limits: Limits, block_rows: int = SEGMENT_BLOCK_ROWS) -> DataFrame:

@@ -246,11 +246,30 @@ def recording_stats(spark, sf):
                                filters.topic_filter(["/(click|view|signup)/[0-2]"], regex=True))
 
 
-@query("read_order", """
-select recording_id, split, arrival_seq, log_time_ns from split_messages""", _SPLITS_RECURSIVE)
+_ORDERED = ["recording_id", "split", "arrival_seq", "log_time_ns"]
+
+
+def _positions(spark, sf, order):
+    return ordering.read_positions(_split(views.messages(spark, sf)).select(*_ORDERED), order)
+
+
+def _position_sql(order):
+    return f"select {', '.join(_ORDERED)}, row_number() over (order by {order}, recording_id) - 1 as position from split_messages"
+
+
+@query("read_order", _position_sql("log_time_ns desc, split desc, arrival_seq desc"), _SPLITS_RECURSIVE)
 def read_order(spark, sf):
-    rows = _split(views.messages(spark, sf)).select("recording_id", "split", "arrival_seq", "log_time_ns")
-    return ordering.read_order(rows, "reverse_time")
+    return _positions(spark, sf, "reverse_time")
+
+
+@query("read_order_time", _position_sql("log_time_ns, split, arrival_seq"), _SPLITS_RECURSIVE)
+def read_order_time(spark, sf):
+    return _positions(spark, sf, "time")
+
+
+@query("read_order_file", _position_sql("split, arrival_seq"), _SPLITS_RECURSIVE)
+def read_order_file(spark, sf):
+    return _positions(spark, sf, "file")
 
 
 # Channels whose id is a multiple of 7 are lost, and schemas whose id is a multiple of 3.

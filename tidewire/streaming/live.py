@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
@@ -217,22 +217,27 @@ def recorded_dims(spark: SparkSession, path: str) -> DataFrame:
 # --- running ---------------------------------------------------------------------------------------------------
 
 
+_COUNTERS = ("received", "recorded", "bytes")
+
+
 def progress_stream(msgs: DataFrame, path: str, subscribed: DataFrame, keep: Column | None = None,
                     trigger: dict | None = None) -> DataStreamWriter:
     """Records like :func:`record_stream` and counts what goes through: one row per micro-batch under ``path/progress``.
 
     Received are valid messages on ``subscribed`` topics (a table with column ``topic``), recorded those of them that ``keep``
     lets through. A row belongs to its micro-batch and replaces the one of a failed attempt, so the sums hold over restarts and
-    over any number of micro-batches.
+    over any number of micro-batches. The counters are observed on the rows as they are written, so each micro-batch is read once.
     """
     topics = subscribed.select("topic").distinct()
     kept = F.lit(True) if keep is None else keep
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        read = batch.where("valid").join(topics, "topic", "left_semi")
+        seen = Observation(f"progress-{batch_id}")
+        read = batch.where("valid").join(topics, "topic", "left_semi").observe(
+            seen, F.count(F.lit(1)).alias("received"), F.count(F.when(kept, 1)).alias("recorded"),
+            F.coalesce(F.sum(F.when(kept, F.col("payload_bytes"))), F.lit(0)).cast("long").alias("bytes"))
         _write_batch(read.where(kept), path, "messages", batch_id, "recording_id")
-        counts = read.agg(F.count("*").alias("received"), F.count_if(kept).alias("recorded"),
-                          F.coalesce(F.sum(F.when(kept, F.col("payload_bytes"))), F.lit(0)).alias("bytes"))
+        counts = batch.sparkSession.createDataFrame([tuple(seen.get[name] for name in _COUNTERS)], ", ".join(f"{name} long" for name in _COUNTERS))
         _write_batch(counts, path, "progress", batch_id)
 
     return on_batch(msgs, path, step, trigger)
@@ -240,7 +245,7 @@ def progress_stream(msgs: DataFrame, path: str, subscribed: DataFrame, keep: Col
 
 def totals(spark: SparkSession, path: str) -> DataFrame:
     """One row: everything :func:`progress_stream` has counted so far."""
-    return spark.read.parquet(f"{path}/progress").agg(*[F.sum(name).alias(name) for name in ("received", "recorded", "bytes")])
+    return spark.read.parquet(f"{path}/progress").agg(*[F.sum(name).alias(name) for name in _COUNTERS])
 
 
 def run_for(query: StreamingQuery, seconds: float, stop_when: Callable[[], bool] = lambda: False,
