@@ -18,6 +18,7 @@ from tidewire.functions.scalars import floor_div
 from tidewire.functions.wire import Text
 from tidewire.functions.wire import struct as wire_struct
 from tidewire.operators import decode, rates
+from tidewire.operators.types import TypeTables
 from tidewire.plans.rates import rounded
 from tidewire.plans.recordings import typed_messages
 from tidewire.plans.registry import query
@@ -107,6 +108,46 @@ def decode_by_topic(spark, sf):
         F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total"))
 
 
+# Types as discovery describes them; what orders of status P hold is described nowhere, and topic /lines/N has no type.
+_DESCRIBED = [
+    ("demo::Line", 0, "l_orderkey", "int64", None, None, None), ("demo::Line", 1, "l_linenumber", "int32", None, None, None),
+    ("demo::Line", 2, "l_quantity", "float64", None, None, None), ("demo::Line", 3, "l_returnflag", "string", None, None, None),
+    ("demo::Line", 4, "l_extendedprice", "float64", None, None, None), ("demo::Order", 0, "o_orderkey", "int64", None, None, None),
+    ("demo::Order", 1, "o_orderstatus", "string", None, None, None), ("demo::Order", 2, "party", "struct", None, None, "demo::Party"),
+    ("demo::Party", 0, "o_custkey", "int64", None, None, None), ("demo::Party", 1, "o_totalprice", "float64", None, None, None),
+]
+
+
+@query("decode_discovered", """
+select 'demo::Line' as type_name, l_orderkey as key, l_returnflag as letter, null::varchar as problem, count(*) as n,
+       round(sum(l_extendedprice), 2) as total from lineitem where l_returnflag <> 'N' group by l_orderkey, l_returnflag
+union all
+select 'demo::Order', o_orderkey, o_orderstatus, null, count(*), round(sum(o_totalprice), 2)
+from orders where o_orderstatus <> 'P' group by o_orderkey, o_orderstatus
+union all
+select 'demo::Lost', null, null, 'no description of demo::Lost', count(*), null from orders where o_orderstatus = 'P' having count(*) > 0
+union all
+select null, null, null, 'topic without a type', count(*), null from lineitem where l_returnflag = 'N' having count(*) > 0""")
+def decode_discovered(spark, sf):
+    """Each payload decoded by the type its topic was announced with, out of the type tables; what has none is told."""
+    mixed = _encoded(spark, sf, "lineitem", "demo::Line").selectExpr("concat('/lines/', l_returnflag) as topic", "payload").unionByName(
+        _encoded(spark, sf, "orders", "demo::Order").selectExpr("concat('/orders/', o_orderstatus) as topic", "payload"))
+    announced = spark.createDataFrame([("/lines/A", "demo::Line"), ("/lines/R", "demo::Line"), ("/orders/F", "demo::Order"),
+                                       ("/orders/O", "demo::Order"), ("/orders/P", "demo::Lost")], "topic string, type_name string")
+    types = TypeTables(
+        spark.createDataFrame(_DESCRIBED, "type_name string, pos int, member string, kind string, elem_kind string, dims array<int>, ref_type string"),
+        spark.createDataFrame([], "type_name string, value int, literal string"), spark.createDataFrame([], "type_name string, label int, member string"))
+    typed, unknown = decode.decode_discovered(mixed, announced, types)
+    lines, orders = typed["demo::Line"][0], typed["demo::Order"][0]
+    rows = lines.select("type_name", F.col("l_orderkey").alias("key"), F.col("l_returnflag").alias("letter"), F.lit(None).cast("string").alias("problem"),
+                        F.col("l_extendedprice").alias("price")).unionByName(
+        orders.select("type_name", F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("letter"), F.lit(None).cast("string").alias("problem"),
+                      F.col("party.o_totalprice").alias("price"))).unionByName(
+        unknown.select("type_name", F.lit(None).cast("long").alias("key"), F.lit(None).cast("string").alias("letter"), "problem",
+                       F.lit(None).cast("double").alias("price")))
+    return rows.groupBy("type_name", "key", "letter", "problem").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total"))
+
+
 @query("echo", """
 select o_orderkey as arrival_seq, concat(epoch_us(o_orderdate) // 1000000, '.000000000') as stamp,
        to_json({'o_custkey': o_custkey, 'o_orderkey': o_orderkey, 'o_orderstatus': o_orderstatus,
@@ -124,7 +165,7 @@ def echo(spark, sf):
 _WEEK = 7 * 86_400 * 1_000_000_000
 
 
-def _write_files(spark, sf) -> str:
+def _write_files(spark, sf, damaged: bool = False) -> str:
     ship(spark, Path(__file__).resolve().parents[1])
     folder = scratch_path(spark, "files")
 
@@ -138,7 +179,11 @@ def _write_files(spark, sf) -> str:
             list(zip(rows["topic"].map(ids), rows["arrival_seq"], rows["log_time_ns"], rows["payload"])),
             {ids[t]: (t, "cdr", names.index(types[t]) + 1 if types[t] else 0, {}) for t in topics},
             {place + 1: (name, "omgidl", b"") for place, name in enumerate(names)},
-            chunk_rows=200, compression="zstd" if rows["week"].iloc[0] % 2 else "lz4")
+            chunk_rows=200, compression="zstd" if rows["week"].iloc[0] % 2 else "lz4",
+            attachments=[("rows.txt", "text/plain", int(rows["log_time_ns"].max()), b"." * len(rows))],
+            metadata=[("week", {"number": str(rows["week"].iloc[0])})])
+        if damaged and rows["week"].iloc[0] % 2:
+            data = data[:-20]
         system, inner = located(folder)
         system.create_dir(inner, recursive=True)
         name = f"{rows['recording_id'].iloc[0]}_{rows['week'].iloc[0]}.mcap"
@@ -219,3 +264,27 @@ def dims_from_files(spark, sf):
     folder = _write_files(spark, sf)
     channels, schemas = file_channels(spark, folder), file_schemas(spark, folder).select("recording_id", "schema_id", "name")
     return channels.join(schemas, ["recording_id", "schema_id"], "left").select(_file_name().alias("recording_id"), "topic", "name")
+
+
+@query("attachments_mcap", f"""
+select concat(recording_id, '_', log_time_ns // {_WEEK}) as file, 'rows.txt' as name, 'text/plain' as media_type,
+       max(log_time_ns) as log_time_ns, count(*) as data_bytes from typed_messages group by 1""")
+def attachments_mcap(spark, sf):
+    return read_recordings(spark, _write_files(spark, sf), table="attachments").select(
+        _file_name("file").alias("file"), "name", "media_type", "log_time_ns", "data_bytes")
+
+
+@query("metadata_mcap", f"""
+select distinct concat(recording_id, '_', log_time_ns // {_WEEK}) as file, 'week' as name from typed_messages""")
+def metadata_mcap(spark, sf):
+    return read_recordings(spark, _write_files(spark, sf), table="metadata").select(_file_name("file").alias("file"), "name")
+
+
+@query("problems_mcap", f"""
+select distinct concat(recording_id, '_', log_time_ns // {_WEEK}) as file, true as at_the_end
+from typed_messages where (log_time_ns // {_WEEK}) % 2 = 1""")
+def problems_mcap(spark, sf):
+    """Every second file has lost its last bytes."""
+    folder = _write_files(spark, sf, damaged=True)
+    told = read_recordings(spark, folder, table="problems", rangeBytes=100_000)
+    return told.select(_file_name("file").alias("file"), F.col("problem").contains("cut off").alias("at_the_end"))

@@ -34,3 +34,24 @@ def test_catalog(spark):
     used = spark.createDataFrame([("A",), ("Z",), ("U",), ("A",)], "type_name string")
     got = {r.type_name: (r.members, r.described) for r in types.schema_catalog(members(spark, [("A", "B"), ("A", "C")]), used).collect()}
     assert got == {"A": ("struct m0; struct m1", True), "Z": ("int32 x", True), "U": (None, False)}
+
+
+def test_descriptions_are_read_back_as_written(spark):
+    members = [("Top", 0, "id", "int32", None, None, None), ("Top", 1, "pose", "array", "float64", [2, 3], None),
+               ("Top", 2, "joints", "sequence", "struct", None, "a::Joint"), ("Top", 4, "state", "enum", None, None, "State"),
+               ("Top", 7, "value", "union", None, None, "Value"), ("a::Joint", 0, "name", "string", None, None, None),
+               ("a::Joint", 1, "near", "array", "struct", [4], "Deep"), ("Deep", 0, "raw", "sequence", "byte", None, None),
+               ("Value", 0, "_d", "int32", None, None, None), ("Value", 1, "i", "int32", None, None, None), ("Value", 2, "s", "string", None, None, None)]
+    literals, labels = [("State", 0, "ON"), ("State", -1, "OFF")], [("Value", 1, "i"), ("Value", 2, "i"), ("Value", -3, "s")]
+    tables = types.TypeTables(
+        spark.createDataFrame(members, "type_name string, pos int, member string, kind string, elem_kind string, dims array<int>, ref_type string"),
+        spark.createDataFrame(literals, "type_name string, value int, literal string"),
+        spark.createDataFrame(labels, "type_name string, label int, member string"))
+    texts = types.schema_texts(tables)
+    top = bytes(texts.where("type_name = 'Top'").first().data).decode()
+    places = [top.index(name) for name in ("struct Deep {", "struct a::Joint {", "struct Top {")]
+    assert places == sorted(places) and top.endswith("};\n") and "  @id(1) float64[2][3] pose;" in top
+    read = types.read_definitions(texts.where("type_name = 'Top'"))
+    assert [sorted(map(tuple, t.collect()), key=repr) for t in read] == [sorted(rows, key=repr) for rows in (members, literals, labels)]
+    other = spark.createDataFrame([(b"struct T {};",), (None,), (b"",)], "data binary")
+    assert all(t.count() == 0 for t in types.read_definitions(other))

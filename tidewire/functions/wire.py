@@ -135,7 +135,17 @@ def from_tables(type_name: str, members: DataFrame, literals: DataFrame, labels:
 
     Reads the named type and those it nests, one level per step: a few rows per type.
     """
-    wanted, by_type = {type_name}, {}
+    return catalog([type_name], members, literals, labels)[type_name]
+
+
+def catalog(type_names: Iterable[str], members: DataFrame, literals: DataFrame, labels: DataFrame,
+            skip_unknown: bool = False) -> dict[str, WireType]:
+    """:func:`from_tables` of several types, read together, level by level of their nesting.
+
+    ``skip_unknown`` leaves out types that cannot be built: described nowhere, needing such a type, or of an unknown kind.
+    """
+    asked = sorted(set(type_names))
+    wanted, by_type = set(asked), {}
     while wanted - by_type.keys():
         names = sorted(wanted - by_type.keys())
         by_type.update({name: [] for name in names})
@@ -150,7 +160,14 @@ def from_tables(type_name: str, members: DataFrame, literals: DataFrame, labels:
     cases: dict[tuple[str, str], list] = {}
     for row in labels.where(F.col("type_name").isin(names)).orderBy("type_name", "label").collect():
         cases.setdefault((row["type_name"], row["member"]), []).append(row["label"])
-    return _build(type_name, by_type, enums, cases)
+    out = {}
+    for name in asked:
+        try:
+            out[name] = _build(name, by_type, enums, cases)
+        except KeyError:
+            if not skip_unknown:
+                raise
+    return out
 
 
 def _build(name: str, by_type: dict[str, list], enums: dict[str, list], cases: dict) -> WireType:

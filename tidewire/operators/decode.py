@@ -19,8 +19,10 @@ from pyspark.sql import types as T
 from tidewire.functions.filters import topic_filter
 from tidewire.functions.render import render_json
 from tidewire.functions.scalars import sec_nsec
-from tidewire.functions.wire import PRIMITIVES, Array, Enum, Primitive, Sequence, Struct, Text, Union, WireType
+from tidewire.functions.wire import PRIMITIVES, Array, Enum, Primitive, Sequence, Struct, Text, Union, WireType, catalog
+from tidewire.operators.blocks import join_keys
 from tidewire.operators.ordering import first_n
+from tidewire.operators.types import TypeTables
 from tidewire.session import scratch_path
 
 # Second header byte -> (big endian, widest alignment, structs carry their size).
@@ -270,22 +272,23 @@ def echo(msgs: DataFrame, topic: str, kind: Struct, n: int = 0) -> DataFrame:
     return lifted.select("arrival_seq", sec_nsec("source_time_ns").alias("stamp"), text.alias("json"), "error")
 
 
-def decode_all(df: DataFrame, catalog: dict[str, Struct], type_column: str = "type_name",
+def decode_all(df: DataFrame, kinds: dict[str, Struct], type_column: str = "type_name",
                payload: str = "payload") -> dict[str, tuple[DataFrame, DataFrame]]:
-    """Decodes a table of mixed types: one pair of outputs per type of the catalog, as of :func:`decode`.
+    """Decodes a table of mixed types: one pair of outputs per type of ``kinds``, as of :func:`decode`.
 
     The table is read and decoded once, whatever the number of types. The result is stored in a folder per type, each row with
-    the struct of its own type alone, and every output reads its folder.
+    the struct of its own type alone, and every output reads its folder. Rows of other types are in no output here;
+    :func:`decode_discovered` returns them too.
     """
-    names, values = df.columns, {name: f"_value_{place}" for place, name in enumerate(catalog)}
+    names, values = df.columns, {name: f"_value_{place}" for place, name in enumerate(kinds)}
     at_type, at_payload = names.index(type_column), names.index(payload)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds, body = batch.column(at_type), batch.column(at_payload)
+            types, body = batch.column(at_type), batch.column(at_payload)
             error, columns = pa.nulls(batch.num_rows, pa.string()), []
-            for name, kind in catalog.items():
-                own = np.flatnonzero(pc.equal(kinds, name).to_numpy(zero_copy_only=False))
+            for name, kind in kinds.items():
+                own = np.flatnonzero(pc.equal(types, name).to_numpy(zero_copy_only=False))
                 if not len(own):
                     columns.append(pa.nulls(batch.num_rows, kind.arrow()))
                     continue
@@ -301,10 +304,10 @@ def decode_all(df: DataFrame, catalog: dict[str, Struct], type_column: str = "ty
             yield pa.RecordBatch.from_arrays([*kept, unread, *columns, error], names=tagged.fieldNames())
 
     fields = [field for field in df.schema.fields if field.name != payload] + [df.schema[payload]]
-    tagged = T.StructType(fields + [T.StructField(values[name], kind.spark()) for name, kind in catalog.items()]
+    tagged = T.StructType(fields + [T.StructField(values[name], kind.spark()) for name, kind in kinds.items()]
                           + [T.StructField("error", T.StringType())])
     path = scratch_path(df.sparkSession, "decoded")
-    (df.where(F.col(type_column).isin(*catalog)).mapInArrow(run, tagged)
+    (df.where(F.col(type_column).isin(*kinds)).mapInArrow(run, tagged)
      .write.partitionBy(type_column).parquet(path))
     every = df.sparkSession.read.schema(tagged).parquet(path)
     out = {}
@@ -313,3 +316,21 @@ def decode_all(df: DataFrame, catalog: dict[str, Struct], type_column: str = "ty
         good = own.where(F.col("error").isNull()).select(*[n for n in names if n != payload], f"{value}.*")
         out[name] = good, own.where(F.col("error").isNotNull()).select(*names, "error")
     return out
+
+
+def decode_discovered(msgs: DataFrame, topic_types: DataFrame, types: TypeTables,
+                      payload: str = "payload") -> tuple[dict[str, tuple[DataFrame, DataFrame]], DataFrame]:
+    """Decodes messages by the type their topic was announced with, as described by the type tables.
+
+    ``topic_types`` has a type per topic. Decoders are built on the driver out of the types in use and what they need, a few rows per
+    type; each row's is chosen by its topic. Returns :func:`decode_all` of all types that are described, and the rows of all
+    others with a ``problem``, so every message is in exactly one output.
+    """
+    used = join_keys(msgs.select("topic").distinct(), topic_types, ["topic"]).select("type_name").distinct()
+    names = [row["type_name"] for row in used.where("type_name is not null and type_name <> ''").collect()]
+    known = {name: kind for name, kind in catalog(names, *types, skip_unknown=True).items() if isinstance(kind, Struct)}
+    typed = join_keys(msgs.drop("type_name"), topic_types.select("topic", "type_name"), ["topic"], "left")
+    described = F.coalesce(F.col("type_name").isin(*known), F.lit(False)) if known else F.lit(False)
+    unknown = typed.where(~described).withColumn("problem", F.when(
+        F.coalesce(F.col("type_name"), F.lit("")) == "", "topic without a type").otherwise(F.concat(F.lit("no description of "), "type_name")))
+    return decode_all(typed, known, payload=payload) if known else {}, unknown

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +43,83 @@ def schema_catalog(members: DataFrame, used: DataFrame) -> DataFrame:
     listed = members.groupBy("type_name").agg(text.alias("members"))
     return (used.select("type_name").distinct().join(listed, "type_name", "left")
             .withColumn("described", F.col("members").isNotNull()))
+
+
+# --- type descriptions as text ---------------------------------------------------------------------------------
+
+
+class TypeTables(NamedTuple):
+    """The tables that describe types: members (type_name, pos, member, kind, elem_kind, dims, ref_type), enum literals
+    (type_name, value, literal) and union labels (type_name, label, member)."""
+
+    members: DataFrame
+    literals: DataFrame
+    labels: DataFrame
+
+
+_END = "\n};\n"
+_REF = r"(?: ([^ <>\[\]]+))?"
+
+
+def definitions(tables: TypeTables) -> DataFrame:
+    """(type_name, definition): one block of text per type, members and literals a line each, from which the tables can be read again."""
+    item = F.concat_ws(" ", "elem_kind", "ref_type")
+    dims = F.array_join(F.transform("dims", lambda n: F.concat(F.lit("["), n.cast("string"), F.lit("]"))), "")
+    kind = (F.when(F.col("kind") == "sequence", F.concat(F.lit("sequence<"), item, F.lit(">")))
+            .when(F.col("kind") == "array", F.concat(item, dims)).otherwise(F.concat_ws(" ", "kind", "ref_type")))
+    cases = tables.labels.groupBy("type_name", "member").agg(F.array_join(F.sort_array(F.collect_list("label")).cast("array<string>"), ", ").alias("cases"))
+    case = F.coalesce(F.concat(F.lit("case "), "cases", F.lit(": ")), F.lit(""))
+    line = F.concat(F.lit("  @id("), F.col("pos").cast("string"), F.lit(") "), case, kind, F.lit(" "), "member", F.lit(";"))
+    structs = (tables.members.join(cases, ["type_name", "member"], "left").groupBy("type_name")
+               .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", line.alias("line")))), lambda r: r["line"]), "\n").alias("lines"),
+                    F.when(F.max(F.col("member") == "_d"), "union").otherwise("struct").alias("word")))
+    literal = F.concat(F.lit("  "), "literal", F.lit(" = "), F.col("value").cast("string"), F.lit(";"))
+    enums = tables.literals.groupBy("type_name").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("value", literal.alias("line")))), lambda r: r["line"]), "\n").alias("lines"),
+        F.lit("enum").alias("word"))
+    text = F.concat("word", F.lit(" "), "type_name", F.lit(" {\n"), "lines", F.lit(_END))
+    return structs.unionByName(enums).select("type_name", text.alias("definition"))
+
+
+def schema_texts(tables: TypeTables) -> DataFrame:
+    """(type_name, data): the definitions of everything a type needs, dependencies first, and its own last, as UTF-8.
+
+    What is needed but described nowhere is left out.
+    """
+    texts = definitions(tables)
+    needed = type_closure(tables.members).select("type_name", "needs", "depth").unionByName(
+        texts.select("type_name", F.col("type_name").alias("needs"), F.lit(0).alias("depth")))
+    parts = needed.join(texts.withColumnRenamed("type_name", "needs"), "needs").groupBy("type_name").agg(
+        F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("place"), "needs", "definition"))).alias("parts"))
+    # a type without a definition of its own has no schema, whatever it is said to need
+    return parts.join(texts.select("type_name"), "type_name", "left_semi").select(
+        "type_name", F.array_join(F.col("parts.definition"), "").cast("binary").alias("data"))
+
+
+def read_definitions(schemas: DataFrame, data: str = "data", keep: Sequence[str] = ()) -> TypeTables:
+    """The type tables out of schema texts, each type once (or once per value of the columns ``keep``); other text gives no rows."""
+    block = schemas.select(*keep, F.explode(F.split(F.col(data).cast("string"), r"\n\};\n")).alias("block")).distinct()
+    head = r"\A(struct|union|enum) (\S+) \{\n"
+    lines = (block.where(F.col("block").rlike(head))
+             .select(*keep, F.regexp_extract("block", head, 1).alias("word"), F.regexp_extract("block", head, 2).alias("type_name"),
+                     F.explode(F.split(F.regexp_replace("block", head, ""), "\n")).alias("line")).distinct())
+    literal = r"\A  (.+) = (-?\d+);\z"
+    literals = lines.where((F.col("word") == "enum") & F.col("line").rlike(literal)).select(
+        *keep, "type_name", F.regexp_extract("line", literal, 2).cast("int").alias("value"), F.regexp_extract("line", literal, 1).alias("literal"))
+    member = r"\A  @id\((-?\d+)\) (?:case ([-\d, ]+): )?(.+) (\S+);\z"
+    found = lines.where((F.col("word") != "enum") & F.col("line").rlike(member)).select(
+        *keep, "type_name", *[F.regexp_extract("line", member, n).alias(name) for n, name in ((1, "pos"), (2, "cases"), (3, "text"), (4, "member"))])
+    sequence, array, plain = rf"\Asequence<([^ <>]+){_REF}>\z", rf"\A([^ \[\]]+){_REF}((?:\[\d+\])+)\z", rf"\A([^ ]+){_REF}\z"
+    is_sequence, is_array = F.col("text").rlike(sequence), F.col("text").rlike(array)
+
+    def piece(n: int):
+        return F.nullif(F.when(is_sequence, F.regexp_extract("text", sequence, n)).when(is_array, F.regexp_extract("text", array, n)), F.lit(""))
+
+    kind = F.when(is_sequence, "sequence").when(is_array, "array").otherwise(F.regexp_extract("text", plain, 1))
+    sizes = F.regexp_extract_all(F.regexp_extract("text", array, 3), F.lit(r"(\d+)")).cast("array<int>")
+    members = found.select(
+        *keep, "type_name", F.col("pos").cast("int").alias("pos"), "member", kind.alias("kind"), piece(1).alias("elem_kind"),
+        F.when(is_array, sizes).alias("dims"),
+        F.when(is_sequence | is_array, piece(2)).otherwise(F.nullif(F.regexp_extract("text", plain, 2), F.lit(""))).alias("ref_type"))
+    labels = found.where("cases <> ''").select(*keep, "type_name", F.explode(F.split("cases", ", ").cast("array<int>")).alias("label"), "member")
+    return TypeTables(members, literals, labels)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import filters, scalars
 from tidewire.operators import discovery, joins, ordering
 from tidewire.operators import recordings as rec
+from tidewire.operators.types import TypeTables, read_definitions
 from tidewire.plans.registry import query
 from tidewire.session import scratch_path, stored
 from tidewire.sources import recordings as store
@@ -293,6 +294,50 @@ def messages_with_schema(spark, sf):
         "recording_id", "arrival_seq", "channel_id", "topic", "schema_id", "schema_name", "status")
 
 
+# Descriptions of some of the types in use, two of them nested; the others are unknown.
+_TYPE_MEMBERS = [
+    ("demo::Pose", 0, "xyz", "array", "float64", [3], None), ("demo::Pose", 1, "mode", "enum", None, None, "demo::Mode"),
+    ("demo::click::Msg0", 0, "id", "int32", None, None, None), ("demo::click::Msg0", 1, "poses", "sequence", "struct", None, "demo::Pose"),
+    ("demo::view::Msg1", 0, "frame", "string", None, None, None), ("demo::view::Msg1", 1, "pose", "struct", None, None, "demo::Pose"),
+    ("demo::purchase::Msg2", 0, "_d", "int32", None, None, None), ("demo::purchase::Msg2", 1, "total", "uint64", None, None, None),
+]
+_TYPE_LITERALS = [("demo::Mode", 0, "IDLE"), ("demo::Mode", 7, "MOVING")]
+_TYPE_LABELS = [("demo::purchase::Msg2", 1, "total"), ("demo::purchase::Msg2", 4, "total")]
+
+
+def example_types(spark):
+    return TypeTables(
+        spark.createDataFrame(_TYPE_MEMBERS, "type_name string, pos int, member string, kind string, elem_kind string, dims array<int>, ref_type string"),
+        spark.createDataFrame(_TYPE_LITERALS, "type_name string, value int, literal string"),
+        spark.createDataFrame(_TYPE_LABELS, "type_name string, label int, member string"))
+
+
+def _sql_rows(rows):
+    return ", ".join("(" + ", ".join("null" if v is None else str(v) if not isinstance(v, str) else f"'{v}'" for v in row) + ")" for row in rows)
+
+
+@query("schema_data", f"""
+select recording_id, split, v.type_name as schema_name, m.type_name as needs, m.member, m.kind, m.elem_kind, m.pos, topics
+from (select recording_id, split, type_name, string_agg(distinct topic, ',' order by topic) as topics
+      from split_messages where valid and type_name <> '' group by all) v
+join (values ('demo::click::Msg0', 'demo::Pose'), ('demo::view::Msg1', 'demo::Pose'), ('demo::click::Msg0', 'demo::click::Msg0'),
+             ('demo::view::Msg1', 'demo::view::Msg1'), ('demo::purchase::Msg2', 'demo::purchase::Msg2')) n(type_name, needs) using (type_name)
+join (values {_sql_rows([row[:5] for row in _TYPE_MEMBERS])}) m(type_name, pos, member, kind, elem_kind) on m.type_name = n.needs""",
+       _VALID_STEPS)
+def schema_data(spark, sf):
+    """Members of every type a split's schemas describe, read back from the text stored with them; topics from the channels' metadata."""
+    path, kinds = scratch_path(spark, "recording"), example_types(spark)
+    msgs = typed_messages(spark, sf).where("valid")
+    metadata = msgs.select("topic").distinct().select("topic", F.create_map(F.lit("name"), "topic").alias("metadata"))
+    store.write_recording(msgs, path, _LIMITS, types=kinds, metadata=metadata)
+    schemas = store.read_schemas(spark, path)
+    members = read_definitions(schemas, keep=["name"]).members.withColumnRenamed("name", "schema_name")
+    topics = (store.read_channels(spark, path).where("schema_id <> 0").groupBy("recording_id", "split", "schema_id")
+              .agg(F.array_join(F.sort_array(F.collect_set(F.col("metadata")["name"])), ",").alias("topics")))
+    return (schemas.join(topics, ["recording_id", "split", "schema_id"]).withColumnRenamed("name", "schema_name").join(members, "schema_name")
+            .select("recording_id", "split", "schema_name", F.col("type_name").alias("needs"), "member", "kind", "elem_kind", "pos", "topics"))
+
+
 def _codec_of(spark, path: str) -> str:
     """What the footer of a written file says."""
     first = store.read_messages(spark, path).inputFiles()[0]

@@ -352,7 +352,7 @@ def _walked(file: _File, at: int, end: int) -> Iterator[_Run | tuple[int, int, i
             yield tag, at, size
             at += TAG_BYTES + size
             continue
-        records = _records_in(file.read(at, max(TAG_BYTES + size, _WINDOW)))
+        records = _records_in(file.read(at, max(TAG_BYTES + size, min(_WINDOW, end - at))))
         other = np.flatnonzero(~np.isin(records.tags, _RUN_TAGS) | (at + records.starts >= end))
         records = records.some(0, int(other[0]) if len(other) else len(records.starts))
         yield _Run(at, records)

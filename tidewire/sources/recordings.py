@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidewire.operators.blocks import join_keys
 from tidewire.operators.discovery import assign_ids, replicate_dims
 from tidewire.operators.recordings import Limits, assign_splits
+from tidewire.operators.types import TypeTables, schema_texts
 
 # Compression names a recording may ask for, as Parquet codecs. Anything else means none.
 CODECS = {"zstd": "zstd", "lz4": "lz4_raw"}
@@ -29,9 +30,13 @@ def split_recording(msgs: DataFrame, limits: Limits | None, max_splits: int = 0)
 
 
 def write_recording(msgs: DataFrame, path: str, limits: Limits | None = None, *, max_splits: int = 0,
-                    compression: str | None = "zstd", mode: str = "errorifexists") -> None:
+                    compression: str | None = "zstd", mode: str = "errorifexists", types: TypeTables | None = None,
+                    metadata: DataFrame | None = None) -> None:
     """Write typed messages (``type_name`` set), their channels and their schemas under ``path``.
 
+    With ``types`` a schema's ``data`` is the text of its type and all that needs (:func:`schema_texts`), else empty; ``metadata``
+    (topic, metadata map) is stored with the channels.
+
     The rebalance hint lets adaptive execution size the files: a hot split is written by several tasks, small
     ones share one. Rows are in time order inside each file, so time filters skip row groups.
     """
@@ -44,11 +49,14 @@ def write_recording(msgs: DataFrame, path: str, limits: Limits | None = None, *,
      .write.mode(mode).options(**options).partitionBy("recording_id", "split").parquet(f"{path}/messages"))
     written = read_messages(msgs.sparkSession, path)
     dims = replicate_dims(written, ids).persist()  # a few rows per split, for two tables
-    channels = dims.select("recording_id", "split", "channel_id", "topic",
-                           F.lit(MESSAGE_ENCODING).alias("message_encoding"), "schema_id")
-    schemas = (dims.where("schema_id <> 0")
-               .select("recording_id", "split", "schema_id", F.col("type_name").alias("name"),
-                       F.lit(SCHEMA_ENCODING).alias("encoding")).distinct())
+    none = F.lit(None).cast("map<string,string>")
+    told = dims.withColumn("metadata", none) if metadata is None else join_keys(dims, metadata.select("topic", "metadata"), ["topic"], "left")
+    channels = told.select("recording_id", "split", "channel_id", "topic", F.lit(MESSAGE_ENCODING).alias("message_encoding"), "schema_id",
+                           F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"))
+    named = dims.where("schema_id <> 0").select("recording_id", "split", "schema_id", "type_name", F.lit(SCHEMA_ENCODING).alias("encoding")).distinct()
+    texts = named.withColumn("data", F.lit(None).cast("binary")) if types is None else named.join(schema_texts(types), "type_name", "left")
+    schemas = texts.select("recording_id", "split", "schema_id", F.col("type_name").alias("name"), "encoding",
+                           F.coalesce("data", F.lit(b"")).alias("data"))
     channels.write.mode(mode).options(**options).parquet(f"{path}/channels")
     schemas.write.mode(mode).options(**options).parquet(f"{path}/schemas")
     dims.unpersist()
