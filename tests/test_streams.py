@@ -76,6 +76,71 @@ def test_endpoints(spark, sf_dir, events, tmp_path):
     assert difference(spark_rows(live.live_endpoints(spark, str(tmp_path))), spark_rows(want)) is None
 
 
+def _feed(spark, path, *batches):
+    """A change feed of one file a micro-batch."""
+    schema = "guid string, seq bigint, topic string, type_name string, is_writer boolean, alive boolean, valid boolean"
+    for number, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.05)
+    return live.read_files(spark, path, spark.read.parquet(path).schema, 1)
+
+
+def _event(guid, seq, alive=True, topic="/t"):
+    return (guid, seq, topic, "T", True, alive, alive)
+
+
+def test_removed_endpoints_leave_no_state(spark, tmp_path):
+    """1,000 endpoints come and go; what is left is one that stays and one that came back."""
+    every = [_event(f"g{i}", i) for i in range(1000)]
+    gone = [_event(f"g{i}", 2000 + i, False) for i in range(1000)]
+    state = live._State(str(tmp_path / "out"), live._ENDPOINTS, "_live")
+    for batches, left in (((every,), 1000), ((gone,), 0), (([_event("stays", 5000), _event("g7", 5001), _event("other", 5002, False)],), 2)):
+        run(live.endpoints_stream(_feed(spark, str(tmp_path / "in"), *batches), str(tmp_path / "out"), live.ONCE))
+        assert state.newest(spark).count() == left == live.live_endpoints(spark, str(tmp_path / "out")).count()
+    assert {r.guid for r in live.live_endpoints(spark, str(tmp_path / "out")).collect()} == {"stays", "g7"}
+    assert len([p for p in (tmp_path / "out/_live").iterdir() if p.is_dir()]) <= 2
+
+
+def test_a_removal_lingers_against_late_events(spark, tmp_path):
+    batches = [[_event("a", 5), _event("b", 6)], [_event("a", 9, False), _event("a", 8, topic="/u")], [_event("a", 7), _event("b", 2, topic="/old")]]
+    run(live.endpoints_stream(_feed(spark, str(tmp_path / "in"), *batches), str(tmp_path / "out"), live.ONCE, linger_ms=600_000))
+    assert [tuple(r) for r in live.live_endpoints(spark, str(tmp_path / "out")).collect()] == [("b", "/t", "T", True)]
+
+
+def test_manifest_lists_what_is_live_and_nothing_else_stays(spark, tmp_path, monkeypatch):
+    """Many micro-batches to few splits: closed ones are merged, old ones go from messages and dims, folders do not pile up."""
+    second, source, out = 1_000_000_000, str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "recording_id string, topic string, type_name string, arrival_seq bigint, log_time_ns bigint, valid boolean, payload_bytes int"
+    monkeypatch.setattr(live, "MERGE_EVERY", 3)
+    for number in range(10):
+        rows = [(r, f"/t{number // 5}", "T", 10 * number + i, (10 * number + i) * second, True, 10) for i in range(10) for r in ("a/b c", None)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        time.sleep(0.02)
+    sdf = live.read_files(spark, source, spark.read.parquet(source).schema, 1)
+    limits = rec.Limits(max_bytes=200, poll_ns=second)  # a split is two micro-batches long
+    run(live.record_stream(sdf, out, limits=limits, max_splits=3, trigger=live.ONCE))
+    whole = rec.assign_splits(spark.read.parquet(source), limits, newest=3).select("recording_id", "arrival_seq", "split")
+    got = live.recorded(spark, out).select("recording_id", "arrival_seq", "split")
+    assert difference(spark_rows(got), spark_rows(whole)) is None and {r.split for r in whole.collect()} == {2, 3, 4}
+    dims = {(r.recording_id, r.split, r.topic) for r in live.recorded_dims(spark, out).collect()}
+    assert dims == {(r, s, t) for r in ("a/b c", None) for s, t in ((2, "/t0"), (2, "/t1"), (3, "/t1"), (4, "/t1"))}
+    folders = live._Manifest(out, 3).folders(spark)
+    left = [p for p in (tmp_path / "out/messages").glob("*/*/split=*")]
+    assert any(f.startswith("merged=") for f in folders) and len(folders) <= len(left) <= 2 * len(folders) + 4
+    assert all(len([p for p in (tmp_path / "out" / name).iterdir() if p.is_dir()]) <= 2 for name in ("_manifest", "_dims", "_ids", "_state"))
+
+
+def test_recordings_without_limits_have_dims(spark, tmp_path):
+    schema = "recording_id string, topic string, type_name string, arrival_seq bigint, log_time_ns bigint, valid boolean, payload_bytes int"
+    rows = [("r", f"/t{i % 3}", "T" if i % 3 else "", i, i, i != 5, 10) for i in range(30)]
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    sdf = live.read_files(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
+    run(live.record_stream(sdf, str(tmp_path / "out"), trigger=live.ONCE))
+    assert live.recorded(spark, str(tmp_path / "out")).count() == 29
+    dims = sorted(tuple(r) for r in live.recorded_dims(spark, str(tmp_path / "out")).collect())
+    assert dims == [("r", 0, "/t0", "", 1, 0), ("r", 0, "/t1", "T", 2, 1), ("r", 0, "/t2", "T", 3, 1)]
+
+
 def test_record_and_go_on_after_a_pause(spark, sf_dir, events, tmp_path):
     keep = topic_filter(["/(click|view)/.*"], regex=True)
 
