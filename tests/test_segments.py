@@ -3,6 +3,7 @@ import random
 import pytest
 
 from tidewire.operators import recordings as rec
+from tidewire.operators import segments
 from tidewire.operators.segments import greedy_segments
 
 
@@ -28,6 +29,18 @@ CASES = [(100, 0, False), (100, 0, True), (0, 40, False), (60, 25, False), (1, 0
          (10**9, 10**9, True)]
 
 
+@pytest.mark.parametrize("target,span", [(45_000, 0), (0, 9_000), (700, 80)])
+def test_pointer_doubling(spark, monkeypatch, target, span):
+    """Streams with too many pointers for a task, one of them going on with an open segment; equal sizes, which never fall together."""
+    monkeypatch.setattr(segments, "PATH_ROWS", 0)
+    units = [(i, 10 if i % 2000 < 1900 else i % 7, 3 * i) for i in range(9000)]
+    want = {(k, u[0]): w for k, opened in (("a", None), ("b", (3, 100, -50))) for u, w in zip(units, brute([u[1:] for u in units], target, span, False, opened))}
+    df = spark.createDataFrame([(k, *u) for u in units for k in "ab"], "k string, o bigint, size bigint, at bigint").repartition(4)
+    held = spark.createDataFrame([("b", 3, 100, -50)], "k string, segment bigint, open_size bigint, open_clock bigint")
+    cut = greedy_segments(df, ["k"], "o", "size", target=target, clock="at", span=span, block_rows=700, opened=held)
+    assert {(r.k, r.o): (r.segment, r.offset, r.segment_start) for r in cut.collect()} == want
+
+
 @pytest.mark.parametrize("block_rows", [1, 5, 23, 1000])
 @pytest.mark.parametrize("target,span,close_before", CASES)
 def test_against_one_by_one(spark, target, span, close_before, block_rows):

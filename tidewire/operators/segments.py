@@ -4,11 +4,12 @@ afresh. The result depends on every earlier cut, so it is no plain window; yet n
 1. Blocks of equal depth, each with its place and the bytes before it. A stream of one block is cut in one task.
 2. Per block: the segments that can be open at its end, and in which later block each of them is cut. That block looks up the row.
    Rows that are looked up are the *entries* of their block; each leads to one entry of a later block.
-3. These pointers are doubled by joins, and the path from the stream's first row is marked, longest jumps first. A block on the
-   path is entered once, which gives the segment open at the beginning of every block.
+3. The path from the stream's first row along these pointers is marked: in a task where a stream has few of them, else by doubling
+   the pointers with joins and marking the longest jumps first. A block on the path is entered once, which gives the segment
+   open at the beginning of every block.
 4. Per block: mark where segments begin. A window inside the block hands the markers on to the rows.
 
-Steps 2 and 4 run on all blocks at once, step 3 takes about log2(blocks) joins of the entries. Entries of a block are no more than
+Steps 2 and 4 run on all blocks at once, step 3 takes at most log2(blocks) joins of the entries. Entries of a block are no more than
 the rows of its first segment, so they are few where a block holds several segments, and rows of a table where it does not.
 """
 
@@ -28,6 +29,7 @@ from tidewire.session import Scratch
 
 SEGMENT_BLOCK_ROWS = 1 << 18
 _NEVER = np.int64(2**62)
+PATH_ROWS = 1 << 20
 _MARK = ["segment", "_base", "segment_start"]
 
 
@@ -183,8 +185,29 @@ class _Limits:
 _AHEAD = pa.list_(pa.struct([(name, pa.int64()) for name in ("block", "place", "end", "until")]))
 
 
-def _path(pointers: DataFrame, starts: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
-    """The entries on the paths from ``starts`` (entry 0, or -1 before it) along ``pointers`` (entry, onward), by pointer doubling."""
+def _followed(pointers: pa.Table, keys: list[str]) -> pa.Table:
+    """The entries on the path of one stream, whose pointers are few enough for a task."""
+    entry, onward = pointers["entry"].to_numpy(), pointers["onward"].to_numpy()
+    order = np.argsort(entry)
+    entry, onward = entry[order], onward[order]
+    path, at = [], int(entry[0]) if len(entry) and entry[0] <= 0 else None
+    while at is not None:
+        path.append(at)
+        place = int(np.searchsorted(entry, at))
+        at = int(onward[place]) if place < len(entry) and entry[place] == at else None
+    head = {name: pointers[name].take(pa.array(np.zeros(len(path), np.int64))) for name in keys}
+    return pa.table({**head, "entry": pa.array(path, pa.int64())})
+
+
+def _path(pointers: DataFrame, starts: DataFrame, limits: _Limits, scratch: Scratch) -> DataFrame:
+    """The entries on the paths from ``starts`` (entry 0, or -1 before it) along ``pointers`` (entry, onward).
+
+    Streams of up to ``PATH_ROWS`` pointers are followed in a task each; if one has more, all are, by pointer doubling.
+    """
+    keys = limits.keys
+    if not pointers.groupBy(*keys).count().where(F.col("count") > PATH_ROWS).limit(1).count():
+        followed = pointers.groupBy(*keys).applyInArrow(lambda rows: _followed(rows, limits.keys), limits.schema("entry"))
+        return followed.unionByName(starts).distinct()
     jumps = [pointers]
     while True:
         second = jumps[-1].select(*keys, F.col("entry").alias("onward"), F.col("onward").alias("_then"))
@@ -220,7 +243,7 @@ def _states(blocked: DataFrame, frames: DataFrame, limits: _Limits, scratch: Scr
     probes = (join_keys(narrow, routes.where(F.size("ahead") > 0), block_keys).groupBy(*block_keys)
               .applyInArrow(lambda rows: limits.leave(rows), limits.schema(*_PROBE)))
     going_on = several.where(F.col("segment").isNotNull()).groupBy(*keys).applyInArrow(lambda rows: limits.opened(rows), limits.schema(*_PROBE))
-    probes = scratch.keep(probes.unionByName(going_on))
+    probes = probes.unionByName(going_on)
     placed = join_keys(narrow, routes.drop("ahead"), block_keys)
     # new names: a cogroup drops columns of its right side that are also on the left
     right = placed.select(*[F.col(name).alias(f"{name}_") for name in placed.columns]).groupBy(*[f"{name}_" for name in block_keys])
@@ -239,7 +262,7 @@ def _states(blocked: DataFrame, frames: DataFrame, limits: _Limits, scratch: Scr
     opened = onward.where("tail = -1").select(*keys, F.col("tail").alias("entry"), "onward")
     begun = starts.select(*keys, "entry").unionByName(
         several.where(first & F.col("segment").isNotNull()).select(*keys, F.lit(-1).cast("long").alias("entry")))
-    path = _path(scratch.keep(pointers.unionByName(opened)), begun, keys, scratch)
+    path = _path(scratch.keep(pointers.unionByName(opened)), begun, limits, scratch)
     taken = join_keys(entered, path, [*keys, "entry"]).select(*block_keys, "cuts", "tail_before", "tail_clock")
     earlier = W.partitionBy(*keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
     last = F.last(F.when(F.col("cuts").isNotNull(), F.struct("tail_before", "tail_clock")), ignorenulls=True).over(earlier)
@@ -282,7 +305,7 @@ def greedy_segments(units: DataFrame, keys: list[str], order: str, size: str, *,
         frames = frames.withColumns({name: F.lit(None).cast("long") for name in _STATE[:3]})
     else:
         frames = join_keys(frames, opened.select(*keys, *_STATE[:3]), keys, "left")
-    states = _states(blocked, scratch.keep(frames), limits, scratch)
+    states = _states(blocked, frames, limits, scratch)
 
     def mark(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("_order")
