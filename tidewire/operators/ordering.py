@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidewire.functions.filters import topic_filter
@@ -58,9 +58,9 @@ def numbered(df: DataFrame, order: Sequence[Column], name: str = "position") ->
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = scratch.keep(ranged.withColumn("_place", F.monotonically_increasing_id()))
     part, place = F.shiftright("_place", _ROW_BITS), F.col("_place").bitwiseAND((1 << _ROW_BITS) - 1)
-    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
-    before = F.coalesce(F.sum("_rows").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a task
-    starts = counts.select("_part", before.alias("_before"))
+    counts = sorted(placed.groupBy(part.alias("_part")).count().collect())  # a row a task
+    before = accumulate((row["count"] for row in counts), initial=0)
+    starts = df.sparkSession.createDataFrame([(row["_part"], rows) for row, rows in zip(counts, before)], "_part bigint, _before bigint")
     return (placed.withColumn("_part", part).join(starts, "_part").withColumn(name, F.col("_before") + place)
             .drop("_part", "_place", "_before"))
 
