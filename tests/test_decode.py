@@ -171,3 +171,41 @@ def test_types_out_of_tables(spark):
         value=Union(Primitive("int32"), (((1, 2), "i", Primitive("int32")), ((3,), "s", Text()))))
     with pytest.raises(KeyError):
         from_tables("Nobody", members, literals, labels)
+
+
+@pytest.mark.parametrize("header", [0, 1, 6, 7])
+def test_sequences_of_fixed_structs_are_read_in_three_steps(monkeypatch, header):
+    """Whatever the number of items: the first, the second, and all others at once. Odd sizes, so that padding differs."""
+    from tidewire.operators import decode as module
+    rng = random.Random(header)
+    for kind in (struct(a="byte", b="float64"), struct(b="float64", a="byte"), struct(a="int16", b="byte"), struct(v=VECTOR, s=STATUS, f="boolean")):
+        whole = struct(lead="byte", items=Sequence(kind), last="int32")
+        rows = []
+        for n in (0, 1, 2, 3, 50, 400):
+            values = [make(kind, rng) for _ in range(n)]
+            rows.append(({"lead": 1, "items": [v for v, _ in values], "last": n}, {"lead": 1, "items": [d for _, d in values], "last": n}))
+        payloads = pa.array([encode(value, whole, header) for value, _ in rows], pa.binary())
+        calls = []
+        plain = module._struct
+        monkeypatch.setattr(module, "_struct", lambda cursor, of: calls.append(of == kind) or plain(cursor, of))
+        decoded, error = decode_batch(payloads, whole)
+        monkeypatch.setattr(module, "_struct", plain)
+        assert error.null_count == len(rows) and decoded.to_pylist() == [want for _, want in rows] and sum(calls) == 3
+        cut = pa.array([p.as_py()[:-9] for p in payloads], pa.binary())
+        decoded, error = decode_batch(cut, whole)
+        assert error.to_pylist() == [MALFORMED] * len(rows) or error.to_pylist()[1:] == [MALFORMED] * (len(rows) - 1)
+
+
+def test_batches_are_bounded_by_bytes(spark, monkeypatch):
+    """Rows of many sizes come out whole and in order, a batch no larger than the limit or one row."""
+    from tidewire.operators import decode as module
+    kind = struct(name=Text(), data=Sequence(BYTE))
+    values = [{"name": "x" * (i % 7), "data": [i % 256] * (i * 37 % 900)} for i in range(200)]
+    payloads = [encode(v, kind) for v in values] + [None, b""]
+    monkeypatch.setattr(module, "BATCH_BYTES", 2000)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(202)), pa.array(payloads, pa.binary())], ["n", "payload"])
+    parts = list(module.bounded(iter([batch, batch.slice(0, 0)]), 1))
+    assert [n for part in parts for n in part.column(0).to_pylist()] == list(range(202)) and len(parts) > 20
+    assert all(part.num_rows <= 1 or sum(len(p or b"") for p in part.column(1).to_pylist()) <= 2000 for part in parts)
+    found = [row for part in parts for row in decode_batch(part.column(1), kind)[0].to_pylist()]
+    assert found[:200] == values

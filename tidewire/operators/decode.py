@@ -33,6 +33,8 @@ LAYOUTS = {
 }
 MUTABLE = (0x0A, 0x0B)
 HEADER = 4
+# Payload bytes decoded at once: positions and copies take a multiple of them.
+BATCH_BYTES = 32 << 20
 TOO_SHORT, BAD_HEADER, UNSUPPORTED, MALFORMED = "too short", "bad header", "unsupported layout", "malformed"
 
 _CHARS = pa.array([chr(code) for code in range(256)])
@@ -84,6 +86,20 @@ def _spread(start, count, width=1) -> np.ndarray:
     return np.repeat(start - before * width, count) + np.arange(int(count.sum())) * width
 
 
+def _runs(data: np.ndarray, start, size) -> pa.Array:
+    """``size`` bytes from ``start`` of each row as a column. Rows lie in the order of the buffer, so it is cut at their borders and the
+    gaps are left out: whole runs are copied, without an index per byte."""
+    ends = np.maximum.accumulate(np.where(size > 0, start + size, 0)) if len(size) else size
+    begins = np.where(size > 0, start, ends)
+    borders = np.stack([begins, ends], axis=1).ravel()
+    low = int(borders[0]) if len(borders) else 0
+    wide = len(borders) and int(borders[-1]) - low > 2**31 - 1
+    offsets = (borders - low).astype(np.int64 if wide else np.int32)
+    pieces = pa.Array.from_buffers(pa.large_binary() if wide else pa.binary(), max(0, len(borders) - 1),
+                                   [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[low:])])
+    return pieces.take(pa.array(np.arange(0, max(0, len(borders) - 1), 2))).cast(pa.binary())
+
+
 def _offsets(count) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(count))).astype(np.int32)
 
@@ -100,8 +116,7 @@ def _text(cursor: _Cursor) -> pa.Array:
     size = cursor.length()
     start = cursor.claim(size)
     size = np.where(cursor.ok, np.maximum(size - 1, 0), 0)
-    flat = cursor.data[_spread(start, size)]
-    raw = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(_offsets(size)), pa.py_buffer(flat)])
+    raw = _runs(cursor.data, start, size)
     try:
         return raw.cast(pa.string())
     except pa.ArrowInvalid:
@@ -139,23 +154,58 @@ def _items(cursor: _Cursor, kind: Sequence | Array) -> pa.Array:
         cursor.align(width, count > 0)
         start = cursor.claim(count * width)
         count = np.where(cursor.ok, count, 0)
-        values = _to_arrow(cursor.values(_spread(start, count, width), code), item.kind)
+        if width == 1:
+            body = _runs(cursor.data, start, count).buffers()[2]
+            found = np.frombuffer(body, np.uint8)[:int(count.sum())] if body else np.empty(0, np.uint8)
+        else:
+            found = cursor.values(_spread(start, count, width), code)
+        values = _to_arrow(found, item.kind)
     else:
         values, count = _nested_items(cursor, item, count)
     return pa.ListArray.from_arrays(_offsets(count), values, type=kind.arrow())
 
 
+def _fixed_width(kind: WireType, layout) -> int | None:
+    """The widest alignment inside a type whose items all take the same room, else nothing."""
+    if isinstance(kind, Primitive):
+        return min(np.dtype(PRIMITIVES[kind.kind][0]).itemsize, layout[1])
+    if isinstance(kind, Enum):
+        return min(4, layout[1])
+    if isinstance(kind, Array) and isinstance(kind.item, Primitive) and kind.length:
+        return _fixed_width(kind.item, layout)
+    if isinstance(kind, Struct) and not layout[2] and kind.fields:
+        widths = [_fixed_width(field, layout) for _, field in kind.fields]
+        return None if None in widths else max(widths)
+    return None
+
+
 def _nested_items(cursor: _Cursor, item: WireType, count) -> tuple[pa.Array, np.ndarray]:
-    """Items whose size varies: the first of every row, then the second of every row that has one, ..."""
+    """Items that are not primitive: the first of every row, then the second of every row that has one, ...
+
+    Items of a type of fixed size come at one distance from the second on, so all that are left are read in a single step.
+    """
     parts, owners, nth = [], [], 0
+    width = _fixed_width(item, cursor.layout)
     index = np.flatnonzero(count > 0)
     while len(index):
         part = cursor.rows(index)
+        before = part.pos.copy()
         parts.append(_value(part, item))
         owners.append(index)
         cursor.put_back(index, part)
         nth += 1
-        index = index[(count[index] > nth) & cursor.ok[index]]
+        step = cursor.pos[index] - before
+        more = (count[index] > nth) & cursor.ok[index]
+        index, step = index[more], step[more]
+        if width and nth == 2 and len(index) and not (step % width).any():
+            left = count[index] - nth
+            rest = cursor.rows(np.repeat(index, left))
+            rest.pos = _strided(cursor.pos[index], left, step)
+            parts.append(_value(rest, item))
+            owners.append(np.repeat(index, left))
+            cursor.pos[index] += left * step
+            cursor.ok[index] &= np.logical_and.reduceat(rest.ok, np.cumsum(left) - left)
+            break
     if not parts:
         return pa.array([], item.arrow()), np.zeros_like(count)
     owner = np.concatenate(owners)
@@ -163,6 +213,12 @@ def _nested_items(cursor: _Cursor, item: WireType, count) -> tuple[pa.Array, np.
     return pa.concat_arrays(parts).take(pa.array(np.argsort(owner, kind="stable"))), read
 
 
+def _strided(start, count, step) -> np.ndarray:
+    """Positions ``start, start + step, ...`` of each row, ``count`` of them."""
+    nth = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    return np.repeat(start, count) + nth * np.repeat(step, count)
+
+
 def _struct(cursor: _Cursor, kind: Struct) -> pa.Array:
     size = cursor.length() if cursor.layout[2] else None
     begin = cursor.pos
@@ -212,7 +268,8 @@ def decode_batch(payloads: pa.Array, kind: Struct) -> tuple[pa.Array, pa.Array]:
     rows = len(payloads)
     bounds = np.frombuffer(payloads.buffers()[1], np.int32)[payloads.offset:payloads.offset + rows + 1].astype(np.int64)
     body = payloads.buffers()[2]
-    data = np.concatenate((np.frombuffer(body, np.uint8) if body else np.empty(0, np.uint8), np.zeros(16, np.uint8)))
+    own = np.frombuffer(body, np.uint8)[bounds[0]:bounds[-1]] if body else np.empty(0, np.uint8)
+    data, bounds = np.concatenate((own, np.zeros(16, np.uint8))), bounds - bounds[0]
     start, end = bounds[:-1], bounds[1:]
     long_enough = end - start > HEADER
     code = np.where(long_enough & (data[start] == 0), data[np.minimum(start + 1, len(data) - 1)], 0xFF)
@@ -238,12 +295,24 @@ def decode_batch(payloads: pa.Array, kind: Struct) -> tuple[pa.Array, pa.Array]:
     return pa.concat_arrays(parts).take(pa.array(place, mask=place < 0)), failed
 
 
+def bounded(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose binary column holds about ``BATCH_BYTES`` at most, or one row."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        low = 0
+        while low < batch.num_rows or low == batch.num_rows == 0:
+            before = int(ends[low - 1]) if low else 0
+            high = max(low + 1, int(np.searchsorted(ends, before + BATCH_BYTES, side="right")))
+            yield batch.slice(low, high - low)
+            low = high
+
+
 def decode_tagged(df: DataFrame, kind: Struct, payload: str = "payload") -> DataFrame:
     """All rows with ``decoded`` (null where it failed) and ``error``."""
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, names.index(payload)):
             decoded, error = decode_batch(batch.column(names.index(payload)), kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, decoded, error], names=[*names, "decoded", "error"])
 
@@ -284,7 +353,7 @@ def decode_all(df: DataFrame, kinds: dict[str, Struct], type_column: str = "type
     at_type, at_payload = names.index(type_column), names.index(payload)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, at_payload):
             types, body = batch.column(at_type), batch.column(at_payload)
             error, columns = pa.nulls(batch.num_rows, pa.string()), []
             for name, kind in kinds.items():
