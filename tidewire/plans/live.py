@@ -152,6 +152,19 @@ def bounded_run(spark, sf):
     return live.recorded(spark, path).select(*_ROW)
 
 
+@query("bounded_by_limits", f"""
+select {', '.join(_ROW)} from split_messages where valid and split = 0""", _VALID_STEPS)
+def bounded_by_limits(spark, sf):
+    """A run over files that arrive one by one, stopped once every recording has reached its limit, long before its time is up."""
+    path = scratch_path(spark, "limits")
+    *_, rows = _arrivals(spark, sf, files_per_batch=1)
+    run = live.record_stream(views.messages_from(rows), path, limits=_LIMITS, split=False, block_rows=_ROUND_BLOCK, trigger=live.ONCE).start()
+    live.run_for(run, 900, stop_when=lambda: live.limits_reached(spark, path))
+    if run.isActive or not live.limits_reached(spark, path):
+        raise RuntimeError("the run did not end at its limits")
+    return live.recorded(spark, path).select(*_ROW)
+
+
 @query("progress", """
 select count(*) as received, count(*) filter (topic like '/view/%') as recorded,
        (sum(payload_bytes) filter (topic like '/view/%'))::bigint as bytes

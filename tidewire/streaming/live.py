@@ -202,6 +202,7 @@ def record_stream(msgs: DataFrame, path: str, keep: Column | None = None, limits
 
 _IDS = "recording_id string, topic string, type_name string, channel_id int, schema_id int"
 _DIMS = "recording_id string, split bigint, topic string, type_name string, channel_id int, schema_id int"
+_OPEN = "recording_id string, segment bigint, open_size bigint, open_clock bigint, poll bigint, bytes bigint"
 MERGE_EVERY = 8  # micro-batches
 
 
@@ -296,8 +297,7 @@ def _read_folders(spark: SparkSession, path: str, folders: list[str]) -> DataFra
 
 def _split_step(path: str, limits: Limits, block_rows: int, split: bool, max_splits: int):
     """State per recording: its open split up to the last poll round, and that round, which may go on."""
-    state = _State(path, "recording_id string, segment bigint, open_size bigint, open_clock bigint, "
-                         "poll bigint, bytes bigint")
+    state = _State(path, _OPEN)
     ids, dims, manifest = _State(path, _IDS, "_ids"), _State(path, _DIMS, "_dims"), _Manifest(path, max_splits)
 
     def step(batch: DataFrame, batch_id: int) -> None:
@@ -380,6 +380,12 @@ def totals(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/progress").agg(*[F.sum(name).alias(name) for name in _COUNTERS])
 
 
+def limits_reached(spark: SparkSession, path: str) -> bool:
+    """Whether every recording under ``path`` that has begun has reached a limit of its :func:`record_stream`."""
+    open_splits = _State(path, _OPEN).newest(spark).select("segment").collect()  # a row per recording
+    return bool(open_splits) and all(row["segment"] > 0 for row in open_splits)
+
+
 def run_for(query: StreamingQuery, seconds: float, stop_when: Callable[[], bool] = lambda: False,
             poll: float = 0.2) -> bool:
     """Lets a query run until it ends, ``stop_when`` holds or the time is up; then stops it.
