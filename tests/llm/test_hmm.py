@@ -5,6 +5,7 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pytest
 
 from tests.llm.conftest import make
 from tidewire.llm import hmm
@@ -97,3 +98,21 @@ def test_long_sequences_train_in_parts(spark, monkeypatch):
     monkeypatch.setattr(hmm, "BLOCK_TOKENS", 5)
     rows = [(i, "a b c d e f g h i j") for i in range(1, 12)]
     check(rows, hmm.scored(make(spark, [(i, t, "en", "s") for i, t in rows]), rounds=2).collect())
+
+
+@pytest.mark.parametrize("piece", [1, 7, 64, 1000])
+def test_long_sequences_train_as_one(piece):
+    """Forward and backward vectors go over the cuts, so the pieces add up to the counts of the whole sequence."""
+    rng = np.random.default_rng(5)
+    symbols = np.append(rng.integers(0, 40, 200), hmm.END).astype(np.uint16)
+    model = hmm.Model.first(np.bincount(symbols, minlength=hmm.CLASSES + 1).astype(float), 3, 1)
+    assert np.allclose(hmm.expected_long(symbols, model, piece), hmm.expected([symbols], model))
+
+
+def test_very_long_words_are_joined(spark):
+    """A word too long to travel to the tasks scores as it would otherwise."""
+    word = "w" * 500
+    docs = make(spark, [(i, f"{word} b c {word}", "en", "a") for i in range(30)])
+    counts = spark.createDataFrame([(word.encode(), 60), (b"b", 30)], "word binary, c long")
+    assert [bytes(r.word) for r in hmm._most_frequent(counts, 10).collect()] == [b"b"]
+    assert {(r.n_tokens, r.n_known) for r in hmm.scored(docs).collect()} == {(5, 5)}

@@ -23,7 +23,7 @@ from tidewire.session import Scratch
 
 STATES, CLASSES, ROUNDS, SEED = 4, 4096, 4, 11
 SMOOTH = 0.1
-HEAD = 1 << 16
+HEAD, HEAD_BYTES = 1 << 16, 128
 TRAIN_LENGTH = 1 << 16
 BLOCK_TOKENS = 1 << 19
 FLUSH = 300_000
@@ -121,6 +121,46 @@ def expected(sequences: list[np.ndarray], model: Model) -> np.ndarray:
     return np.concatenate([gamma[:running[0]].sum(axis=0), (moves * model.move).ravel(), *emits])
 
 
+def _steps(symbols: np.ndarray, model: Model, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward vectors of one sequence that goes on from ``before``, and its emissions divided by the scales."""
+    seen = np.ascontiguousarray(model.emit.T)[symbols]
+    alpha = np.empty_like(seen)
+    for t in range(len(symbols)):
+        now = (model.start if before is None else before @ model.move) * seen[t]
+        scale = now.sum()
+        before = alpha[t] = now / scale
+        seen[t] /= scale
+    return alpha, seen
+
+
+def expected_long(symbols: np.ndarray, model: Model, piece: int = TRAIN_LENGTH) -> np.ndarray:
+    """:func:`expected` of one long sequence in bounded memory: forward once, keeping the vector before every piece, then backward piece
+    by piece, each gone through forward again; forward and backward vectors are carried over the cuts."""
+    states = len(model.start)
+    entering: list[np.ndarray | None] = []
+    alpha_end = None
+    for low in range(0, len(symbols), piece):
+        entering.append(alpha_end)
+        alpha_end = _steps(symbols[low:low + piece], model, alpha_end)[0][-1]
+    moves, emits, back = np.zeros((states, states)), np.zeros((states, CLASSES + 1)), np.ascontiguousarray(model.move.T)
+    ahead = None  # what the time after the piece hands back: its emission times its backward vector
+    for number in range(len(entering) - 1, -1, -1):
+        part = symbols[number * piece:(number + 1) * piece]
+        alpha, seen = _steps(part, model, entering[number])
+        gamma = np.empty_like(alpha)
+        for t in range(len(part) - 1, -1, -1):
+            if ahead is None:
+                beta = np.ones(states)
+            else:
+                moves += np.outer(alpha[t], ahead)
+                beta = ahead @ back
+            gamma[t] = alpha[t] * beta
+            ahead = seen[t] * beta
+        for k in range(states):
+            emits[k] += np.bincount(part, weights=gamma[:, k], minlength=CLASSES + 1)
+    return np.concatenate([gamma[0], (moves * model.move).ravel(), emits.ravel()])
+
+
 def _blocks(items: Iterator, size) -> Iterator[list]:
     """Items in lists of about ``BLOCK_TOKENS``."""
     held, tokens = [], 0
@@ -151,22 +191,20 @@ def _word_counts(training: DataFrame) -> DataFrame:
 
 
 def _sequences(training: DataFrame) -> DataFrame:
-    """The classes of every training text as 16-bit numbers; longer ones than ``TRAIN_LENGTH`` follow as several sequences."""
+    """The classes of every training text as 16-bit numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in batch.column(0):
-                whole = classes_of(split_words(text.as_py()))
-                found += [whole[i:i + TRAIN_LENGTH].tobytes() for i in range(0, len(whole), TRAIN_LENGTH)]
+            found = [classes_of(split_words(text.as_py())).tobytes() for text in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["classes"])
 
     return training.select("text").mapInArrow(run, "classes binary")
 
 
 def _most_frequent(counts: DataFrame, head: int) -> DataFrame:
-    """At most ``head`` words, all with a count over some bound: how many words have which count, in steps of a sixteenth of a
+    """At most ``head`` words of ``HEAD_BYTES`` at most, all with a count over some bound: how many words have which count, in steps of a sixteenth of a
     doubling, tells the bound, so only the words themselves leave the tasks."""
+    counts = counts.where(F.octet_length("word") <= HEAD_BYTES)
     step = F.floor(F.log2("c") * 16)
     left, bound = head, None
     for row in counts.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
@@ -186,7 +224,12 @@ def train(sequences: DataFrame, class_tokens: np.ndarray, states: int, rounds: i
             total = np.zeros(size)
             whole = (np.frombuffer(value.as_py(), np.uint16) for batch in batches for value in batch.column(0))
             for block in _blocks(whole, len):
-                total += expected(block, model)
+                short = [sequence for sequence in block if len(sequence) <= TRAIN_LENGTH]
+                if short:
+                    total += expected(short, model)
+                for sequence in block:
+                    if len(sequence) > TRAIN_LENGTH:
+                        total += expected_long(sequence, model)
             place = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(total[place])], ["place", "amount"])
 
@@ -204,8 +247,8 @@ def scored(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int
     Documents whose crc32 of the id, modulo ``folds``, is 0 are held out; all others train. ``base_score`` is that of single words
     with 0.1 added to every count, ``score`` the model's log10 probability of the whole text, its end included.
 
-    Words are looked up in two ways that agree: the most frequent ones, ``head`` at most, travel to the tasks, all others are joined
-    with their counts by word, of which none is as frequent. Null and empty texts are their end alone. A null id
+    Words are looked up in two ways that agree: the most frequent ones, ``head`` of bounded length at most, travel to the tasks, all
+    others are joined with their counts by word. Long texts train as one sequence, piece by piece (:func:`expected_long`). Null and empty texts are their end alone. A null id
     counts as an empty one and is held out. Repeated rows train and are scored each. Nothing to train on makes all words unknown;
     an empty table gives no rows. Other columns of ``docs`` do not matter.
     """
