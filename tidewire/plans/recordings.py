@@ -158,7 +158,7 @@ from split_messages join valid_ids v using (recording_id, topic) where valid""",
 def written_dims(spark, sf):
     path = _written(spark, sf, compression="none")
     schemas = store.read_schemas(spark, path).select("recording_id", "split", "schema_id", F.col("name").alias("schema_name"))
-    return store.read_channels(spark, path).join(schemas, ["recording_id", "split", "schema_id"], "left")
+    return store.read_channels(spark, path).drop("metadata").join(schemas, ["recording_id", "split", "schema_id"], "left")
 
 
 # Chunks restart in every split; each message takes its payload and 31 bytes.
