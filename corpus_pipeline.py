@@ -55,10 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; each stage is written and read again before the next."""
+    """The rows of the last stage; each stage is written and read again before the next, and its input deleted once it is written."""
     attach(spark)
     scratch = Scratch(spark, "pipeline")
-    docs = table(spark, sf_dir, "documents")
+    docs, written = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
         docs = scratch.keep(stage(spark, docs, sf_dir))
+        scratch.drop(*written)
+        written = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
