@@ -41,3 +41,21 @@ def test_rules(spark):
     rows = quality.judged(make(spark, [(i, t, "en", "s") for i, t in enumerate(texts.values())])).orderBy("doc_id").collect()
     assert "symbol_ratio" in rows[0].broken and "letter_word_ratio" in rows[1].broken and rows[2].broken == ["stop_word_ratio"]
     assert quality.judged(make(spark, [(1, texts["numbers"], "en", "s")]), rules=(quality.Rule("n_words", low=5),)).first().kept
+
+
+def test_query_keeps_clean_documents(spark, sf_dir):
+    """Function words count whatever their case and the marks beside them, so no document that is labelled good goes for want of them."""
+    from tidewire.llm.queries import QUERIES
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").join(labels, "doc_id", "left_semi")
+    broken = quality.judged(docs, rules=quality.CORPUS_RULES, lang="lang").select("doc_id", "base_failed", "broken")
+    assert broken.where("array_contains(broken, 'function_word_ratio')").count() == 0
+    kept = QUERIES["op8_quality_rules"](spark, sf_dir).join(broken, "doc_id", "left_semi").distinct()
+    assert kept.where("not kept and not base_failed").count() == broken.where("not base_failed and size(broken) > 0").select("doc_id").distinct().count()
+
+
+def test_rules_for_some_languages(spark):
+    words = " ".join(f"слово{i}" for i in range(60))
+    rows = [(1, words, "ru", "s"), (2, words, None, "s"), (3, words, "en-GB", "s"), (4, words[:200], "en", "s"), (5, words + " (The, THE. 'den'", "de", "s")]
+    got = {r.doc_id: r.broken for r in quality.judged(make(spark, rows), rules=quality.CORPUS_RULES, lang="lang").collect()}
+    assert got == {1: [], 2: [], 3: ["function_word_ratio"], 4: [], 5: []}

@@ -160,13 +160,16 @@ def passes(text: Column, rules: tuple[Rule, ...] = RULES, lang: Column | None =
     return let(measures(text, rules), lambda q: ~base_failed(q) & (F.size(verdict(q, rules, lang)) == 0))
 
 
-def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def judged(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, lang: str | None = None) -> DataFrame:
     """``docs`` with ``quality`` (counts), ``broken`` (names of rules broken), ``base_failed`` and ``kept``.
 
+    ``lang`` names the column of the documents' languages, for rules that are made for some of them.
+
     No shuffle, no group and no function outside the JVM: each row is judged alone, so repeated rows get the same values and an
     empty table stays empty. Null and empty texts have no words and fail. Own columns with the new names give way. To filter,
     use ``passes``: a filter on ``kept`` would be pushed below and measure each text many times.
     """
     q = F.col("quality")
-    judged_rows = widened(widened(docs, quality=measures(docs[text], rules)), base_failed=base_failed(q), broken=verdict(q, rules))
+    judged_rows = widened(widened(docs, quality=measures(docs[text], rules)), base_failed=base_failed(q),
+                          broken=verdict(q, rules, docs[lang] if lang else None))
     return widened(judged_rows, kept=~F.col("base_failed") & (F.size("broken") == 0))

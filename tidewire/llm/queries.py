@@ -31,9 +31,9 @@ def _quoted(items) -> str:
 
 QUALITY_SQL = rf"""
 with texts as (
-  select row_number() over () as r, doc_id, coalesce(text, '') as body from documents),
+  select row_number() over () as r, doc_id, lang, coalesce(text, '') as body from documents),
 split as (
-  select r, doc_id, body,
+  select r, doc_id, lang, body,
          list_filter(regexp_split_to_array(body, '[\x20\x09-\x0D]+'), lambda w: w <> '') as ws,
          list_filter(string_split(body, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as ls
   from texts),
@@ -49,7 +49,8 @@ counted as (
          length(regexp_replace(body, '[^#*$%&|<>]', '', 'g'))::bigint as n_symbols,
          (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines,
          coalesce(repeated.n, 0)::bigint as n_repeat_words, len(ls) as n_lines,
-         len(list_filter(ws, lambda w: w in ({_quoted(quality.STOP_FORMS)}))) as n_stop,
+         len(list_filter(ws, lambda w: trim(lower(w), '{quality.MARKS.replace("'", "''")}') in ({_quoted(quality.STOP_WORDS)}))) as n_function,
+         coalesce(lower(regexp_extract(lang, '^[A-Za-z]+')) in ({_quoted(quality.STOP_LANGUAGES)}), false) as spoken,
          len(list_filter(ws, lambda w: regexp_matches(w, '\pL'))) as n_letter
   from split left join repeated using (r)),
 judged as (
@@ -57,14 +58,14 @@ judged as (
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        case when base_failed then false
             else word_chars / n_words between 2.0 and 20.0 and n_symbols / n_words <= 0.6 and n_letter / n_words >= 0.6
-                 and n_stop / n_words >= 0.02 and n_dup_lines / n_lines <= 0.4 and n_repeat_words / n_words <= 0.2
+                 and (n_function / n_words >= 0.02 or n_words < 50 or not spoken) and n_dup_lines / n_lines <= 0.4 and n_repeat_words / n_words <= 0.2
        end as kept
 from judged"""
 
 
 @query("op8_quality_rules", QUALITY_SQL)
 def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rows = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), rules=quality.CORPUS_RULES, lang="lang")
     return rows.select("doc_id", *[f"quality.{name}" for name in
                                    ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], "base_failed", "kept")
 
