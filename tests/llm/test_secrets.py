@@ -74,3 +74,9 @@ def test_odd_rows(spark, odd, none):
     assert sorted(r.text or "" for r in secrets.redacted(odd).collect()) == sorted(r.text or "" for r in odd.collect())
     long = make(spark, [(1, ("word " * 20_000) + OWN, "en", "a")])
     assert secrets.redacted(long).first().text == "word " * 20_000 + '[SECRET]"'
+
+
+def test_rows_that_differ_in_their_repository_alone(spark):
+    docs = make(spark, [(1, OWN, "en", "a"), (1, OWN, "en", "a"), (2, KEY, "en", "a")]).withColumn("place", F.monotonically_increasing_id().cast("string"))
+    found = [(r.doc_id, [(s.start, s.kind, s.repos) for s in r.spans]) for r in secrets.spans(docs, repo=F.col("place")).orderBy("doc_id").collect()]
+    assert found == [(1, [(0, 0, 2)]), (1, [(0, 0, 2)]), (2, [(0, 1, 1)])]

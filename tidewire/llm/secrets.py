@@ -136,14 +136,16 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: Column
           max_owners: int = MAX_OWNERS, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """(doc_id, spans) of every row: structs of kind, start, end, hash, owners, repos and status, by start and kind.
 
-    Null and empty texts have no spans. Rows without an id or owner are scanned like others; equal rows get equal spans; an
-    empty table gives no rows. Texts are scanned whole and once; other columns of ``docs`` do not matter.
+    Null and empty texts have no spans. Rows without an id or owner are scanned like others; equal rows get equal spans, and so do
+    rows that differ in their repository alone; an empty table gives no rows. Texts are scanned whole and once; other columns of
+    ``docs`` do not matter.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
     scanned, found = judged(docs, scratch, key, text, repo, owner, max_owners, kinds)
     base = F.array(*[F.lit(k.base) for k in kinds])
     kept = found.where(F.get(base, F.col("kind")) | (F.col("status") == "live"))
-    each = kept.groupBy(*_ROW).agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "hash", "owners", "repos", "status"))).alias("spans"))
+    # a set: rows that differ in their repository alone have the same spans
+    each = kept.groupBy(*_ROW).agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end", "hash", "owners", "repos", "status"))).alias("spans"))
     rows = scanned.select(*_ROW)
     joined = rows.join(each, _same_row(rows, each), "left")
     return joined.select(rows["doc_id"], F.coalesce("spans", F.array().cast(each.schema["spans"].dataType)).alias("spans"))
@@ -153,7 +155,9 @@ def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: Col
              max_owners: int = MAX_OWNERS, mark: str = MARK, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """``docs`` with every live secret in its text replaced by ``mark``; copied examples and other text stay.
 
-    A value is an example if unlike texts of many owners hold it, so copies of a document keep none of its keys.
+    A value is an example if unlike texts of many owners hold it, so copies of a document keep none of its keys. Null texts stay null,
+    empty ones empty; rows without an id or owner and repeated rows are treated like others, each by itself; texts of any
+    length are taken whole; an empty table gives no rows. All columns of ``docs`` are returned as they are but the text.
     """
     scratch = Scratch(docs.sparkSession, "secrets")
     owner = docs["source"] if owner is None else owner
