@@ -47,8 +47,32 @@ def test_few_and_no_rows(spark):
 def test_wide_numbers_stay_exact():
     q, v = np.array([[2**40, 3]]), np.array([[2**20, 1], [2**20, 2], [2**22, 5]])
     assert topk._products(q, v).tolist() == [[2**60 + 3, 2**60 + 6, 2**62 + 15]]
-    with pytest.raises(ArithmeticError):
-        topk._products(np.array([[2**40]]), np.array([[2**40]]))
+    assert topk._products(np.array([[2**40], [-(2**40)]]), np.array([[2**40]])).tolist() == [[2**63 - 1], [1 - 2**63]]
+    rng = np.random.default_rng(5)
+    for bits, kind in ((8, np.int16), (15, np.int16), (25, np.int32), (40, np.int64)):
+        q, v = (rng.integers(-(2**bits), 2**bits, (5, 9)).astype(kind) for _ in range(2))
+        want = q.astype(object) @ v.T.astype(object)
+        assert (topk._products(q, v) == np.clip(want, 1 - 2**63, 2**63 - 1).astype(np.int64)).all()
+
+
+def test_wide_components_are_a_result(spark):
+    """Finite components of any size: what does not fit a long counts as the nearest one, and no row ends the query."""
+    rows = [(0, [1e18, 1.0]), (1, [1.0, 1.0]), (2, [-1e300, 0.0]), (3, [1e308, 0.0]), (4, [0.0, 2.0])]
+    top = 2**63 - 1
+    assert found(table(spark, rows)) == [(0, 1, 1, top), (0, 2, 3, top), (0, 3, 4, 256 * 512), (0, 4, 2, -top)]
+
+
+def test_one_row_repeated_is_spread(spark):
+    """A third of all rows are copies of one, a query; each is a candidate of all other queries."""
+    rows = [(5, [0.5, 0.5])] * 40 + [(i, [0.01 * i, 0.5]) for i in range(6, 86)]
+    assert found(table(spark, rows), query_block=3, shard=7) == plain(rows, 5, 5)
+
+
+def test_vectors_are_shuffled_once(spark):
+    """No exchange of vectors but the one that deals them over tasks, however many tiles of queries there are."""
+    df = topk.top_k(table(spark, [(i, [0.1 * i, 0.5]) for i in range(200)]), F.col("vec_id") % 5 == 0, query_block=4)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and "Generate" not in plan and "Cogroup" not in plan
 
 
 def test_ties_at_the_edge():
