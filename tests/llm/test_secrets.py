@@ -30,18 +30,32 @@ def test_base_spans_agree_with_plain_python(spark):
     assert [[(s.start, s.kind, s.end) for s in r.spans if s.kind < 3] for r in rows] == [plain(t) for t in TEXTS]
 
 
+def unlike(i, value):
+    """A text with words of its own around a value."""
+    return " ".join(f"{w}{i}" for w in "abcdefghijkl") + f" {value} " + " ".join(f"{w}{i}" for w in "mnopqrstuvw")
+
+
 def test_owners_tell_examples_from_live_ones(spark):
-    rows = [(i, f"x {KEY} y", "en", f"owner{i % 5}") for i in range(20)] + [(100, OWN, "en", "owner1"), (101, OWN, "en", "owner1"),
+    rows = [(i, unlike(i, KEY), "en", f"owner{i % 5}") for i in range(20)] + [(100, OWN, "en", "owner1"), (101, OWN, "en", "owner1"),
                                                                               (102, "password=changeme1", "en", "owner2"), (103, "token=aaaaaaaaaa", "en", None)]
+    rows += [(200 + i, f"one text with {HEX}", "en", f"owner{i % 5}") for i in range(10)]
     found = {r.doc_id: r.spans[0] for r in secrets.spans(make(spark, rows)).collect()}
-    assert (found[3].status, found[3].owners, found[3].repos) == ("copied", 5, 20)
-    assert (found[100].status, found[100].owners, found[100].repos) == ("live", 1, 2)
-    assert found[102].status == found[103].status == "weak" and found[103].owners == 0
+    assert (found[3].status, found[3].owners, found[3].uses, found[3].repos) == ("copied", 5, 20, 20)
+    assert (found[100].status, found[100].owners, found[100].uses, found[100].repos) == ("live", 1, 1, 2)
+    assert found[102].status == found[103].status == "weak" and found[103].owners == 1
+    assert (found[200].status, found[200].owners, found[200].uses, found[200].repos) == ("live", 1, 1, 10)
+
+
+def test_the_limit_grows_with_the_owners(spark):
+    assert [secrets.sharing_limit(n) for n in (0, 1, 7, 8, 31, 32, 10**6)] == [2, 2, 2, 3, 4, 5, 19]
+    few = [(i, unlike(i, KEY), "en", f"o{i}") for i in range(4)]
+    status = lambda rows: {r.spans[0].status for r in secrets.spans(make(spark, rows)).collect() if r.spans}
+    assert status(few) == {"copied"} and status(few + [(100 + i, "no key", "en", f"o{i}") for i in range(40)]) == {"live"}
 
 
 def test_added_kinds_need_an_owner(spark):
     long = "Zx9" + "aB3dE6gH" * 5
-    rows = [(1, f"see {long} there", "en", "a"), (2, "gh" + "p_" + "aB3dE6gH9" * 4, "en", "a")] + [(i, "copy " + long[::-1], "en", f"o{i}") for i in range(3, 8)]
+    rows = [(1, f"see {long} there", "en", "a"), (2, "gh" + "p_" + "aB3dE6gH9" * 4, "en", "a")] + [(i, unlike(i, long[::-1]), "en", f"o{i}") for i in range(3, 8)]
     found = {r.doc_id: [(s.kind, s.start) for s in r.spans] for r in secrets.spans(make(spark, rows)).collect()}
     assert found[1] == [(4, 4)] and (3, 0) in found[2] and not any(found[i] for i in range(3, 8))
 
@@ -61,8 +75,10 @@ def test_a_key_in_copies_of_a_document_is_no_example(spark, copies):
     """Identical and near copies over twenty sources, one of them null; a key in unlike texts of most sources is an example."""
     near = [(i, f"copy {i % 7} of a long page, {OWN} and some more words of the page {i % 5}", "en", f"s{i % 20}" if i % 20 else None) for i in range(copies)]
     same = [(2000 + i, f"one page with {KEY} in it", "en", f"s{i % 20}") for i in range(copies)]
-    unlike = [(4000 + i, " ".join(f"{w}{i}" for w in "abcdefghijkl") + f" {HEX}{HEX} " + " ".join(f"{w}{i}" for w in "mnopqrstuvw"), "en", f"s{i}") for i in range(20)]
-    rows = {r.doc_id: r.text for r in secrets.redacted(make(spark, near + same + unlike)).collect()}
+    example = [(4000 + i, unlike(i, HEX + HEX), "en", f"s{i}") for i in range(20)]
+    docs = make(spark, near + same + example)
+    rows = {r.doc_id: r.text for r in secrets.redacted(docs).collect()}
+    assert all(s.status == ("live" if r.doc_id < 4000 else "copied") for r in secrets.spans(docs).collect() for s in r.spans)
     assert not any(OWN in rows[i] or KEY in rows[2000 + i] for i in range(copies))
     assert all(HEX in rows[4000 + i] for i in range(20))
 

@@ -125,7 +125,8 @@ def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql_kind(number: int, kind: secrets.Kind) -> str:
     pattern = kind.pattern.replace("'", "''")
     return f"""
-  select r, {number} as kind, unnest(range(1, len(m) + 1)) as n, unnest(m) as match, unnest(v) as value, unnest(g[:len(m)]) as gap
+  select r, {number} as kind, unnest(range(1, len(m) + 1)) as n, unnest(m) as match, unnest(v) as value, unnest(g[:len(m)]) as gap,
+         unnest(g[2:]) as next
   from (select r, regexp_extract_all(body, '{pattern}', 0) as m, regexp_extract_all(body, '{pattern}', {kind.value}) as v,
                regexp_split_to_array(body, '{pattern}') as g from texts where regexp_matches(body, '{pattern}'))"""
 
@@ -137,15 +138,25 @@ found as ({' union all '.join(_sql_kind(number, kind) for number, kind in enumer
 placed as (
   select *, sum(length(gap) + length(match)) over (partition by r, kind order by n)::bigint as "end" from found),
 held as (
-  select r, doc_id, source, kind, "end" - length(match) as start, "end", sha256(value) as hash,
+  select r, doc_id, source, sha256(body) as digest, "right"(gap, {secrets.CONTEXT}) as before, "left"(next, {secrets.CONTEXT}) as after, kind, "end" - length(match) as start, "end", sha256(value) as hash,
          len(list_distinct(regexp_extract_all(value, '.', 0))) >= 6
            and not regexp_matches(value, '(?i)example|changeme|placeholder|dummy|sample|your|xxxx|\\*\\*\\*\\*') as looks_live
   from placed join texts using (r)
   where length(value) >= case kind when 0 then 6 else 1 end
     and (kind <> 4 or regexp_matches(value, '[0-9]') and regexp_matches(value, '[a-z]') and regexp_matches(value, '[A-Z]'))),
+per_text as (
+  select hash, digest, min(before) as before, min(after) as after, min(source) as owner from held group by hash, digest),
+per_use as (
+  select hash, 'before' as side, before as near, min(owner) as owner from per_text group by hash, before
+  union all select hash, 'after', after, min(owner) from per_text group by hash, after),
+shared as (
+  select hash, min(owners) as owners
+  from (select hash, side, count(distinct coalesce('=' || owner, 'null')) as owners from per_use group by hash, side) group by hash),
+allowed as (
+  select greatest({secrets.MAX_OWNERS}, length(bin(count(distinct coalesce('=' || source, 'null')))) - 1) as most from texts),
 judged as (
-  select *, case when owners > {secrets.MAX_OWNERS} then 'copied' when looks_live then 'live' else 'weak' end as status
-  from held join (select hash, count(distinct source) as owners from held group by hash) using (hash)),
+  select *, case when owners > most then 'copied' when looks_live then 'live' else 'weak' end as status
+  from held join shared using (hash), allowed),
 kept as (
   select *, concat(['assign', 'access', 'hex', 'vendor', 'opaque'][kind + 1], ':', start, ':', "end") as span
   from judged where kind < 3 or status = 'live'),

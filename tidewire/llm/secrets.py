@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from tidewire.llm.common import let
 from tidewire.session import Scratch
 
-MAX_OWNERS = 2
-# Fixed values of redaction: a value counts as an example from half of all owners on, or from this many; characters of context.
-MANY_OWNERS, CONTEXT = 50, 24
+#: Owners that may share a live value however few owners there are, and characters of context that tell uses apart.
+MAX_OWNERS, CONTEXT = 2, 24
 MARK = "[SECRET]"
 
 
@@ -42,12 +41,12 @@ KINDS = (
     Kind("opaque", r"[A-Za-z0-9+/_-]{32,}", base=False, mixed=True),
 )
 PLACEHOLDER = r"(?i)example|changeme|placeholder|dummy|sample|your|xxxx|\*\*\*\*"
-_FOUND = "array<struct<kind:int,n:int,gap:int,match:string,value:string,near:bigint>>"
+_FOUND = "array<struct<kind:int,n:int,gap:int,match:string,value:string,before:string,after:string>>"
 _ROW = ("doc_id", "digest", "owner")
 
 
 def _found(text: Column, number: int, kind: Kind) -> Column:
-    """Matches of one kind in order, each with the length of the text before it since the last one and a hash of what is around it."""
+    """Matches of one kind in order, each with the length of the text before it since the last one and the characters around it."""
     pattern = F.lit(kind.pattern)
 
     def placed(gaps: Column) -> Column:
@@ -56,7 +55,7 @@ def _found(text: Column, number: int, kind: Kind) -> Column:
             F.regexp_extract_all(text, pattern, F.lit(0)),
             lambda m, i: F.struct(F.lit(number).alias("kind"), i.alias("n"), F.length(F.get(gaps, i)).alias("gap"), m.alias("match"),
                                   F.get(vs, i).alias("value"),
-                                  F.xxhash64(F.right(F.get(gaps, i), F.lit(CONTEXT)), F.left(F.get(gaps, i + 1), F.lit(CONTEXT))).alias("near"))))
+                                  F.right(F.get(gaps, i), F.lit(CONTEXT)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(CONTEXT)).alias("after"))))
 
     return F.when(text.rlike(kind.pattern), let(F.split(text, kind.pattern), placed)).otherwise(F.array().cast(_FOUND)).cast(_FOUND)
 
@@ -90,51 +89,54 @@ def _candidates(scanned: DataFrame, kinds: tuple[Kind, ...]) -> DataFrame:
     value = F.col("value")
     holds = (F.length(value) >= F.get(least, F.col("kind"))) & (
         ~F.get(mixed, F.col("kind")) | value.rlike("[0-9]") & value.rlike("[a-z]") & value.rlike("[A-Z]"))
-    return rows.where(holds).select(*_ROW, "repo", "kind", "start", "end", F.sha2(value, 256).alias("hash"), looks_live(value).alias("looks_live"), "near")
+    return rows.where(holds).select(*_ROW, "repo", "kind", "start", "end", F.sha2(value, 256).alias("hash"), looks_live(value).alias("looks_live"), "before", "after")
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
-    """(hash, owners, repos) over the whole corpus: distinct repositories are counted by owner first, so a value that a third of
-    all documents hold is spread over them and only counts meet."""
+    """(hash, owners, repos, uses) over the whole corpus.
+
+    Repositories are all distinct ones that hold the value. Owners are those of its uses, and uses do not stem from each other:
+    copies of a text count once, and so do texts with the same characters before the value or after it, as near copies have
+    (the side that leaves fewer counts). A use has one owner, the smallest; null is one. Everything is counted by owner or text
+    first, so a value that a third of all documents hold is spread over them and only counts meet.
+    """
     held = candidates.select("hash", "owner", "repo").distinct()
-    by_owner = held.groupBy("hash", "owner").agg(F.count("*").alias("repos"))
-    return by_owner.groupBy("hash").agg(F.count("owner").alias("owners"), F.sum("repos").alias("repos"))
+    found = held.groupBy("hash", "owner").agg(F.count("*").alias("repos")).groupBy("hash").agg(F.sum("repos").alias("repos"))
+    texts = candidates.groupBy("hash", "digest").agg(*[F.min(name).alias(name) for name in ("before", "after", "owner")])
+    for side in ("before", "after"):
+        by_owner = texts.groupBy("hash", side).agg(F.min("owner").alias("owner")).groupBy("hash", "owner").agg(F.count("*").alias("uses"))
+        found = found.join(by_owner.groupBy("hash").agg(F.count("*").alias(f"owners_{side}"), F.sum("uses").alias(f"uses_{side}")), "hash")
+    return found.select("hash", "repos", *[F.least(f"{name}_before", f"{name}_after").alias(name) for name in ("owners", "uses")])
 
 
-def uses(candidates: DataFrame) -> DataFrame:
-    """(hash, owners, repos) like :func:`ownership`, of uses that do not stem from each other: copies of a text count once, and so
-    do texts with the same characters around the value, as near copies have. A use has one owner; null is one."""
-    texts = candidates.groupBy("hash", "digest").agg(F.min("near").alias("near"), F.min("owner").alias("owner"))
-    each = texts.groupBy("hash", "near").agg(F.min("owner").alias("owner"))
-    by_owner = each.groupBy("hash", "owner").agg(F.count("*").alias("repos"))
-    return by_owner.groupBy("hash").agg(F.count("*").alias("owners"), F.sum("repos").alias("repos"))
+def sharing_limit(owners: int, least: int = MAX_OWNERS) -> int:
+    """Owners up to which a value may be shared and still be theirs: the whole binary logarithm of all owners, at least ``least``."""
+    return max(least, owners.bit_length() - 1)
 
 
 def judged(docs: DataFrame, scratch: Scratch, key: str = "doc_id", text: str = "text", repo: Column | None = None,
-           owner: Column | None = None, max_owners: int = MAX_OWNERS, kinds: tuple[Kind, ...] = KINDS,
-           by_use: bool = False) -> tuple[DataFrame, DataFrame]:
+           owner: Column | None = None, max_owners: int = MAX_OWNERS, kinds: tuple[Kind, ...] = KINDS) -> tuple[DataFrame, DataFrame]:
     """The scanned documents and their judged candidates, both written tables.
 
-    A candidate is ``copied`` if more than ``max_owners`` owners hold its value, ``live`` if not and it looks like a real
-    credential, else ``weak``. Owners that are null are not counted.
-
-    ``by_use`` counts owners of :func:`uses`, and asks for more than half of all owners or ``MANY_OWNERS`` of them.
+    A candidate is ``copied`` if unlike texts of more than :func:`sharing_limit` owners hold its value, ``live`` if not and it looks
+    like a real credential, else ``weak``. So the limit grows with the owners of the corpus, and copies of one document, however
+    many, make no example of its keys.
     """
     repo = docs[key] if repo is None else repo
     owner = docs["source"] if owner is None else owner
     scanned = scratch.keep(_scanned(docs, key, text, repo, owner, kinds))
     candidates = scratch.keep(_candidates(scanned, kinds))
-    if by_use:
-        every = scanned.groupBy("owner").agg(F.lit(1)).count()
-        max_owners = max(max_owners, min(every // 2, MANY_OWNERS))
-    counts = scratch.keep(uses(candidates) if by_use else ownership(candidates))
-    status = F.when(F.col("owners") > max_owners, "copied").when(F.col("looks_live"), "live").otherwise("weak")
-    return scanned, scratch.keep(candidates.join(counts, "hash").withColumn("status", status).drop("looks_live", "repo", "near"))
+    limit = sharing_limit(scanned.groupBy("owner").agg(F.lit(1)).count(), max_owners)
+    counts = scratch.keep(ownership(candidates))
+    status = F.when(F.col("owners") > limit, "copied").when(F.col("looks_live"), "live").otherwise("weak")
+    found = scratch.keep(candidates.join(counts, "hash").withColumn("status", status).drop("looks_live", "repo", "before", "after"))
+    scratch.drop(candidates, counts)
+    return scanned, found
 
 
 def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: Column | None = None, owner: Column | None = None,
           max_owners: int = MAX_OWNERS, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """(doc_id, spans) of every row: structs of kind, start, end, hash, owners, repos and status, by start and kind.
+    """(doc_id, spans) of every row: structs of kind, start, end, hash, owners, uses, repos and status, by start and kind.
 
     Null and empty texts have no spans. Rows without an id or owner are scanned like others; equal rows get equal spans, and so do
     rows that differ in their repository alone; an empty table gives no rows. Texts are scanned whole and once; other columns of
@@ -145,7 +147,7 @@ def spans(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: Column
     base = F.array(*[F.lit(k.base) for k in kinds])
     kept = found.where(F.get(base, F.col("kind")) | (F.col("status") == "live"))
     # a set: rows that differ in their repository alone have the same spans
-    each = kept.groupBy(*_ROW).agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end", "hash", "owners", "repos", "status"))).alias("spans"))
+    each = kept.groupBy(*_ROW).agg(F.array_sort(F.collect_set(F.struct("start", "kind", "end", "hash", "owners", "uses", "repos", "status"))).alias("spans"))
     rows = scanned.select(*_ROW)
     joined = rows.join(each, _same_row(rows, each), "left")
     return joined.select(rows["doc_id"], F.coalesce("spans", F.array().cast(each.schema["spans"].dataType)).alias("spans"))
@@ -161,7 +163,7 @@ def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", repo: Col
     """
     scratch = Scratch(docs.sparkSession, "secrets")
     owner = docs["source"] if owner is None else owner
-    _, found = judged(docs, scratch, key, text, repo, owner, max_owners, kinds, by_use=True)
+    _, found = judged(docs, scratch, key, text, repo, owner, max_owners, kinds)
     before = Window.partitionBy(*_ROW).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     live = found.where("status = 'live'").withColumn("reached", F.coalesce(F.max("end").over(before), F.lit(0)))
     # Overlapping spans are one: only the first of them ends the text kept before.
