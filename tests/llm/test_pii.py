@@ -60,6 +60,50 @@ def test_added_spans(spark):
     assert any("(at)" in a for a in added) and not any("300.400" in a for a in added)
 
 
+WORDS = "river hill stone morning letter garden winter market bridge window silver harbour".split()
+
+
+def planted(rng, n=600):
+    """(text, personal spans that no base pattern finds): carriers, and decoys that look alike."""
+    for i in range(n):
+        fill = lambda: " ".join(rng.choices(WORDS, k=8))
+        digits = lambda k: "".join(rng.choices("0123456789", k=k))
+        last = rng.choice(["Garrison", "Whitfield", "Okafor", "Lindqvist", "Moreau"])
+        true, text = [
+            (v := f"{rng.choice(WORDS)}{i} (at) {rng.choice(WORDS)} (dot) org", f"please write to {v} about the {fill()}"),
+            (v := f"030 555 {digits(4)}", f"{fill()}, phone {v}"),
+            (v := f"{digits(3)}-{digits(2)}-{digits(4)}", f"her SSN {v} is on file, {fill()}"),
+            (v := f"Mr. {last}", f"yesterday {v} {fill()}"),
+            (v := f"{rng.choice(sorted(pii.FIRST_NAMES))} {last}", f"the letter was signed by {v} {fill()}"),
+            (v := f"Tamsin {last}", f"Dear {v} , {fill()}"),
+            (None, f"order 300.400.{digits(3)}.999 and ticket {digits(13)}0 {fill()}"),
+            (None, f"see page {digits(4)} {digits(4)} of the hotel {fill()}"),
+            (None, f"The {last} Bridge over the {fill()}"),
+            (None, f"mail user{i}@host{i % 7}.org or +49 (30) 555-{digits(4)}, card 4111 1111 1111 1111, {fill()}"),
+        ][i % 10]
+        yield text, true
+
+
+def test_recall_and_precision_of_added_spans(spark):
+    rows = list(planted(random.Random(6)))
+    found = {r.doc_id: r.spans for r in pii.detected(make(spark, [(i, t, "en", "s") for i, (t, _) in enumerate(rows)])).collect()}
+    added = [(i, rows[i][0][s.start:s.end]) for i in found for s in found[i] if not s.base]
+    wanted = [(i, true) for i, (_, true) in enumerate(rows) if true]
+    right = [(i, span) for i, span in added if rows[i][1] and (rows[i][1] in span or span in rows[i][1])]
+    assert len({i for i, _ in right}) >= 0.9 * len(wanted), (len(right), len(wanted))
+    assert len(right) >= 0.95 * len(added), [a for a in added if a not in right][:5]
+
+
+def test_cues_are_whole_words():
+    assert pii.votes("hotel 030 555 1234", 6, 3, 18, False)[3] == pii.ABSTAIN and pii.votes("tel 030 555 1234", 4, 3, 16, False)[3] == pii.YES
+    assert pii.votes("ship 10.0.0.1", 5, 1, 13, True)[3] == pii.ABSTAIN
+
+
+def test_account_numbers_are_checked():
+    good = "DE89 3704 0044 0532 0130 00"
+    assert pii.votes(good, 0, 5, len(good), False)[1] == pii.YES and pii.votes(good[:-1] + "1", 0, 5, len(good), False)[1] == pii.NO
+
+
 def test_odd_rows(odd, none):
     rows = pii.detected(odd).collect()
     assert len(rows) == odd.count() and not any(r.spans for r in rows)
