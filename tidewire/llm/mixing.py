@@ -15,7 +15,9 @@ from tidewire.llm.common import words
 from tidewire.session import Scratch
 
 MARGINS = ("source", "lang", "topic")
-SHARE, SWEEPS, TOLERANCE = 0.5, 12, 1e-3
+SHARE, TOLERANCE = 0.5, 1e-3
+#: Sweeps in which the largest step has to shrink, or the fit ends short of its goals and says by how much.
+PATIENCE = 4
 #: Values of a margin that a step may be broadcast for, and cells to a task.
 BROADCAST_VALUES, TASK_CELLS = 10_000, 200_000
 SEED = 7
@@ -72,12 +74,13 @@ def _goals(cells: DataFrame, margin: str, target: Target, share: float) -> DataF
     return weighted.select(margin, (F.col("weight") * F.lit(total * share / weights)).alias("goal"))
 
 
-def raked(cells: DataFrame, scratch: Scratch, targets: dict[str, Target], share: float = SHARE, sweeps: int = SWEEPS,
-          tolerance: float = TOLERANCE) -> DataFrame:
-    """Cells with ``p``, the share of their tokens to take, at most 1.
+def raked(cells: DataFrame, scratch: Scratch, targets: dict[str, Target], share: float = SHARE,
+          tolerance: float = TOLERANCE, patience: int = PATIENCE) -> DataFrame:
+    """Cells with ``p``, the share of their tokens to take, at most 1, and ``gap``, the largest step of the last sweep.
 
     Every cell has a factor f and gives ``tokens * min(f, 1)``. One margin after the other has the factors of its values scaled by
-    goal over tokens given, until no factor moves by more than ``tolerance`` or after ``sweeps``. A value whose cells all give
+    goal over tokens given, until no step differs from 1 by more than ``tolerance``, or the largest has not shrunk for ``patience``
+    sweeps: then the goals contradict each other, and ``gap`` says how far they are missed. A value whose cells all give
     everything cannot meet a larger goal and stays as it is. The steps of a margin are a row for each of its values: they are
     broadcast up to ``BROADCAST_VALUES`` of them, counted before, and joined by shuffle beyond.
     """
@@ -85,7 +88,8 @@ def raked(cells: DataFrame, scratch: Scratch, targets: dict[str, Target], share:
     small = {margin: goal.count() <= BROADCAST_VALUES for margin, goal in goals.items()}
     start = cells.select(*targets, "tokens", F.lit(float(share)).alias("f"), F.lit(0.0).alias("moved"))
     state = scratch.keep(start.coalesce(cells.count() // TASK_CELLS + 1))
-    for _ in range(sweeps):
+    gap, best, waited = 0.0, float("inf"), 0
+    while waited < patience:
         fitted = state.withColumn("moved", F.lit(0.0))
         for margin, goal in goals.items():
             given = fitted.groupBy(margin).agg(F.sum(F.col("tokens") * F.least("f", F.lit(1.0))).alias("given"), F.max(F.col("f") < 1).alias("open"))
@@ -96,18 +100,21 @@ def raked(cells: DataFrame, scratch: Scratch, targets: dict[str, Target], share:
         after = scratch.keep(fitted)
         scratch.drop(state)
         state = after
-        if (state.agg(F.max("moved")).first()[0] or 0.0) <= tolerance:
+        gap = state.agg(F.max("moved")).first()[0] or 0.0
+        if gap <= tolerance:
             break
-    return state.select(*targets, F.least("f", F.lit(1.0)).alias("p"))
+        waited = 0 if gap < 0.99 * best else waited + 1
+        best = min(best, gap)
+    return state.select(*targets, F.least("f", F.lit(1.0)).alias("p"), F.lit(gap).alias("gap"))
 
 
 def chances(rows: DataFrame, scratch: Scratch, columns: dict[str, str], targets: dict[str, Target], share: float) -> DataFrame:
-    """``rows`` with ``p_``, by the cell of each; only cells are joined, by broadcast where their written size allows it."""
+    """``rows`` with ``p_`` and ``gap_``, by the cell of each; only cells are joined, by broadcast where their written size allows it."""
     cells = scratch.keep(_cells(rows, columns))
     fitted = raked(cells, scratch, targets, share).withColumnsRenamed({margin: f"{margin}_cell" for margin in columns})
     found = rows.withColumns({f"{margin}_mark": _marked(rows[column]) for margin, column in columns.items()})
     same = reduce(lambda a, b: a & b, [found[f"{margin}_mark"] == fitted[f"{margin}_cell"] for margin in columns])
-    return found.join(fitted, same).select(*[found[name] for name in rows.columns], F.col("p").alias("p_"))
+    return found.join(fitted, same).select(*[found[name] for name in rows.columns], F.col("p").alias("p_"), F.col("gap").alias("gap_"))
 
 
 def draw(key: Column, text: Column, seed: int) -> Column:
@@ -117,7 +124,8 @@ def draw(key: Column, text: Column, seed: int) -> Column:
 
 def weighed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang",
             targets: dict[str, Target] = TARGETS, share: float = SHARE, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens, p, kept) of every document; texts are read once, whole.
+    """(doc_id, source, lang, topic, n_tokens, p, kept, gap) of every document; texts are read once, whole. ``gap`` is the fit's
+    last largest step, above ``TOLERANCE`` only if the goals of the margins cannot all be met.
 
     Null sources and languages are values of their own; null and empty texts count as one token of prose. Repeated rows are drawn
     alike. An empty table gives no rows. ``share`` of all tokens is aimed at; other columns do not matter.
@@ -127,12 +135,12 @@ def weighed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: st
                        _tokens(docs[text]).alias("tokens_"), draw(docs[key], docs[text], seed).alias("draw"))
     found = chances(scratch.keep(rows), scratch, {margin: margin for margin in MARGINS}, targets, share)
     return found.select("doc_id", "source", "lang", "topic", F.col("tokens_").alias("n_tokens"), F.col("p_").alias("p"),
-                        (F.col("draw") < F.col("p_")).alias("kept"))
+                        (F.col("draw") < F.col("p_")).alias("kept"), F.col("gap_").alias("gap"))
 
 
 def sampled(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang",
             targets: dict[str, Target] = TARGETS, share: float = SHARE, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs`` that are drawn, with their columns."""
+    """The rows of ``docs`` that are drawn, with their columns; null, empty, long and repeated ones and empty tables as in :func:`weighed`."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), docs[source].alias("source"), docs[lang].alias("lang"), topic_of(docs[text]).alias("topic"),
                        _tokens(docs[text]).alias("tokens_"), draw(docs[key], docs[text], seed).alias("draw"))
     found = chances(rows, Scratch(docs.sparkSession, "mixing"), {margin: margin for margin in MARGINS}, targets, share)
