@@ -26,6 +26,43 @@ def test_runs_stay_inside_words():
     assert langid.subword_counts(b"").sum() == 0
 
 
+def plain_counts(text):
+    """Subwords of 1 to 4 bytes of each word between blanks, hashed one by one."""
+    counts = Counter()
+    folded = "".join(c.lower() if c.isalpha() else " " if ord(c) < 128 else c for c in text)
+    for word in folded.encode().split(b" "):
+        marked = b" " + word + b" "
+        for size in (1, 2, 3, 4):
+            for at in range(len(marked) - size + 1):
+                run = marked[at:at + size]
+                if not word or run == b" ":
+                    continue
+                value = 0
+                for byte in run:
+                    value = (value * 0x01000193 ^ byte) % 2**32
+                counts[((value + size) * 0x9E3779B1 % 2**32) >> (32 - langid.BITS)] += 1
+    return counts
+
+
+def test_predictions_agree_with_plain_python(spark):
+    """Subwords, mean of their scores and softmax, one number at a time, for a model of random scores."""
+    rng = np.random.default_rng(8)
+    model = langid.Classifier(["de", "en", "fr"], rng.normal(0, 3, (langid.BUCKETS, 3)), rng.normal(0, 1, 3), 0.7, 0.5)
+    letters = list("abcxyz,. 1-\n") + ["é", "中", "ß", "💡"]
+    texts = ["".join(rng.choice(letters, n)) for n in (1, 2, 3, 5, 9, 40, 300) for _ in range(8)] + [ENGLISH, GERMAN]
+    found = {r.doc_id: r for r in langid.predicted(make(spark, [(i, t, None, "s") for i, t in enumerate(texts)]), model).collect()}
+    for i, text in enumerate(texts):
+        if not any(c.isalpha() for c in text):
+            assert found[i].lang_pred == "und" and found[i].score == 0
+            continue
+        counts = plain_counts(text)
+        logits = [sum(n * model.scores[b, j] for b, n in counts.items()) / sum(counts.values()) + model.bias[j] for j in range(3)]
+        weights = [np.exp(x / 0.7) for x in logits]
+        best = int(np.argmax(weights))
+        assert found[i].lang_pred == model.languages[best] and abs(found[i].score - weights[best] / sum(weights)) < 1e-9
+        assert found[i].accepted == (weights[best] / sum(weights) >= 0.5)
+
+
 def test_letters():
     assert [langid.has_letter(t) for t in (None, "", "12 ² Ⅷ ½ _%", "ª", "中", "e\u0301")] == [False, False, False, True, True, True]
 
