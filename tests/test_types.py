@@ -26,6 +26,21 @@ def test_depth_has_no_limit(spark):
     assert got["T0", "T100"] == 100 and got["T40", "T77"] == 37 and len(got) == 5050
 
 
+def test_known_pairs_are_never_joined_with_each_other(spark, monkeypatch):
+    """A round takes leaps of one length only, else its work is the square of the pairs."""
+    plans, keep = [], types.Scratch.keep
+
+    def kept(self, df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return keep(self, df)
+
+    monkeypatch.setattr(types.Scratch, "keep", kept)
+    got = types.type_closure(members(spark, [(f"T{i}", f"T{i + 1}") for i in range(9)] + [("T0", "T5")])).collect()
+    assert len(got) == 45 and max(r.depth for r in got) == 9
+    joined = [plan.split("Join", 1)[1] for plan in plans if "Join" in plan]
+    assert joined and all(sum("Relation" in line and "depth#" in line for line in part.splitlines()) <= 1 for part in joined)
+
+
 def test_no_references(spark):
     assert types.type_closure(members(spark, [])).count() == 0
 

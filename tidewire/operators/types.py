@@ -14,26 +14,38 @@ from tidewire.session import Scratch
 def type_closure(members: DataFrame) -> DataFrame:
     """Every type with every type it needs, at the length of the longest chain between them.
 
-    Ordering by descending ``depth`` lists dependencies first. Each round joins the pairs known so far with themselves and keeps
-    the greatest depth of each, so chains of n types take about log n rounds however deep they nest. One table is
-    stored per round and the one before is deleted. A type that needs itself, over whatever way, is an error.
+    Ordering by descending ``depth`` lists dependencies first. Before round r, ``known`` has the pairs with a chain of fewer than
+    2^r steps and ``leaps`` those with one of exactly 2^r. A longer chain is one leap and a known rest, so a round joins leaps with
+    known pairs and leaps with leaps, never known pairs with each other; chains of n types take about log n rounds however deep
+    they nest. Types are numbered first, since names that begin alike are dear to sort; the names come back in the result. Tables
+    are stored per round and those before are deleted. A type that needs itself, over whatever way, is an error.
     """
     scratch = Scratch(members.sparkSession, "types")
-    known = scratch.keep(members.where("type_name is not null and ref_type is not null").select(
-        "type_name", F.col("ref_type").alias("needs"), F.lit(1).alias("depth")).distinct())
-    size = None
+    named = scratch.keep(members.where("type_name is not null and ref_type is not null").select("type_name", "ref_type").distinct())
+    every = named.select(F.col("type_name").alias("name")).unionByName(named.select(F.col("ref_type").alias("name"))).distinct()
+    names = scratch.keep(every.select("name", F.monotonically_increasing_id().alias("id")))
+    whose = names.select(F.col("name").alias("type_name"), F.col("id").alias("_from"))
+    what = names.select(F.col("name").alias("ref_type"), F.col("id").alias("_to"))
+    leaps = scratch.keep(named.join(whose, "type_name").join(what, "ref_type").select("_from", "_to"))
+    scratch.drop(named)
+    known, steps = scratch.keep(leaps.withColumn("depth", F.lit(1))), 1
     while True:
-        pairs, depths, circles = known.agg(F.count("*"), F.sum("depth"), F.count_if(F.col("type_name") == F.col("needs"))).first()
-        if circles:
+        if known.where("_from = _to").limit(1).count():
             raise ValueError("types nest in a circle")
-        if size == (pairs, depths):
-            return known
-        size = pairs, depths
-        further = known.select(F.col("type_name").alias("needs"), F.col("needs").alias("_last"), F.col("depth").alias("_more"))
-        longer = known.join(further, "needs").select("type_name", F.col("_last").alias("needs"), (F.col("depth") + F.col("_more")).alias("depth"))
-        grown = scratch.keep(known.unionByName(longer).groupBy("type_name", "needs").agg(F.max("depth").alias("depth")))
+        onward = leaps.select("_from", F.col("_to").alias("_over"))
+        twice = scratch.keep(onward.join(leaps.withColumnRenamed("_from", "_over"), "_over").select("_from", "_to").distinct())
+        scratch.drop(leaps)
+        leaps, steps = twice, 2 * steps
+        if not leaps.limit(1).count():
+            break
+        rest = known.select(F.col("_from").alias("_over"), "_to", (F.col("depth") + steps).alias("depth"))
+        longer = leaps.select("_from", F.col("_to").alias("_over")).join(rest, "_over").drop("_over")
+        found = known.unionByName(leaps.withColumn("depth", F.lit(steps))).unionByName(longer)
+        grown = scratch.keep(found.groupBy("_from", "_to").agg(F.max("depth").alias("depth")))
         scratch.drop(known)
         known = grown
+    scratch.drop(leaps)
+    return known.join(whose, "_from").join(what.withColumnRenamed("ref_type", "needs"), "_to").select("type_name", "needs", "depth")
 
 
 def schema_catalog(members: DataFrame, used: DataFrame) -> DataFrame:
