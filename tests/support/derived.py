@@ -5,15 +5,16 @@ The encoders are test code; the library only reads such data.
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import itemgetter
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tests.support.recording_encoder import encode_file
+from tests.support.recording_encoder import encoded
 from tidewire.functions.scalars import floor_div
 from tidewire.functions.wire import Text
 from tidewire.functions.wire import struct as wire_struct
@@ -165,35 +166,60 @@ def echo(spark, sf):
 _WEEK = 7 * 86_400 * 1_000_000_000
 
 
+_ROWS = ["recording_id", "week", "arrival_seq", "log_time_ns", "topic", "type_name", "payload"]
+
+
+def _sorted_rows(batches):
+    """Rows as tuples, a batch at a time."""
+    for batch in batches:
+        yield from zip(*[column.to_pylist() for column in batch.columns])
+
+
+def _file_pieces(rows, week: int):
+    """The pieces of one file out of its rows in order; topics and types are numbered as they appear."""
+    channels, schemas, ids, kinds = {}, {}, {}, {}
+    count, last = 0, None
+
+    def messages():
+        nonlocal count, last
+        for _, _, sequence, log_time, topic, type_name, payload in rows:
+            if topic not in ids:
+                if type_name and type_name not in kinds:
+                    kinds[type_name] = len(kinds) + 1
+                    schemas[kinds[type_name]] = (type_name, "omgidl", b"")
+                ids[topic] = len(ids) + 1
+                channels[ids[topic]] = (topic, "cdr", kinds[type_name] if type_name else 0, {})
+            count, last = count + 1, log_time if last is None else max(last, log_time)
+            yield ids[topic], sequence, log_time, payload
+
+    def attachments():
+        yield "rows.txt", "text/plain", last, b"." * count
+
+    return encoded(messages(), channels, schemas, chunk_rows=200, compression="zstd" if week % 2 else "lz4",
+                   attachments=attachments(), metadata=[("week", {"number": str(week)})])
+
+
 def _write_files(spark, sf, damaged: bool = False) -> str:
     ship(spark, Path(__file__).resolve().parents[1])
     folder = scratch_path(spark, "files")
 
-    def write(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("arrival_seq")
-        topics = sorted(rows["topic"].unique())
-        ids = {topic: place + 1 for place, topic in enumerate(topics)}
-        types = dict(zip(rows["topic"], rows["type_name"]))
-        names = sorted({name for name in types.values() if name})
-        data = encode_file(
-            list(zip(rows["topic"].map(ids), rows["arrival_seq"], rows["log_time_ns"], rows["payload"])),
-            {ids[t]: (t, "cdr", names.index(types[t]) + 1 if types[t] else 0, {}) for t in topics},
-            {place + 1: (name, "omgidl", b"") for place, name in enumerate(names)},
-            chunk_rows=200, compression="zstd" if rows["week"].iloc[0] % 2 else "lz4",
-            attachments=[("rows.txt", "text/plain", int(rows["log_time_ns"].max()), b"." * len(rows))],
-            metadata=[("week", {"number": str(rows["week"].iloc[0])})])
-        if damaged and rows["week"].iloc[0] % 2:
-            data = data[:-20]
+    def write(batches):
         system, inner = located(folder)
-        system.create_dir(inner, recursive=True)
-        name = f"{rows['recording_id'].iloc[0]}_{rows['week'].iloc[0]}.mcap"
-        with system.open_output_stream(f"{inner}/{name}") as out:
-            out.write(data)
-        path = f"{folder}/{name}"
-        return pd.DataFrame({"path": [path], "bytes": [len(data)]})
-
-    msgs = typed_messages(spark, sf).withColumn("week", floor_div("log_time_ns", _WEEK))
-    written = msgs.groupBy("recording_id", "week").applyInPandas(write, "path string, bytes long")
+        for (recording_id, week), rows in groupby(_sorted_rows(batches), key=itemgetter(0, 1)):
+            system.create_dir(inner, recursive=True)
+            name, size, held = f"{recording_id}_{week}.mcap", 0, b""
+            with system.open_output_stream(f"{inner}/{name}") as out:
+                for piece in _file_pieces(rows, week):
+                    out.write(held)
+                    size, held = size + len(held), piece
+                held = held[:-20] if damaged and week % 2 else held
+                out.write(held)
+            yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "bytes": [size + len(held)]})
+
+    # a file is written as its sorted rows pass by, so no task holds more of it than a batch and the index of its chunks
+    msgs = typed_messages(spark, sf).withColumn("week", floor_div("log_time_ns", _WEEK)).select(*_ROWS)
+    in_order = msgs.repartition("recording_id", "week").sortWithinPartitions("recording_id", "week", "arrival_seq")
+    written = in_order.mapInArrow(write, "path string, bytes long")
     written.agg(F.sum("bytes")).collect()
     return folder
 

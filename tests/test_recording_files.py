@@ -265,3 +265,19 @@ def test_no_call_a_message(monkeypatch):
     monkeypatch.setattr(rf, "_Fields", lambda body: calls.append(body))
     records = rf._records_in(data)
     assert len(records.field(6, "<u8")) == 5000 and records.bodies_from(22, rf.np.arange(5000)).to_pylist() == [bytes(8)] * 5000 and not calls
+
+
+def test_files_are_written_while_their_rows_pass_by():
+    """A writer holds a chunk's rows, never a whole file's."""
+    from tests.support.derived import _file_pieces
+    taken = 0
+
+    def rows():
+        nonlocal taken
+        for i in range(5000):
+            taken += 1
+            yield "r", 1, i, i * 10, f"/t{i % 3}", "T" if i % 3 else "", b"p" * 10
+
+    seen = [(taken, len(piece)) for piece in _file_pieces(rows(), 1)]
+    assert seen[1][0] == 200 and max(b - a for (a, _), (b, _) in zip(seen, seen[1:])) == 200
+    assert len(seen) > 5000 // 200 and sum(size for _, size in seen) > 5000
