@@ -23,7 +23,7 @@ from tidewire.functions.wire import PRIMITIVES, Array, Enum, Primitive, Sequence
 from tidewire.operators.blocks import join_keys
 from tidewire.operators.ordering import first_n
 from tidewire.operators.types import TypeTables
-from tidewire.session import scratch_path
+from tidewire.session import Scratch, scratch_path
 
 # Second header byte -> (big endian, widest alignment, structs carry their size).
 LAYOUTS = {
@@ -392,13 +392,16 @@ def decode_discovered(msgs: DataFrame, topic_types: DataFrame, types: TypeTables
     """Decodes messages by the type their topic was announced with, as described by the type tables.
 
     ``topic_types`` has a type per topic. Decoders are built on the driver out of the types in use and what they need, a few rows per
-    type; each row's is chosen by its topic. Returns :func:`decode_all` of all types that are described, and the rows of all
+    type; each row's is chosen by its topic. The types of the topics in use are stored first, so that their measured size decides how
+    messages find them: sent by topic, all messages of a topic would meet in one task. Returns :func:`decode_all` of all types that are described, and the rows of all
     others with a ``problem``, so every message is in exactly one output.
     """
-    used = join_keys(msgs.select("topic").distinct(), topic_types, ["topic"]).select("type_name").distinct()
+    in_use = Scratch(msgs.sparkSession, "topics").keep(
+        join_keys(msgs.select("topic").distinct(), topic_types.select("topic", "type_name"), ["topic"]))
+    used = in_use.select("type_name").distinct()
     names = [row["type_name"] for row in used.where("type_name is not null and type_name <> ''").collect()]
     known = {name: kind for name, kind in catalog(names, *types, skip_unknown=True).items() if isinstance(kind, Struct)}
-    typed = join_keys(msgs.drop("type_name"), topic_types.select("topic", "type_name"), ["topic"], "left")
+    typed = join_keys(msgs.drop("type_name"), in_use, ["topic"], "left")
     described = F.coalesce(F.col("type_name").isin(*known), F.lit(False)) if known else F.lit(False)
     unknown = typed.where(~described).withColumn("problem", F.when(
         F.coalesce(F.col("type_name"), F.lit("")) == "", "topic without a type").otherwise(F.concat(F.lit("no description of "), "type_name")))
