@@ -42,6 +42,14 @@ def test_write_and_read_back(spark, tmp_path):
         store.write_recording(msgs, path)
 
 
+def test_written_files_are_not_read_back(spark, tmp_path, monkeypatch):
+    """There is a file or more per split, dear to list and open; channels and schemas come out of the messages."""
+    monkeypatch.setattr(store, "read_messages", lambda *_: pytest.fail("the recording was read back"))
+    path = str(tmp_path / "r")
+    store.write_recording(messages(spark), path, rec.Limits(max_bytes=280, poll_ns=SECOND))
+    assert store.read_channels(spark, path).count() == 2 * 5 * 3
+
+
 def test_newest_splits_only(spark, tmp_path):
     store.write_recording(messages(spark), str(tmp_path / "r"), rec.Limits(max_bytes=280, poll_ns=SECOND), max_splits=2)
     got = store.read_messages(spark, str(tmp_path / "r"))

@@ -47,8 +47,8 @@ def write_recording(msgs: DataFrame, path: str, limits: Limits | None = None, *,
     (stored.hint("rebalance", "recording_id", "split")
      .sortWithinPartitions("recording_id", "split", "log_time_ns")
      .write.mode(mode).options(**options).partitionBy("recording_id", "split").parquet(f"{path}/messages"))
-    written = read_messages(msgs.sparkSession, path)
-    dims = replicate_dims(written, ids).persist()  # a few rows per split, for two tables
+    # out of the messages again, not out of the files just written: these are one or more per split
+    dims = replicate_dims(split, ids).persist()  # a few rows per split, for two tables
     none = F.lit(None).cast("map<string,string>")
     told = dims.withColumn("metadata", none) if metadata is None else join_keys(dims, metadata.select("topic", "metadata"), ["topic"], "left")
     channels = told.select("recording_id", "split", "channel_id", "topic", F.lit(MESSAGE_ENCODING).alias("message_encoding"), "schema_id",
