@@ -116,3 +116,11 @@ def test_very_long_words_are_joined(spark):
     counts = spark.createDataFrame([(word.encode(), 60), (b"b", 30)], "word binary, c long")
     assert [bytes(r.word) for r in hmm._most_frequent(counts, 10).collect()] == [b"b"]
     assert {(r.n_tokens, r.n_known) for r in hmm.scored(docs).collect()} == {(5, 5)}
+
+
+def test_blocks_hold_sequences_of_like_length():
+    """A block takes as many steps in time as its longest sequence has; every sequence is in one block."""
+    sequences = [np.zeros(n, np.uint16) for n in [20_000, *[200] * 5000] * 2]
+    blocks = list(hmm._alike(iter(sequences)))
+    assert sorted(len(s) for block in blocks for s in block) == sorted(map(len, sequences))
+    assert sum(max(map(len, block)) for block in blocks) < sum(max(map(len, block)) for block in hmm._blocks(sequences, len))

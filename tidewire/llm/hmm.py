@@ -8,7 +8,7 @@ distribution over all words, the model stays small whatever the corpus, and ever
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -26,6 +26,7 @@ SMOOTH = 0.1
 HEAD, HEAD_BYTES = 1 << 16, 128
 TRAIN_LENGTH = 1 << 16
 BLOCK_TOKENS = 1 << 19
+HELD_TOKENS = 1 << 21
 FLUSH = 300_000
 END = CLASSES
 
@@ -161,19 +162,26 @@ def expected_long(symbols: np.ndarray, model: Model, piece: int = TRAIN_LENGTH)
     return np.concatenate([gamma[0], (moves * model.move).ravel(), emits.ravel()])
 
 
-def _blocks(items: Iterator, size) -> Iterator[list]:
-    """Items in lists of about ``BLOCK_TOKENS``."""
+def _blocks(items: Iterable, size, most: int = BLOCK_TOKENS) -> Iterator[list]:
+    """Items in lists of about ``most`` tokens."""
     held, tokens = [], 0
     for item in items:
         held.append(item)
         tokens += size(item)
-        if tokens >= BLOCK_TOKENS:
+        if tokens >= most:
             yield held
             held, tokens = [], 0
     if held:
         yield held
 
 
+def _alike(sequences: Iterable[np.ndarray]) -> Iterator[list[np.ndarray]]:
+    """Blocks of sequences of about one length, out of ``HELD_TOKENS`` at a time: steps in time are paid for per block, up to its
+    longest sequence."""
+    for held in _blocks(sequences, len, HELD_TOKENS):
+        yield from _blocks(sorted(held, key=len), len)
+
+
 def _word_counts(training: DataFrame) -> DataFrame:
     """(word, c) over all training texts, counted in each task first."""
 
@@ -223,7 +231,7 @@ def train(sequences: DataFrame, class_tokens: np.ndarray, states: int, rounds: i
         def run(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
             total = np.zeros(size)
             whole = (np.frombuffer(value.as_py(), np.uint16) for batch in batches for value in batch.column(0))
-            for block in _blocks(whole, len):
+            for block in _alike(whole):
                 short = [sequence for sequence in block if len(sequence) <= TRAIN_LENGTH]
                 if short:
                     total += expected(short, model)
