@@ -212,6 +212,8 @@ def test_batches_are_bounded_by_bytes(spark, monkeypatch):
 
 
 def test_messages_find_their_types_without_a_shuffle_by_topic(spark, tmp_path):
+    from tidewire.operators.decode import decode_discovered
+    from tidewire.operators.types import TypeTables
     """A few topics hold all messages; sent by topic they would meet in as many tasks."""
     spark.createDataFrame([("/a", b"\x00\x01\x00\x00\x01\x00\x00\x00"), ("/b", b""), (None, b"")], "topic string, payload binary").write.parquet(str(tmp_path / "m"))
     tables = TypeTables(
@@ -219,7 +221,7 @@ def test_messages_find_their_types_without_a_shuffle_by_topic(spark, tmp_path):
                               "type_name string, pos int, member string, kind string, elem_kind string, dims array<int>, ref_type string"),
         spark.createDataFrame([], "type_name string, value int, literal string"), spark.createDataFrame([], "type_name string, label int, member string"))
     announced = spark.createDataFrame([("/a", "A"), ("/c", "C")], "topic string, type_name string")
-    typed, unknown = decode.decode_discovered(spark.read.parquet(str(tmp_path / "m")), announced, tables)
+    typed, unknown = decode_discovered(spark.read.parquet(str(tmp_path / "m")), announced, tables)
     assert [r.x for r in typed["A"][0].collect()] == [1] and unknown.count() == 2
     plan = unknown._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
