@@ -1,5 +1,8 @@
 import random
+import tracemalloc
+from pathlib import Path
 
+import pyarrow as pa
 import pytest
 
 from tests.support.recording_encoder import encode_file
@@ -281,3 +284,40 @@ def test_files_are_written_while_their_rows_pass_by():
     seen = [(taken, len(piece)) for piece in _file_pieces(rows(), 1)]
     assert seen[1][0] == 200 and max(b - a for (a, _), (b, _) in zip(seen, seen[1:])) == 200
     assert len(seen) > 5000 // 200 and sum(size for _, size in seen) > 5000
+
+
+def test_memory_of_a_writing_task_does_not_grow_with_its_file(spark, sf_dir, monkeypatch):
+    """What a task runs over its sorted rows: each batch is in the file before the next but one, ten times the rows need no ten times the memory."""
+    from tests.support import derived
+    tasks = []
+
+    def caught(rows, task, schema):
+        tasks.append(task)
+        return spark.createDataFrame([], schema)
+
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", caught)
+    folder = derived._write_files(spark, sf_dir)
+    (task,) = tasks
+
+    def peak(week, batches):
+        file, sizes = Path(f"{folder}/r_{week}.mcap"), []
+
+        def rows():
+            for b in range(batches):
+                sizes.append(file.stat().st_size if file.exists() else 0)
+                at = range(b * 1000, b * 1000 + 1000)
+                yield pa.RecordBatch.from_pydict(dict(zip(derived._ROWS, (
+                    ["r"] * 1000, [week] * 1000, list(at), [i * 10 for i in at], [f"/t{i % 3}" for i in at], ["T"] * 1000,
+                    [i.to_bytes(8, "big") * 20 for i in at]))))
+
+        tracemalloc.start()
+        told = list(task(rows()))
+        held = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert [row for batch in told for row in batch.to_pylist()] == [{"path": str(file), "bytes": file.stat().st_size}]
+        assert all(b > a for a, b in zip(sizes[1:], sizes[2:]))
+        found = read_recordings(spark, str(file)).select("sequence", "log_time_ns", "payload").orderBy("sequence").collect()
+        assert [(r.sequence, r.log_time_ns, bytes(r.payload)) for r in found] == [(i, i * 10, i.to_bytes(8, "big") * 20) for i in range(batches * 1000)]
+        return held
+
+    assert peak(1, 40) < 2 * peak(2, 4)
